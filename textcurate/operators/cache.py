@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import cache_key, quoted
+from textcurate.plans.scratch import path_exists
 from textcurate.plans.skew import join_on_unique
 from textcurate.schema import KEY, VECTOR
 
@@ -28,12 +28,9 @@ class EmbeddingCache:
     path: str
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def for_model(self, model: str) -> DataFrame:
         """One row per key, the newest. The join that follows needs the same exchange by key, so this adds none."""

@@ -4,13 +4,16 @@ Pairs and neighbours share one plan:
 
 1. Copies first. Among rows with the same vector only the lowest few row indices can appear in a bounded answer, so
    the rest are dropped before any comparison. The limit is applied map-side, so copies cost nothing to shuffle.
-2. Cells. A bounded random sample of vectors serves as centres; every row lives in the cell of its nearest centre.
-   The triangle inequality tells which other cells a row has to visit; see :func:`_visits`.
-3. Blocks. Each cell is cut by row hash into blocks of bounded size, whatever the size of the cell, and each task
-   compares one block with another by a matrix product and returns its own best few only.
-
-Small inputs are one cell of one block. With vectors that lie close together compared to the wanted distance the
-visits prune little and the work tends to all pairs of blocks; the memory of a task stays bounded all the same.
+2. Cells. A bounded random sample of vectors serves as centres; every row lives in the cell of its nearest centre,
+   and in a block of rows at about the same distance from it. The triangle inequality tells which other blocks a row
+   has to visit; see :func:`_visits`.
+3. A first look. Rows are compared within their own block only. What is found there bounds the answer: pairs below
+   the ``top_k``-th found, or rows farther than the neighbours found, cannot matter. That shrinks the visits.
+4. Visits. Blocks are cut further by row hash, so that whatever the size of a cell a task holds a bounded number of
+   rows; it compares them by a matrix product and returns its own best few only.
+
+Small inputs are one block. Where vectors lie close together compared to the wanted distance the visits prune little
+and the work tends to all pairs of blocks; the memory of a task stays bounded all the same.
 """
 
 from __future__ import annotations
@@ -33,9 +36,15 @@ from textcurate.schema import ROW_INDEX, VECTOR
 BLOCK_ROWS = 2048
 # Centres are broadcast: 4096 vectors of 1024 floats are 16 MB.
 MAX_CELLS = 4096
+# Distances from a centre run from 0 to 2; they are told apart in so many steps at most, and in fewer if there are
+# many cells, so that all cells together have a bounded number of blocks.
+MAX_STEPS = 1000
+MAX_BLOCKS = 400_000
 # Distances get this much slack, more than the rounding of scores and arithmetic can amount to.
 _SLACK = 1e-6
 _FAR = 4.0
+# Outlier candidates scored exactly before the others are ruled out.
+FIRST_BATCH = 1024
 
 
 def search(rows: DataFrame, query: list[float], k: int = 5, only_kept: bool = False) -> DataFrame:
@@ -61,16 +70,24 @@ def _is_zero(vectors: Column) -> Column:
     return ~F.exists(vectors, lambda x: x != 0)
 
 
-# ---- step 2: cells
+# ---- step 2: cells and blocks
 
 
 @dataclass(frozen=True)
 class _Cells:
-    """Centres as unit rows; rows living in each cell, and the largest distance of any of them to its centre."""
+    """Centres as unit rows, the largest distance of any row to its own centre, and the blocks.
+
+    ``blocks[q, i]`` is the number of the block for rows at the ``i``-th step of distance from centre ``q``. Numbers
+    rise with the distance, and from cell to cell.
+    """
 
     centers: np.ndarray
-    sizes: list[int]
     reach: np.ndarray
+    blocks: np.ndarray
+
+    def block_at(self, cells: np.ndarray, distances: np.ndarray) -> np.ndarray:
+        steps = self.blocks.shape[1]
+        return self.blocks[cells, np.clip((distances * (steps / 2.0)).astype(np.int64), 0, steps - 1)]
 
 
 def _distances(vectors: pa.Array, centers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -85,26 +102,38 @@ def _make_cells(points: DataFrame, rows: int, block_rows: int) -> _Cells:
     wanted = max(1, min(MAX_CELLS, math.ceil(rows / block_rows)))
     sample = points.filter("copy = 1").orderBy(F.xxhash64("vkey"), "vkey").limit(wanted).select("vec").collect()
     centers = unit_rows(np.asarray([r[0] for r in sample], dtype=np.float64))
+    steps = min(MAX_STEPS, MAX_BLOCKS // len(centers))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, reach = np.zeros(len(centers), dtype=np.int64), np.zeros(len(centers))
+        sizes, reach = np.zeros((len(centers), steps), dtype=np.int64), np.zeros(len(centers))
         for batch in batches:
             for _, distances in _distances(batch.column("vec"), centers):
                 home = distances.argmin(axis=1)
-                np.add.at(sizes, home, 1)
-                np.maximum.at(reach, home, distances[np.arange(len(home)), home])
-        used = np.flatnonzero(sizes)
+                own = distances[np.arange(len(home)), home]
+                np.add.at(sizes, (home, np.minimum((own * (steps / 2.0)).astype(np.int64), steps - 1)), 1)
+                np.maximum.at(reach, home, own)
+        cell, step = np.nonzero(sizes)
         yield pa.RecordBatch.from_pydict(
-            {"cell": pa.array(used.astype(np.int32)), "n": pa.array(sizes[used]), "reach": pa.array(reach[used])}
+            {
+                "cell": pa.array(cell, pa.int32()),
+                "step": pa.array(step, pa.int32()),
+                "n": pa.array(sizes[cell, step], pa.int64()),
+                "reach": pa.array(reach[cell], pa.float64()),
+            }
         )
 
-    # Each task reports at most one row per cell, and the driver receives one row per cell.
-    found = points.select("vec").mapInArrow(measure, "cell int, n long, reach double")
-    found = found.groupBy("cell").agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).collect()
-    sizes, reach = [0] * len(centers), np.zeros(len(centers))
-    for cell, n, far in found:
-        sizes[cell], reach[cell] = n, far
-    return _Cells(centers, sizes, reach)
+    # Each task reports counts, not rows, and the driver receives at most MAX_BLOCKS of them.
+    found = points.select("vec").mapInArrow(measure, "cell int, step int, n long, reach double")
+    found = found.groupBy("cell", "step").agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).toPandas()
+    sizes, reach = np.zeros((len(centers), steps), dtype=np.int64), np.zeros(len(centers))
+    sizes[found["cell"], found["step"]] = found["n"]
+    np.maximum.at(reach, found["cell"].to_numpy(), found["reach"].to_numpy())
+    # Neighbouring steps share a block as long as they fill it no more than once.
+    filled = np.cumsum(sizes, axis=1) // block_rows
+    new_block = np.diff(filled, axis=1, prepend=0) > 0
+    new_block[:, 0] = True
+    blocks = np.cumsum(new_block.ravel()).reshape(sizes.shape) - 1
+    return _Cells(centers, reach, blocks.astype(np.int32))
 
 
 def _visits(distances: np.ndarray, home: np.ndarray, radius: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -118,85 +147,130 @@ def _visits(distances: np.ndarray, home: np.ndarray, radius: np.ndarray, reach:
     return distances <= bound + _SLACK
 
 
-def _radius(cosine: np.ndarray) -> np.ndarray:
+def _distance(cosine: Column) -> Column:
     """The distance of unit vectors with this cosine, rounded up."""
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (cosine - _SLACK)))
+    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (cosine - _SLACK)))
 
 
-def _place(points: DataFrame, cells: _Cells, earlier_only: bool) -> DataFrame:
-    """Add ``home``, and ``away``: the other cells to visit given the row's ``radius`` (only lower-numbered ones,
-    if ``earlier_only``, which makes any two cells meet in one direction only)."""
-    centers, reach = cells.centers, cells.reach
-    added = [T.StructField("home", T.IntegerType()), T.StructField("away", T.ArrayType(T.IntegerType()))]
+def _locate(points: DataFrame, cells: _Cells) -> DataFrame:
+    """Add ``home`` and ``block``, where each row lives. Must be stored: every later step has to see the same."""
+    added = ["home", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            radius = np.asarray(batch.column("radius"), dtype=np.float64)
-            homes, aways = [], []
-            for start, distances in _distances(batch.column("vec"), centers):
+            homes, blocks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+            for _, distances in _distances(batch.column("vec"), cells.centers):
                 home = distances.argmin(axis=1)
-                visit = _visits(distances, home, radius[start : start + len(home)], reach)
-                visit[np.arange(len(home)), home] = False
-                if earlier_only:
-                    visit &= np.arange(len(centers))[None, :] < home[:, None]
-                homes.append(home.astype(np.int32))
-                aways.extend(np.flatnonzero(v).astype(np.int32) for v in visit)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array(np.concatenate(homes) if homes else [], pa.int32()),
-                    pa.array(aways, pa.list_(pa.int32())),
-                ],
-                names=[*batch.schema.names, "home", "away"],
-            )
-
-    return points.mapInArrow(run, T.StructType(points.schema.fields + added))
-
-
-# ---- step 3: blocks
-
-
-def _compare(
-    here: DataFrame,
-    there: DataFrame,
-    block_rows: int,
-    kernel: Callable[[pa.Table], pa.Table],
-    schema: str,
-    single: bool = False,
-) -> DataFrame:
-    """Bring ``here`` and ``there``, both ``(cell, id, vec, side)``, together block by block within each cell.
+                homes.append(home)
+                blocks.append(cells.block_at(home, distances[np.arange(len(home)), home]))
+            columns = [pa.array(np.concatenate(homes), pa.int32()), pa.array(np.concatenate(blocks), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    ``single`` says that all rows are one block.
+    fields = [T.StructField(name, T.IntegerType()) for name in added]
+    return points.mapInArrow(run, T.StructType([*points.schema.fields, *fields]))
+
+
+def _route(points: DataFrame, cells: _Cells, earlier_only: bool) -> DataFrame:
+    """Rows ``(id, vec, home_first, visits)``: the runs of blocks that may hold a vector within each row's ``radius``.
+
+    With d(x, y) <= r the distances of x and y from any centre differ by r at most, so of a cell only the blocks at
+    those distances are visited. ``earlier_only`` leaves out cells numbered higher than the row's own, so that any two
+    cells meet in one direction only. ``home_first`` is the first block of the row's own cell.
     """
-    spark = here.sparkSession
-    if single:
-        return here.unionByName(there).groupBy("cell").applyInArrow(kernel, schema)
-    left_sizes = {r[0]: r[1] for r in here.groupBy("cell").count().collect()}
-    right_sizes = {r[0]: r[1] for r in there.groupBy("cell").count().collect()}
-    grid = [
-        (cell, math.ceil(left_sizes[cell] / block_rows), math.ceil(right_sizes[cell] / block_rows))
-        for cell in sorted(left_sizes.keys() & right_sizes.keys())
-    ]
-    tasks = sum(left * right for _, left, right in grid)
-    # One row per cell, at most MAX_CELLS.
-    sizes = F.broadcast(spark.createDataFrame(grid, "cell int, nl int, nr int"))
-    left = here.join(sizes, "cell").select(
-        "cell", "id", "vec", "side",
-        F.pmod(F.xxhash64("id"), "nl").alias("bl"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nr").cast("bigint") - 1)).alias("br"),
-    )
-    right = there.join(sizes, "cell").select(
-        "cell", "id", "vec", "side",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nl").cast("bigint") - 1)).alias("bl"),
-        F.pmod(F.xxhash64("id"), "nr").alias("br"),
-    )
-    group = ["cell", "bl", "br"]
+    centers, reach = cells.centers, cells.reach
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            radii = np.asarray(batch.column("radius"), dtype=np.float64)
+            homes = np.asarray(batch.column("home"))
+            for start, distances in _distances(batch.column("vec"), centers):
+                part = batch.slice(start, len(distances))
+                radius, home = (column[start : start + len(distances)] for column in (radii, homes))
+                visit = _visits(distances, home, radius, reach)
+                if earlier_only:
+                    visit &= np.arange(len(centers))[None, :] <= home[:, None]
+                row, cell = np.nonzero(visit)
+                away = distances[row, cell]
+                first = cells.block_at(cell, away - radius[row] - _SLACK)
+                last = cells.block_at(cell, away + radius[row] + _SLACK)
+                # Runs that touch become one.
+                starts = np.ones(len(row), dtype=bool)
+                starts[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)
+                ends = np.append(starts[1:], True) if len(row) else starts
+                runs = pa.StructArray.from_arrays(
+                    [pa.array(first[starts], pa.int32()), pa.array(last[ends], pa.int32())], names=["first", "last"]
+                )
+                offsets = np.searchsorted(row[starts], np.arange(len(distances) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        part.column("vec"),
+                        pa.array(cells.blocks[home, 0], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(offsets), runs),
+                    ],
+                    names=["id", "vec", "home_first", "visits"],
+                )
+
+    schema = "id bigint, vec array<float>, home_first int, visits array<struct<first: int, last: int>>"
+    return points.select("id", "vec", "home", "radius").mapInArrow(run, schema)
+
+
+# ---- steps 3 and 4: comparing blocks
+
+
+def _within(left: DataFrame, right: DataFrame, block_rows: int, kernel: Callable, schema: str) -> DataFrame:
+    """Compare rows ``(block, id, vec, side)`` of both sides within a block, or within each hash part of a large one."""
+    sizes = left.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+    # At most MAX_BLOCKS rows.
+    sizes = F.broadcast(sizes)
+    part = F.pmod(F.xxhash64("id"), "parts").alias("part")
+    rows = left.unionByName(right).join(sizes, "block").select("block", part, "id", "vec", "side")
+    return rows.groupBy("block", "part").applyInArrow(kernel, schema)
+
+
+def _across(left: DataFrame, right: DataFrame, block_rows: int, kernel: Callable, schema: str) -> DataFrame:
+    """Compare all ``left`` rows of a block with all ``right`` rows of it, a bounded number of each per task."""
+    spark = left.sparkSession
+    parts = left.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("nl"))
+    visits = right.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("nr"))
+    grid = materialize(parts.join(visits, "block"), "grid")
+    tasks = grid.agg(F.sum(F.col("nl") * F.col("nr"))).first()[0] or 1
+    # At most MAX_BLOCKS rows.
+    grid = F.broadcast(grid)
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+    here = left.join(grid, "block").select(
+        "block", F.pmod(F.xxhash64("id"), "nl").alias("bl"), every("nr").alias("br"), "id", "vec", "side"
+    )
+    there = right.join(grid, "block").select(
+        "block", every("nl").alias("bl"), F.pmod(F.xxhash64("id"), "nr").alias("br"), "id", "vec", "side"
+    )
+    group = ["block", "bl", "br"]
     # The work of a group is in its arithmetic, so partitions are cut by groups, not merged by bytes.
     at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    pairs = left.unionByName(right).repartition(max(1, min(2 * tasks, at_once)), *group)
+    pairs = here.unionByName(there).repartition(int(max(1, min(2 * tasks, at_once))), *group)
     return pairs.groupBy(*group).applyInArrow(kernel, schema)
 
 
+def _in_one(left: DataFrame, right: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """Compare two sides that are one block together."""
+    return left.unionByName(right).groupBy("block").applyInArrow(kernel, schema)
+
+
+def _side(points: DataFrame, side: int) -> DataFrame:
+    return points.select("block", "id", "vec", F.lit(side).alias("side"))
+
+
+def _visitors(routed: DataFrame) -> DataFrame:
+    """One row per block a row visits; blocks of its own cell are told from others by ``side``."""
+    runs = routed.select("id", "vec", "home_first", F.explode("visits").alias("run"))
+    blocks = F.explode(F.sequence(F.col("run.first"), F.col("run.last"))).alias("block")
+    side = F.when(F.col("block") >= F.col("home_first"), _HOME).otherwise(_GUEST)
+    return runs.select("id", "vec", "home_first", blocks).select("block", "id", "vec", side.alias("side"))
+
+
 _LEFT, _HOME, _GUEST = 0, 1, 2
 
 
@@ -248,19 +322,25 @@ def near_duplicates(
         points = points.filter(~_is_zero(F.col("vec")))
     points = materialize(points, "points")
     n = points.count()
-    single = n <= block_rows
-    # A zero vector has no direction, so distances say nothing about it: if it counts, every cell is visited.
-    radius = float(_radius(np.asarray(threshold))) if threshold > _SLACK else _FAR
-    if single:
-        homes = points.withColumns({"home": F.lit(0), "away": F.array().cast("array<int>")})
-    else:
-        cells = _make_cells(points, n, block_rows)
-        homes = materialize(_place(points.withColumn("radius", F.lit(radius)), cells, earlier_only=True), "placed")
-    here = homes.select(F.col("home").alias("cell"), "id", "vec", F.lit(_LEFT).alias("side"))
-    there = homes.select("id", "vec", "home", F.explode(F.concat(F.array("home"), "away")).alias("cell"))
-    side = F.when(F.col("cell") == F.col("home"), _HOME).otherwise(_GUEST)
-    there = there.select("cell", "id", "vec", side.alias("side"))
-    found = _compare(here, there, block_rows, _pair_kernel(threshold, top_k), _PAIRS, single)
+    kernel = _pair_kernel(threshold, top_k)
+    if n <= block_rows:
+        points = points.withColumn("block", F.lit(0))
+        return _best_pairs(_in_one(_side(points, _LEFT), _side(points, _HOME), kernel, _PAIRS), top_k)
+    cells = _make_cells(points, n, block_rows)
+    located = materialize(_locate(points, cells), "located")
+    left = _side(located, _LEFT)
+    near = _best_pairs(_within(left, _side(located, _HOME), block_rows, kernel, _PAIRS), top_k)
+    count, worst = near.agg(F.count("*"), F.min(ranked(F.col("similarity")))).first()
+    # A zero vector has no direction, so distances say nothing about it: if it counts, every block is visited.
+    limit = F.lit(_FAR) if threshold <= _SLACK else _distance(F.lit(threshold))
+    if count == top_k and worst > max(threshold, _SLACK):
+        limit = _distance(F.lit(worst))
+        kernel = _pair_kernel(worst, top_k)
+    routed = materialize(_route(located.withColumn("radius", limit), cells, earlier_only=True), "routed")
+    return _best_pairs(_across(left, _visitors(routed), block_rows, kernel, _PAIRS), top_k)
+
+
+def _best_pairs(found: DataFrame, top_k: int) -> DataFrame:
     found = found.select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), "similarity")
     return found.orderBy(ranked(F.col("similarity")).desc(), "row_a", "row_b").limit(top_k)
 
@@ -305,71 +385,61 @@ class _NeighborSearch:
 
     def __init__(self, rows: DataFrame, m: int, copies: int, block_rows: int):
         self.m, self.block_rows = m, block_rows
-        self.points = materialize(
-            _distinct_vectors(rows, max(m, copies)).withColumn("zero", _is_zero(F.col("vec"))), "points"
-        )
+        points = _distinct_vectors(rows, max(m, copies)).withColumn("zero", _is_zero(F.col("vec")))
+        self.points = materialize(points, "points")
         n, zeros = self.points.agg(F.count("*"), F.count_if("zero")).first()
-        self.targets = self.points.filter((F.col("copy") <= m) & ~F.col("zero"))
-        self.queries = self.points.filter((F.col("copy") == 1) & ~F.col("zero"))
         # A zero vector is at cosine 0 from every row, so its best are the lowest indices, and of all zero vectors
         # only the lowest m can be anyone's neighbours. Both lists hold m row indices at most.
         self.zero_ids = self._lowest(F.col("zero")) if zeros else []
         self.lowest_ids = self._lowest(F.lit(True)) if zeros else []
         self.single = n <= block_rows
-        self.cells = None
-        if not self.single:
-            directed = self.points.filter(~F.col("zero"))
+        directed = self.points.filter((F.col("copy") <= m) & ~F.col("zero"))
+        if self.single:
+            self.targets = directed.withColumn("block", F.lit(0))
+        else:
             self.cells = _make_cells(directed, n, block_rows)
-            placed = directed.filter(F.col("copy") <= m).withColumn("radius", F.lit(0.0))
-            placed = materialize(_place(placed, self.cells, earlier_only=False).drop("away", "radius"), "placed")
-            self.targets, self.queries = placed, placed.filter("copy = 1")
+            self.targets = materialize(_locate(directed, self.cells), "located")
+        self.queries = self.targets.filter("copy = 1")
 
     def _lowest(self, where: Column) -> list[int]:
         ids = self.points.filter(where & (F.col("copy") <= self.m)).select("id").orderBy("id").limit(self.m)
         return [r[0] for r in ids.collect()]
 
-    def _left(self) -> DataFrame:
-        cell = F.lit(0) if self.single else F.col("home")
-        return self.targets.select(cell.alias("cell"), "id", "vec", F.lit(_LEFT).alias("side"))
-
-    def _best(self, found: DataFrame) -> DataFrame:
+    def _best(self, found: DataFrame, queries: DataFrame) -> DataFrame:
+        """The best ``m`` of what was found for each query, and of the zero vectors, which no block holds."""
+        if self.zero_ids:
+            ids = F.array(*[F.lit(i).cast("bigint") for i in self.zero_ids])
+            found = found.unionByName(queries.select("id", F.explode(ids).alias("other"), F.lit(0.0).alias("cosine")))
         best = Window.partitionBy("id").orderBy(ranked(F.col("cosine")).desc(), "other")
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= self.m)
 
-    def at_home(self) -> DataFrame:
-        """For each distinct vector the best of its own cell: ``(id, other, cosine, rank)``."""
+    def of_zero(self) -> DataFrame:
+        """The list of the one distinct zero vector, if there is one; already exact."""
         spark = self.points.sparkSession
-        cell = F.lit(0) if self.single else F.col("home")
-        right = self.queries.select(cell.alias("cell"), "id", "vec", F.lit(_HOME).alias("side"))
-        found = _compare(self._left(), right, self.block_rows, _neighbor_kernel(self.m), _NEIGHBORS, self.single)
-        if self.zero_ids:
-            ids = F.array(*[F.lit(i).cast("bigint") for i in self.zero_ids])
-            found = found.unionByName(
-                self.queries.select("id", F.explode(ids).alias("other"), F.lit(0.0).alias("cosine"))
-            )
-            found = found.unionByName(
-                spark.createDataFrame([(self.zero_ids[0], o, 0.0) for o in self.lowest_ids], _NEIGHBORS)
-            )
-        best = self._best(found)
-        return best if self.single else materialize(best, "neighbors-home")
-
-    def complete(self, home: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        """Exact lists for the vectors in ``home`` (or those whose ``id`` is in ``only``)."""
-        if only is not None:
-            home = home.join(only.select("id"), "id", "left_semi")
+        rows = [(self.zero_ids[0], other, 0.0, i + 1) for i, other in enumerate(self.lowest_ids)]
+        return spark.createDataFrame(rows, f"{_NEIGHBORS}, rank int")
+
+    def at_home(self) -> DataFrame:
+        """For each distinct nonzero vector the best of its own block: ``(id, other, cosine, rank)``."""
+        left, right, kernel = _side(self.targets, _LEFT), _side(self.queries, _HOME), _neighbor_kernel(self.m)
+        if self.single:
+            return self._best(_in_one(left, right, kernel, _NEIGHBORS), self.queries)
+        found = _within(left, right, self.block_rows, kernel, _NEIGHBORS)
+        return materialize(self._best(found, self.queries), "neighbors-home")
+
+    def complete(self, home: DataFrame) -> DataFrame:
+        """The exact lists of the vectors that ``home`` has lists for."""
         if self.single:
             return home
         last = F.max(F.when(F.col("rank") == self.m, F.col("cosine")))
         worst = home.groupBy("id").agg(last.alias("worst"))
         # With fewer than m rows found so far anything may still be a neighbour.
-        radius = F.when(
-            F.col("worst").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("worst") - _SLACK)))
-        ).otherwise(F.lit(_FAR))
-        moving = self.queries.join(worst.withColumn("radius", radius), "id").select("id", "vec", "radius")
-        moving = materialize(_place(moving, self.cells, earlier_only=False), "moving")
-        right = moving.select(F.explode("away").alias("cell"), "id", "vec", F.lit(_GUEST).alias("side"))
-        found = _compare(self._left(), right, self.block_rows, _neighbor_kernel(self.m), _NEIGHBORS)
-        return self._best(found.unionByName(home.select("id", "other", "cosine")))
+        radius = F.when(F.col("worst").isNotNull(), _distance(F.col("worst"))).otherwise(F.lit(_FAR))
+        moving = self.queries.join(worst.withColumn("radius", radius), "id")
+        routed = materialize(_route(moving, self.cells, earlier_only=False), "routed")
+        kernel = _neighbor_kernel(self.m)
+        found = _across(_side(self.targets, _LEFT), _visitors(routed), self.block_rows, kernel, _NEIGHBORS)
+        return self._best(found, routed)
 
 
 def knn(rows: DataFrame, n_neighbors: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -377,7 +447,7 @@ def knn(rows: DataFrame, n_neighbors: int = 5, block_rows: int = BLOCK_ROWS) ->
     # One more than asked for, because a row is found among its own neighbours.
     m = n_neighbors + 1
     state = _NeighborSearch(rows, m, 1, block_rows)
-    lists = state.complete(state.at_home()).groupBy("id").agg(
+    lists = state.complete(state.at_home()).unionByName(state.of_zero()).groupBy("id").agg(
         # At most m entries each.
         F.sort_array(F.collect_list(F.struct("rank", "other", "cosine"))).alias("near")
     )
@@ -396,7 +466,7 @@ def knn(rows: DataFrame, n_neighbors: int = 5, block_rows: int = BLOCK_ROWS) ->
 
 
 def _isolation(lists: DataFrame, n: int) -> DataFrame:
-    """``(id, score)`` per distinct vector; a list too short to tell scores higher than any real one.
+    """``(id, score)`` per distinct vector; a list too short to tell scores higher than any real score.
 
     A vector's own entry is one of the list's highest cosines, 1 (or 0 for a zero vector), and is left out once.
     Copies of a row share its list, so they share its score.
@@ -426,17 +496,20 @@ def find_outliers(
     n = max(1, min(n_neighbors, size - 1))
     state = _NeighborSearch(rows, n + 1, top_k, block_rows)
     home = state.at_home()
+    zero = _isolation(state.of_zero(), n)
     if state.single:
-        scores = _isolation(home, n)
+        scores = _isolation(home, n).unionByName(zero)
     else:
         bounds = materialize(_isolation(home, n), "bounds")
-        batch = max(4 * top_k, 1024)
+        batch = max(4 * top_k, FIRST_BATCH)
         first = materialize(bounds.orderBy(F.col("score").desc(), "id").limit(batch), "first-batch")
-        exact = materialize(_isolation(state.complete(home, first), n), "exact-first")
+        exact = state.complete(home.join(F.broadcast(first.select("id")), "id", "left_semi"))
+        exact = materialize(_isolation(exact, n).unionByName(zero), "exact-first")
         best = exact.orderBy(F.col("score").desc()).limit(top_k).agg(F.count("*"), F.min("score")).first()
         cutoff = best[1] if best[0] == top_k else -_FAR
-        rest = bounds.filter(F.col("score") >= cutoff - _SLACK).join(first, "id", "left_anti")
-        scores = exact.unionByName(_isolation(state.complete(home, rest), n))
+        rest = bounds.filter(F.col("score") >= cutoff - _SLACK).join(F.broadcast(first), "id", "left_anti")
+        rest = state.complete(home.join(rest.select("id"), "id", "left_semi"))
+        scores = exact.unionByName(_isolation(rest, n))
     leading = scores.orderBy(ranked(F.col("score")).desc(), "id").limit(top_k)
     # All stored copies of the leading vectors, up to top_k of each, compete for the top_k places.
     names = state.points.filter("copy = 1").select("id", "vkey").join(F.broadcast(leading), "id").select("vkey", "score")

@@ -27,6 +27,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does a file, folder or glob match anything?"""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(pattern)
+    return found is not None and len(found) > 0
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the scratch root."""
     app = spark.sparkContext.applicationId

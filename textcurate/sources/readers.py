@@ -6,13 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textcurate.functions.text import as_text, quoted
 from textcurate.operators.rowindex import tag_file_position
+from textcurate.plans.scratch import path_exists
 from textcurate.schema import BLOCK, FILE, LINE, PART, PLACE, string_columns
 from textcurate.sources.documents import read_docx, read_paged
 from textcurate.sources.plaintext import read_plaintext
@@ -161,23 +161,19 @@ def read_dataset(
 
     ``extractor`` turns the bytes of one paged document into the texts of its pages.
     """
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"Dataset not found: {path}")
     suffix = suffix_of(path)
-    try:
-        if suffix in (".txt", ".md"):
-            return Source(read_plaintext(spark, path), "text", [FILE, BLOCK, PLACE, LINE])
-        if suffix == ".docx":
-            return Source(read_docx(spark, path), "text", [FILE, PART])
-        if suffix == ".pdf":
-            return Source(read_paged(spark, path, extractor), "text", [FILE, PART])
-        if suffix not in _TABLES:
-            spark.read.format("binaryFile").load(path)
-            raise ValueError(f"Unsupported file type: {suffix!r}. Supported: {SUPPORTED}")
-        options = {"multiline": multiline} if suffix == ".csv" else {}
-        df = _TABLES[suffix](spark, path, schema=schema, **options)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Dataset not found: {path}") from error
-        raise
+    if suffix in (".txt", ".md"):
+        return Source(read_plaintext(spark, path), "text", [FILE, BLOCK, PLACE, LINE])
+    if suffix == ".docx":
+        return Source(read_docx(spark, path), "text", [FILE, PART])
+    if suffix == ".pdf":
+        return Source(read_paged(spark, path, extractor), "text", [FILE, PART])
+    if suffix not in _TABLES:
+        raise ValueError(f"Unsupported file type: {suffix!r}. Supported: {SUPPORTED}")
+    options = {"multiline": multiline} if suffix == ".csv" else {}
+    df = _TABLES[suffix](spark, path, schema=schema, **options)
     chosen = choose_text_column(df, text_column)
     return Source(keep_text_rows(df, chosen), chosen)
 
