@@ -176,37 +176,41 @@ def q_plaintext_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_plaintext(spark, target).select("text")
 
 
-@F.arrow_udf(T.BinaryType())
-def _as_docx(texts: pa.Array) -> pa.Array:
+# Functions that run on the workers are made inside others: they then travel by value, as workers cannot import
+# this file.
+
+
+def _docx_maker():
     """A minimal word-processing file with one paragraph per line of each text."""
-    files = []
-    for text in texts.to_pylist():
-        paragraphs = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
-        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w") as archive:
-            xml = f'<w:document xmlns:w="{space}"><w:body>{paragraphs}</w:body></w:document>'
-            archive.writestr("word/document.xml", xml)
-        files.append(buffer.getvalue())
-    return pa.array(files, pa.binary())
+
+    @F.arrow_udf(T.BinaryType())
+    def as_docx(texts: pa.Array) -> pa.Array:
+        files = []
+        for text in texts.to_pylist():
+            paragraphs = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+            space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as archive:
+                xml = f'<w:document xmlns:w="{space}"><w:body>{paragraphs}</w:body></w:document>'
+                archive.writestr("word/document.xml", xml)
+            files.append(buffer.getvalue())
+        return pa.array(files, pa.binary())
+
+    return as_docx
 
 
 def q_docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents")
-    files = rows.select(F.col("doc_id").cast("string").alias("path"), _as_docx("text").alias("content"))
+    files = rows.select(F.col("doc_id").cast("string").alias("path"), _docx_maker()("text").alias("content"))
     parts = extract_parts(files, docx_texts)
     return parts.select(F.col("__file").cast("bigint").alias("doc_id"), F.col("__part").alias("part"), "text")
 
 
-def _pages_of(content: bytes) -> list[str]:
-    return content.decode("utf-8").split("\f")
-
-
 def q_paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents")
     content = F.encode(F.replace("text", F.lit("\n"), F.lit("\f")), "UTF-8")
     files = rows.select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
-    pages = extract_parts(files, _pages_of)
+    pages = extract_parts(files, lambda content: content.decode("utf-8").split("\f"))
     return pages.select(F.col("__file").cast("bigint").alias("doc_id"), (F.col("__part") + 1).alias("page"), "text")
 
 
@@ -294,14 +298,15 @@ def q_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(entries.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double")), "weight")
 
 
-def _fails_on_short_texts(texts: list[str]) -> list:
-    if any(len(t) < 200 for t in texts):
-        raise NaNEmbeddingError("NaN")
-    return EMBEDDER(texts)
+def q_nan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embedder = EMBEDDER
 
+    def fails_on_short_texts(texts: list[str]) -> list:
+        if any(len(t) < 200 for t in texts):
+            raise NaNEmbeddingError("NaN")
+        return embedder(texts)
 
-def q_nan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _document_vectors(spark, sf_dir, _fails_on_short_texts)
+    vectors = _document_vectors(spark, sf_dir, fails_on_short_texts)
     zero = F.forall(VECTOR, lambda x: x == 0)
     return vectors.select(F.col(ROW_INDEX).alias("doc_id"), F.size(VECTOR).alias("dim"), zero.alias("is_zero"))
 
