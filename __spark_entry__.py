@@ -386,7 +386,7 @@ def q_near_duplicates_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_near_duplicates_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of large inputs on a small one: many cells and blocks."""
-    return _rounded(similarity.near_duplicates(_vectors(spark, sf_dir), 0.4, 1000, block_rows=100), "similarity")
+    return _rounded(similarity.near_duplicates(_vectors(spark, sf_dir), 0.4, 1000, block_rows=100, direct_blocks=0), "similarity")
 
 
 def q_near_duplicates_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +398,7 @@ def q_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(similarity.knn(_vectors(spark, sf_dir), 5, block_rows=100), "similarity")
+    return _rounded(similarity.knn(_vectors(spark, sf_dir), 5, block_rows=100, direct_blocks=0), "similarity")
 
 
 def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,7 +406,7 @@ def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_outliers_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(similarity.find_outliers(_vectors(spark, sf_dir), 50, 5, block_rows=100), "outlier_score")
+    return _rounded(similarity.find_outliers(_vectors(spark, sf_dir), 50, 5, block_rows=100, direct_blocks=0), "outlier_score")
 
 
 def q_project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from textcurate.operators import similarity
 from textcurate.schema import ROW_INDEX, VECTOR
 
 DIM = 6
+# One block; several blocks, each with each; cells.
+PLANS = [(1000, 16), (40, 16), (16, 0)]
 
 
 def random_rows(seed, n=180, copies=60, zeros=12, tight=40):
@@ -47,17 +49,17 @@ def expected_neighbors(rows, n):
     return scores, np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :n]
 
 
-def check_pairs(spark, rows, threshold, k, block_rows):
-    found = similarity.near_duplicates(frame(spark, rows), threshold, k, block_rows).collect()
+def check_pairs(spark, rows, threshold, k, block_rows, direct_blocks=0):
+    found = similarity.near_duplicates(frame(spark, rows), threshold, k, block_rows, direct_blocks).collect()
     pairs, scores = expected_pairs(rows, threshold, k)
     assert [(r.row_a, r.row_b) for r in found] == pairs
     assert np.allclose([r.similarity for r in found], scores, atol=1e-8)
 
 
-@pytest.mark.parametrize("block_rows", [1000, 16])
+@pytest.mark.parametrize("block_rows,direct_blocks", PLANS)
 @pytest.mark.parametrize("threshold,k", [(0.999, 50), (0.9, 3), (0.9, 400), (0.0, 100), (1.0, 2000)])
-def test_pairs_equal_brute_force(spark, block_rows, threshold, k):
-    check_pairs(spark, random_rows(1), threshold, k, block_rows)
+def test_pairs_equal_brute_force(spark, block_rows, direct_blocks, threshold, k):
+    check_pairs(spark, random_rows(1), threshold, k, block_rows, direct_blocks)
 
 
 @pytest.mark.parametrize("seed", [2, 3])
@@ -79,16 +81,16 @@ def test_threshold_is_inclusive(spark):
 def test_pairs_do_not_depend_on_partitioning(spark):
     rows = random_rows(5)
     data = frame(spark, rows)
-    one = similarity.near_duplicates(data.repartition(1), 0.9, 300, 16).collect()
-    many = similarity.near_duplicates(data.repartition(7, F.rand(3)), 0.9, 300, 16).collect()
+    one = similarity.near_duplicates(data.repartition(1), 0.9, 300, 16, 0).collect()
+    many = similarity.near_duplicates(data.repartition(7, F.rand(3)), 0.9, 300, 16, 0).collect()
     assert [(r.row_a, r.row_b) for r in one] == [(r.row_a, r.row_b) for r in many]
 
 
-@pytest.mark.parametrize("block_rows", [1000, 16])
+@pytest.mark.parametrize("block_rows,direct_blocks", PLANS)
 @pytest.mark.parametrize("n", [1, 4])
-def test_neighbors_equal_brute_force(spark, block_rows, n):
+def test_neighbors_equal_brute_force(spark, block_rows, direct_blocks, n):
     rows = random_rows(6)
-    found = similarity.knn(frame(spark, rows), n, block_rows).collect()
+    found = similarity.knn(frame(spark, rows), n, block_rows, direct_blocks).collect()
     scores, nearest = expected_neighbors(rows, n)
     assert len(found) == len(rows) * n
     for r in found:
@@ -101,11 +103,11 @@ def test_neighbors_when_there_are_fewer_rows_than_wanted(spark):
     assert len(found) == 6
 
 
-@pytest.mark.parametrize("block_rows", [1000, 16])
+@pytest.mark.parametrize("block_rows,direct_blocks", PLANS)
 @pytest.mark.parametrize("top_k,n", [(10, 5), (180, 3), (2, 500)])
-def test_outliers_equal_brute_force(spark, block_rows, top_k, n):
+def test_outliers_equal_brute_force(spark, block_rows, direct_blocks, top_k, n):
     rows = random_rows(8)
-    found = similarity.find_outliers(frame(spark, rows), top_k, n, block_rows).collect()
+    found = similarity.find_outliers(frame(spark, rows), top_k, n, block_rows, direct_blocks).collect()
     scores, _ = expected_neighbors(rows, 1)
     n = max(1, min(n, len(rows) - 1))
     isolation = 1 - np.sort(scores, axis=1)[:, -n:].mean(axis=1)
@@ -118,7 +120,7 @@ def test_first_batch_rules_out_the_rest(spark, monkeypatch):
     """With a first batch smaller than the data, the second step has to add what the first one missed."""
     rows = random_rows(9, n=300, copies=1, zeros=3, tight=20)
     monkeypatch.setattr(similarity, "FIRST_BATCH", 4)
-    found = similarity.find_outliers(frame(spark, rows), 4, 5, 16).collect()
+    found = similarity.find_outliers(frame(spark, rows), 4, 5, 16, 0).collect()
     scores, _ = expected_neighbors(rows, 1)
     isolation = 1 - np.sort(scores, axis=1)[:, -5:].mean(axis=1)
     order = np.lexsort((np.arange(len(rows)), -np.round(isolation, 9)))[:4]

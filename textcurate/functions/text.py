@@ -39,9 +39,6 @@ TRUE_WORDS = ("true", "1", "yes", "y", "t", "keep")
 # Java's \s with (?U) leaves out the four separators U+001C to U+001F, which Python's str.strip removes.
 _BLANK = r"[\s\x1c-\x1f]"
 
-_PUNCTUATION_TABLE = str.maketrans(ASCII_PUNCTUATION)
-
-
 def quoted(name: str) -> Column:
     """A column by its literal name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -54,7 +51,12 @@ def strip(text: Column) -> Column:
 
 def normalize_string(text: str) -> str:
     """What the model sees of one text: compatibility form, then plain punctuation."""
-    return unicodedata.normalize("NFKC", text).translate(_PUNCTUATION_TABLE)
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKC", text)
+    for mark, plain in ASCII_PUNCTUATION.items():
+        text = text.replace(mark, plain)
+    return text
 
 
 @F.arrow_udf(T.StringType())

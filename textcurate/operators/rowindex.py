@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcurate.plans.scratch import materialize
-from textcurate.schema import BLOCK, FILE, ROW_INDEX, SOURCE_POSITION
+from textcurate.schema import BLOCK, FILE, PLACE, ROW_INDEX, SOURCE_POSITION
 
 _POS, _RUN = "__pos", "__run"
 # One offset row per file split or per range partition. Up to this many are broadcast; more are joined by shuffle.
@@ -18,33 +18,43 @@ def tag_file_position(df: DataFrame) -> DataFrame:
     return df.withColumns({FILE: F.col("_metadata.file_path"), BLOCK: F.col("_metadata.file_block_start")})
 
 
-def _offsets(runs: DataFrame, run: list[str]) -> DataFrame:
-    # ``runs`` has one row per split or partition, never one per data row, so this window stays small.
+def _shifts(runs: DataFrame, run: list[str]) -> DataFrame:
+    """What to add to a row's position to get its index, per run ``(_n, _first)`` of consecutive rows."""
+    # ``runs`` has one row per file, split or partition, never one per data row, so this window stays small.
     before = Window.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
-    return runs.select(*run, start.alias("_shift"))
+    shifts = runs.select(*run, start.alias("_shift"))
+    return F.broadcast(shifts) if runs.count() <= MAX_BROADCAST_RUNS else shifts
+
+
+def _runs(placed: DataFrame, run: list[str], position: str) -> DataFrame:
+    return placed.groupBy(*run).agg(
+        F.count("*").alias("_n"), F.min(position).alias("_first"), F.max(position).alias("_last")
+    )
 
 
 def with_row_index(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Append ``_row_index``: 0..N-1 in file order, or in the order of the given (unique) columns.
 
     File order needs :func:`tag_file_position` and moves no data: every split is a run of consecutive rows, so a
-    row's index is its place in the run plus the number of rows in earlier runs. An explicit order costs one range
-    exchange. Either way the rows are written once, because a position must not change if a task is re-run.
+    row's index is its place in the run plus the number of rows in earlier runs. Parquet knows the place of a row in
+    its file; as long as no row of a file is left out, that is all there is to do. In other cases rows are written
+    once, because a place counted by a task must not change if the task is run again. An explicit order costs one
+    range exchange.
     """
     if order_by:
         placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-        run = [_RUN]
+        run, position = [_RUN], _POS
         placed = placed.withColumns({_RUN: F.spark_partition_id(), _POS: F.monotonically_increasing_id()})
+        placed = materialize(placed, "rows")
+    elif PLACE in df.columns and (runs := materialize(_runs(df, [FILE], PLACE), "row-runs")).filter(
+        "_first > 0 OR _last >= _n"
+    ).isEmpty():
+        run, position, placed = [FILE], PLACE, df
     else:
-        run = [FILE, BLOCK]
-        placed = df.withColumn(_POS, F.monotonically_increasing_id())
-    stored = materialize(placed, "rows")
-    runs = materialize(
-        stored.groupBy(*run).agg(F.count("*").alias("_n"), F.min(_POS).alias("_first")), "row-runs"
-    )
-    shifts = _offsets(runs, run)
-    if runs.count() <= MAX_BROADCAST_RUNS:
-        shifts = F.broadcast(shifts)
-    indexed = stored.join(shifts, run).withColumn(ROW_INDEX, F.col(_POS) + F.col("_shift"))
+        run, position = [FILE, BLOCK], _POS
+        placed = materialize(df.withColumn(_POS, F.monotonically_increasing_id()), "rows")
+    if run != [FILE]:
+        runs = materialize(_runs(placed, run, position), "row-runs")
+    indexed = placed.join(_shifts(runs, run), run).withColumn(ROW_INDEX, F.col(position) + F.col("_shift"))
     return indexed.drop(_RUN, _POS, "_shift", *SOURCE_POSITION)

@@ -12,7 +12,8 @@ Pairs and neighbours share one plan:
 4. Visits. Blocks are cut further by row hash, so that whatever the size of a cell a task holds a bounded number of
    rows; it compares them by a matrix product and returns its own best few only.
 
-Small inputs are one block. Where vectors lie close together compared to the wanted distance the visits prune little
+Inputs of a few blocks skip steps 2 and 3, which would cost more than they save: every block meets every block once.
+Where vectors lie close together compared to the wanted distance the visits prune little
 and the work tends to all pairs of blocks; the memory of a task stays bounded all the same.
 """
 
@@ -34,6 +35,8 @@ from textcurate.plans.skew import join_on_unique
 from textcurate.schema import ROW_INDEX, VECTOR
 
 BLOCK_ROWS = 2048
+# Inputs of up to this many blocks are compared block by block without cells.
+DIRECT_BLOCKS = 16
 # Centres are broadcast: 4096 vectors of 1024 floats are 16 MB.
 MAX_CELLS = 4096
 # Distances from a centre run from 0 to 2; they are told apart in so many steps at most, and in fewer if there are
@@ -254,13 +257,30 @@ def _across(left: DataFrame, right: DataFrame, block_rows: int, kernel: Callable
     return pairs.groupBy(*group).applyInArrow(kernel, schema)
 
 
-def _in_one(left: DataFrame, right: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """Compare two sides that are one block together."""
-    return left.unionByName(right).groupBy("block").applyInArrow(kernel, schema)
+def _direct(
+    left: DataFrame, right: DataFrame, parts: int, kernel: Callable, schema: str, both_ways: bool
+) -> DataFrame:
+    """Compare all rows of two sides, cut into ``parts`` hash blocks each: at most ``DIRECT_BLOCKS`` squared tasks.
+
+    If both sides hold the same rows, two blocks need to meet one way only.
+    """
+    own = F.pmod(F.xxhash64("id"), F.lit(parts))
+    high = F.lit(parts - 1).cast("bigint")
+    low = F.lit(0).cast("bigint")
+    others = F.sequence(low if both_ways else own, high)
+    here = left.select(own.alias("bl"), F.explode(others).alias("br"), "id", "vec", "side")
+    others = F.sequence(low, high if both_ways else own)
+    there = right.select(F.explode(others).alias("bl"), own.alias("br"), "id", "vec")
+    there = there.withColumn("side", F.when(F.col("bl") == F.col("br"), _HOME).otherwise(_GUEST))
+    tasks = parts * parts if both_ways else parts * (parts + 1) // 2
+    pairs = here.unionByName(there).repartition(2 * tasks if tasks > 1 else 1, "bl", "br")
+    return pairs.groupBy("bl", "br").applyInArrow(kernel, schema)
 
 
 def _side(points: DataFrame, side: int) -> DataFrame:
-    return points.select("block", "id", "vec", F.lit(side).alias("side"))
+    """Rows as one side of a comparison, with their block if they have one."""
+    block = [c for c in points.columns if c == "block"]
+    return points.select(*block, "id", "vec", F.lit(side).alias("side"))
 
 
 def _visitors(routed: DataFrame) -> DataFrame:
@@ -311,7 +331,11 @@ def _pair_kernel(threshold: float, k: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def near_duplicates(
-    rows: DataFrame, threshold: float = 0.95, top_k: int = 50, block_rows: int = BLOCK_ROWS
+    rows: DataFrame,
+    threshold: float = 0.95,
+    top_k: int = 50,
+    block_rows: int = BLOCK_ROWS,
+    direct_blocks: int = DIRECT_BLOCKS,
 ) -> DataFrame:
     """The ``top_k`` most similar pairs ``(row_a < row_b, similarity)`` with cosine ``>= threshold``."""
     if top_k < 1:
@@ -320,12 +344,13 @@ def near_duplicates(
     points = _distinct_vectors(rows, top_k + 1)
     if threshold > _SLACK:
         points = points.filter(~_is_zero(F.col("vec")))
+    kernel = _pair_kernel(threshold, top_k)
+    parts = max(1, math.ceil(rows.count() / block_rows))
+    if parts <= max(1, direct_blocks):
+        found = _direct(_side(points, _LEFT), _side(points, _HOME), parts, kernel, _PAIRS, both_ways=False)
+        return _best_pairs(found, top_k)
     points = materialize(points, "points")
     n = points.count()
-    kernel = _pair_kernel(threshold, top_k)
-    if n <= block_rows:
-        points = points.withColumn("block", F.lit(0))
-        return _best_pairs(_in_one(_side(points, _LEFT), _side(points, _HOME), kernel, _PAIRS), top_k)
     cells = _make_cells(points, n, block_rows)
     located = materialize(_locate(points, cells), "located")
     left = _side(located, _LEFT)
@@ -383,7 +408,7 @@ def _neighbor_kernel(m: int) -> Callable[[pa.Table], pa.Table]:
 class _NeighborSearch:
     """The ``m`` best rows for each distinct vector, itself included, in two steps: at home, then where needed."""
 
-    def __init__(self, rows: DataFrame, m: int, copies: int, block_rows: int):
+    def __init__(self, rows: DataFrame, m: int, copies: int, block_rows: int, direct_blocks: int):
         self.m, self.block_rows = m, block_rows
         points = _distinct_vectors(rows, max(m, copies)).withColumn("zero", _is_zero(F.col("vec")))
         self.points = materialize(points, "points")
@@ -392,10 +417,11 @@ class _NeighborSearch:
         # only the lowest m can be anyone's neighbours. Both lists hold m row indices at most.
         self.zero_ids = self._lowest(F.col("zero")) if zeros else []
         self.lowest_ids = self._lowest(F.lit(True)) if zeros else []
-        self.single = n <= block_rows
+        self.parts = max(1, math.ceil(n / block_rows))
+        self.direct = self.parts <= max(1, direct_blocks)
         directed = self.points.filter((F.col("copy") <= m) & ~F.col("zero"))
-        if self.single:
-            self.targets = directed.withColumn("block", F.lit(0))
+        if self.direct:
+            self.targets = directed
         else:
             self.cells = _make_cells(directed, n, block_rows)
             self.targets = materialize(_locate(directed, self.cells), "located")
@@ -420,16 +446,17 @@ class _NeighborSearch:
         return spark.createDataFrame(rows, f"{_NEIGHBORS}, rank int")
 
     def at_home(self) -> DataFrame:
-        """For each distinct nonzero vector the best of its own block: ``(id, other, cosine, rank)``."""
+        """For each distinct nonzero vector the best of its own block, or of all rows if there are few:
+        ``(id, other, cosine, rank)``."""
         left, right, kernel = _side(self.targets, _LEFT), _side(self.queries, _HOME), _neighbor_kernel(self.m)
-        if self.single:
-            return self._best(_in_one(left, right, kernel, _NEIGHBORS), self.queries)
+        if self.direct:
+            return self._best(_direct(left, right, self.parts, kernel, _NEIGHBORS, both_ways=True), self.queries)
         found = _within(left, right, self.block_rows, kernel, _NEIGHBORS)
         return materialize(self._best(found, self.queries), "neighbors-home")
 
     def complete(self, home: DataFrame) -> DataFrame:
         """The exact lists of the vectors that ``home`` has lists for."""
-        if self.single:
+        if self.direct:
             return home
         last = F.max(F.when(F.col("rank") == self.m, F.col("cosine")))
         worst = home.groupBy("id").agg(last.alias("worst"))
@@ -442,17 +469,19 @@ class _NeighborSearch:
         return self._best(found, routed)
 
 
-def knn(rows: DataFrame, n_neighbors: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn(
+    rows: DataFrame, n_neighbors: int = 5, block_rows: int = BLOCK_ROWS, direct_blocks: int = DIRECT_BLOCKS
+) -> DataFrame:
     """For every row its ``n_neighbors`` most similar other rows: ``(row_index, rank, neighbor, similarity)``."""
     # One more than asked for, because a row is found among its own neighbours.
     m = n_neighbors + 1
-    state = _NeighborSearch(rows, m, 1, block_rows)
+    state = _NeighborSearch(rows, m, 1, block_rows, direct_blocks)
     lists = state.complete(state.at_home()).unionByName(state.of_zero()).groupBy("id").agg(
         # At most m entries each.
         F.sort_array(F.collect_list(F.struct("rank", "other", "cosine"))).alias("near")
     )
     by_vector = state.points.filter("copy = 1").select("id", "vkey").join(lists, "id").select("vkey", "near")
-    if not state.single:
+    if not state.direct:
         by_vector = materialize(by_vector, "neighbors")
     every = rows.select(F.col(ROW_INDEX).alias("row_index"), vector_key(F.col(VECTOR)).alias("vkey"))
     joined = join_on_unique(every, by_vector, "vkey")
@@ -482,7 +511,11 @@ def _isolation(lists: DataFrame, n: int) -> DataFrame:
 
 
 def find_outliers(
-    rows: DataFrame, top_k: int = 10, n_neighbors: int = 5, block_rows: int = BLOCK_ROWS
+    rows: DataFrame,
+    top_k: int = 10,
+    n_neighbors: int = 5,
+    block_rows: int = BLOCK_ROWS,
+    direct_blocks: int = DIRECT_BLOCKS,
 ) -> DataFrame:
     """The ``top_k`` rows with the highest ``1 - mean cosine`` to their nearest rows: ``(row_index, outlier_score)``.
 
@@ -494,10 +527,10 @@ def find_outliers(
     if size < 2 or top_k < 1:
         return spark.createDataFrame([], "row_index bigint, outlier_score double")
     n = max(1, min(n_neighbors, size - 1))
-    state = _NeighborSearch(rows, n + 1, top_k, block_rows)
+    state = _NeighborSearch(rows, n + 1, top_k, block_rows, direct_blocks)
     home = state.at_home()
     zero = _isolation(state.of_zero(), n)
-    if state.single:
+    if state.direct:
         scores = _isolation(home, n).unionByName(zero)
     else:
         bounds = materialize(_isolation(home, n), "bounds")

@@ -99,7 +99,8 @@ def _is_json_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return tag_file_position((spark.read if schema is None else spark.read.schema(schema)).parquet(path))
+    rows = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    return tag_file_position(rows).withColumn(PLACE, F.col("_metadata.row_index"))
 
 
 _TABLES = {
