@@ -30,7 +30,7 @@ from textcurate.operators.rowindex import tag_file_position, with_row_index  # n
 from textcurate.plans.dataset import Dataset, load  # noqa: E402
 from textcurate.plans.jobs import finalize, pre_embed  # noqa: E402
 from textcurate.plans.scratch import materialize, scratch_path  # noqa: E402
-from textcurate.schema import KEY, ROW_INDEX, VECTOR, ensure_curation_columns  # noqa: E402
+from textcurate.schema import KEY, ROW_INDEX, SOURCE_POSITION, VECTOR, ensure_curation_columns  # noqa: E402
 from textcurate.sources.documents import docx_texts, extract_parts  # noqa: E402
 from textcurate.sources.plaintext import read_plaintext, split_paragraphs  # noqa: E402
 from textcurate.sources.readers import choose_text_column, read_dataset, read_parquet  # noqa: E402
@@ -274,7 +274,8 @@ def q_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_key(_documents(spark, sf_dir), "text", MODEL)
-    missing = misses(rows, "text", _labelled_cache(spark, sf_dir).keys(MODEL))
+    known = probe(rows, _labelled_cache(spark, sf_dir).keys(MODEL))
+    missing = misses(rows, "text", known.filter(~F.col("_hit")).select(KEY))
     return missing.select(F.col(KEY).alias("key"), "text")
 
 
@@ -447,7 +448,7 @@ def _saved(spark: SparkSession, sf_dir: str, save: str, suffix: str) -> DataFram
     dataset = _load_documents(spark, sf_dir).apply_edits(_edits(spark, sf_dir))
     target = scratch_path(spark, save) + suffix
     getattr(dataset, save)(target)
-    return read_dataset(spark, target).rows.drop("__file", "__block")
+    return read_dataset(spark, target).rows.drop(*SOURCE_POSITION)
 
 
 def q_save_kept(spark: SparkSession, sf_dir: str) -> DataFrame:

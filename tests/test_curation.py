@@ -9,7 +9,7 @@ from textcurate import finalize, load, pre_embed, prepare
 from textcurate.operators import edits as editing
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder
 from textcurate.plans import skew
-from textcurate.schema import ROW_INDEX
+from textcurate.schema import ROW_INDEX, SOURCE_POSITION
 from textcurate.sources.readers import read_dataset, read_table
 
 CONFIG = EmbedConfig("hashed")
@@ -111,7 +111,7 @@ def test_mark_and_save(spark, dataset, tmp_path):
 
     kept = marked.save_kept(str(tmp_path / "kept.csv"))
     assert (kept["rows"], kept["total"]) == (14, 18)
-    found = read_dataset(spark, kept["path"]).rows.drop("__file", "__block")
+    found = read_dataset(spark, kept["path"]).rows.drop(*SOURCE_POSITION)
     assert found.columns == ["id", "text", "source", "flag", "notes"]
     assert found.count() == 14 and found.filter("flag").count() == 3
 
@@ -172,7 +172,7 @@ def test_the_edited_file_round(spark, source, tmp_path):
     copy.write_text(open(source, encoding="utf-8").read(), "utf-8")
     prepared, template = prepare(spark, str(copy), EMBEDDER, CONFIG)
     assert template == str(tmp_path / "demo.curated.csv") and prepared.coordinates is not None
-    written = read_table(spark, template).drop("__file", "__block")
+    written = read_table(spark, template).drop(*SOURCE_POSITION)
     assert written.columns == ["id", "text", "source", "keep", "flag", "notes"]
     word = F.expr("CASE id WHEN 1 THEN 'no' WHEN 2 THEN ' YES' WHEN 3 THEN NULL WHEN 4 THEN '0' ELSE 'true' END")
     edited = str(tmp_path / "edited.csv")

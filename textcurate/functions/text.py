@@ -36,8 +36,11 @@ ASCII_PUNCTUATION = {
 # Spellings that count as true.
 TRUE_WORDS = ("true", "1", "yes", "y", "t", "keep")
 
-# Java's \s with (?U) leaves out the four separators U+001C to U+001F, which Python's str.strip removes.
-_BLANK = r"[\s\x1c-\x1f]"
+# All white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 def quoted(name: str) -> Column:
     """A column by its literal name, dots and all."""
@@ -46,7 +49,7 @@ def quoted(name: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind, line breaks included, from both ends."""
-    return F.regexp_replace(text, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalize_string(text: str) -> str:

@@ -14,6 +14,8 @@ from textcurate.schema import KEY, VECTOR
 
 SCHEMA = "key string, dim int, vector array<float>, status string, written_at timestamp, model string"
 DEFAULT_DIM = 1024
+# Up to this many keys of 64 characters are broadcast.
+FEW_KEYS = 200_000
 
 
 def with_key(df: DataFrame, text_column: str, model: str) -> DataFrame:
@@ -32,10 +34,15 @@ class EmbeddingCache:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
-    def for_model(self, model: str) -> DataFrame:
-        """One row per key, the newest. The join that follows needs the same exchange by key, so this adds none."""
+    def for_model(self, model: str, few: DataFrame | None = None) -> DataFrame:
+        """One row per key, the newest; ``few`` limits this to the ``_key`` values of a table that may be broadcast.
+
+        The join that follows needs the same exchange by key, so this adds none.
+        """
         newest = Window.partitionBy("key").orderBy(F.col("written_at").desc())
         entries = self.read().filter(F.col("model") == model)
+        if few is not None:
+            entries = entries.join(F.broadcast(few.withColumnRenamed(KEY, "key")), "key", "left_semi")
         return entries.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
     def keys(self, model: str) -> DataFrame:
@@ -62,17 +69,22 @@ class EmbeddingCache:
 
 
 def probe(rows: DataFrame, cache_keys: DataFrame) -> DataFrame:
-    """Rows with ``_hit``: is the row's key in the cache? Copies of a text are each a hit of their own."""
+    """One row ``(_key, copies, _hit)`` per distinct text: how many rows have it, and is it in the cache?"""
     # Keys are counted before they meet the cache, so a text that fills a third of the rows is one row here.
     distinct = rows.groupBy(KEY).agg(F.count("*").alias("copies"))
     marked = distinct.join(cache_keys.withColumn("_hit", F.lit(True)), KEY, "left")
     return marked.withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
-def misses(rows: DataFrame, text_column: str, cache_keys: DataFrame) -> DataFrame:
-    """One row ``(_key, text)`` per text that the cache lacks."""
-    distinct = rows.groupBy(KEY).agg(F.first(quoted(text_column)).alias("text"))
-    return distinct.join(cache_keys, KEY, "left_anti")
+def misses(rows: DataFrame, text_column: str, missing_keys: DataFrame, few: bool = False) -> DataFrame:
+    """One row ``(_key, text)`` per text whose key is missing; ``few`` says that the keys may be broadcast."""
+    text = F.first(quoted(text_column)).alias("text")
+    if few:
+        # Only the texts wanted are exchanged.
+        return rows.join(F.broadcast(missing_keys), KEY, "left_semi").groupBy(KEY).agg(text)
+    # Copies are combined map-side before the join. Catalyst would push a semi join below the aggregate, where a text
+    # with many copies is a hot key; it leaves an inner join, which is the same for unique keys, where it is.
+    return rows.groupBy(KEY).agg(text).join(missing_keys, KEY)
 
 
 def attach_vectors(rows: DataFrame, cache: EmbeddingCache, model: str) -> tuple[DataFrame, int]:
@@ -81,7 +93,9 @@ def attach_vectors(rows: DataFrame, cache: EmbeddingCache, model: str) -> tuple[
     Where the model answered NaN the vector is all zeros, as long as the model's other vectors.
     """
     dim = cache.dim(model)
-    entries = cache.for_model(model)
+    # A small dataset takes its few entries out of a large cache before they are exchanged.
+    few = rows.select(KEY).distinct() if rows.count() <= FEW_KEYS else None
+    entries = cache.for_model(model, few)
     fill = F.array_repeat(F.lit(0.0).cast("float"), dim or DEFAULT_DIM)
     vectors = entries.select(F.col("key").alias(KEY), F.coalesce("vector", fill).alias(VECTOR))
     if dim is None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import normalize_string
-from textcurate.operators.cache import EmbeddingCache, misses, probe
+from textcurate.operators.cache import FEW_KEYS, EmbeddingCache, misses, probe
 from textcurate.plans.scratch import materialize
 from textcurate.schema import KEY
 
@@ -130,20 +130,17 @@ def fill_cache(
     starts from what is in the cache.
     """
     spark = rows.sparkSession
-    known = cache.keys(config.model)
-    count = (
-        probe(rows, known)
-        .agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("_hit"), F.col("copies"))), F.lit(0)).alias("hits"),
-            F.count_if(~F.col("_hit")).alias("fresh_keys"),
-        )
-        .first()
-    )
+    keys = materialize(probe(rows, cache.keys(config.model)), "keys")
+    count = keys.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("_hit"), F.col("copies"))), F.lit(0)).alias("hits"),
+        F.count_if(~F.col("_hit")).alias("fresh_keys"),
+    ).first()
     fresh = count["fresh_keys"]
     if fresh:
         slices = min(MAX_COMMITS, math.ceil(fresh / config.commit_rows))
-        pending = misses(rows, text_column, known).withColumn("slice", F.pmod(F.xxhash64(KEY), F.lit(slices)))
+        missing = keys.filter(~F.col("_hit")).select(KEY)
+        pending = misses(rows, text_column, missing, few=fresh <= FEW_KEYS).withColumn("slice", F.pmod(F.xxhash64(KEY), F.lit(slices)))
         pending = materialize(pending, "pending", partition_by="slice")
         # A model call costs far more than its few bytes, so tasks are cut by rows and not left to size-based merging.
         tasks = config.concurrency or max(spark.sparkContext.defaultParallelism, math.ceil(fresh / slices / 4096))

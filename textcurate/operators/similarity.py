@@ -43,6 +43,9 @@ MAX_CELLS = 4096
 # many cells, so that all cells together have a bounded number of blocks.
 MAX_STEPS = 1000
 MAX_BLOCKS = 400_000
+# Up to this limit Spark applies a rank limit before the exchange (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+SALTS = 1024
 # Distances get this much slack, more than the rounding of scores and arithmetic can amount to.
 _SLACK = 1e-6
 _FAR = 4.0
@@ -65,6 +68,12 @@ def _distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
     """Rows ``(id, vec, vkey, copy)``: of each vector the ``copies`` lowest row indices, numbered from 1."""
     keyed = rows.select(F.col(ROW_INDEX).alias("id"), F.col(VECTOR).alias("vec"))
     keyed = keyed.withColumn("vkey", vector_key(F.col("vec")))
+    if copies > GROUP_LIMIT:
+        # The map-side limit does not work for so many copies, so a common vector is first thinned out by many tasks.
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+        thinned = Window.partitionBy("vkey", "salt").orderBy("id")
+        keyed = keyed.withColumn("salt", salt).withColumn("copy", F.row_number().over(thinned))
+        keyed = keyed.filter(F.col("copy") <= copies).drop("salt", "copy")
     lowest = Window.partitionBy("vkey").orderBy("id")
     return keyed.withColumn("copy", F.row_number().over(lowest)).filter(F.col("copy") <= copies)
 
@@ -103,7 +112,12 @@ def _distances(vectors: pa.Array, centers: np.ndarray) -> Iterator[tuple[int, np
 
 def _make_cells(points: DataFrame, rows: int, block_rows: int) -> _Cells:
     wanted = max(1, min(MAX_CELLS, math.ceil(rows / block_rows)))
-    sample = points.filter("copy = 1").orderBy(F.xxhash64("vkey"), "vkey").limit(wanted).select("vec").collect()
+    # A share of all hash values that holds about four times as many vectors as wanted, so that few are sorted.
+    order = F.xxhash64("vkey")
+    few = order < int(-(2**63) + 2**64 * min(1.0, 4 * wanted / rows)) if 4 * wanted < rows else F.lit(True)
+    sample = points.filter(F.col("copy") == 1).filter(few).orderBy(order, "vkey").limit(wanted).select("vec").collect()
+    if not sample:
+        sample = points.limit(1).select("vec").collect()
     centers = unit_rows(np.asarray([r[0] for r in sample], dtype=np.float64))
     steps = min(MAX_STEPS, MAX_BLOCKS // len(centers))
 

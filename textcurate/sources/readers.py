@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from textcurate.functions.text import as_text, quoted
 from textcurate.operators.rowindex import tag_file_position
 from textcurate.plans.scratch import path_exists
-from textcurate.schema import BLOCK, FILE, LINE, PART, PLACE, string_columns
+from textcurate.schema import BLOCK, FILE, LINE, PART, PLACE, SOURCE_POSITION, string_columns
 from textcurate.sources.documents import read_docx, read_paged
 from textcurate.sources.plaintext import read_plaintext
 
@@ -125,7 +125,7 @@ def suffix_of(path: str) -> str:
 
 def choose_text_column(df: DataFrame, requested: str) -> str:
     """The requested column, else the first well-known name, else the string column with the longest mean text."""
-    names = [c for c in df.columns if c not in (FILE, BLOCK)]
+    names = [c for c in df.columns if c not in SOURCE_POSITION]
     if requested in names:
         return requested
     for name in TEXT_COLUMN_NAMES:
