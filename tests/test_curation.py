@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textcurate import finalize, load, pre_embed, prepare
+from textcurate import status as session_status
 from textcurate.operators import edits as editing
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder
 from textcurate.plans import skew
@@ -63,6 +64,7 @@ def test_cold_and_warm_load(spark, source, dataset):
 
 
 def test_status(dataset):
+    assert session_status(None) == {"loaded": False} and session_status(dataset) == dataset.status()
     status = dataset.status()
     assert status["loaded"] and status["rows"] == status["kept_count"] == 18
     assert status["flagged_count"] == status["noted_count"] == 0
@@ -123,6 +125,8 @@ def test_mark_and_save(spark, dataset, tmp_path):
 
     assert not marked.search("blorp", 1).first().keep
     assert marked.search("blorp", 18, only_kept=True).count() == 14
+    assert marked.find_near_duplicates(0.7, only_kept=True).collect() == []
+    assert not {11, 15, 16, 17} & {r.row_index for r in marked.find_outliers(14, only_kept=True).collect()}
 
     restored, counts = marked.mark([11], keep=True)
     assert counts["kept_count"] == 15 and restored.get_row(11).first().notes == "noise"

@@ -181,6 +181,16 @@ def test_progress_survives_a_failure(spark, tmp_path):
     assert cache.read().count() == 41
 
 
+def test_progress_is_reported(spark, tmp_path):
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"))
+    fill_cache(rows_of(spark, ["a", "a"]), "text", cache, HashedEmbedder(4), CONFIG)
+    seen, texts = [], ["a", "a", "a"] + [f"t{i % 9}" for i in range(18)]
+    config = EmbedConfig("m", commit_rows=3)
+    fill_cache(rows_of(spark, texts), "text", cache, HashedEmbedder(4), config, lambda *state: seen.append(state))
+    assert seen[0] == (3, 21) and seen[-1] == (21, 21) and len(seen) == 4
+    assert seen == sorted(seen)
+
+
 def test_a_text_shared_by_many_rows_is_embedded_once(spark, tmp_path):
     rows = spark.range(3000).select(F.col("id").alias(ROW_INDEX), F.expr("IF(id % 3 = 0, 'hot', string(id))").alias("text"))
     cache = EmbeddingCache(spark, str(tmp_path / "cache"))

@@ -1,6 +1,6 @@
 """Curation of text datasets on Spark: embed once, inspect by similarity, mark rows, write the kept subset."""
 
-from textcurate.plans.dataset import Dataset, load
+from textcurate.plans.dataset import Dataset, load, status
 from textcurate.plans.jobs import finalize, pre_embed, prepare
 
-__all__ = ["Dataset", "finalize", "load", "pre_embed", "prepare"]
+__all__ = ["Dataset", "finalize", "load", "pre_embed", "prepare", "status"]

@@ -122,12 +122,13 @@ def fill_cache(
     cache: EmbeddingCache,
     embedder: Embedder,
     config: EmbedConfig,
+    on_progress: Callable[[int, int], None] | None = None,
     sleep: Callable[[float], None] = time.sleep,
 ) -> dict:
     """Embed every text of ``rows`` (which carry ``_key``) that the cache lacks, each text once.
 
     Texts are embedded and committed slice by slice, so an interrupted job loses one slice at most and a second run
-    starts from what is in the cache.
+    starts from what is in the cache. ``on_progress`` is told after each how many of the rows have a vector.
     """
     spark = rows.sparkSession
     keys = materialize(probe(rows, cache.keys(config.model)), "keys")
@@ -136,17 +137,23 @@ def fill_cache(
         F.coalesce(F.sum(F.when(F.col("_hit"), F.col("copies"))), F.lit(0)).alias("hits"),
         F.count_if(~F.col("_hit")).alias("fresh_keys"),
     ).first()
-    fresh = count["fresh_keys"]
+    fresh, done = count["fresh_keys"], count["hits"]
+    if on_progress and done:
+        on_progress(done, count["rows"])
     if fresh:
         slices = min(MAX_COMMITS, math.ceil(fresh / config.commit_rows))
-        missing = keys.filter(~F.col("_hit")).select(KEY)
-        pending = misses(rows, text_column, missing, few=fresh <= FEW_KEYS).withColumn("slice", F.pmod(F.xxhash64(KEY), F.lit(slices)))
+        in_slice = F.pmod(F.xxhash64(KEY), F.lit(slices)).alias("slice")
+        missing = keys.filter(~F.col("_hit"))
+        pending = misses(rows, text_column, missing.select(KEY), few=fresh <= FEW_KEYS).select("*", in_slice)
         pending = materialize(pending, "pending", partition_by="slice")
         # A model call costs far more than its few bytes, so tasks are cut by rows and not left to size-based merging.
         tasks = config.concurrency or max(spark.sparkContext.defaultParallelism, math.ceil(fresh / slices / 4096))
         for number in range(slices):
             part = pending.filter(F.col("slice") == number).repartition(tasks, KEY)
             cache.append(embed_texts(part, embedder, config, sleep))
+            if on_progress:
+                done += missing.select(in_slice, "copies").filter(F.col("slice") == number).agg(F.sum("copies")).first()[0] or 0
+                on_progress(done, count["rows"])
     return {
         "rows": count["rows"],
         "hits": count["hits"],

@@ -25,6 +25,7 @@ def pre_embed(
     config: EmbedConfig,
     text_column: str = "text",
     cache_path: str | None = None,
+    on_progress: Callable[[int, int], None] | None = None,
     sleep: Callable[[float], None] = time.sleep,
 ) -> dict:
     """Embed a dataset into the cache, so that a later ``load`` finds every vector there."""
@@ -32,7 +33,7 @@ def pre_embed(
     source = read_dataset(spark, path, text_column)
     cache = EmbeddingCache(spark, cache_path or default_cache_path(path))
     rows = with_key(source.rows, source.text_column, config.model)
-    counts = fill_cache(rows, source.text_column, cache, embedder, config, sleep)
+    counts = fill_cache(rows, source.text_column, cache, embedder, config, on_progress, sleep)
     return {
         "rows": counts["rows"],
         "text_column": source.text_column,

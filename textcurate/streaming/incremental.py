@@ -41,7 +41,7 @@ def embed_new_files(
     )
 
     def embed_batch(batch: DataFrame, _: int) -> None:
-        fill_cache(with_key(batch, "text", config.model), "text", cache, embedder, config, sleep)
+        fill_cache(with_key(batch, "text", config.model), "text", cache, embedder, config, sleep=sleep)
 
     query = (
         rows.writeStream.foreachBatch(embed_batch)
