@@ -435,7 +435,7 @@ def q_mark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_mark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = _edits(spark, sf_dir)
     counts = editing.curation_counts(editing.apply_edits(_documents(spark, sf_dir), edits))
-    return counts.withColumn("updated_rows", F.lit(edits.count()))
+    return counts.withColumn("updated_rows", F.lit(edits.count()).cast("bigint"))
 
 
 def q_mark_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,7 +558,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL giving the same rows. Queries without an entry have no SQL form and are checked by the tests."""
     key = f"sha256('{MODEL}' || chr(0) || text)"
     lines = f"""
-      SELECT doc_id, part - 1 AS part, {_STRIP.format("line")} AS text
+      SELECT doc_id, (part - 1)::INTEGER AS part, {_STRIP.format("line")} AS text
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                    generate_subscripts(string_split(text, chr(10)), 1) AS part FROM documents)
       WHERE {_STRIP.format("line")} <> ''
@@ -575,7 +575,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY round(s, 9) DESC, j) AS r FROM pairs
       )
     """
-    knn = nearest + "SELECT i AS row_index, r AS rank, j AS neighbor, round(s, 6) AS similarity FROM ranked WHERE r <= 5"
+    knn = nearest + "SELECT i AS row_index, r::INTEGER AS rank, j AS neighbor, round(s, 6) AS similarity FROM ranked WHERE r <= 5"
     outliers = nearest + """
       , scored AS (SELECT i, 1 - avg(s) AS score FROM ranked WHERE r <= 5 GROUP BY i)
       SELECT i AS row_index, round(score, 6) AS outlier_score FROM scored ORDER BY round(score, 9) DESC, i LIMIT 50
@@ -600,14 +600,14 @@ def oracle_sql() -> dict[str, str]:
         "json_lines_round_trip": documents,
         "json_round_trip": documents,
         "text_paragraphs": f"""
-            SELECT doc_id, generate_subscripts(parts, 1) - 1 AS part, unnest(parts) AS text FROM (
+            SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS part, unnest(parts) AS text FROM (
               SELECT doc_id, CASE WHEN len({paragraphs}) >= 3 THEN {paragraphs}
                 ELSE {split.format(spaced, "chr(10)")} END AS parts
               FROM documents)
         """,
         "plaintext_files": f"SELECT unnest({paragraphs}) AS text FROM documents",
         "docx_paragraphs": lines,
-        "paged_documents": f"SELECT doc_id, part + 1 AS page, text FROM ({lines})",
+        "paged_documents": f"SELECT doc_id, (part + 1)::INTEGER AS page, text FROM ({lines})",
         "row_preview": """
             SELECT doc_id AS row_index, CASE WHEN length(text) <= 240 THEN text ELSE substring(text, 1, 239) || '…' END
               AS text, true AS keep, false AS flag, doc_id FROM documents
@@ -643,27 +643,27 @@ def oracle_sql() -> dict[str, str]:
             WITH {_LABELLED} SELECT '{MODEL}' AS model, {DIM} AS dim, count(*) AS rows FROM labelled
         """,
         "cache_upsert": f"WITH {_LABELLED} SELECT {key} AS key, {DIM} AS dim, true AS replaced FROM labelled",
-        "hashed_embedding": f"WITH {_hashed()} SELECT doc_id, bucket, round(weight, 6) AS weight FROM hashed",
+        "hashed_embedding": f"WITH {_hashed()} SELECT doc_id, bucket::INTEGER AS bucket, round(weight, 6) AS weight FROM hashed",
         "nan_fallback": f"""
             SELECT doc_id, {DIM} AS dim, length(text) < 200 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS is_zero
             FROM documents
         """,
         "pre_embed": f"""
             WITH {_LABELLED}, hits AS (SELECT count(*) AS n FROM documents SEMI JOIN labelled USING (text))
-            SELECT count(*) AS rows, {DIM} AS embedding_dim, count(*) - any_value(n) AS fresh, any_value(n) AS hits
+            SELECT count(*) AS rows, {DIM}::BIGINT AS embedding_dim, count(*) - any_value(n) AS fresh, any_value(n) AS hits
             FROM documents, hits
         """,
         "load_summary": f"""
             WITH {_LABELLED}, hits AS (SELECT count(*) AS n FROM documents SEMI JOIN labelled USING (text))
             SELECT count(*) AS rows, 'text' AS text_column, 'doc_id' AS id_column, '{MODEL}' AS embedding_model,
-              {DIM} AS embedding_dim, any_value(n) AS embeddings_cached_hits,
+              {DIM}::BIGINT AS embedding_dim, any_value(n) AS embeddings_cached_hits,
               count(*) - any_value(n) AS embeddings_freshly_computed,
               count(DISTINCT text) - (SELECT count(*) FROM labelled) AS distinct_texts_embedded,
               false AS reduced_to_2d, 'doc_id,text,lang,source,n_chars,keep,flag,notes' AS columns
             FROM documents, hits
         """,
         "status": f"""
-            WITH {_MARKED} SELECT count(*) AS rows, {DIM} AS embedding_dim, count(*) FILTER (keep) AS kept_count,
+            WITH {_MARKED} SELECT count(*) AS rows, {DIM}::BIGINT AS embedding_dim, count(*) FILTER (keep) AS kept_count,
               count(*) FILTER (flag) AS flagged_count, count(*) FILTER (notes <> '') AS noted_count,
               count(DISTINCT text) AS cache_rows, true AS loaded FROM marked
         """,

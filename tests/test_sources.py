@@ -53,6 +53,28 @@ def test_csv_cells_and_types(spark, tmp_path):
     assert [r.n for r in rows] == [5, None, 2, 3]
 
 
+@pytest.mark.parametrize("multiline", [None, True])
+def test_csv_files_are_split_unless_cells_span_lines(spark, tmp_path, multiline):
+    folder = tmp_path / "some data"
+    folder.mkdir()
+    plain = "".join(f'{i},"plain ""{i}"", é"\r\n' for i in range(500))
+    write(folder / "a.csv", "id,text\r\n" + plain)
+    write(folder / "b.csv", 'id,text\n500,"two\nlines"\n501,"a\rb"\n502,5" disk\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = readers.read_csv(spark, str(folder / "*.csv"), multiline=multiline)
+        found = with_row_index(rows).orderBy(ROW_INDEX).collect()
+        scans = readers.read_csv(spark, str(folder / "a.csv"), multiline=multiline).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.id for r in found] == list(range(503))
+    assert found[7].text == 'plain "7", é'
+    assert [r.text for r in found[500:]] == ["two\nlines", "a\rb", '5" disk']
+    assert (scans > 3) is (multiline is None)
+
+
 def test_csv_types_are_the_narrowest_that_fit(spark, tmp_path):
     path = write(tmp_path / "a.csv", "a,b,c,d,text\n1,1.5,true,x,t\n-2,1e3,FALSE,2,u\n+3,.5,,3,v\n")
     rows = readers.read_csv(spark, path).orderBy("text").collect()

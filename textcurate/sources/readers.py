@@ -39,24 +39,49 @@ _CSV_TYPES = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+# A line that is a record of its own: every quoted cell that opens in it closes in it.
+_CELL = r'(?:"(?:[^"\r]++|"")*+"|[^",\r]*+)'
+_WHOLE_RECORD = rf"^{_CELL}(?:,{_CELL})*+\r?$"
+# With more files than this that cannot be split, reading all of them whole is parallel enough.
+_MAX_WHOLE_FILES = 1000
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool | None = None
+) -> DataFrame:
     """CSV with a header row and doubled quotes.
 
-    ``multiline`` lets quoted cells hold line breaks, at the price that Spark cannot split a file; switch it off for
-    large files known to have none. Without a ``schema`` one pass over the data settles the column types.
+    Quoted cells may hold line breaks, and Spark cannot split a file that has such cells. Unless ``multiline`` says
+    that all files do or none does, a pass over the lines finds those that do; all others are read in splits.
+    Without a ``schema`` another pass settles the column types.
     """
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    reader = spark.read.option("header", True).option("escape", '"')
+    if schema is None:
+        names = reader.option("multiLine", multiline is not False).option("inferSchema", False).csv(path).columns
+        cell_schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    else:
+        names, cell_schema = string_columns(schema), schema
+    reader = reader.schema(cell_schema)
+
+    def scan(whole: bool) -> DataFrame:
+        return tag_file_position(reader.option("multiLine", whole).csv(path))
+
+    if multiline is None:
+        lines = tag_file_position(spark.read.option("lineSep", "\n").text(path))
+        broken = lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).select(FILE).distinct()
+        files = [r[0] for r in broken.limit(_MAX_WHOLE_FILES + 1).collect()]
+        if not files or len(files) > _MAX_WHOLE_FILES:
+            raw = scan(whole=bool(files))
+        else:
+            listed = F.col(FILE).isin(files)
+            raw = scan(whole=True).filter(listed).unionByName(scan(whole=False).filter(~listed))
+    else:
+        raw = scan(whole=multiline)
+    cells = _drop_na_tokens(raw, names)
     if schema is not None:
-        return _drop_na_tokens(tag_file_position(reader.schema(schema).csv(path)), string_columns(schema))
-    raw = reader.option("inferSchema", False).csv(path)
-    names = raw.columns
-    cells = _drop_na_tokens(tag_file_position(raw), names)
+        return cells
     types = _fit_types(cells, names)
-    return cells.select(
-        *[quoted(n).cast(t).alias(n) for n, t in types],
-        FILE,
-        BLOCK,
-    )
+    return cells.select(*[quoted(n).cast(t).alias(n) for n, t in types], FILE, BLOCK)
 
 
 def _drop_na_tokens(df: DataFrame, names: list[str]) -> DataFrame:
@@ -155,7 +180,7 @@ def read_dataset(
     path: str,
     text_column: str = "text",
     schema: T.StructType | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
     extractor: Callable[[bytes], list[str]] | None = None,
 ) -> Source:
     """Read a file, folder or glob by its suffix, and keep the rows that have a text.
