@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +15,19 @@ from textcurate.schema import VECTOR
 MIN_ROWS = 3
 
 
-def principal_axes(rows: DataFrame, size: int) -> np.ndarray:
-    """The two directions of largest variance, as columns; the largest loading of each is positive."""
+def principal_axes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The two directions of largest variance as columns, and the place of the mean row along them.
+
+    The largest loading of each direction is positive, so that the picture is never mirrored.
+    """
     # Unit vectors make squared distance proportional to cosine distance.
-    units = rows.select(array_to_vector(project_to(F.col(VECTOR), np.eye(size))).alias("features"))
-    axes = PCA(k=2, inputCol="features", outputCol="pc").fit(units).pc.toArray()
+    vectors = rows.select(array_to_vector(VECTOR).alias("vector"))
+    units = Normalizer(p=2.0, inputCol="vector", outputCol="unit").transform(vectors).select("unit")
+    axes = PCA(k=2, inputCol="unit", outputCol="pc").fit(units).pc.toArray()
     largest = axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]
-    return axes * np.where(largest < 0, -1.0, 1.0)
+    axes = axes * np.where(largest < 0, -1.0, 1.0)
+    mean = units.select(Summarizer.mean(units.unit)).first()[0].toArray()
+    return axes, mean @ axes
 
 
 def project_2d(rows: DataFrame) -> DataFrame:
@@ -28,14 +35,12 @@ def project_2d(rows: DataFrame) -> DataFrame:
     head = rows.select(F.size(VECTOR)).limit(MIN_ROWS).collect()
     if len(head) < MIN_ROWS:
         raise ValueError(f"a 2D projection needs at least {MIN_ROWS} rows, got {len(head)}")
-    size = head[0][0]
-    if size < 2:
-        raise ValueError(f"a 2D projection needs vectors of at least 2 dimensions, got {size}")
-    axes = principal_axes(rows, size)
+    if head[0][0] < 2:
+        raise ValueError(f"a 2D projection needs vectors of at least 2 dimensions, got {head[0][0]}")
+    axes, center = principal_axes(rows)
     placed = rows.withColumn("_xy", project_to(F.col(VECTOR), axes))
-    center = placed.agg(F.avg(F.col("_xy")[0]), F.avg(F.col("_xy")[1])).first()
-    placed = placed.withColumns({"x": F.col("_xy")[0] - center[0], "y": F.col("_xy")[1] - center[1]})
-    return placed.drop("_xy")
+    x, y = F.col("_xy")[0] - float(center[0]), F.col("_xy")[1] - float(center[1])
+    return placed.withColumns({"x": x, "y": y}).drop("_xy")
 
 
 def coordinate_range(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +20,30 @@ def tag_file_position(df: DataFrame) -> DataFrame:
     return df.withColumns({FILE: F.col("_metadata.file_path"), BLOCK: F.col("_metadata.file_block_start")})
 
 
-def _shifts(runs: DataFrame, run: list[str]) -> DataFrame:
-    """What to add to a row's position to get its index, per run ``(_n, _first)`` of consecutive rows."""
-    # ``runs`` has one row per file, split or partition, never one per data row, so this window stays small.
-    before = Window.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
-    shifts = runs.select(*run, start.alias("_shift"))
-    return F.broadcast(shifts) if runs.count() <= MAX_BROADCAST_RUNS else shifts
+@dataclass(frozen=True)
+class _Runs:
+    """Runs of consecutive rows: one row ``(*key, _n, _first)`` per file, split or partition, never per data row."""
+
+    table: DataFrame
+    key: list[str]
+    count: int
+    gaps: bool
+
+    def shifts(self) -> DataFrame:
+        """What to add to a row's position to get its index, per run."""
+        before = Window.orderBy(*self.key).rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+        shifts = self.table.select(*self.key, start.alias("_shift"))
+        return F.broadcast(shifts) if self.count <= MAX_BROADCAST_RUNS else shifts
 
 
-def _runs(placed: DataFrame, run: list[str], position: str) -> DataFrame:
-    return placed.groupBy(*run).agg(
+def _find_runs(placed: DataFrame, key: list[str], position: str) -> _Runs:
+    table = placed.groupBy(*key).agg(
         F.count("*").alias("_n"), F.min(position).alias("_first"), F.max(position).alias("_last")
     )
+    table = materialize(table, "row-runs")
+    count, gaps = table.agg(F.count("*"), F.count_if(F.col("_last") >= F.col("_n"))).first()
+    return _Runs(table, key, count, gaps > 0)
 
 
 def with_row_index(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
@@ -42,19 +55,15 @@ def with_row_index(df: DataFrame, order_by: list[str] | None = None) -> DataFram
     once, because a place counted by a task must not change if the task is run again. An explicit order costs one
     range exchange.
     """
-    if order_by:
-        placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-        run, position = [_RUN], _POS
-        placed = placed.withColumns({_RUN: F.spark_partition_id(), _POS: F.monotonically_increasing_id()})
-        placed = materialize(placed, "rows")
-    elif PLACE in df.columns and (runs := materialize(_runs(df, [FILE], PLACE), "row-runs")).filter(
-        "_first > 0 OR _last >= _n"
-    ).isEmpty():
-        run, position, placed = [FILE], PLACE, df
-    else:
-        run, position = [FILE, BLOCK], _POS
-        placed = materialize(df.withColumn(_POS, F.monotonically_increasing_id()), "rows")
-    if run != [FILE]:
-        runs = materialize(_runs(placed, run, position), "row-runs")
-    indexed = placed.join(_shifts(runs, run), run).withColumn(ROW_INDEX, F.col(position) + F.col("_shift"))
+    runs, position, placed = None, PLACE, df
+    if PLACE in df.columns and not order_by:
+        runs = _find_runs(df, [FILE], PLACE)
+    if runs is None or runs.gaps:
+        key, position = [_RUN] if order_by else [FILE, BLOCK], _POS
+        if order_by:
+            placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+            placed = placed.withColumn(_RUN, F.spark_partition_id())
+        placed = materialize(placed.withColumn(_POS, F.monotonically_increasing_id()), "rows")
+        runs = _find_runs(placed, key, _POS)
+    indexed = placed.join(runs.shifts(), runs.key).withColumn(ROW_INDEX, F.col(position) + F.col("_shift"))
     return indexed.drop(_RUN, _POS, "_shift", *SOURCE_POSITION)

@@ -14,11 +14,11 @@ HOT_MIN_ROWS = 200_000
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list:
     """Keys owning more than ``1/HOT_SHARE`` of ``df`` and at least ``min_rows`` rows; at most ``HOT_SHARE`` values."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
     total = df.count()
     if total < min_rows:
         return []
-    return [r[0] for r in counts.filter(F.col("_n") * HOT_SHARE > total).select(key).collect()]
+    hot = (F.col("_n") >= min_rows) & (F.col("_n") * HOT_SHARE > total)
+    return [r[0] for r in df.groupBy(key).agg(F.count("*").alias("_n")).filter(hot).select(key).collect()]
 
 
 def join_on_unique(
