@@ -308,19 +308,23 @@ def _visitors(routed: DataFrame) -> DataFrame:
 _LEFT, _HOME, _GUEST = 0, 1, 2
 
 
+_PAIRS = "a bigint, b bigint, similarity double"
+_NEIGHBORS = "id bigint, other bigint, cosine double"
+# Rounding moves a score by half of this at most.
+_STEP = 10.0**-RANK_DECIMALS
+
+
 def _sides(table: pa.Table) -> tuple | None:
-    """Row indices of both sides, which of the right are guests, and all cosines; ``None`` if a side is missing."""
+    """Row indices and unit rows of the left side, sorted by index, and of the right, and which of the right are
+    guests; ``None`` if a side is missing."""
     side = np.asarray(table.column("side").combine_chunks())
     ids = np.asarray(table.column("id").combine_chunks())
-    if not (side == _LEFT).any() or not (side != _LEFT).any():
+    left, right = np.flatnonzero(side == _LEFT), np.flatnonzero(side != _LEFT)
+    if not len(left) or not len(right):
         return None
+    left = left[np.argsort(ids[left])]
     units = unit_rows(matrix(table.column("vec")))
-    left, right = side == _LEFT, side != _LEFT
-    return ids[left], ids[right], side[right] == _GUEST, units[left] @ units[right].T
-
-
-_PAIRS = "a bigint, b bigint, similarity double"
-_NEIGHBORS = "id bigint, other bigint, cosine double"
+    return ids[left], units[left], ids[right], units[right], side[right] == _GUEST
 
 
 def _pair_kernel(threshold: float, k: int) -> Callable[[pa.Table], pa.Table]:
@@ -329,17 +333,19 @@ def _pair_kernel(threshold: float, k: int) -> Callable[[pa.Table], pa.Table]:
         if sides is None:
             none = np.zeros(0, dtype=np.int64)
             return pa.table({"a": none, "b": none, "similarity": np.zeros(0)})
-        left, right, guest, cosines = sides
-        rank = np.round(cosines, RANK_DECIMALS)
+        left, left_units, right, right_units, guest = sides
+        cosines = left_units @ right_units.T
         # Rows of the same cell are on both sides: take those pairs in one order.
-        i, j = np.nonzero((rank >= threshold) & (guest[None, :] | (left[:, None] < right[None, :])))
-        s = rank[i, j]
-        if len(s) > k:
-            enough = s >= -np.partition(-s, k - 1)[k - 1]
-            i, j, s = i[enough], j[enough], s[enough]
+        i, j = np.nonzero((cosines >= threshold - _STEP) & (guest[None, :] | (left[:, None] < right[None, :])))
+        scores = cosines[i, j]
+        rank = np.round(scores, RANK_DECIMALS)
+        enough = rank >= threshold
+        if np.count_nonzero(enough) > k:
+            enough = rank >= -np.partition(-rank, k - 1)[k - 1]
+        i, j, scores, rank = i[enough], j[enough], scores[enough], rank[enough]
         a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
-        best = np.lexsort((b, a, -s))[:k]
-        return pa.table({"a": a[best], "b": b[best], "similarity": cosines[i, j][best]})
+        best = np.lexsort((b, a, -rank))[:k]
+        return pa.table({"a": a[best], "b": b[best], "similarity": scores[best]})
 
     return best_pairs
 
@@ -389,31 +395,25 @@ def _best_pairs(found: DataFrame, top_k: int) -> DataFrame:
 
 def _neighbor_kernel(m: int) -> Callable[[pa.Table], pa.Table]:
     def best_neighbors(table: pa.Table) -> pa.Table:
-        queries, others, scores = [], [], []
+        empty = np.zeros(0, dtype=np.int64)
+        queries, others, scores = [empty], [empty], [np.zeros(0)]
         sides = _sides(table)
         if sides is not None:
-            left, right, _, cosines = sides
-            order = np.argsort(left)
-            left, cosines = left[order], cosines[order]
-            rank = np.round(cosines, RANK_DECIMALS)
+            left, left_units, right, right_units, _ = sides
+            cosines = right_units @ left_units.T
+            floor = np.full(len(right), -np.inf)
             if len(left) > m:
-                # Everything that can be among a query's first m, then those sorted: ties go to the lower index.
-                floor = -np.partition(-rank, m - 1, axis=0)[m - 1]
-            else:
-                floor = np.full(len(right), -np.inf)
-            for column, query in enumerate(right):
-                near = np.flatnonzero(rank[:, column] >= floor[column])
-                near = near[np.argsort(-rank[near, column], kind="stable")[:m]]
+                # Nothing that much below the m-th score can round to it.
+                floor = np.partition(cosines, len(left) - m, axis=1)[:, len(left) - m] - 2 * _STEP
+            for query, row, least in zip(right, cosines, floor):
+                near = np.flatnonzero(row >= least)
+                # Left rows are sorted, so a stable sort gives ties to the lower index.
+                near = near[np.argsort(-np.round(row[near], RANK_DECIMALS), kind="stable")[:m]]
                 queries.append(np.full(len(near), query, dtype=np.int64))
                 others.append(left[near])
-                scores.append(cosines[near, column])
-        empty = np.zeros(0, dtype=np.int64)
+                scores.append(row[near])
         return pa.table(
-            {
-                "id": np.concatenate(queries) if queries else empty,
-                "other": np.concatenate(others) if others else empty,
-                "cosine": np.concatenate(scores) if scores else np.zeros(0),
-            }
+            {"id": np.concatenate(queries), "other": np.concatenate(others), "cosine": np.concatenate(scores)}
         )
 
     return best_neighbors
