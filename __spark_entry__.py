@@ -26,7 +26,7 @@ from textcurate.operators import edits as editing  # noqa: E402
 from textcurate.operators import inspect, project, similarity  # noqa: E402
 from textcurate.operators.cache import EmbeddingCache, attach_vectors, misses, probe, with_key  # noqa: E402
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder, NaNEmbeddingError, fill_cache  # noqa: E402
-from textcurate.operators.rowindex import tag_file_position, with_row_index  # noqa: E402
+from textcurate.operators.rowindex import with_row_index  # noqa: E402
 from textcurate.plans.dataset import Dataset, load  # noqa: E402
 from textcurate.plans.jobs import finalize, pre_embed  # noqa: E402
 from textcurate.plans.scratch import materialize, scratch_path  # noqa: E402
@@ -77,10 +77,10 @@ def _fresh_cache(spark: SparkSession) -> EmbeddingCache:
     return EmbeddingCache(spark, scratch_path(spark, "cache"))
 
 
-def _document_vectors(spark: SparkSession, sf_dir: str, embedder=EMBEDDER) -> DataFrame:
+def _document_vectors(spark: SparkSession, sf_dir: str, embedder=EMBEDDER, config=CONFIG) -> DataFrame:
     rows = with_key(_documents(spark, sf_dir).select(ROW_INDEX, "text"), "text", MODEL)
     cache = _fresh_cache(spark)
-    fill_cache(rows, "text", cache, embedder, CONFIG)
+    fill_cache(rows, "text", cache, embedder, config)
     return attach_vectors(rows.drop("text"), cache, MODEL)[0].select(ROW_INDEX, VECTOR)
 
 
@@ -294,7 +294,20 @@ def q_cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _document_vectors(spark, sf_dir)
+    return _weights(_document_vectors(spark, sf_dir))
+
+
+def q_embed_one_by_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per request, and a service that answers with an index."""
+    embedder = EMBEDDER
+
+    def service(texts: list[str]) -> list[dict]:
+        return [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(embedder(texts))))]
+
+    return _weights(_document_vectors(spark, sf_dir, service, EmbedConfig(MODEL, batch_size=1)))
+
+
+def _weights(vectors: DataFrame) -> DataFrame:
     entries = vectors.select(F.col(ROW_INDEX).alias("doc_id"), F.posexplode(VECTOR).alias("bucket", "weight"))
     return _rounded(entries.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double")), "weight")
 
@@ -432,6 +445,10 @@ def q_mark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep", "flag", "notes")
 
 
+def q_kept_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.kept(editing.apply_edits(_documents(spark, sf_dir), _edits(spark, sf_dir))).select("doc_id")
+
+
 def q_mark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = _edits(spark, sf_dir)
     counts = editing.curation_counts(editing.apply_edits(_documents(spark, sf_dir), edits))
@@ -644,6 +661,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "cache_upsert": f"WITH {_LABELLED} SELECT {key} AS key, {DIM} AS dim, true AS replaced FROM labelled",
         "hashed_embedding": f"WITH {_hashed()} SELECT doc_id, bucket::INTEGER AS bucket, round(weight, 6) AS weight FROM hashed",
+        "embed_one_by_one": f"WITH {_hashed()} SELECT doc_id, bucket::INTEGER AS bucket, round(weight, 6) AS weight FROM hashed",
         "nan_fallback": f"""
             SELECT doc_id, {DIM} AS dim, length(text) < 200 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS is_zero
             FROM documents
@@ -706,6 +724,7 @@ def oracle_sql() -> dict[str, str]:
         "outliers": outliers,
         "outliers_cells": outliers,
         "mark_rows": f"WITH {_MARKED} SELECT doc_id, keep, flag, notes FROM marked",
+        "kept_filter": f"WITH {_MARKED} SELECT doc_id FROM marked WHERE keep",
         "mark_summary": f"""
             WITH {_MARKED} SELECT count(*) AS rows, count(*) FILTER (keep) AS kept_count,
               count(*) FILTER (flag) AS flagged_count, count(*) FILTER (notes <> '') AS noted_count,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textcurate.functions.text import strip
 from textcurate.schema import CURATION, ROW_INDEX
 
+FEW_EDITS = 200_000
 SCHEMA = f"seq bigint, {ROW_INDEX} bigint, keep boolean, flag boolean, notes string"
 
 
@@ -40,9 +41,15 @@ def latest(edits: DataFrame) -> DataFrame:
     return edits.groupBy(ROW_INDEX).agg(*last)
 
 
-def apply_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """The rows with their latest keep, flag and notes."""
-    joined = rows.join(latest(edits), ROW_INDEX, "left")
+def apply_edits(rows: DataFrame, edits: DataFrame, edit_count: int | None = None) -> DataFrame:
+    """The rows with their latest keep, flag and notes.
+
+    If the number of edits is known and small they are broadcast, and the rows are not moved.
+    """
+    last = latest(edits)
+    if edit_count is not None and edit_count <= FEW_EDITS:
+        last = F.broadcast(last)
+    joined = rows.join(last, ROW_INDEX, "left")
     edited = joined.withColumns({f: F.coalesce(f"_{f}", f) for f in CURATION})
     return edited.select(*rows.columns)
 

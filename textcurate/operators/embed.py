@@ -87,7 +87,7 @@ def request(
 def embed_texts(
     texts: DataFrame, embedder: Embedder, config: EmbedConfig, sleep: Callable[[float], None] = time.sleep
 ) -> DataFrame:
-    """Cache entries for rows ``(_key, text)``. The result must be stored before use: each evaluation calls the model."""
+    """Cache entries for rows ``(_key, text)``. Must be stored before use: each evaluation calls the model."""
 
     def vectors_of(chunk: list[str]) -> list:
         try:
@@ -152,7 +152,8 @@ def fill_cache(
             part = pending.filter(F.col("slice") == number).repartition(tasks, KEY)
             cache.append(embed_texts(part, embedder, config, sleep))
             if on_progress:
-                done += missing.select(in_slice, "copies").filter(F.col("slice") == number).agg(F.sum("copies")).first()[0] or 0
+                embedded = missing.select(in_slice, "copies").filter(F.col("slice") == number)
+                done += embedded.agg(F.sum("copies")).first()[0] or 0
                 on_progress(done, count["rows"])
     return {
         "rows": count["rows"],

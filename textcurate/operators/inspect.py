@@ -34,7 +34,9 @@ def preview_columns(text_column: str, id_column: str | None = None) -> list[Colu
     return columns
 
 
-def preview(rows: DataFrame, text_column: str, id_column: str | None = None, extra: list[str] | None = None) -> DataFrame:
+def preview(
+    rows: DataFrame, text_column: str, id_column: str | None = None, extra: list[str] | None = None
+) -> DataFrame:
     """Compact rows: index, start of the text, keep, flag, the id if there is one, and any ``extra`` columns."""
     known = id_column if id_column in rows.columns else None
     return rows.select(*preview_columns(text_column, known), *[quoted(c) for c in extra or []])

@@ -559,7 +559,8 @@ def find_outliers(
         scores = exact.unionByName(_isolation(rest, n))
     leading = scores.orderBy(ranked(F.col("score")).desc(), "id").limit(top_k)
     # All stored copies of the leading vectors, up to top_k of each, compete for the top_k places.
-    names = state.points.filter("copy = 1").select("id", "vkey").join(F.broadcast(leading), "id").select("vkey", "score")
+    names = state.points.filter("copy = 1").select("id", "vkey").join(F.broadcast(leading), "id")
+    names = names.select("vkey", "score")
     members = state.points.filter(F.col("copy") <= top_k).select("id", "vkey").join(F.broadcast(names), "vkey")
     return members.select(F.col("id").alias("row_index"), F.col("score").alias("outlier_score")).orderBy(
         ranked(F.col("outlier_score")).desc(), "row_index"
