@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import os
 import sys
-import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -29,6 +27,7 @@ from textcurate.operators.embed import EmbedConfig, HashedEmbedder, NaNEmbedding
 from textcurate.operators.rowindex import with_row_index  # noqa: E402
 from textcurate.plans.dataset import Dataset, load  # noqa: E402
 from textcurate.plans.jobs import finalize, pre_embed  # noqa: E402
+from textcurate.plans.shipping import ship  # noqa: E402
 from textcurate.plans.scratch import materialize, scratch_path  # noqa: E402
 from textcurate.schema import KEY, ROW_INDEX, SOURCE_POSITION, VECTOR, ensure_curation_columns  # noqa: E402
 from textcurate.sources.documents import docx_texts, extract_parts  # noqa: E402
@@ -37,27 +36,17 @@ from textcurate.sources.readers import choose_text_column, read_dataset, read_pa
 from textcurate.sources.writers import write_table  # noqa: E402
 from textcurate.streaming.incremental import embed_new_files  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from textcurate.llm import queries as llm_queries
+except ImportError:  # the training-data operators are an optional part
+    corpus_pipeline = llm_queries = None
+
 MODEL = "hashed-256"
 DIM = 256
 CONFIG = EmbedConfig(MODEL)
 EMBEDDER = HashedEmbedder(DIM)
 
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="textcurate-"), "textcurate.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted((ROOT / "textcurate").rglob("*.py")):
-            out.write(path, path.relative_to(ROOT))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -500,17 +489,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            _ship(spark)
+            ship(spark)
             return query(spark, sf_dir)
 
         return run
 
-    return {name: shipped(query) for name, query in _queries().items()}
+    found = _queries()
+    if llm_queries:
+        found |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Near-duplicate documents with previews of both rows."""
-    _ship(spark)
+    ship(spark)
     dataset = _load_documents(spark, "/root/testdata/sf0.001")
     return dataset.find_near_duplicates(threshold=0.95, top_k=50)
 
@@ -571,8 +563,7 @@ _LABELLED = """
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL giving the same rows. Queries without an entry have no SQL form and are checked by the tests."""
+def _oracle_sql() -> dict[str, str]:
     key = f"sha256('{MODEL}' || chr(0) || text)"
     lines = f"""
       SELECT doc_id, (part - 1)::INTEGER AS part, {_STRIP.format("line")} AS text
@@ -743,3 +734,13 @@ def oracle_sql() -> dict[str, str]:
             WHERE coalesce(toxic, 0) <> 1
         """,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL giving the same rows. Queries without an entry have no SQL form and are checked by the tests."""
+    found = _oracle_sql()
+    if llm_queries:
+        found |= llm_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -21,8 +21,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    import __spark_entry__
+    from textcurate.plans.shipping import ship
 
-    __spark_entry__._ship(session)
+    ship(session)
     yield session
     session.stop()

@@ -33,10 +33,10 @@ def test_every_sql_form_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry._oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
     found = entry.queries()[name](spark, SF_DIR)
-    result = sql.execute(entry.oracle_sql()[name])
+    result = sql.execute(entry._oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(found.columns) == sorted(columns)
     expected = sorted(map(tuple, result.fetchall()), key=sortable)
@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_queries_without_sql(spark):
-    rows = {name: entry.queries()[name](spark, SF_DIR) for name in set(entry.queries()) - set(entry.oracle_sql())}
+    rows = {name: entry.queries()[name](spark, SF_DIR) for name in set(entry._queries()) - set(entry._oracle_sql())}
     assert set(rows) == {"project_2d", "coordinate_range", "scatter_frame"}
     placed, extent = rows["project_2d"].collect(), rows["coordinate_range"].first()
     assert extent.rows == len(placed)
