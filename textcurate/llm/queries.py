@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textcurate.llm import language, pieces
 from textcurate.llm.token_counts import token_counts
 from textcurate.llm.token_files import read_token_files, write_token_files
 from textcurate.plans.scratch import scratch_path
@@ -25,5 +26,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    found = language.predict(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text, and a checksum of what they spell, which is that of the text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path)
+    encoded = encoded.withColumn("key", F.struct("doc_id", "n_pieces", "score", F.xxhash64("ids").alias("ids_hash")))
+    spelled = pieces.decode(encoded, path, id_column="key")
+    return spelled.select("key.*", F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
+
+
 QUERIES = {name: value for name, value in list(globals().items()) if name.startswith("op")}
 ORACLE_SQL: dict[str, str] = {}
