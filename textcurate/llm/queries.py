@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcurate.llm import language, pieces
+from textcurate.llm import language, pieces, pii, secrets, sharding
 from textcurate.llm.token_counts import token_counts
 from textcurate.llm.token_files import read_token_files, write_token_files
 from textcurate.plans.scratch import scratch_path
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Stands in for a key that the owner of the data keeps.
+_PII_KEY = "pseudonym key of the example queries"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), _PII_KEY)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,6 +41,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text, and a checksum of what they spell, which is that of the text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -42,5 +55,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelled.select("key.*", F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(docs, path)
+    return sharding.digest(sharding.read_shards(spark, path, docs.schema))
+
+
 QUERIES = {name: value for name, value in list(globals().items()) if name.startswith("op")}
 ORACLE_SQL: dict[str, str] = {}
