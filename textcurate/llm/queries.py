@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcurate.llm import language, pieces, pii, secrets, sharding
+from textcurate.llm import decontaminate, language, ngram_join, permutation_index, pieces, pii, secrets, sharding
 from textcurate.llm.token_counts import token_counts
 from textcurate.llm.token_files import read_token_files, write_token_files
 from textcurate.plans.scratch import scratch_path
@@ -34,6 +34,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs.filter(~language.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
@@ -41,6 +45,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.digest(secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
@@ -55,6 +63,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelled.select("key.*", F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = scratch_path(spark, "shards")
