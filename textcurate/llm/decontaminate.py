@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textcurate.llm.support import text_or_empty
+from textcurate.llm.support import forget, text_or_empty
 from textcurate.llm.words import grouped, mix, word_hashes
 
 # Least words of an item, steps of its walks, steps that are sampled.
@@ -249,6 +249,7 @@ def found_items(
 def _looker(shared: Broadcast, similarity: float, recall: float):
     @F.pandas_udf(_FOUND)
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         index = Index(shared.value, similarity, recall)
         for texts in batches:
             yield pd.Series(index.matches(texts.tolist()), dtype=object)

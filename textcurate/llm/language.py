@@ -29,7 +29,7 @@ MARK, UNKNOWN = "▁", "und"
 _GAIN = 32.0
 _FLOOR = 1e-150
 # Words remembered per Python worker; a full table is emptied, which costs time and no results.
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 _LONG = 48
 
 

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcurate.llm.components import components
-from textcurate.llm.support import text_or_empty
+from textcurate.llm.support import forget, text_or_empty
 from textcurate.llm.words import grouped, mix, shingles, word_hashes
 from textcurate.plans.scratch import materialize
 
-# Documents of a component that meet in one task: one block against itself or another.
-BLOCK = 512
+# Documents of a component, and n-grams of theirs, that meet in one task: one block against itself or another.
+BLOCK, BLOCK_GRAMS = 512, 1 << 20
 _SIGNED = "id long, k1 long, k2 long, n int, bands array<long>"
 _VERIFIED = "node long, links long, head long"
 
@@ -62,12 +62,19 @@ def _lowered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.lower(text_or_empty(text_column)).alias("text"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """``(id, k1, k2, n, bands)`` from ``(id, text)``: two hashes that name the n-gram set, its size, and its band hashes."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         minhash = MinHash(bands, rows)
-        for batch in batches:
+        for batch in slices(batches):
             for first, group in grouped(batch.column(1).to_pylist()):
                 sets = shingles(*word_hashes(group), n)
                 keys = [minhash.band_keys(s) if len(s) else np.empty(0, np.int64) for s in sets]
@@ -152,8 +159,9 @@ def _verify(units: DataFrame, n: int, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["node", "links", "head"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows, key = [], None
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != key and rows:
                     yield work(rows)
@@ -190,22 +198,27 @@ def ngram_join(
     signed = materialize(sign(lowered, n, bands, rows), "ngram-signatures")
     # Copies of an n-gram set are one node of the graph from here on.
     classes = signed.filter("n > 0").groupBy("k1", "k2").agg(
-        F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")
+        F.min("id").alias("rep"),
+        F.count("*").alias("copies"),
+        F.max("n").alias("grams"),
+        F.min_by("bands", "id").alias("bands"),
     )
     classes = materialize(classes, "ngram-classes")
     band = classes.select("rep", F.explode("bands").alias("key"))
     heads = band.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last")
     stars = band.join(heads.select("key", "head"), "key").filter("rep <> head")
     near = components(stars.select(F.col("rep").alias("u"), F.col("head").alias("v")))
-    near = near.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies")), "node")
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"), F.max("grams").alias("grams"))
+    near = near.join(nodes, "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS))
+    sizes = near.groupBy("component").agg(blocks.cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = near.join(sizes, "component").withColumn("block", block)
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
     )
     texts = lowered.join(near.select(F.col("node").alias("id")), "id", "left_semi")
-    units = units.drop("blocks", "other").join(texts.withColumnRenamed("id", "node"), "node")
+    units = units.drop("blocks", "other", "grams").join(texts.withColumnRenamed("id", "node"), "node")
     verified = materialize(_verify(units, n, threshold), "ngram-links")
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"))
     forest = components(verified.filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))

@@ -23,7 +23,7 @@ from textcurate.llm.support import file_bytes, once, text_or_empty
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # Chunks remembered per Python worker; a full table is emptied, which costs time and no results.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 300_000
 
 
 class PieceCoder(dict):

@@ -18,11 +18,20 @@ def file_bytes(spark: SparkSession, path: str) -> Broadcast:
 
 
 def once(key: tuple, build: Callable):
-    """What ``build`` returned the first time in this process; later tasks of a Python worker find it ready."""
+    """What ``build`` returned the first time in this process; later tasks of a Python worker find it ready.
+
+    One result is kept: a worker that goes on to another operator does not carry the tables of the last.
+    """
     if key not in _states:
+        forget()
         _states[key] = build()
     return _states[key]
 
 
+def forget() -> None:
+    """For operators that keep nothing between tasks."""
+    _states.clear()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
