@@ -22,7 +22,8 @@ _DATE = rf"(?<![0-9./-])(?:{_ISO}|{_SLASH}|{_DOT})(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _NANP = r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
 _PHONE = rf"(?<![0-9A-Za-z+])(?:{_NANP}|\+[1-9][0-9]{{7,14}})(?![0-9])"
-_CARD = r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])"
+_GROUPS = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+_CARD = rf"(?<![0-9A-Za-z-])(?:[0-9]{{13,19}}|{_GROUPS})(?![0-9A-Za-z]|-[0-9])"
 _ANY = "|".join((_EMAIL, _IP, _DATE, _SSN, _PHONE, _CARD))
 
 # Dates of these years are taken for dates; their number of days is 17 times 4297.

@@ -64,7 +64,7 @@ def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(words: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
     """Per text the sorted set of hashes of its runs of ``n`` words; a shorter text is one run, an empty one has none."""
     runs = np.zeros(len(words), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(words))):
         runs[: len(words) - k] = runs[: len(words) - k] * np.uint64(_BASE) + words[k:]
     runs = mix(runs)
     out, start = [], 0
