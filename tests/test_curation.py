@@ -9,6 +9,7 @@ from textcurate import finalize, load, pre_embed, prepare
 from textcurate import status as session_status
 from textcurate.operators import edits as editing
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder
+from textcurate.operators.rowindex import with_row_index
 from textcurate.plans import skew
 from textcurate.schema import ROW_INDEX, SOURCE_POSITION
 from textcurate.sources.readers import read_dataset, read_table
@@ -81,7 +82,7 @@ def test_get_row(dataset):
     assert list(row) == ["row_index", "id", "text", "source", "keep", "flag", "notes"]
     assert row["text"] == SENTENCES[6][0]
     for bad in (-1, 18):
-        with pytest.raises(IndexError, match="out of range"):
+        with pytest.raises(IndexError, match="there is no row"):
             dataset.get_row(bad)
 
 
@@ -135,7 +136,7 @@ def test_mark_and_save(spark, dataset, tmp_path):
 def test_mark_rejects_bad_calls(dataset):
     with pytest.raises(IndexError, match=r"\[-1, 18\]"):
         dataset.mark([0, -1, 18], keep=False)
-    with pytest.raises(ValueError, match="at least one"):
+    with pytest.raises(ValueError, match="nothing to mark"):
         dataset.mark([0])
 
 
@@ -147,8 +148,37 @@ def test_an_edits_table(spark, dataset):
     assert edited.status()["noted_count"] == 1
     later, _ = edited.mark([5], notes="y")
     assert later.get_row(5).first().notes == "y"
-    with pytest.raises(IndexError, match=r"\[-3, 18\]"):
-        dataset.apply_edits(spark.createDataFrame([(1, -3, True, None, None), (1, 18, True, None, None)], editing.SCHEMA))
+    wrong = [(1, -3, True, None, None), *[(1, 18 + k, True, None, None) for k in range(250)]]
+    with pytest.raises(editing.RowsOutOfRange, match="251 row indices") as raised:
+        dataset.apply_edits(spark.createDataFrame(wrong, editing.SCHEMA))
+    assert {r[0] for r in raised.value.rows.collect()} == {-3, *range(18, 268)}
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_saved_files_keep_the_order_of_rows(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(editing, "FEW_EDITS", few)
+    source = tmp_path / "uneven.parquet"
+    start = 0
+    for part, size in enumerate((10, 250, 40, 100)):
+        rows = spark.range(start, start + size, 1, 1).selectExpr("id", "concat('text ', id, repeat(' more', 200)) AS text")
+        rows.write.mode("append").parquet(str(tmp_path / f"part{part}"))
+        for file in (tmp_path / f"part{part}").glob("*.parquet"):
+            source.mkdir(exist_ok=True)
+            (source / f"part-{part}.parquet").write_bytes(file.read_bytes())
+        start += size
+    config = EmbedConfig("hashed-16")
+    data = load(spark, str(source), HashedEmbedder(16), config, id_column="id", cache_path=str(tmp_path / "cache"))
+    data, _ = data.mark([3, 300], keep=False)
+    data, _ = data.project_2d()
+    kept = data.save_kept(str(tmp_path / "kept.parquet"))["path"]
+    assert [r.id for r in with_row_index(read_table(spark, kept)).orderBy(ROW_INDEX).collect()] == [
+        i for i in range(400) if i not in (3, 300)
+    ]
+    for path in (data.save_curated(str(tmp_path / "c.csv"))["path"], data.write_template(str(tmp_path / "t.csv"))["path"]):
+        assert [r.id for r in with_row_index(read_table(spark, path)).orderBy(ROW_INDEX).collect()] == list(range(400))
+    final = finalize(spark, str(source), str(tmp_path / "t.csv"), str(tmp_path / "final.jsonl"))["path"]
+    found = with_row_index(read_table(spark, final)).orderBy(ROW_INDEX).collect()
+    assert [r.id for r in found] == [i for i in range(400) if i not in (3, 300)]
 
 
 def test_projection(spark, dataset):

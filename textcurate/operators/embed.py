@@ -54,7 +54,6 @@ class EmbedConfig:
     concurrency: int | None = None
 
 
-MAX_COMMITS = 64
 
 
 def _worth_retrying(error: Exception) -> bool:
@@ -103,6 +102,8 @@ def embed_texts(
                 part = batch.slice(start, config.batch_size)
                 chunk = [normalize_string(t) for t in part.column("text").to_pylist()]
                 vectors = [None if v is None else np.asarray(v, dtype=np.float32) for v in vectors_of(chunk)]
+                # A component that is no number would spoil every comparison: such a reply counts as none.
+                vectors = [v if v is not None and np.isfinite(v).all() else None for v in vectors]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "key": part.column(KEY).cast(pa.string()),
@@ -141,7 +142,7 @@ def fill_cache(
     if on_progress and done:
         on_progress(done, count["rows"])
     if fresh:
-        slices = min(MAX_COMMITS, math.ceil(fresh / config.commit_rows))
+        slices = math.ceil(fresh / config.commit_rows)
         in_slice = F.pmod(F.xxhash64(KEY), F.lit(slices)).alias("slice")
         missing = keys.filter(~F.col("_hit"))
         pending = misses(rows, text_column, missing.select(KEY), few=fresh <= FEW_KEYS).select("*", in_slice)

@@ -267,7 +267,9 @@ def _across(left: DataFrame, right: DataFrame, block_rows: int, kernel: Callable
     group = ["block", "bl", "br"]
     # The work of a group is in its arithmetic, so partitions are cut by groups, not merged by bytes.
     at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    pairs = here.unionByName(there).repartition(int(max(1, min(2 * tasks, at_once))), *group)
+    # At least as many partitions as give each eight groups: they grow in number with the data and not in size.
+    partitions = max(1, min(2 * tasks, at_once), tasks // 8)
+    pairs = here.unionByName(there).repartition(int(partitions), *group)
     return pairs.groupBy(*group).applyInArrow(kernel, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import coerce_bool
@@ -54,12 +54,20 @@ def prepare(spark: SparkSession, path: str, embedder: Embedder, config: EmbedCon
 
 def edited_kept(curated: DataFrame) -> DataFrame:
     """The rows an edited table keeps, without ``keep``. A blank cell keeps its row."""
-    keep = coerce_bool(F.col("keep"), curated.schema["keep"].dataType, if_null=True)
-    return curated.filter(keep).drop("keep", *SOURCE_POSITION)
+    return curated.filter(_is_kept(curated)).drop("keep", *SOURCE_POSITION)
+
+
+def _is_kept(curated: DataFrame) -> Column:
+    return coerce_bool(F.col("keep"), curated.schema["keep"].dataType, if_null=True)
 
 
 def finalize(spark: SparkSession, path: str, curated: str | None = None, target: str | None = None) -> dict:
     """Second half: read the edited template of ``path`` back and write the rows it keeps."""
     edited = read_table(spark, curated or default_target(path, "curated"))
     target = target or default_target(path, "kept")
-    return {"path": target, "rows": write_table(edited_kept(edited), target), "total": edited.count()}
+    # The place within a split is counted while reading; file, split and place together are the order of the source.
+    place = [c for c in SOURCE_POSITION if c in edited.columns] + ["__place"]
+    ordered = edited.withColumn("__place", F.monotonically_increasing_id())
+    kept = ordered.filter(_is_kept(edited)).repartitionByRange(*place).sortWithinPartitions(*place)
+    rows = write_table(kept.drop("keep", *place), target)
+    return {"path": target, "rows": rows, "total": edited.count()}

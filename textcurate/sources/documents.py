@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import strip
+from textcurate.plans.scratch import materialize
 from textcurate.schema import FILE, PART
 
 # Fixed value: the XML namespace of word-processing documents.
@@ -35,10 +36,12 @@ def _paragraph_text(paragraph: ElementTree.Element) -> str:
         for node in (n for run in runs if run.tag == f"{_W}r" for n in run):
             if node.tag == f"{_W}t":
                 pieces.append(node.text or "")
-            elif node.tag == f"{_W}tab":
+            elif node.tag in (f"{_W}tab", f"{_W}ptab"):
                 pieces.append("\t")
-            elif node.tag in (f"{_W}br", f"{_W}cr"):
-                pieces.append("\n")
+            elif node.tag == f"{_W}noBreakHyphen":
+                pieces.append("-")
+            elif node.tag == f"{_W}cr" or node.tag == f"{_W}br" and node.get(f"{_W}type", "textWrapping") == "textWrapping":
+                pieces.append("\n")  # breaks of pages and columns are no text
     return "".join(pieces)
 
 
@@ -63,25 +66,18 @@ def extract_parts(files: DataFrame, extractor: Callable[[bytes], list[str]]) ->
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    rows = extract_parts(spark.read.format("binaryFile").load(path), docx_texts)
+    # Stored at once: whatever looks at the rows later does not open the files again.
+    rows = materialize(extract_parts(spark.read.format("binaryFile").load(path), docx_texts), "parts")
     if rows.isEmpty():
-        raise ValueError(f"No text content found in {path}.")
+        raise ValueError(f"{path} holds no text")
     return rows
 
 
 def read_paged(spark: SparkSession, path: str, extractor: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """Rows ``page`` (counted from 1) and ``text`` of every page that has text."""
-    files = spark.read.format("binaryFile").load(path)
-    rows = extract_parts(files, extractor or pdf_pages)
+    if extractor is None:
+        raise ValueError(f"{path} needs an extractor, which turns a file's bytes into page texts")
+    rows = materialize(extract_parts(spark.read.format("binaryFile").load(path), extractor), "parts")
     if rows.isEmpty():
-        raise ValueError(f"No extractable text in {path}: the document may be scanned or image-only.")
+        raise ValueError(f"{path} gave no text; its pages may be images")
     return rows.withColumn("page", F.col(PART) + 1).select(FILE, PART, "page", "text")
-
-
-def pdf_pages(content: bytes) -> list[str]:
-    """Page texts of a PDF, by way of the optional ``pypdf`` package."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as error:
-        raise RuntimeError("reading PDF files needs the pypdf package, or an extractor of your own") from error
-    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]

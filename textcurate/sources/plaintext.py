@@ -75,5 +75,5 @@ def read_plaintext(spark: SparkSession, path: str) -> DataFrame:
     single = single.withColumn("text", strip(F.col("text")))
     rows = paragraphs.unionByName(single).filter(F.col("text") != "")
     if rows.isEmpty():
-        raise ValueError(f"No text content found in {path}.")
+        raise ValueError(f"{path} holds no text")
     return rows

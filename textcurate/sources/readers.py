@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +30,16 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-SUPPORTED = ".csv  .json  .jsonl  .ndjson  .parquet  .txt  .md  .pdf  .docx"
+SUPPORTED = ".csv, .json, .jsonl, .ndjson, .parquet, .txt, .md, .pdf, .docx"
 
 # Types tried for a CSV column, narrowest first; a column takes the first type that fits all of its cells.
 _CSV_TYPES = (
     ("boolean", r"^(true|True|TRUE|false|False|FALSE)$"),
-    ("bigint", r"^\s*[+-]?\d{1,18}\s*$"),
+    ("bigint", r"^\s*[+-]?\d+\s*$"),
     ("double", r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"),
 )
+# Integers of more digits than a double keeps; a column that has one is bigint if all its cells are, else string.
+_LONG_INTEGER = r"^\s*[+-]?0*[1-9]\d{15,}\s*$"
 
 
 # A line that is a record of its own: every quoted cell that opens in it closes in it.
@@ -93,7 +96,12 @@ def _fit_types(cells: DataFrame, names: list[str]) -> list[tuple[str, str]]:
     for i, name in enumerate(names):
         checks.append(F.count(quoted(name)).alias(f"n{i}"))
         for kind, pattern in _CSV_TYPES:
-            checks.append(F.count_if(quoted(name).rlike(pattern)).alias(f"{kind}{i}"))
+            fits = quoted(name).rlike(pattern)
+            if kind == "bigint":
+                fits = fits & F.trim(quoted(name)).try_cast("bigint").isNotNull()
+            elif kind == "double":
+                fits = fits & ~quoted(name).rlike(_LONG_INTEGER)
+            checks.append(F.count_if(fits).alias(f"{kind}{i}"))
     if not checks:
         return []
     seen = cells.agg(*checks).first()
@@ -104,23 +112,38 @@ def _fit_types(cells: DataFrame, names: list[str]) -> list[tuple[str, str]]:
     return types
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("mode", "FAILFAST")
     return tag_file_position((reader if schema is None else reader.schema(schema)).json(path))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """An array of records, or JSON lines: what this package writes to ``.json`` is the latter, which can be split."""
-    if schema is None and not _is_json_array(spark, path):
-        return read_json_lines(spark, path)
+    arrays, lines = _json_files(spark, path)
+    if not arrays:
+        return read_json_lines(spark, path, schema)
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    return tag_file_position((reader if schema is None else reader.schema(schema)).json(path))
+    whole = tag_file_position((reader if schema is None else reader.schema(schema)).json(arrays if lines else path))
+    if not lines:
+        return whole
+    return whole.unionByName(read_json_lines(spark, lines, schema), allowMissingColumns=True)
+
+
+def _json_starts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, first)``: the first character of each file that is not blank."""
+    lines = tag_file_position(spark.read.text(path)).withColumn("line", F.monotonically_increasing_id())
+    first = F.substring(F.regexp_replace("value", r"^[\s\uFEFF]+", ""), 1, 1).alias("first")
+    starts = lines.select(FILE, BLOCK, "line", first).filter("first <> ''")
+    return starts.groupBy(FILE).agg(F.min_by("first", F.struct(BLOCK, "line")).alias("first"))
 
 
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    starts = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("first"))
-    first = starts.filter(F.col("first") != "").limit(1).collect()
-    return bool(first) and first[0][0] == "["
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files that hold an array, and those that hold lines. Every file is looked at, whatever the schema."""
+    arrays: list[str] = []
+    lines: list[str] = []
+    for file, first in _json_starts(spark, path).collect():  # one row per file, as in Spark's own listing of them
+        (arrays if first == "[" else lines).append(unquote(file))
+    return arrays, lines
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -140,7 +163,7 @@ _TABLES = {
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A tabular source as it stands: all rows, whatever their text."""
     if suffix_of(path) not in _TABLES:
-        raise ValueError(f"Unsupported file type: {suffix_of(path)!r}. Supported: {'  '.join(_TABLES)}")
+        raise ValueError(f"cannot read files of type {suffix_of(path)!r} as tables; known types are {', '.join(_TABLES)}")
     return _TABLES[suffix_of(path)](spark, path)
 
 
@@ -158,7 +181,7 @@ def choose_text_column(df: DataFrame, requested: str) -> str:
             return name
     candidates = [n for n in string_columns(df.schema) if n in names]
     if not candidates:
-        raise KeyError(f"Column '{requested}' not found. Available: {names}")
+        raise KeyError(f"there is no column {requested!r} among {names}")
     if len(candidates) == 1:
         return candidates[0]
     # A missing cell counts with the three letters of "nan".
@@ -188,7 +211,7 @@ def read_dataset(
     ``extractor`` turns the bytes of one paged document into the texts of its pages.
     """
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Dataset not found: {path}")
+        raise FileNotFoundError(f"there is nothing to read at {path}")
     suffix = suffix_of(path)
     if suffix in (".txt", ".md"):
         return Source(read_plaintext(spark, path), "text", [FILE, BLOCK, PLACE, LINE])
@@ -197,7 +220,7 @@ def read_dataset(
     if suffix == ".pdf":
         return Source(read_paged(spark, path, extractor), "text", [FILE, PART])
     if suffix not in _TABLES:
-        raise ValueError(f"Unsupported file type: {suffix!r}. Supported: {SUPPORTED}")
+        raise ValueError(f"cannot read files of type {suffix!r}; known types are {SUPPORTED}")
     options = {"multiline": multiline} if suffix == ".csv" else {}
     df = _TABLES[suffix](spark, path, schema=schema, **options)
     chosen = choose_text_column(df, text_column)

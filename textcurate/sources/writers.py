@@ -43,5 +43,5 @@ def write_table(df: DataFrame, target: str, mode: str = "overwrite") -> int:
     elif suffix == ".parquet":
         counted.write.mode(mode).parquet(target)
     else:
-        raise ValueError(f"Unsupported output format: {suffix}")
+        raise ValueError(f"cannot write files of type {suffix!r}")
     return int(seen.get["rows"])

@@ -40,7 +40,11 @@ def embed_new_files(
         .select(quoted(text_column).cast("string").alias("text"))
     )
 
+    batches = 0
+
     def embed_batch(batch: DataFrame, _: int) -> None:
+        nonlocal batches
+        batches += 1
         fill_cache(with_key(batch, "text", config.model), "text", cache, embedder, config, sleep=sleep)
 
     query = (
@@ -50,4 +54,4 @@ def embed_new_files(
         .start()
     )
     query.awaitTermination()
-    return len({p["batchId"] for p in query.recentProgress if p["numInputRows"]})
+    return batches
