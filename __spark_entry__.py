@@ -150,6 +150,24 @@ def q_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, ".json")
 
 
+def q_json_with_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines under ``.json``, read by a schema that is known beforehand."""
+    rows = _table(spark, sf_dir, "documents")
+    target = scratch_path(spark, "typed") + ".json"
+    write_table(rows, target)
+    return read_dataset(spark, target, schema=rows.schema).rows.drop(*SOURCE_POSITION)
+
+
+def q_csv_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of 19 digits, which a double cannot hold, and numbers too long for 64 bits, which stay as they are spelled."""
+    rows = _table(spark, sf_dir, "documents")
+    long_id = F.lit(1234567890123456000) + F.col("doc_id")
+    rows = rows.select("doc_id", "text", long_id.alias("long_id"), F.concat(long_id.cast("string"), F.lit("789")).alias("longer"))
+    target = scratch_path(spark, "long-ids") + ".csv"
+    write_table(rows, target)
+    return read_dataset(spark, target).rows.drop("text", *SOURCE_POSITION)
+
+
 def _spaced(text) -> F.Column:
     return F.replace(text, F.lit(".\n"), F.lit(".\r\n\r\n"))
 
@@ -219,9 +237,12 @@ def q_row_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Values of nothing become NaN here, so that the null rule has something to do.
     events = _table(spark, sf_dir, "events").select(
         "event_id",
+        # Whatever the session's zone, the table's time of day is written.
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("event_type") != "click", F.col("user_id")).alias("user_id"),
         "event_type",
         F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
-        F.when(F.col("event_type") != "click", F.col("user_id")).alias("user_id"),
+        "props",
     )
     return events.select("event_id", row_json(events.schema).alias("json"))
 
@@ -282,6 +303,15 @@ def q_cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("key", "dim", F.forall("vector", lambda x: x == 1).alias("replaced"))
 
 
+def q_cache_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key is written twice, and once after compaction."""
+    cache = _labelled_cache(spark, sf_dir)
+    later = F.col("written_at") + F.expr("INTERVAL 1 SECOND")
+    cache.append(materialize(cache.read(), "entries").withColumns({"status": F.lit("again"), "written_at": later}))
+    compacted = cache.compact(scratch_path(spark, "compacted"))
+    return compacted.read().select("key", "dim", "status", F.size("vector").alias("length"))
+
+
 def q_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(_document_vectors(spark, sf_dir))
 
@@ -314,6 +344,18 @@ def q_nan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.col(ROW_INDEX).alias("doc_id"), F.size(VECTOR).alias("dim"), zero.alias("is_zero"))
 
 
+def q_nan_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that answers short texts with NaN instead of raising an error."""
+    embedder = EMBEDDER
+
+    def answers_nan(texts: list[str]) -> list:
+        return [[float("nan")] * DIM if len(t) < 200 else v for t, v in zip(texts, embedder(texts))]
+
+    vectors = _document_vectors(spark, sf_dir, answers_nan)
+    zero = F.forall(VECTOR, lambda x: x == 0)
+    return vectors.select(F.col(ROW_INDEX).alias("doc_id"), F.size(VECTOR).alias("dim"), zero.alias("is_zero"))
+
+
 def q_pre_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = _labelled_cache(spark, sf_dir)
     report = pre_embed(spark, f"{sf_dir}/documents.parquet", EMBEDDER, CONFIG, cache_path=cache.path)
@@ -358,6 +400,17 @@ def q_incremental_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.read().select("key", "dim", "status")
 
 
+def q_incremental_embed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as CSV with a header, quotes, and line breaks in cells."""
+    folder, cache = scratch_path(spark, "arriving") + ".csv", _fresh_cache(spark)
+    write_table(_table(spark, sf_dir, "documents").select("text", "lang"), folder)
+    embed_new_files(
+        spark, folder, "text string, lang string", "text", cache, EMBEDDER, CONFIG,
+        checkpoint=scratch_path(spark, "stream"), file_format="csv", files_per_batch=4,
+    )
+    return cache.read().select("key", "dim", "status")
+
+
 # ---- similarity
 
 
@@ -418,12 +471,15 @@ def q_project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_coordinate_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.coordinate_range(project.project_2d(_vectors(spark, sf_dir)))
+    """Of two given components of the vectors, which SQL can see as well."""
+    x, y = (F.element_at(VECTOR, i).cast("double") for i in (1, 2))
+    return project.coordinate_range(_vectors(spark, sf_dir).withColumns({"x": x, "y": y}))
 
 
 def q_scatter_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _load_documents(spark, sf_dir).scatter_frame()
-    return _rounded(frame.drop("embedding"), "x", "y")
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    return frame.select("row_index", placed.alias("placed"), "color", "snippet", F.size("embedding").alias("dim"))
 
 
 # ---- edits and outputs
@@ -454,7 +510,13 @@ def _saved(spark: SparkSession, sf_dir: str, save: str, suffix: str) -> DataFram
     dataset = _load_documents(spark, sf_dir).apply_edits(_edits(spark, sf_dir))
     target = scratch_path(spark, save) + suffix
     getattr(dataset, save)(target)
-    return read_dataset(spark, target).rows.drop(*SOURCE_POSITION)
+    return _read_back(spark, target)
+
+
+def _read_back(spark: SparkSession, target: str) -> DataFrame:
+    """What was saved, with the place of each row in it."""
+    source = read_dataset(spark, target)
+    return with_row_index(source.rows, source.order_by).withColumnRenamed(ROW_INDEX, "row_index")
 
 
 def q_save_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,9 +537,10 @@ def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
     word = F.when(F.col("toxic") == 1, "no").when(F.col("quality") == 1, " YES")
     edited = _documents(spark, sf_dir).drop(ROW_INDEX).join(labels, "doc_id", "left").withColumn("keep", word)
-    write_table(edited.drop("quality", "toxic"), f"{folder}/documents.curated.csv")
+    edited = edited.drop("quality", "toxic").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    write_table(edited, f"{folder}/documents.curated.csv")
     result = finalize(spark, f"{folder}/documents.csv")
-    return read_dataset(spark, result["path"]).rows.select("doc_id", "text", "flag")
+    return _read_back(spark, result["path"]).select("row_index", "doc_id", "text", "flag")
 
 
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -500,16 +563,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: shipped(query) for name, query in found.items()}
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Near-duplicate documents with previews of both rows."""
     ship(spark)
-    dataset = _load_documents(spark, "/root/testdata/sf0.001")
+    dataset = _load_documents(spark, sf_dir)
     return dataset.find_near_duplicates(threshold=0.95, top_k=50)
 
 
 # ---- the same results in SQL
 
 _ROWS = "doc_id, text, lang, source, n_chars"
+_PLACE = "row_number() OVER (ORDER BY doc_id) - 1 AS row_index"
 
 # Blanks are removed at both ends as str.strip does it.
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -607,6 +671,11 @@ def _oracle_sql() -> dict[str, str]:
         "csv_round_trip": documents,
         "json_lines_round_trip": documents,
         "json_round_trip": documents,
+        "json_with_schema": documents,
+        "csv_long_ids": """
+            SELECT doc_id, 1234567890123456000 + doc_id AS long_id, (1234567890123456000 + doc_id)::VARCHAR || '789' AS longer
+            FROM documents
+        """,
         "text_paragraphs": f"""
             SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS part, unnest(parts) AS text FROM (
               SELECT doc_id, CASE WHEN len({paragraphs}) >= 3 THEN {paragraphs}
@@ -626,9 +695,9 @@ def _oracle_sql() -> dict[str, str]:
         """,
         "row_json": """
             SELECT event_id, to_json({
-              'event_id': event_id, 'event_type': event_type,
-              'value': CASE WHEN event_type <> 'error' THEN value END,
-              'user_id': CASE WHEN event_type <> 'click' THEN user_id END
+              'event_id': event_id, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'),
+              'user_id': CASE WHEN event_type <> 'click' THEN user_id END, 'event_type': event_type,
+              'value': CASE WHEN event_type <> 'error' THEN value END, 'props': props
             })::VARCHAR AS json FROM events
         """,
         "coerce_bool": """
@@ -657,6 +726,13 @@ def _oracle_sql() -> dict[str, str]:
             SELECT doc_id, {DIM} AS dim, length(text) < 200 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS is_zero
             FROM documents
         """,
+        "nan_reply": f"""
+            SELECT doc_id, {DIM} AS dim, length(text) < 200 OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS is_zero
+            FROM documents
+        """,
+        "cache_compact": f"""
+            WITH {_LABELLED} SELECT {key} AS key, {DIM} AS dim, 'again' AS status, {DIM} AS length FROM labelled
+        """,
         "pre_embed": f"""
             WITH {_LABELLED}, hits AS (SELECT count(*) AS n FROM documents SEMI JOIN labelled USING (text))
             SELECT count(*) AS rows, {DIM}::BIGINT AS embedding_dim, count(*) - any_value(n) AS fresh, any_value(n) AS hits
@@ -677,6 +753,7 @@ def _oracle_sql() -> dict[str, str]:
               count(DISTINCT text) AS cache_rows, true AS loaded FROM marked
         """,
         "incremental_embed": f"SELECT DISTINCT {key} AS key, {DIM} AS dim, 'ok' AS status FROM documents",
+        "incremental_embed_csv": f"SELECT DISTINCT {key} AS key, {DIM} AS dim, 'ok' AS status FROM documents",
         "cosine_similarity": f"""
             WITH {_UNITS} SELECT vec_id, round(list_inner_product(u, (SELECT min_by(u, vec_id) FROM units)), 6)
               AS similarity FROM units
@@ -714,6 +791,14 @@ def _oracle_sql() -> dict[str, str]:
         "knn_cells": knn,
         "outliers": outliers,
         "outliers_cells": outliers,
+        "coordinate_range": """
+            SELECT count(*) AS rows, min(embedding[1])::DOUBLE AS x_min, max(embedding[1])::DOUBLE AS x_max,
+              min(embedding[2])::DOUBLE AS y_min, max(embedding[2])::DOUBLE AS y_max FROM embeddings
+        """,
+        "scatter_frame": f"""
+            SELECT doc_id AS row_index, true AS placed, source AS color, {DIM} AS dim,
+              CASE WHEN length(text) <= 240 THEN text ELSE substring(text, 1, 239) || '…' END AS snippet FROM documents
+        """,
         "mark_rows": f"WITH {_MARKED} SELECT doc_id, keep, flag, notes FROM marked",
         "kept_filter": f"WITH {_MARKED} SELECT doc_id FROM marked WHERE keep",
         "mark_summary": f"""
@@ -726,11 +811,11 @@ def _oracle_sql() -> dict[str, str]:
             WHERE (toxic = 1 OR quality = 0)
               AND (doc_id * 2 - 100 < 0 OR doc_id * 2 - 100 >= (SELECT count(*) FROM documents))
         """,
-        "save_kept": f"WITH {_MARKED} SELECT {_ROWS}, flag, notes FROM marked WHERE keep",
-        "save_curated": f"WITH {_MARKED} SELECT {_ROWS}, keep, flag, notes FROM marked",
-        "write_template": f"WITH {_MARKED} SELECT {_ROWS}, keep, flag, notes FROM marked",
-        "apply_edits": """
-            SELECT doc_id, text, false AS flag FROM documents LEFT JOIN labels USING (doc_id)
+        "save_kept": f"WITH {_MARKED} SELECT {_PLACE}, {_ROWS}, flag, notes FROM marked WHERE keep",
+        "save_curated": f"WITH {_MARKED} SELECT {_PLACE}, {_ROWS}, keep, flag, notes FROM marked",
+        "write_template": f"WITH {_MARKED} SELECT {_PLACE}, {_ROWS}, keep, flag, notes FROM marked",
+        "apply_edits": f"""
+            SELECT {_PLACE}, doc_id, text, false AS flag FROM documents LEFT JOIN labels USING (doc_id)
             WHERE coalesce(toxic, 0) <> 1
         """,
     }

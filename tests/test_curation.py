@@ -10,6 +10,7 @@ from textcurate import status as session_status
 from textcurate.operators import edits as editing
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder
 from textcurate.operators.rowindex import with_row_index
+from textcurate.plans import dataset as plan
 from textcurate.plans import skew
 from textcurate.schema import ROW_INDEX, SOURCE_POSITION
 from textcurate.sources.readers import read_dataset, read_table
@@ -154,6 +155,34 @@ def test_an_edits_table(spark, dataset):
     assert {r[0] for r in raised.value.rows.collect()} == {-3, *range(18, 268)}
 
 
+def test_many_marks_stay_one_scan(spark, dataset, monkeypatch):
+    monkeypatch.setattr(plan, "LOG_FILES", 4)
+    marked = dataset
+    for number in range(10):
+        before = marked
+        marked, counts = marked.mark([number], keep=False, notes=f"mark {number}")
+        assert counts["kept_count"] == 17 - number and len(marked.edit_log) < 4
+    assert before.status()["kept_count"] == 9 and dataset.edits is None
+    found = {r[ROW_INDEX]: r.notes for r in marked.current().collect()}
+    assert found == {i: f"mark {i}" if i < 10 else "" for i in range(18)}
+    assert marked.edits.count() == marked.edit_count == 10
+
+
+def test_reports_of_any_size_are_the_same(dataset, monkeypatch):
+    marked, _ = dataset.mark([11], keep=False, notes="noise")
+
+    def reports():
+        return (
+            marked.search("the cell", 18).collect(),
+            marked.find_outliers(10, 3).collect(),
+            marked.find_near_duplicates(0.1, 100).collect(),
+        )
+
+    listed = reports()
+    monkeypatch.setattr(plan, "FEW_ROWS", 2)
+    assert reports() == listed
+
+
 @pytest.mark.parametrize("few", [0, 200_000])
 def test_saved_files_keep_the_order_of_rows(spark, tmp_path, monkeypatch, few):
     monkeypatch.setattr(editing, "FEW_EDITS", few)

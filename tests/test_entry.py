@@ -46,14 +46,13 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_queries_without_sql(spark):
     rows = {name: entry.queries()[name](spark, SF_DIR) for name in set(entry._queries()) - set(entry._oracle_sql())}
-    assert set(rows) == {"project_2d", "coordinate_range", "scatter_frame"}
-    placed, extent = rows["project_2d"].collect(), rows["coordinate_range"].first()
-    assert extent.rows == len(placed)
+    assert set(rows) == {"project_2d"}
+    placed = rows["project_2d"].collect()
+    assert len(placed) == spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
     # Centred on zero, and the first axis carries at least as much variance as the second.
     assert abs(math.fsum(r.x for r in placed)) < 1e-2 and abs(math.fsum(r.y for r in placed)) < 1e-2
     assert sum(r.x**2 for r in placed) >= sum(r.y**2 for r in placed)
-    assert abs(extent.x_max - max(r.x for r in placed)) < 1e-6
-    assert rows["scatter_frame"].count() == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
+    assert abs(math.fsum(r.x * r.y for r in placed)) < 1e-2  # the axes do not correlate
 
 
 def test_flagship_query(spark):

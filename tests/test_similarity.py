@@ -127,6 +127,18 @@ def test_first_batch_rules_out_the_rest(spark, monkeypatch):
     assert [r.row_index for r in found] == order.tolist()
 
 
+def test_senseless_arguments_are_rejected(spark):
+    data = frame(spark, random_rows(9)[:4])
+    for call in (
+        lambda: similarity.knn(data, 0),
+        lambda: similarity.find_outliers(data, 3, -1),
+        lambda: similarity.near_duplicates(data, 1.5),
+        lambda: similarity.near_duplicates(data, float("nan")),
+    ):
+        with pytest.raises(ValueError):
+            call()
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_outliers_need_two_rows(spark, n):
     assert similarity.find_outliers(frame(spark, random_rows(9)[:n])).collect() == []

@@ -22,6 +22,13 @@ def with_key(df: DataFrame, text_column: str, model: str) -> DataFrame:
     return df.withColumn(KEY, cache_key(model, quoted(text_column)))
 
 
+def _newest(entries: DataFrame) -> DataFrame:
+    # Entries of the same moment are told apart by their content, so that every reader sees the same one.
+    order = [F.col("written_at").desc(), F.col("status").desc(), F.xxhash64("vector")]
+    newest = Window.partitionBy("model", "key").orderBy(*order)
+    return entries.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+
+
 @dataclass(frozen=True)
 class EmbeddingCache:
     """A folder of Parquet files, partitioned by model. ``status`` is ``ok``, or ``nan`` with a null vector."""
@@ -39,11 +46,20 @@ class EmbeddingCache:
 
         The join that follows needs the same exchange by key, so this adds none.
         """
-        newest = Window.partitionBy("key").orderBy(F.col("written_at").desc())
         entries = self.read().filter(F.col("model") == model)
         if few is not None:
             entries = entries.join(F.broadcast(few.withColumnRenamed(KEY, "key")), "key", "left_semi")
-        return entries.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+        return _newest(entries)
+
+    def compact(self, path: str) -> EmbeddingCache:
+        """Write the newest entry of every key to the unused ``path``, in key order, and return the cache there.
+
+        The files here are many, one per task and commit; there they are few, and each covers a run of keys. This
+        folder stays as it is, for those who read it.
+        """
+        entries = _newest(self.read()).repartitionByRange("model", "key").sortWithinPartitions("model", "key")
+        entries.write.partitionBy("model").parquet(path)
+        return EmbeddingCache(self.spark, path)
 
     def keys(self, model: str) -> DataFrame:
         """The model's keys under the name used by datasets; reads no vectors."""

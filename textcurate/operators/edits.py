@@ -10,7 +10,8 @@ from textcurate.schema import CURATION, ROW_INDEX
 
 # Up to this many edits are broadcast; whoever writes rows puts them in order afterwards, so that only speed depends on it.
 FEW_EDITS = 200_000
-SCHEMA = f"seq bigint, {ROW_INDEX} bigint, keep boolean, flag boolean, notes string"
+FIELDS = {"seq": "bigint", ROW_INDEX: "bigint", "keep": "boolean", "flag": "boolean", "notes": "string"}
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
 
 
 class RowsOutOfRange(IndexError):

@@ -360,6 +360,8 @@ def near_duplicates(
     direct_blocks: int = DIRECT_BLOCKS,
 ) -> DataFrame:
     """The ``top_k`` most similar pairs ``(row_a < row_b, similarity)`` with cosine ``>= threshold``."""
+    if not -1 <= threshold <= 1:
+        raise ValueError(f"a cosine lies within -1 and 1, so {threshold} is no threshold")
     if top_k < 1:
         return rows.sparkSession.createDataFrame([], "row_a bigint, row_b bigint, similarity double")
     # Of equal vectors, any pair with a member past the first top_k + 1 has top_k better or earlier pairs before it.
@@ -485,10 +487,16 @@ class _NeighborSearch:
         return self._best(found, routed)
 
 
+def _check_neighbors(n: int) -> None:
+    if n < 1:
+        raise ValueError(f"at least one neighbour is needed, not {n}")
+
+
 def knn(
     rows: DataFrame, n_neighbors: int = 5, block_rows: int = BLOCK_ROWS, direct_blocks: int = DIRECT_BLOCKS
 ) -> DataFrame:
     """For every row its ``n_neighbors`` most similar other rows: ``(row_index, rank, neighbor, similarity)``."""
+    _check_neighbors(n_neighbors)
     # One more than asked for, because a row is found among its own neighbours.
     m = n_neighbors + 1
     state = _NeighborSearch(rows, m, 1, block_rows, direct_blocks)
@@ -538,6 +546,7 @@ def find_outliers(
     A row's neighbours within its own cell already bound its score from above. A first batch with the highest bounds
     is scored exactly; its ``top_k``-th score then rules out every row whose bound is lower, usually almost all.
     """
+    _check_neighbors(n_neighbors)
     spark = rows.sparkSession
     size = rows.count()
     if size < 2 or top_k < 1:
@@ -552,18 +561,18 @@ def find_outliers(
         bounds = materialize(_isolation(home, n), "bounds")
         batch = max(4 * top_k, FIRST_BATCH)
         first = materialize(bounds.orderBy(F.col("score").desc(), "id").limit(batch), "first-batch")
-        exact = state.complete(home.join(F.broadcast(first.select("id")), "id", "left_semi"))
+        exact = state.complete(home.join(first.select("id"), "id", "left_semi"))
         exact = materialize(_isolation(exact, n).unionByName(zero), "exact-first")
         best = exact.orderBy(F.col("score").desc()).limit(top_k).agg(F.count("*"), F.min("score")).first()
         cutoff = best[1] if best[0] == top_k else -_FAR
-        rest = bounds.filter(F.col("score") >= cutoff - _SLACK).join(F.broadcast(first), "id", "left_anti")
+        rest = bounds.filter(F.col("score") >= cutoff - _SLACK).join(first, "id", "left_anti")
         rest = state.complete(home.join(rest.select("id"), "id", "left_semi"))
         scores = exact.unionByName(_isolation(rest, n))
     leading = scores.orderBy(ranked(F.col("score")).desc(), "id").limit(top_k)
     # All stored copies of the leading vectors, up to top_k of each, compete for the top_k places.
-    names = state.points.filter("copy = 1").select("id", "vkey").join(F.broadcast(leading), "id")
+    names = state.points.filter("copy = 1").select("id", "vkey").join(leading, "id")
     names = names.select("vkey", "score")
-    members = state.points.filter(F.col("copy") <= top_k).select("id", "vkey").join(F.broadcast(names), "vkey")
+    members = state.points.filter(F.col("copy") <= top_k).select("id", "vkey").join(names, "vkey")
     return members.select(F.col("id").alias("row_index"), F.col("score").alias("outlier_score")).orderBy(
         ranked(F.col("outlier_score")).desc(), "row_index"
     ).limit(top_k)

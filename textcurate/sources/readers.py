@@ -45,8 +45,8 @@ _LONG_INTEGER = r"^\s*[+-]?0*[1-9]\d{15,}\s*$"
 # A line that is a record of its own: every quoted cell that opens in it closes in it.
 _CELL = r'(?:"(?:[^"\r]++|"")*+"|[^",\r]*+)'
 _WHOLE_RECORD = rf"^{_CELL}(?:,{_CELL})*+\r?$"
-# With more files than this that cannot be split, reading all of them whole is parallel enough.
-_MAX_WHOLE_FILES = 1000
+# How cells are written: a header row, and doubled quotes.
+CSV_RULES = {"header": True, "escape": '"'}
 
 
 def read_csv(
@@ -58,7 +58,7 @@ def read_csv(
     that all files do or none does, a pass over the lines finds those that do; all others are read in splits.
     Without a ``schema`` another pass settles the column types.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
+    reader = spark.read.options(**CSV_RULES)
     if schema is None:
         names = reader.option("multiLine", multiline is not False).option("inferSchema", False).csv(path).columns
         cell_schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
@@ -72,22 +72,23 @@ def read_csv(
     if multiline is None:
         lines = tag_file_position(spark.read.option("lineSep", "\n").text(path))
         broken = lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).select(FILE).distinct()
-        files = [r[0] for r in broken.limit(_MAX_WHOLE_FILES + 1).collect()]
-        if not files or len(files) > _MAX_WHOLE_FILES:
-            raw = scan(whole=bool(files))
+        files = [r[0] for r in broken.collect()]  # names of files, which the scan lists on the driver as well
+        if not files:
+            raw = scan(whole=False)
         else:
             listed = F.col(FILE).isin(files)
             raw = scan(whole=True).filter(listed).unionByName(scan(whole=False).filter(~listed))
     else:
         raw = scan(whole=multiline)
-    cells = _drop_na_tokens(raw, names)
+    cells = drop_na_tokens(raw, names)
     if schema is not None:
         return cells
     types = _fit_types(cells, names)
     return cells.select(*[quoted(n).cast(t).alias(n) for n, t in types], FILE, BLOCK)
 
 
-def _drop_na_tokens(df: DataFrame, names: list[str]) -> DataFrame:
+def drop_na_tokens(df: DataFrame, names: list[str]) -> DataFrame:
+    """Null for cells that mean "missing"."""
     return df.withColumns({n: F.when(~quoted(n).isin(*NA_TOKENS), quoted(n)) for n in names})
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from textcurate.functions.text import quoted
 from textcurate.operators.cache import EmbeddingCache, with_key
 from textcurate.operators.embed import EmbedConfig, Embedder, fill_cache
+from textcurate.schema import string_columns
+from textcurate.sources.readers import CSV_RULES, drop_na_tokens
 
 
 def embed_new_files(
@@ -24,19 +26,23 @@ def embed_new_files(
     checkpoint: str,
     file_format: str = "parquet",
     files_per_batch: int = 1000,
+    options: dict | None = None,
     sleep: Callable[[float], None] = time.sleep,
 ) -> int:
     """Embed the texts of all files not seen by ``checkpoint`` yet, batch by batch; returns the number of batches.
 
     A batch that is run again after a failure finds its texts in the cache, so nothing is embedded twice. There is
     no state besides the checkpoint, and no watermark: what counts is a text's content, not its time.
+    CSV is read under the rules of :func:`textcurate.sources.readers.read_csv`, whole files at a time, as a quoted
+    cell may hold line breaks; broken JSON ends the query. ``options`` are those of Spark's reader and come last.
     """
+    rules = {"csv": {**CSV_RULES, "multiLine": True}, "json": {"mode": "FAILFAST"}}.get(file_format, {})
+    reader = spark.readStream.format(file_format).schema(schema).options(**{**rules, **(options or {})})
+    cells = reader.option("maxFilesPerTrigger", files_per_batch).load(folder)
+    if file_format == "csv":
+        cells = drop_na_tokens(cells, string_columns(cells.schema))
     rows = (
-        spark.readStream.format(file_format)
-        .schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-        .filter(quoted(text_column).isNotNull())
+        cells.filter(quoted(text_column).isNotNull())
         .select(quoted(text_column).cast("string").alias("text"))
     )
 
