@@ -280,6 +280,16 @@ def test_pseudonyms(spark, odd):
     iso, slashed = re.findall(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}", new)[:2]
     assert iso != "2019-05-12" and slashed == f"{iso[5:7]}/{iso[8:]}/{iso[:4]}"
     assert rows[2].text == "again " + " ".join(card[k : k + 4] for k in range(0, 16, 4)) and rows[3].text == "nothing"
+    # Areas and exchanges that are not given out count where the number is written as one, and stay of their kind.
+    written = ["+1 (017) 555-7713", "+1 (974) 055-3436", "(317) 555-7713", "+1.017.055.0000"]
+    bare = ["017-555-7713", "317 055 7713", "1 (017) x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(written + bare)], "doc_id long, text string")
+    rows = [r for r in pii.pseudonymize(docs, "key").orderBy("doc_id").collect()]
+    assert [r.n_phone for r in rows] == [1] * 4 + [0] * 3 and [r.text for r in rows[4:]] == bare
+    for row, old in zip(rows, written):
+        assert row.text != old and re.sub("[0-9]", "0", row.text) == re.sub("[0-9]", "0", old)
+        new, old = (re.sub(r"^1(?=[0-9]{10})|[^0-9]", "", re.sub("[^0-9]", "", t)) for t in (row.text, old))
+        assert (new[0] < "2") == (old[0] < "2") and (old[0] < "2" or (new[3] < "2") == (old[3] < "2"))
     found = pii.pseudonymize(odd, "key").collect()
     assert collections.Counter((r.doc_id, r.text) for r in found) == collections.Counter((i, t) for i, t, *_ in ODD)
     assert pii.pseudonymize(odd.limit(0), "key").count() == 0

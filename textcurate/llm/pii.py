@@ -20,7 +20,10 @@ _IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 _ISO, _SLASH, _DOT = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}/[0-9]{2}/[0-9]{4}", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
 _DATE = rf"(?<![0-9./-])(?:{_ISO}|{_SLASH}|{_DOT})(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_NANP = r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+# Written with +1 or an area in brackets a number is taken for one whatever its digits; bare, its area and exchange must
+# be ones that North America gives out.
+_WRITTEN = r"(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?)[0-9]{3}[ .-][0-9]{4}"
+_NANP = rf"(?:{_WRITTEN}|[2-9][0-9]{{2}}[ .-][2-9][0-9]{{2}}[ .-][0-9]{{4}})"
 _PHONE = rf"(?<![0-9A-Za-z+])(?:{_NANP}|\+[1-9][0-9]{{7,14}})(?![0-9])"
 _GROUPS = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 _CARD = rf"(?<![0-9A-Za-z-])(?:[0-9]{{13,19}}|{_GROUPS})(?![0-9A-Za-z]|-[0-9])"
@@ -196,13 +199,19 @@ def pseudonym(hit: Column, kind: Column, key: str) -> Column:
         "%03d-%02d-%04d", new_area, F.floor(numbers["r"] / 9999) + 1, numbers["r"] % 9999 + 1
     )
 
-    # North American numbers: area and exchange run from 200 to 999. Others keep two digits, the country's.
+    # North American numbers: area and exchange run from 200 to 999. Those below, written as numbers all the same, are
+    # permuted among themselves: areas below 200, then exchanges below 200. Others keep two digits, the country's.
     national = F.substr(d, F.length(d) - 9)
-    three = lambda first: F.substr(national, F.lit(first), F.lit(3)).cast("int") - 200
+    three = lambda first: F.substr(national, F.lit(first), F.lit(3)).cast("int")
     line = F.substr(national, F.lit(7), F.lit(4)).cast("int")
-    local = permute_pair(three(1), three(4) * 10000 + line, F.lit(800), F.lit(800 * 10000), key, "phone")
+    low_area, low_exchange = three(1) < 200, three(4) < 200
+    first_area, areas = F.when(low_area, 0).otherwise(200), F.when(low_area, 200).otherwise(800)
+    first_exchange = F.when(low_area | low_exchange, 0).otherwise(200)
+    exchanges = F.when(low_area, 1000).when(low_exchange, 200).otherwise(800)
+    tail = (three(4) - first_exchange) * 10000 + line
+    local = permute_pair(three(1) - first_area, tail, areas, exchanges * 10000, key, "phone")
     new_national = F.format_string(
-        "%03d%03d%04d", local["l"] + 200, F.floor(local["r"] / 10000) + 200, local["r"] % 10000
+        "%03d%03d%04d", local["l"] + first_area, F.floor(local["r"] / 10000) + first_exchange, local["r"] % 10000
     )
     nanp = _refill(hit, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new_national))
     abroad = _refill(hit, F.concat(F.substr(d, F.lit(1), F.lit(2)), _permute_digits(F.substr(d, F.lit(3)), key, "abroad")))
