@@ -269,7 +269,8 @@ def q_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The tables hold plain punctuation only, so typographic characters are planted first.
     planted = F.translate("text", ".,-' ", "…•—’ ")
     planted = F.replace(F.replace(planted, F.lit("fi"), F.lit("ﬁ")), F.lit("\n"), F.lit("→©®\n"))
-    return _table(spark, sf_dir, "documents").select("doc_id", normalize_text(planted).alias("text"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", planted.alias("text"))
+    return rows.select("doc_id", normalize_text(F.col("text")).alias("text"))
 
 
 def q_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:

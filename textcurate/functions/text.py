@@ -63,20 +63,14 @@ def normalize_string(text: str) -> str:
 
 
 @F.arrow_udf(T.StringType())
-def _nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+def _normalize_udf(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else normalize_string(t) for t in texts.to_pylist()], pa.string())
 
 
 def normalize_text(text: Column) -> Column:
     """Column form of :func:`normalize_string`. NFKC has no built-in, so texts beyond ASCII, and no others, go through
-    Arrow batches."""
-    plain = _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text))
-    single = {mark: to for mark, to in ASCII_PUNCTUATION.items() if len(to) == 1}
-    plain = F.translate(plain, "".join(single), "".join(single.values()))
-    for mark, to in ASCII_PUNCTUATION.items():
-        if mark not in single:
-            plain = F.replace(plain, F.lit(mark), F.lit(to))
-    return F.coalesce(plain, text)
+    Arrow batches. ``text`` is looked at more than once, so let it be a column and not a long expression."""
+    return F.coalesce(_normalize_udf(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def cache_key(model: str, text: Column) -> Column:
