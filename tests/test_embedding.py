@@ -1,5 +1,8 @@
 """Embedding with retries and the cache, against fake services."""
 
+import datetime
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,5 +237,42 @@ def test_streaming_embeds_new_files_only(spark, tmp_path):
     assert cache.read().count() == cache.keys("m").count() == 4
 
 
+def test_streams_of_csv_and_json_follow_the_readers(spark, tmp_path):
+    wanted = {"a, b", "line\nbreak", 'say "hi"', "z"}
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text('text,n\n"a, b",1\n"line\nbreak",2\nNA,3\n', "utf-8")
+    (folder / "2.csv").write_text('text,n\n"say ""hi""",1\n,2\nz,3\n', "utf-8")
+    lines = tmp_path / "json"
+    lines.mkdir()
+    (lines / "1.jsonl").write_text("\n".join(json.dumps({"text": t, "n": 1}) for t in sorted(wanted)) + "\n", "utf-8")
+    for number, (path, kind, options) in enumerate(
+        [(folder, "csv", None), (lines, "json", None), (folder, "csv", {"recursiveFileLookup": True})]
+    ):
+        cache = EmbeddingCache(spark, str(tmp_path / f"cache{number}"))
+        batches = embed_new_files(
+            spark, str(path), "text string, n int", "text", cache, HashedEmbedder(4), CONFIG,
+            str(tmp_path / f"seen{number}"), kind, 1, options,
+        )
+        assert batches == len(list(path.iterdir()))
+        keys = {r[KEY] for r in rows_of(spark, sorted(wanted)).collect()}
+        assert {r[KEY] for r in cache.keys("m").collect()} == keys
+
+
+def test_compaction_keeps_the_newest_entry_of_every_key(spark, tmp_path):
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"))
+    fill_cache(rows_of(spark, ["a", "b", "c"]), "text", cache, HashedEmbedder(4), CONFIG)
+    again = cache.read().filter(F.col("key") == rows_of(spark, ["a"]).first()[KEY]).collect()[0].asDict()
+    for value in (5.0, 6.0):  # two of the same moment: any reader picks the same one
+        entry = {**again, "vector": [value] * 4, "written_at": datetime.datetime(2100, 1, 1)}
+        cache.append(spark.createDataFrame([entry], cache.read().schema))
+    small = cache.compact(str(tmp_path / "small"))
+    assert small.read().count() == 3 and cache.read().count() == 5
+    assert sorted(map(tuple, small.for_model("m").select("key", "vector").collect())) == sorted(
+        map(tuple, cache.for_model("m").select("key", "vector").collect())
+    )
+    assert EmbeddingCache(spark, str(tmp_path / "none")).compact(str(tmp_path / "empty")).read().count() == 0
+
+
 def test_keys_match_across_the_package(spark):
     assert rows_of(spark, ["a"]).first()[KEY] == spark.range(1).select(cache_key("m", F.lit("a"))).first()[0]
