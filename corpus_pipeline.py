@@ -30,11 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of Jaccard similarity lead through, the document with the smallest id stays."""
+    """Of each group that links of Jaccard similarity lead through, one row stays: the smallest id, null ids last.
+
+    Rows are told apart by a number, not by their ids, which may be null, repeated or shared by different texts.
+    """
     ship(spark)
-    classes = ngram_join.ngram_join(docs)
-    dropped = classes.filter(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    rows = ngram_join.numbered(docs, *COLUMNS)
+    return rows.join(ngram_join.first_rows(rows), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,6 +216,27 @@ def test_ngram_join(spark, odd, monkeypatch):
     assert ngram_join.ngram_join(odd.limit(0)).count() == 0
 
 
+def test_near_copies_without_ids_of_their_own(spark):
+    import corpus_pipeline
+
+    near = [" ".join(f"w{k}" for k in range(60)) + tail for tail in ("", " x", " y")]
+    other, alone = (" ".join(f"{c}{k}" for k in range(60)) for c in "pq")
+    rows = [(None, near[0])] * 3 + [(None, near[1]), (7, near[2]), (5, other), (5, other), (5, near[1]), (None, alone)]
+    rows += [(5, alone + " z"), (8, "?!"), (8, "?!")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = collections.Counter((r.doc_id, r.class_id, r.n_links, r.rep_id) for r in ngram_join.ngram_join(docs).collect())
+    expected = [(None, 5, 5, None)] * 3 + [(None, 5, 5, 5), (7, 5, 5, 7), (5, 5, 1, 5), (5, 5, 1, 5), (5, 5, 5, 5)]
+    expected += [(None, 5, 1, None), (5, 5, 1, 5), (8, 8, 0, 8), (8, 8, 0, 8)]
+    assert found == collections.Counter(expected)
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "")
+    assert kept.columns == docs.columns
+    expected = [(5, near[1]), (5, other), (5, alone + " z"), (8, "?!"), (8, "?!")]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(expected)
+    unnamed = docs.filter("doc_id IS NULL")
+    kept = corpus_pipeline.drop_near_copies(spark, unnamed, "").collect()
+    assert len(kept) == 2 and {r.text for r in kept} > {alone}
+
+
 def test_components(spark):
     edges = [(a, a + 1) for a in range(40)] + [(100, b) for b in range(101, 130)] + [(7, 7), (200, 199), (200, 199)]
     found = components.components(spark.createDataFrame(edges, "u long, v long"))

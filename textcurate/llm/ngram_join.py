@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textcurate.llm.components import components
@@ -23,7 +23,7 @@ from textcurate.plans.scratch import materialize
 
 # Documents of a component, and n-grams of theirs, that meet in one task: one block against itself or another.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
-_SIGNED = "id long, k1 long, k2 long, n int, bands array<long>"
+_SIGNED = "row long, id long, k1 long, k2 long, n int, bands array<long>"
 _VERIFIED = "node long, links long, head long"
 
 
@@ -58,8 +58,15 @@ class MinHash:
         return mix(mixed + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _lowered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.lower(text_or_empty(text_column)).alias("text"))
+def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """A written table of the columns and ``row``, a number of each row's own. Read again, a row has the same number."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "ngram-rows")
+
+
+def _lowered(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return rows.select(
+        "row", F.col(id_column).cast("long").alias("id"), F.lower(text_or_empty(text_column)).alias("text")
+    )
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
@@ -69,25 +76,26 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Re
 
 
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``(id, k1, k2, n, bands)`` from ``(id, text)``: two hashes that name the n-gram set, its size, and its band hashes."""
+    """``(row, id, k1, k2, n, bands)`` from ``(row, id, text)``: two hashes that name the n-gram set, its size, and its band hashes."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         minhash = MinHash(bands, rows)
         for batch in slices(batches):
-            for first, group in grouped(batch.column(1).to_pylist()):
+            for first, group in grouped(batch.column(2).to_pylist()):
                 sets = shingles(*word_hashes(group), n)
                 keys = [minhash.band_keys(s) if len(s) else np.empty(0, np.int64) for s in sets]
                 names = np.array([[s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)] for s in sets]).view(np.int64)
                 ends = np.cumsum([0, *map(len, keys)])
                 columns = [
                     batch.column(0).slice(first, len(group)),
+                    batch.column(1).slice(first, len(group)),
                     pa.array(names[:, 0]),
                     pa.array(names[:, 1]),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "k1", "k2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "k1", "k2", "n", "bands"])
 
     return docs.mapInArrow(signed, _SIGNED)
 
@@ -143,9 +151,8 @@ def _verify(units: DataFrame, n: int, threshold: float) -> DataFrame:
     """Per unit ``(component, i, j)``: links of its documents, within block ``i`` if ``i = j``, else between the two."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        seen = {row[4]: row for row in rows}  # repeated rows are one document
-        nodes = np.array(sorted(seen), np.int64)
-        own = [seen[k] for k in nodes.tolist()]
+        own = sorted(rows, key=lambda row: row[4])
+        nodes = np.array([row[4] for row in own], np.int64)
         sets = []
         for _, group in grouped([row[6] for row in own]):
             sets += shingles(*word_hashes(group), n)
@@ -175,41 +182,37 @@ def _verify(units: DataFrame, n: int, threshold: float) -> DataFrame:
     return placed.select("component", "i", "j", "block", "node", "copies", "text").mapInArrow(verified, _VERIFIED)
 
 
-def ngram_join(
-    docs: DataFrame,
+def classify(
+    rows: DataFrame,
     threshold: float = 0.8,
     n: int = 5,
     recall: float = 0.999,
-    rows: int = 8,
+    band_rows: int = 8,
     id_column: str = "doc_id",
     text_column: str = "text",
-) -> DataFrame:
-    """``(id, class_id, n_links, rep_id, n_grams)`` for every row.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(signed, classes, heads)`` of a table made by :func:`numbered`. Row numbers alone tell rows apart.
 
-    Two documents are linked if the Jaccard similarity of their sets of ``n`` successive words is ``threshold`` or
-    more. ``n_links`` counts the documents linked to this one, copies included; ``class_id`` is the smallest id that
-    links lead to, ``rep_id`` the smallest id with the same n-gram set. Bands of ``rows`` are as many as let a pair at
-    the threshold be found with probability ``recall``; everything found is exact. A text of 1 to n-1 words is one
-    n-gram; a null text or one without words has none, links to nothing and is its own class. Ids are integers and name
-    one document each: rows that repeat an id with its text are counted as copies. Other columns are not read.
+    ``signed (row, id, k1, k2, n)`` has every row, ``classes (k1, k2, first, component, n_links)`` every n-gram set that is
+    not empty and ``heads (component, head)`` every group of linked sets. ``first`` and ``head`` are the struct
+    ``(no_id, id, row)`` of the row with the smallest id, null ids last, then the smallest number.
     """
-    bands = bands_for(threshold, recall, rows)
-    lowered = _lowered(docs, id_column, text_column)
-    signed = materialize(sign(lowered, n, bands, rows), "ngram-signatures")
-    # Copies of an n-gram set are one node of the graph from here on.
+    bands = bands_for(threshold, recall, band_rows)
+    lowered = _lowered(rows, id_column, text_column)
+    signed = materialize(sign(lowered, n, bands, band_rows), "ngram-signatures")
+    # Copies of an n-gram set are one node of the graph from here on, named by the number of their first row.
     classes = signed.filter("n > 0").groupBy("k1", "k2").agg(
-        F.min("id").alias("rep"),
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"),
         F.count("*").alias("copies"),
         F.max("n").alias("grams"),
-        F.min_by("bands", "id").alias("bands"),
+        F.min_by("bands", "row").alias("bands"),
     )
-    classes = materialize(classes, "ngram-classes")
-    band = classes.select("rep", F.explode("bands").alias("key"))
-    heads = band.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last")
-    stars = band.join(heads.select("key", "head"), "key").filter("rep <> head")
-    near = components(stars.select(F.col("rep").alias("u"), F.col("head").alias("v")))
-    nodes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"), F.max("grams").alias("grams"))
-    near = near.join(nodes, "node")
+    classes = materialize(classes.withColumn("node", F.col("first.row")), "ngram-classes")
+    band = classes.select("node", F.explode("bands").alias("key"))
+    stars = band.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last")
+    stars = band.join(stars.select("key", "head"), "key").filter("node <> head")
+    near = components(stars.select(F.col("node").alias("u"), F.col("head").alias("v")))
+    near = near.join(classes.select("node", "copies", "grams"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS))
     sizes = near.groupBy("component").agg(blocks.cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -217,20 +220,57 @@ def ngram_join(
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
     )
-    texts = lowered.join(near.select(F.col("node").alias("id")), "id", "left_semi")
-    units = units.drop("blocks", "other", "grams").join(texts.withColumnRenamed("id", "node"), "node")
+    texts = lowered.select(F.col("row").alias("node"), "text").join(near.select("node"), "node", "left_semi")
+    units = units.drop("blocks", "other", "grams").join(texts, "node")
     verified = materialize(_verify(units, n, threshold), "ngram-links")
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"))
     forest = components(verified.filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
-    found = counts.join(forest, "node", "left").withColumnRenamed("node", "rep")
-    named = classes.select("k1", "k2", "rep", "copies").join(found, "rep", "left")
-    out = signed.drop("bands").join(named, ["k1", "k2"], "left")
+    found = classes.join(counts.join(forest, "node", "left"), "node", "left").select(
+        "k1",
+        "k2",
+        "first",
+        F.coalesce("component", "node").alias("component"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
+    found = materialize(found, "ngram-components")
+    return signed.drop("bands"), found, found.groupBy("component").agg(F.min("first").alias("head"))
+
+
+def ngram_join(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    n: int = 5,
+    recall: float = 0.999,
+    rows: int = 8,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """``(id, class_id, n_links, rep_id, n_grams)`` for every row.
+
+    Two documents are linked if the Jaccard similarity of their sets of ``n`` successive words is ``threshold`` or
+    more. ``n_links`` counts the documents linked to this one, copies included; ``class_id`` is the smallest id that
+    links lead to, ``rep_id`` the smallest id with the same n-gram set. Bands of ``rows`` are as many as let a pair at
+    the threshold be found with probability ``recall``; everything found is exact. A text of 1 to n-1 words is one
+    n-gram; a null text or one without words has none, links to nothing and is its own class. Ids are integers. Every row
+    is a document of its own, whether its id is null or that of other rows, with the same text or another; where all ids
+    are null, so are ``class_id`` and ``rep_id``. Other columns are not read.
+    """
+    table = numbered(docs, F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    signed, classes, heads = classify(table, threshold, n, recall, rows, "id", "text")
+    named = classes.join(heads, "component").drop("component")
+    out = signed.join(named, ["k1", "k2"], "left")
     has_grams = F.col("n") > 0
-    rep = F.when(has_grams, F.col("rep")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_column),
-        F.when(has_grams, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("class_id"),
-        F.when(has_grams, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
-        rep.alias("rep_id"),
+        F.when(has_grams, F.col("head.id")).otherwise(F.col("id")).alias("class_id"),
+        F.when(has_grams, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
+        F.when(has_grams, F.col("first.id")).otherwise(F.col("id")).alias("rep_id"),
         F.col("n").alias("n_grams"),
     )
+
+
+def first_rows(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``(row)``: of a table made by :func:`numbered`, one row of each group that links lead through, and all rows
+    without n-grams. The smallest id stays, null ids last, then the smallest number."""
+    signed, _, heads = classify(rows, id_column=id_column, text_column=text_column, **options)
+    return heads.select("head.row").unionByName(signed.filter("n = 0").select("row"))
