@@ -419,6 +419,30 @@ def test_nearest(spark):
     assert permutation_index.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_beside_a_hot_vector(spark):
+    pick = np.random.default_rng(7)
+    vectors = pick.normal(size=(6, 16))[pick.integers(0, 6, 800)] * 2 + pick.normal(size=(800, 16))
+    hot = vectors.mean(axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000 + i, hot.tolist()) for i in range(800)]
+    rows += [(1, vectors[2].tolist())] * 30 + [(2, vectors[2].tolist())] * 30 + [(900, vectors[2].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # An id with two vectors is asked for with either, so 1 is left out.
+    asked = (F.col("vec_id") % 8 == 0) | (F.col("vec_id") == 2)
+    by = collections.defaultdict(list)
+    for r in permutation_index.nearest(table, asked, least=40).collect():
+        by[r.query_id].append((r["rank"], r.vec_id))
+    ids, every = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    recalls = {}
+    for query in (*range(0, 800, 8), 2):
+        distance = np.sqrt(((every - every[query]) ** 2).sum(axis=1))
+        distance[ids == query] = np.inf
+        best = collections.Counter(ids[np.lexsort((ids, distance))[:10]].tolist())
+        recalls[query] = (best & collections.Counter(v for _, v in by[query])).total() / 10
+    assert min(recalls.values()) >= 0.5 and np.mean(list(recalls.values())) >= 0.9
+    assert [v for _, v in sorted(by[2])] == [1] * 10
+    assert [v for _, v in sorted(by[1000])] == list(range(1001, 1011))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
