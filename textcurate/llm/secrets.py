@@ -73,7 +73,7 @@ def labelled_samples(docs: DataFrame, max_docs: int = 2000, text_column: str = "
     """``(value, is_random)`` from about ``max_docs`` documents that hold base matches and as many that hold none.
 
     Matched values are random strings (access keys without their fixed prefix), words of 8 or more characters of the
-    other documents are ordinary. The documents are chosen by a hash of their text.
+    other documents are ordinary. The documents are chosen by a hash of their text; equal texts count once.
     """
     text = F.col("text")
     rows = docs.select(F.col(text_column).cast("string").alias("text"))
@@ -81,11 +81,12 @@ def labelled_samples(docs: DataFrame, max_docs: int = 2000, text_column: str = "
     for sign in _SIGNS.values():
         has = has | text.rlike(sign)
     rows = rows.filter(text.isNotNull()).withColumn("secret", has)
-    share = {r["secret"]: min(1.0, max_docs / r["count"]) for r in rows.groupBy("secret").count().collect()}
+    different = rows.groupBy("secret").agg(F.count_distinct(F.xxhash64(text)).alias("n"))
+    share = {r["secret"]: min(1.0, max_docs / r["n"]) for r in different.collect()}
     chosen = F.pmod(F.xxhash64(F.lit("secret sample"), text), F.lit(1_000_003)) / 1_000_003
     limit = F.when(F.col("secret"), share.get(True, 0.0)).otherwise(share.get(False, 0.0))
     # The hash is cheaper than the patterns, and most rows fail it.
-    rows = rows.filter((chosen < max(share.values(), default=0.0)) & (chosen < limit))
+    rows = rows.filter((chosen < max(share.values(), default=0.0)) & (chosen < limit)).distinct()
     spans = F.concat(*base_spans(text).values())
     random = rows.filter("secret").select(F.explode(spans).alias("s"))
     random = random.select(F.regexp_replace("s.value", "^AKIA", "").alias("value"), F.lit(True).alias("is_random"))
@@ -133,10 +134,11 @@ def _mean_ratio(value: Column, table: Column) -> Column:
 def find_secrets(
     docs: DataFrame, model: RandomModel, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``(id, text, base, added)``: all base spans, and spans of random strings that touch none of them, by start.
+    """``(id, text, base, added)``: all base spans, and spans of random strings outside of them, by start.
 
-    A candidate is a run of 20 or more of the characters ``A-Za-z0-9+/_=-`` with a letter and a digit among them; it
-    is random if its mean log-likelihood ratio reaches the model's. A null text counts as an empty one: no spans.
+    A candidate is a run of 20 or more of the characters ``A-Za-z0-9+/_=-``, or each part of such a run that base spans
+    leave; it is random if its mean log-likelihood ratio reaches the model's, that of a part with the characters of the
+    run that it borders on. A null text counts as an empty one: no spans.
     Repeated rows and ids each get their row; other columns are not read. Rows stay where they are.
     """
     flat = [0.0] * (128 * 128)
@@ -148,12 +150,36 @@ def find_secrets(
     rows = rows.withColumn("base", F.array_sort(F.concat(*base_spans(text).values())))
     tokens = _matches(text, _TOKEN, _TOKEN, 0, 20, len(BASE), RANDOM)
 
-    def is_random(span: Column) -> Column:
-        touches = F.exists("base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        mixed = span["value"].rlike("[0-9]") & span["value"].rlike("[A-Za-z]")
-        return ~touches & mixed & (_mean_ratio(span["value"], table) >= model.least_mean)
-
-    return rows.withColumn("added", F.filter(tokens, is_random))
+    def uncovered(span: Column) -> Column:
+        """The parts of a span that no base span covers, by start, and each with its neighbours as ``seen``."""
+
+        def part(start: Column, end: Column) -> Column:
+            first = F.greatest(start - 1, span["start"])
+            return F.struct(
+                start.alias("start"),
+                end.alias("end"),
+                span["rank"].alias("rank"),
+                span["kind"].alias("kind"),
+                F.substr(span["value"], start - span["start"] + 1, end - start).alias("value"),
+                F.substr(
+                    span["value"], first - span["start"] + 1, F.least(end + 1, span["end"]) - first
+                ).alias("seen"),
+            )
+
+        def step(state: Column, b: Column) -> Column:
+            start, end = F.least(b["start"], span["end"]), F.least(b["end"], span["end"])
+            gap = F.concat(state["parts"], F.array(part(state["at"], start)))
+            parts = F.when(start > state["at"], gap).otherwise(state["parts"])
+            return F.struct(F.greatest(state["at"], end).alias("at"), parts.alias("parts"))
+
+        none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,value:string,seen:string>>")
+        begin = F.struct(span["start"].alias("at"), none.alias("parts"))
+        rest = lambda s: F.when(s["at"] < span["end"], F.concat(s["parts"], F.array(part(s["at"], span["end"])))).otherwise(s["parts"])  # noqa: E731, E501
+        return F.aggregate("base", begin, step, rest)
+
+    parts = F.flatten(F.transform(tokens, uncovered))
+    random = F.filter(parts, lambda p: _mean_ratio(p["seen"], table) >= model.least_mean)
+    return rows.withColumn("added", F.transform(random, lambda p: p.dropFields("seen")).cast(_SPANS))
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
