@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcurate.llm import decontaminate, language, ngram_join, permutation_index, pieces, pii, secrets, sharding
+from textcurate.llm import (
+    alignment,
+    decontaminate,
+    language,
+    ngram_join,
+    permutation_index,
+    pieces,
+    pii,
+    secrets,
+    sharding,
+)
 from textcurate.llm.token_counts import token_counts
 from textcurate.llm.token_files import read_token_files, write_token_files
 from textcurate.plans.scratch import scratch_path
@@ -74,5 +84,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.read_shards(spark, path, docs.schema))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.LinkedCorpus(_table(spark, sf_dir, "documents"), a, b).scores()
+
+
 QUERIES = {name: value for name, value in list(globals().items()) if name.startswith("op")}
 ORACLE_SQL: dict[str, str] = {}
