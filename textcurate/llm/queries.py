@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,10 @@ from textcurate.llm import (
     alignment,
     decontaminate,
     language,
+    licenses,
+    manifest,
     ngram_join,
+    oracles,
     permutation_index,
     pieces,
     pii,
@@ -89,5 +94,20 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.LinkedCorpus(_table(spark, sf_dir, "documents"), a, b).scores()
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row, by its id's checksum, is verified with its text in lower case."""
+    docs = _table(spark, sf_dir, "documents")
+    upper = string.ascii_uppercase
+    changed = [F.translate(f, upper, upper.lower()) if f == "text" else F.col(f) for f in manifest.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.record_digest(changed))
+    proofs = manifest.build(docs, extra=tampered).proofs()
+    found = manifest.verify(proofs, F.coalesce("extra", "leaf"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: value for name, value in list(globals().items()) if name.startswith("op")}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op12_merkle_manifest": oracles.merkle(), "op13_license_scan": oracles.license_scan()}
