@@ -1,10 +1,13 @@
 """Pairs, neighbours, outliers and search against brute force, in the one-block and the many-cells plan."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textcurate.operators import similarity
+from textcurate.operators import blocks, similarity
+from textcurate.operators.embed import HashedEmbedder
 from textcurate.schema import ROW_INDEX, VECTOR
 
 DIM = 6
@@ -163,3 +166,47 @@ def test_blocks_stay_small_when_all_rows_are_close(spark):
     rng = np.random.default_rng(11)
     rows = (np.ones(DIM) + 1e-4 * rng.normal(size=(200, DIM))).astype(np.float32)
     check_pairs(spark, rows, 0.99, 40, 16)
+
+
+def test_boxes_rule_out_half_of_the_block_pairs(spark):
+    """Hashed documents at 0.95: fewer than half of all pairs of blocks meet, and no near pair is lost."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are not there")
+    texts = sorted({r[0] for r in spark.read.parquet(path).select("text").collect()})
+    rows = np.asarray(HashedEmbedder(256)(texts), np.float32)
+    points = similarity._distinct_vectors(frame(spark, rows), 1)
+    layout = blocks.make_layout(points, len(rows), 16)
+    located = blocks.locate(points, layout, 16)
+    packed = blocks.pack(located, layout)
+    n = packed.count()
+    near = packed.withColumn("reach", F.lit(float(np.sqrt(2 - 2 * 0.95))))
+    pairs = {(r.a, r.b) for r in blocks.meetings(near, packed, layout, both_ways=False).collect()}
+    assert n > 50 and all(a > b for a, b in pairs) and len(pairs) < n * (n - 1) / 2 / 2
+    block = {r.id: r.block for r in located.collect()}
+    i, j = np.nonzero(np.triu(cosines(rows) >= 0.95, 1))
+    wanted = {(max(block[a], block[b]), min(block[a], block[b])) for a, b in zip(i.tolist(), j.tolist()) if a in block and b in block}
+    assert {(a, b) for a, b in wanted if a != b} <= pairs
+    both = {(r.a, r.b) for r in blocks.meetings(near, packed, layout, both_ways=True).collect()}
+    assert both == pairs | {(b, a) for a, b in pairs}
+
+
+def test_meetings_are_those_of_near_boxes(spark):
+    """The descent from the root finds what comparing all boxes finds, in leaves of several blocks too."""
+    rng = np.random.default_rng(3)
+    rows = random_rows(12, n=400, copies=1, zeros=0, tight=150)
+    points = similarity._distinct_vectors(frame(spark, rows), 1)
+    layout = blocks.make_layout(points, 400, 50)
+    packed = blocks.pack(blocks.locate(points, layout, 6).withColumn("radius", F.rand(int(rng.integers(99)))), layout)
+    boxes = packed.collect()
+    assert len({r.leaf for r in boxes}) < len(boxes) and sum(r.n for r in boxes) == 400
+    low, high = np.array([r.low for r in boxes]), np.array([r.high for r in boxes])
+    gaps = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+    away = np.sqrt((gaps**2).sum(axis=2))
+    expected = {
+        (a.block, b.block)
+        for i, a in enumerate(boxes)
+        for j, b in enumerate(boxes)
+        if i != j and away[i, j] <= a.reach + blocks.SLACK
+    }
+    assert {(r.a, r.b) for r in blocks.meetings(packed, packed, layout, both_ways=True).collect()} == expected

@@ -4,51 +4,41 @@ Pairs and neighbours share one plan:
 
 1. Copies first. Among rows with the same vector only the lowest few row indices can appear in a bounded answer, so
    the rest are dropped before any comparison. The limit is applied map-side, so copies cost nothing to shuffle.
-2. Cells. A bounded random sample of vectors serves as centres; every row lives in the cell of its nearest centre,
-   and in a block of rows at about the same distance from it. The triangle inequality tells which other blocks a row
-   has to visit; see :func:`_visits`.
+2. Blocks. Rows are laid out by a tree over a few coordinates of their vectors and packed, a leaf to a block; the boxes of
+   two blocks tell how near their rows can be at most. See :mod:`textcurate.operators.blocks`.
 3. A first look. Rows are compared within their own block only. What is found there bounds the answer: pairs below
-   the ``top_k``-th found, or rows farther than the neighbours found, cannot matter. That shrinks the visits.
-4. Visits. Blocks are cut further by row hash, so that whatever the size of a cell a task holds a bounded number of
-   rows; it compares them by a matrix product and returns its own best few only.
+   the ``top_k``-th found, or rows farther than the neighbours found, cannot matter.
+4. Meetings. Only blocks whose boxes are near enough meet, and of these only the rows that are near enough to the other box;
+   a task multiplies a block with one partner after the other and returns its own best few only.
 
 Inputs of a few blocks skip steps 2 and 3, which would cost more than they save: every block meets every block once.
-Where vectors lie close together compared to the wanted distance the visits prune little
-and the work tends to all pairs of blocks; the memory of a task stays bounded all the same.
+Where vectors are about equally far from each other, the boxes rule out little and the work tends to all pairs of blocks;
+the memory of a task stays bounded all the same.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textcurate.functions.vectors import RANK_DECIMALS, cosine_to, matrix, ranked, unit_rows, vector_key
+from textcurate.operators import blocks
+from textcurate.operators.blocks import FAR, SLACK, Block
 from textcurate.plans.scratch import materialize
 from textcurate.plans.skew import join_on_unique
 from textcurate.schema import ROW_INDEX, VECTOR
 
 BLOCK_ROWS = 2048
-# Inputs of up to this many blocks are compared block by block without cells.
+# Inputs of up to this many blocks are compared block by block without a layout.
 DIRECT_BLOCKS = 16
-# Centres are broadcast: 4096 vectors of 1024 floats are 16 MB.
-MAX_CELLS = 4096
-# Distances from a centre run from 0 to 2; they are told apart in so many steps at most, and in fewer if there are
-# many cells, so that all cells together have a bounded number of blocks.
-MAX_STEPS = 1000
-MAX_BLOCKS = 400_000
 # Up to this limit Spark applies a rank limit before the exchange (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 SALTS = 1024
-# Distances get this much slack, more than the rounding of scores and arithmetic can amount to.
-_SLACK = 1e-6
-_FAR = 4.0
 # Outlier candidates scored exactly before the others are ruled out.
 FIRST_BATCH = 1024
 
@@ -82,195 +72,12 @@ def _is_zero(vectors: Column) -> Column:
     return ~F.exists(vectors, lambda x: x != 0)
 
 
-# ---- step 2: cells and blocks
-
-
-@dataclass(frozen=True)
-class _Cells:
-    """Centres as unit rows, the largest distance of any row to its own centre, and the blocks.
-
-    ``blocks[q, i]`` is the number of the block for rows at the ``i``-th step of distance from centre ``q``. Numbers
-    rise with the distance, and from cell to cell.
-    """
-
-    centers: np.ndarray
-    reach: np.ndarray
-    blocks: np.ndarray
-
-    def block_at(self, cells: np.ndarray, distances: np.ndarray) -> np.ndarray:
-        steps = self.blocks.shape[1]
-        return self.blocks[cells, np.clip((distances * (steps / 2.0)).astype(np.int64), 0, steps - 1)]
-
-
-def _distances(vectors: pa.Array, centers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Euclidean distances of unit vectors to all centres, a bounded number of rows at a time."""
-    step = 1024
-    for start in range(0, len(vectors), step):
-        cosines = unit_rows(matrix(vectors.slice(start, step))) @ centers.T
-        yield start, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosines))
-
-
-def _make_cells(points: DataFrame, rows: int, block_rows: int) -> _Cells:
-    wanted = max(1, min(MAX_CELLS, math.ceil(rows / block_rows)))
-    # A share of all hash values that holds about four times as many vectors as wanted, so that few are sorted.
-    order = F.xxhash64("vkey")
-    few = order < int(-(2**63) + 2**64 * min(1.0, 4 * wanted / rows)) if 4 * wanted < rows else F.lit(True)
-    sample = points.filter(F.col("copy") == 1).filter(few).orderBy(order, "vkey").limit(wanted).select("vec").collect()
-    if not sample:
-        sample = points.limit(1).select("vec").collect()
-    centers = unit_rows(np.asarray([r[0] for r in sample], dtype=np.float64))
-    steps = min(MAX_STEPS, MAX_BLOCKS // len(centers))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, reach = np.zeros((len(centers), steps), dtype=np.int64), np.zeros(len(centers))
-        for batch in batches:
-            for _, distances in _distances(batch.column("vec"), centers):
-                home = distances.argmin(axis=1)
-                own = distances[np.arange(len(home)), home]
-                np.add.at(sizes, (home, np.minimum((own * (steps / 2.0)).astype(np.int64), steps - 1)), 1)
-                np.maximum.at(reach, home, own)
-        cell, step = np.nonzero(sizes)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "cell": pa.array(cell, pa.int32()),
-                "step": pa.array(step, pa.int32()),
-                "n": pa.array(sizes[cell, step], pa.int64()),
-                "reach": pa.array(reach[cell], pa.float64()),
-            }
-        )
-
-    # Each task reports counts, not rows, and the driver receives at most MAX_BLOCKS of them.
-    found = points.select("vec").mapInArrow(measure, "cell int, step int, n long, reach double")
-    found = found.groupBy("cell", "step").agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).toPandas()
-    sizes, reach = np.zeros((len(centers), steps), dtype=np.int64), np.zeros(len(centers))
-    sizes[found["cell"], found["step"]] = found["n"]
-    np.maximum.at(reach, found["cell"].to_numpy(), found["reach"].to_numpy())
-    # Neighbouring steps share a block as long as they fill it no more than once.
-    filled = np.cumsum(sizes, axis=1) // block_rows
-    new_block = np.diff(filled, axis=1, prepend=0) > 0
-    new_block[:, 0] = True
-    blocks = np.cumsum(new_block.ravel()).reshape(sizes.shape) - 1
-    return _Cells(centers, reach, blocks.astype(np.int32))
-
-
-def _visits(distances: np.ndarray, home: np.ndarray, radius: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Which cells may hold a vector within ``radius`` of each row.
-
-    If y lives in cell q and d(x, y) <= r, then d(x, q) <= r + d(y, q) <= r + reach(q). And since y is no closer to
-    x's own centre p than to q, d(x, q) <= r + d(y, q) <= r + d(y, p) <= 2r + d(x, p).
-    """
-    own = distances[np.arange(len(home)), home]
-    bound = np.minimum(radius[:, None] + reach[None, :], 2.0 * radius[:, None] + own[:, None])
-    return distances <= bound + _SLACK
-
-
 def _distance(cosine: Column) -> Column:
     """The distance of unit vectors with this cosine, rounded up."""
-    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (cosine - _SLACK)))
-
-
-def _locate(points: DataFrame, cells: _Cells) -> DataFrame:
-    """Add ``home`` and ``block``, where each row lives. Must be stored: every later step has to see the same."""
-    added = ["home", "block"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            homes, blocks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
-            for _, distances in _distances(batch.column("vec"), cells.centers):
-                home = distances.argmin(axis=1)
-                homes.append(home)
-                blocks.append(cells.block_at(home, distances[np.arange(len(home)), home]))
-            columns = [pa.array(np.concatenate(homes), pa.int32()), pa.array(np.concatenate(blocks), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
+    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (cosine - SLACK)))
 
-    fields = [T.StructField(name, T.IntegerType()) for name in added]
-    return points.mapInArrow(run, T.StructType([*points.schema.fields, *fields]))
 
-
-def _route(points: DataFrame, cells: _Cells, earlier_only: bool) -> DataFrame:
-    """Rows ``(id, vec, home_first, visits)``: the runs of blocks that may hold a vector within each row's ``radius``.
-
-    With d(x, y) <= r the distances of x and y from any centre differ by r at most, so of a cell only the blocks at
-    those distances are visited. ``earlier_only`` leaves out cells numbered higher than the row's own, so that any two
-    cells meet in one direction only. ``home_first`` is the first block of the row's own cell.
-    """
-    centers, reach = cells.centers, cells.reach
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            radii = np.asarray(batch.column("radius"), dtype=np.float64)
-            homes = np.asarray(batch.column("home"))
-            for start, distances in _distances(batch.column("vec"), centers):
-                part = batch.slice(start, len(distances))
-                radius, home = (column[start : start + len(distances)] for column in (radii, homes))
-                visit = _visits(distances, home, radius, reach)
-                if earlier_only:
-                    visit &= np.arange(len(centers))[None, :] <= home[:, None]
-                row, cell = np.nonzero(visit)
-                away = distances[row, cell]
-                first = cells.block_at(cell, away - radius[row] - _SLACK)
-                last = cells.block_at(cell, away + radius[row] + _SLACK)
-                # Runs that touch become one.
-                starts = np.ones(len(row), dtype=bool)
-                starts[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)
-                ends = np.append(starts[1:], True) if len(row) else starts
-                runs = pa.StructArray.from_arrays(
-                    [pa.array(first[starts], pa.int32()), pa.array(last[ends], pa.int32())], names=["first", "last"]
-                )
-                offsets = np.searchsorted(row[starts], np.arange(len(distances) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"),
-                        part.column("vec"),
-                        pa.array(cells.blocks[home, 0], pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(offsets), runs),
-                    ],
-                    names=["id", "vec", "home_first", "visits"],
-                )
-
-    schema = "id bigint, vec array<float>, home_first int, visits array<struct<first: int, last: int>>"
-    return points.select("id", "vec", "home", "radius").mapInArrow(run, schema)
-
-
-# ---- steps 3 and 4: comparing blocks
-
-
-def _within(left: DataFrame, right: DataFrame, block_rows: int, kernel: Callable, schema: str) -> DataFrame:
-    """Compare rows ``(block, id, vec, side)`` of both sides within a block, or within each hash part of a large one."""
-    sizes = left.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    # At most MAX_BLOCKS rows.
-    sizes = F.broadcast(sizes)
-    part = F.pmod(F.xxhash64("id"), "parts").alias("part")
-    rows = left.unionByName(right).join(sizes, "block").select("block", part, "id", "vec", "side")
-    return rows.groupBy("block", "part").applyInArrow(kernel, schema)
-
-
-def _across(left: DataFrame, right: DataFrame, block_rows: int, kernel: Callable, schema: str) -> DataFrame:
-    """Compare all ``left`` rows of a block with all ``right`` rows of it, a bounded number of each per task."""
-    spark = left.sparkSession
-    parts = left.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("nl"))
-    visits = right.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("nr"))
-    grid = materialize(parts.join(visits, "block"), "grid")
-    tasks = grid.agg(F.sum(F.col("nl") * F.col("nr"))).first()[0] or 1
-    # At most MAX_BLOCKS rows.
-    grid = F.broadcast(grid)
-
-    def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
-
-    here = left.join(grid, "block").select(
-        "block", F.pmod(F.xxhash64("id"), "nl").alias("bl"), every("nr").alias("br"), "id", "vec", "side"
-    )
-    there = right.join(grid, "block").select(
-        "block", every("nl").alias("bl"), F.pmod(F.xxhash64("id"), "nr").alias("br"), "id", "vec", "side"
-    )
-    group = ["block", "bl", "br"]
-    # The work of a group is in its arithmetic, so partitions are cut by groups, not merged by bytes.
-    at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    # At least as many partitions as give each eight groups: they grow in number with the data and not in size.
-    partitions = max(1, min(2 * tasks, at_once), tasks // 8)
-    pairs = here.unionByName(there).repartition(int(partitions), *group)
-    return pairs.groupBy(*group).applyInArrow(kernel, schema)
+# ---- few blocks: each with each
 
 
 def _direct(
@@ -294,17 +101,8 @@ def _direct(
 
 
 def _side(points: DataFrame, side: int) -> DataFrame:
-    """Rows as one side of a comparison, with their block if they have one."""
-    block = [c for c in points.columns if c == "block"]
-    return points.select(*block, "id", "vec", F.lit(side).alias("side"))
-
-
-def _visitors(routed: DataFrame) -> DataFrame:
-    """One row per block a row visits; blocks of its own cell are told from others by ``side``."""
-    runs = routed.select("id", "vec", "home_first", F.explode("visits").alias("run"))
-    blocks = F.explode(F.sequence(F.col("run.first"), F.col("run.last"))).alias("block")
-    side = F.when(F.col("block") >= F.col("home_first"), _HOME).otherwise(_GUEST)
-    return runs.select("id", "vec", "home_first", blocks).select("block", "id", "vec", side.alias("side"))
+    """Rows as one side of a comparison."""
+    return points.select("id", "vec", F.lit(side).alias("side"))
 
 
 _LEFT, _HOME, _GUEST = 0, 1, 2
@@ -329,25 +127,49 @@ def _sides(table: pa.Table) -> tuple | None:
     return ids[left], units[left], ids[right], units[right], side[right] == _GUEST
 
 
+def _pair_table(a: np.ndarray, b: np.ndarray, scores: np.ndarray, k: int) -> pa.Table:
+    best = np.lexsort((b, a, -np.round(scores, RANK_DECIMALS)))[:k]
+    return pa.table({"a": a[best], "b": b[best], "similarity": scores[best]})
+
+
+def _pairs_of(left, left_units, right, right_units, guest: np.ndarray, threshold: float, k: int) -> pa.Table:
+    """The best ``k`` pairs of two sides. Rows that are no guests are on both: their pairs are taken in one order."""
+    cosines = left_units @ right_units.T
+    i, j = np.nonzero((cosines >= threshold - _STEP) & (guest[None, :] | (left[:, None] < right[None, :])))
+    scores = cosines[i, j]
+    rank = np.round(scores, RANK_DECIMALS)
+    enough = rank >= threshold
+    if np.count_nonzero(enough) > k:
+        enough = rank >= -np.partition(-rank, k - 1)[k - 1]
+    i, j, scores = i[enough], j[enough], scores[enough]
+    return _pair_table(np.minimum(left[i], right[j]), np.maximum(left[i], right[j]), scores, k)
+
+
 def _pair_kernel(threshold: float, k: int) -> Callable[[pa.Table], pa.Table]:
     def best_pairs(table: pa.Table) -> pa.Table:
         sides = _sides(table)
         if sides is None:
             none = np.zeros(0, dtype=np.int64)
-            return pa.table({"a": none, "b": none, "similarity": np.zeros(0)})
-        left, left_units, right, right_units, guest = sides
-        cosines = left_units @ right_units.T
-        # Rows of the same cell are on both sides: take those pairs in one order.
-        i, j = np.nonzero((cosines >= threshold - _STEP) & (guest[None, :] | (left[:, None] < right[None, :])))
-        scores = cosines[i, j]
-        rank = np.round(scores, RANK_DECIMALS)
-        enough = rank >= threshold
-        if np.count_nonzero(enough) > k:
-            enough = rank >= -np.partition(-rank, k - 1)[k - 1]
-        i, j, scores, rank = i[enough], j[enough], scores[enough], rank[enough]
-        a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
-        best = np.lexsort((b, a, -rank))[:k]
-        return pa.table({"a": a[best], "b": b[best], "similarity": scores[best]})
+            return _pair_table(none, none, np.zeros(0), k)
+        return _pairs_of(*sides, threshold, k)
+
+    return best_pairs
+
+
+def _block_pair_kernel(threshold: float, k: int, radius: float) -> Callable[[Block, Iterable[Block]], pa.Table]:
+    """The best ``k`` pairs of a block and its partners, or with itself; no pair is farther apart than ``radius``."""
+
+    def best_pairs(block: Block, partners: Iterable[Block]) -> pa.Table:
+        found = []
+        for other in partners:
+            here, there = block, other
+            if other is not block:
+                here = block.taken(block.distances_to(other) <= radius + SLACK)
+                there = other.taken(other.distances_to(block) <= radius + SLACK)
+            guest = np.full(len(there.ids), other is not block)
+            found.append(_pairs_of(here.ids, here.units, there.ids, there.units, guest, threshold, k))
+        every = pa.concat_tables(found)
+        return _pair_table(*(np.asarray(every.column(c)) for c in ("a", "b", "similarity")), k)
 
     return best_pairs
 
@@ -366,7 +188,7 @@ def near_duplicates(
         return rows.sparkSession.createDataFrame([], "row_a bigint, row_b bigint, similarity double")
     # Of equal vectors, any pair with a member past the first top_k + 1 has top_k better or earlier pairs before it.
     points = _distinct_vectors(rows, top_k + 1)
-    if threshold > _SLACK:
+    if threshold > SLACK:
         points = points.filter(~_is_zero(F.col("vec")))
     kernel = _pair_kernel(threshold, top_k)
     parts = max(1, math.ceil(rows.count() / block_rows))
@@ -374,19 +196,20 @@ def near_duplicates(
         found = _direct(_side(points, _LEFT), _side(points, _HOME), parts, kernel, _PAIRS, both_ways=False)
         return _best_pairs(found, top_k)
     points = materialize(points, "points")
-    n = points.count()
-    cells = _make_cells(points, n, block_rows)
-    located = materialize(_locate(points, cells), "located")
-    left = _side(located, _LEFT)
-    near = _best_pairs(_within(left, _side(located, _HOME), block_rows, kernel, _PAIRS), top_k)
+    layout = blocks.make_layout(points, points.count(), block_rows)
+    packed = blocks.pack(blocks.locate(points, layout, block_rows), layout)
+    near = materialize(_best_pairs(blocks.within(packed, _block_pair_kernel(threshold, top_k, FAR), _PAIRS), top_k), "near")
     count, worst = near.agg(F.count("*"), F.min(ranked(F.col("similarity")))).first()
-    # A zero vector has no direction, so distances say nothing about it: if it counts, every block is visited.
-    limit = F.lit(_FAR) if threshold <= _SLACK else _distance(F.lit(threshold))
-    if count == top_k and worst > max(threshold, _SLACK):
-        limit = _distance(F.lit(worst))
-        kernel = _pair_kernel(worst, top_k)
-    routed = materialize(_route(located.withColumn("radius", limit), cells, earlier_only=True), "routed")
-    return _best_pairs(_across(left, _visitors(routed), block_rows, kernel, _PAIRS), top_k)
+    # A zero vector has no direction, so distances say nothing about it: if it counts, every block meets every other.
+    radius = FAR
+    if count == top_k and worst > threshold:
+        threshold = worst
+    if threshold > SLACK:
+        radius = math.sqrt(max(0.0, 2 - 2 * (threshold - SLACK)))
+    pairs = blocks.meetings(packed.withColumn("reach", F.lit(radius)), packed, layout, both_ways=False)
+    found = blocks.across(packed, packed, pairs, _block_pair_kernel(threshold, top_k, radius), _PAIRS)
+    pairs_at_home = near.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity")
+    return _best_pairs(found.unionByName(pairs_at_home), top_k)
 
 
 def _best_pairs(found: DataFrame, top_k: int) -> DataFrame:
@@ -397,28 +220,63 @@ def _best_pairs(found: DataFrame, top_k: int) -> DataFrame:
 # ---- neighbours
 
 
+def _neighbors_of(queries, query_units, rows, row_units, m: int, floor: np.ndarray | None = None) -> pa.Table:
+    """The best ``m`` of ``rows``, which ascend, for each query; none with a cosine below the query's ``floor``."""
+    empty = np.zeros(0, dtype=np.int64)
+    ids, others, scores = [empty], [empty], [np.zeros(0)]
+    if len(queries) and len(rows):
+        cosines = query_units @ row_units.T
+        least = np.full(len(queries), -np.inf) if floor is None else floor
+        if len(rows) > m:
+            # Nothing that much below the m-th score can round to it.
+            best = np.partition(cosines, len(rows) - m, axis=1)[:, len(rows) - m]
+            least = np.maximum(least, best - 2 * _STEP)
+        for query, row, enough in zip(queries, cosines, least):
+            near = np.flatnonzero(row >= enough)
+            # Rows are sorted, so a stable sort gives ties to the lower index.
+            near = near[np.argsort(-np.round(row[near], RANK_DECIMALS), kind="stable")[:m]]
+            ids.append(np.full(len(near), query, dtype=np.int64))
+            others.append(rows[near])
+            scores.append(row[near])
+    return pa.table({"id": np.concatenate(ids), "other": np.concatenate(others), "cosine": np.concatenate(scores)})
+
+
 def _neighbor_kernel(m: int) -> Callable[[pa.Table], pa.Table]:
     def best_neighbors(table: pa.Table) -> pa.Table:
-        empty = np.zeros(0, dtype=np.int64)
-        queries, others, scores = [empty], [empty], [np.zeros(0)]
         sides = _sides(table)
-        if sides is not None:
-            left, left_units, right, right_units, _ = sides
-            cosines = right_units @ left_units.T
-            floor = np.full(len(right), -np.inf)
-            if len(left) > m:
-                # Nothing that much below the m-th score can round to it.
-                floor = np.partition(cosines, len(left) - m, axis=1)[:, len(left) - m] - 2 * _STEP
-            for query, row, least in zip(right, cosines, floor):
-                near = np.flatnonzero(row >= least)
-                # Left rows are sorted, so a stable sort gives ties to the lower index.
-                near = near[np.argsort(-np.round(row[near], RANK_DECIMALS), kind="stable")[:m]]
-                queries.append(np.full(len(near), query, dtype=np.int64))
-                others.append(left[near])
-                scores.append(row[near])
-        return pa.table(
-            {"id": np.concatenate(queries), "other": np.concatenate(others), "cosine": np.concatenate(scores)}
-        )
+        if sides is None:
+            none = np.zeros(0, dtype=np.int64)
+            return _neighbors_of(none, None, none, None, m)
+        left, left_units, right, right_units, _ = sides
+        return _neighbors_of(right, right_units, left, left_units, m)
+
+    return best_neighbors
+
+
+def _home_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Table]:
+    """The best ``m`` within a block, for the rows of it that look around (those with a radius)."""
+
+    def best_neighbors(block: Block, partners: Iterable[Block]) -> pa.Table:
+        asking = block.taken(block.radii > 0)
+        found = [_neighbors_of(asking.ids, asking.units, other.ids, other.units, m) for other in partners]
+        return pa.concat_tables(found)
+
+    return best_neighbors
+
+
+def _block_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Table]:
+    """Of each partner the best ``m`` within the radius of each row that is near enough to the partner's box."""
+
+    def best_neighbors(block: Block, partners: Iterable[Block]) -> pa.Table:
+        found = []
+        for other in partners:
+            asking = block.taken(block.distances_to(other) <= block.radii + SLACK)
+            reach = asking.radii.max(initial=0.0)
+            rows = other.taken(other.distances_to(block) <= reach + SLACK)
+            # The radius was rounded up, so that no row with the least cosine that counts lies below this.
+            floor = 1 - asking.radii**2 / 2 - SLACK
+            found.append(_neighbors_of(asking.ids, asking.units, rows.ids, rows.units, m, floor))
+        return pa.concat_tables(found)
 
     return best_neighbors
 
@@ -441,17 +299,19 @@ class _NeighborSearch:
         if self.direct:
             self.targets = directed
         else:
-            self.cells = _make_cells(directed, n, block_rows)
-            self.targets = materialize(_locate(directed, self.cells), "located")
+            self.layout = blocks.make_layout(directed, n, block_rows)
+            self.targets = blocks.locate(directed, self.layout, block_rows)
+            looks = F.when(F.col("copy") == 1, FAR).otherwise(0.0)
+            self.packed = blocks.pack(self.targets.withColumn("radius", looks), self.layout)
         self.queries = self.targets.filter("copy = 1")
 
     def _lowest(self, where: Column) -> list[int]:
         ids = self.points.filter(where & (F.col("copy") <= self.m)).select("id").orderBy("id").limit(self.m)
         return [r[0] for r in ids.collect()]
 
-    def _best(self, found: DataFrame, queries: DataFrame) -> DataFrame:
-        """The best ``m`` of what was found for each query, and of the zero vectors, which no block holds."""
-        if self.zero_ids:
+    def _best(self, found: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+        """The best ``m`` of what was found, for ``queries`` also of the zero vectors, which no block holds."""
+        if self.zero_ids and queries is not None:
             ids = F.array(*[F.lit(i).cast("bigint") for i in self.zero_ids])
             found = found.unionByName(queries.select("id", F.explode(ids).alias("other"), F.lit(0.0).alias("cosine")))
         best = Window.partitionBy("id").orderBy(ranked(F.col("cosine")).desc(), "other")
@@ -466,10 +326,11 @@ class _NeighborSearch:
     def at_home(self) -> DataFrame:
         """For each distinct nonzero vector the best of its own block, or of all rows if there are few:
         ``(id, other, cosine, rank)``."""
-        left, right, kernel = _side(self.targets, _LEFT), _side(self.queries, _HOME), _neighbor_kernel(self.m)
         if self.direct:
+            left, right = _side(self.targets, _LEFT), _side(self.queries, _HOME)
+            kernel = _neighbor_kernel(self.m)
             return self._best(_direct(left, right, self.parts, kernel, _NEIGHBORS, both_ways=True), self.queries)
-        found = _within(left, right, self.block_rows, kernel, _NEIGHBORS)
+        found = blocks.within(self.packed, _home_neighbor_kernel(self.m), _NEIGHBORS)
         return materialize(self._best(found, self.queries), "neighbors-home")
 
     def complete(self, home: DataFrame) -> DataFrame:
@@ -479,12 +340,12 @@ class _NeighborSearch:
         last = F.max(F.when(F.col("rank") == self.m, F.col("cosine")))
         worst = home.groupBy("id").agg(last.alias("worst"))
         # With fewer than m rows found so far anything may still be a neighbour.
-        radius = F.when(F.col("worst").isNotNull(), _distance(F.col("worst"))).otherwise(F.lit(_FAR))
+        radius = F.when(F.col("worst").isNotNull(), _distance(F.col("worst"))).otherwise(F.lit(FAR))
         moving = self.queries.join(worst.withColumn("radius", radius), "id")
-        routed = materialize(_route(moving, self.cells, earlier_only=False), "routed")
-        kernel = _neighbor_kernel(self.m)
-        found = _across(_side(self.targets, _LEFT), _visitors(routed), self.block_rows, kernel, _NEIGHBORS)
-        return self._best(found, routed)
+        askers = blocks.pack(moving, self.layout)
+        pairs = blocks.meetings(askers, self.packed, self.layout, both_ways=True)
+        found = blocks.across(askers, self.packed, pairs, _block_neighbor_kernel(self.m), _NEIGHBORS)
+        return self._best(found.unionByName(home.select("id", "other", "cosine")))
 
 
 def _check_neighbors(n: int) -> None:
@@ -530,7 +391,7 @@ def _isolation(lists: DataFrame, n: int) -> DataFrame:
     crowded = (F.sum("cosine") - F.min("cosine")) / n
     mean = F.when(own.isNull(), crowded).otherwise(mean)
     return lists.groupBy("id").agg(
-        F.when(F.count("*") == n + 1, 1 - mean).otherwise(F.lit(_FAR)).alias("score")
+        F.when(F.count("*") == n + 1, 1 - mean).otherwise(F.lit(FAR)).alias("score")
     )
 
 
@@ -564,8 +425,8 @@ def find_outliers(
         exact = state.complete(home.join(first.select("id"), "id", "left_semi"))
         exact = materialize(_isolation(exact, n).unionByName(zero), "exact-first")
         best = exact.orderBy(F.col("score").desc()).limit(top_k).agg(F.count("*"), F.min("score")).first()
-        cutoff = best[1] if best[0] == top_k else -_FAR
-        rest = bounds.filter(F.col("score") >= cutoff - _SLACK).join(first, "id", "left_anti")
+        cutoff = best[1] if best[0] == top_k else -FAR
+        rest = bounds.filter(F.col("score") >= cutoff - SLACK).join(first, "id", "left_anti")
         rest = state.complete(home.join(rest.select("id"), "id", "left_semi"))
         scores = exact.unionByName(_isolation(rest, n))
     leading = scores.orderBy(ranked(F.col("score")).desc(), "id").limit(top_k)
