@@ -21,7 +21,7 @@ if str(ROOT) not in sys.path:
 from textcurate.functions.text import cache_key, coerce_bool, normalize_text, row_json  # noqa: E402
 from textcurate.functions.vectors import cosine_to  # noqa: E402
 from textcurate.operators import edits as editing  # noqa: E402
-from textcurate.operators import inspect, project, similarity  # noqa: E402
+from textcurate.operators import inspect, project, similarity, sparse  # noqa: E402
 from textcurate.operators.cache import EmbeddingCache, attach_vectors, misses, probe, with_key  # noqa: E402
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder, NaNEmbeddingError, fill_cache  # noqa: E402
 from textcurate.operators.rowindex import with_row_index  # noqa: E402
@@ -450,6 +450,10 @@ def q_near_duplicates_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similarity.near_duplicates(_document_vectors(spark, sf_dir), 0.95, 1000), "similarity")
 
 
+def q_near_duplicates_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sparse.near_duplicates_indexed(_document_vectors(spark, sf_dir), 0.95, 1000), "similarity")
+
+
 def q_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similarity.knn(_vectors(spark, sf_dir), 5), "similarity")
 
@@ -654,6 +658,14 @@ def _oracle_sql() -> dict[str, str]:
       SELECT i AS row_index, round(score, 6) AS outlier_score FROM scored ORDER BY round(score, 9) DESC, i LIMIT 50
     """
     documents = f"SELECT {_ROWS} FROM documents"
+    near_documents = f"""
+      WITH {_hashed()}, pairs AS (
+        SELECT a.doc_id AS i, b.doc_id AS j, sum(a.u * b.u) AS s
+        FROM unit a JOIN unit b ON a.bucket = b.bucket AND a.doc_id < b.doc_id GROUP BY ALL
+      )
+      SELECT i AS row_a, j AS row_b, round(s, 6) AS similarity FROM pairs
+      WHERE round(s, 9) >= 0.95 ORDER BY round(s, 9) DESC, i, j LIMIT 1000
+    """
     return {
         "load_documents": f"""
             SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, {_ROWS},
@@ -780,14 +792,8 @@ def _oracle_sql() -> dict[str, str]:
         """,
         "near_duplicates_embeddings": near,
         "near_duplicates_cells": near,
-        "near_duplicates_documents": f"""
-            WITH {_hashed()}, pairs AS (
-              SELECT a.doc_id AS i, b.doc_id AS j, sum(a.u * b.u) AS s
-              FROM unit a JOIN unit b ON a.bucket = b.bucket AND a.doc_id < b.doc_id GROUP BY ALL
-            )
-            SELECT i AS row_a, j AS row_b, round(s, 6) AS similarity FROM pairs
-            WHERE round(s, 9) >= 0.95 ORDER BY round(s, 9) DESC, i, j LIMIT 1000
-        """,
+        "near_duplicates_documents": near_documents,
+        "near_duplicates_indexed": near_documents,
         "knn": knn,
         "knn_cells": knn,
         "outliers": outliers,

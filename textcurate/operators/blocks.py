@@ -257,13 +257,15 @@ def meetings(askers: DataFrame, others: DataFrame, layout: Layout, both_ways: bo
     return materialize(pairs, "meetings")
 
 
-def within(packed: DataFrame, kernel: Callable[[Block, Iterable[Block]], pa.Table], schema: str) -> DataFrame:
+def within(
+    packed: DataFrame, kernel: Callable[[Block, Iterable[Block]], pa.Table], schema: str, unpack: Callable = Block.of
+) -> DataFrame:
     """Every block against itself, where it lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block = Block.of(batch.slice(k, 1).to_pylist()[0])
+                block = unpack(batch.slice(k, 1).to_pylist()[0])
                 yield from kernel(block, [block]).to_batches()
 
     return packed.mapInArrow(run, schema)
@@ -275,6 +277,7 @@ def across(
     pairs: DataFrame,
     kernel: Callable[[Block, Iterable[Block]], pa.Table],
     schema: str,
+    unpack: Callable = Block.of,
 ) -> DataFrame:
     """Every block ``a`` against those ``b`` that ``pairs`` gives it, up to ``PARTNERS`` of them in a task.
 
@@ -289,7 +292,7 @@ def across(
         numbered = F.pmod(F.xxhash64("a", "at", "b"), F.col("copies")).alias("copy")
         wanted = wanted.join(copies, name).select("a", "at", "b", numbered)
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")
-        columns = ["n", "ids", "vectors", "coordinates", "radii", "low", "high"]
+        columns = [c for c in askers.columns if c not in ("block", "leaf", "reach")]
         sources = packed.withColumnRenamed("block", name).join(copies, name).select(name, every, *columns)
         joined = wanted.join(sources, [name, "copy"])
         return joined.select("a", "at", F.lit(side).alias("side"), "b", *columns)
@@ -302,7 +305,7 @@ def across(
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort((np.asarray(table.column("b")), np.asarray(table.column("side")))).tolist()
         # One partner is unpacked at a time.
-        blocks = (Block.of(table.slice(k, 1).to_pylist()[0]) for k in order)
+        blocks = (unpack(table.slice(k, 1).to_pylist()[0]) for k in order)
         return kernel(next(blocks), blocks)
 
     # The work of a task is in its arithmetic: partitions grow in number with the tasks, and not in size.
