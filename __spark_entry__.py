@@ -21,7 +21,7 @@ if str(ROOT) not in sys.path:
 from textcurate.functions.text import cache_key, coerce_bool, normalize_text, row_json  # noqa: E402
 from textcurate.functions.vectors import cosine_to  # noqa: E402
 from textcurate.operators import edits as editing  # noqa: E402
-from textcurate.operators import inspect, project, similarity, sparse  # noqa: E402
+from textcurate.operators import inspect, lsh, project, similarity, sparse  # noqa: E402
 from textcurate.operators.cache import EmbeddingCache, attach_vectors, misses, probe, with_key  # noqa: E402
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder, NaNEmbeddingError, fill_cache  # noqa: E402
 from textcurate.operators.rowindex import with_row_index  # noqa: E402
@@ -437,6 +437,24 @@ def q_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_load_documents(spark, sf_dir).search(query, 20), "score")
 
 
+def q_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text against all documents."""
+    queries = _table(spark, sf_dir, "benchmark")
+    found = _load_documents(spark, sf_dir).search_table(queries, 5, id_column="item_id")
+    return _rounded(found.select("query_id", "rank", "row_index", "text", "score"), "score")
+
+
+def q_search_many_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of large inputs: all vectors as queries, in small blocks, against all vectors."""
+    vectors = _vectors(spark, sf_dir)
+    queries = vectors.withColumnRenamed(ROW_INDEX, "query_id")
+    return _rounded(similarity.search_many(vectors, queries, 4, block_rows=50, direct_blocks=0), "score")
+
+
+def q_near_duplicates_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lsh.near_duplicates_approximate(_document_vectors(spark, sf_dir), 0.95, 1000), "similarity")
+
+
 def q_near_duplicates_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similarity.near_duplicates(_vectors(spark, sf_dir), 0.4, 1000), "similarity")
 
@@ -790,6 +808,29 @@ def _oracle_sql() -> dict[str, str]:
               AS text, true AS keep, false AS flag, doc_id, round(s, 6) AS score
             FROM scored JOIN documents USING (doc_id) ORDER BY round(s, 9) DESC, doc_id LIMIT 20
         """,
+        "search_many": f"""
+            WITH {_hashed()}, asked AS (SELECT item_id AS doc_id, text FROM benchmark), {_hashed("asked", "doc_id", "q_")},
+            sums AS (
+              SELECT q.doc_id AS item_id, a.doc_id, sum(a.u * q.u) AS s FROM unit a JOIN q_unit q ON a.bucket = q.bucket GROUP BY ALL
+            ),
+            ranked AS (
+              SELECT item_id AS query_id, doc_id, coalesce(s, 0) AS s,
+                row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(s, 0), 9) DESC, doc_id) AS r
+              FROM (SELECT item_id, doc_id, d.text FROM benchmark, documents d) LEFT JOIN sums USING (item_id, doc_id)
+            )
+            SELECT query_id, r::INTEGER AS rank, doc_id AS row_index, CASE WHEN length(text) <= 240 THEN text
+              ELSE substring(text, 1, 239) || '…' END AS text, round(s, 6) AS score
+            FROM ranked JOIN documents USING (doc_id) WHERE r <= 5
+        """,
+        "search_many_blocks": f"""
+            WITH {_UNITS}, scored AS (
+              SELECT a.vec_id AS query_id, b.vec_id AS i, list_inner_product(a.u, b.u) AS s
+              FROM units a, units b
+            ), ranked AS (
+              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, i) AS r FROM scored
+            )
+            SELECT query_id, r::INTEGER AS rank, i AS row_index, round(s, 6) AS score FROM ranked WHERE r <= 4
+        """,
         "near_duplicates_embeddings": near,
         "near_duplicates_cells": near,
         "near_duplicates_documents": near_documents,

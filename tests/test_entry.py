@@ -46,7 +46,10 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_queries_without_sql(spark):
     rows = {name: entry.queries()[name](spark, SF_DIR) for name in set(entry._queries()) - set(entry._oracle_sql())}
-    assert set(rows) == {"project_2d"}
+    assert set(rows) == {"project_2d", "near_duplicates_approximate"}
+    pairs = {(r.row_a, r.row_b) for r in rows["near_duplicates_approximate"].collect()}
+    exact = {(r.row_a, r.row_b) for r in entry.queries()["near_duplicates_documents"](spark, SF_DIR).collect()}
+    assert pairs <= exact and len(pairs) >= 0.9 * len(exact) > 0
     placed = rows["project_2d"].collect()
     assert len(placed) == spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
     # Centred on zero, and the first axis carries at least as much variance as the second.

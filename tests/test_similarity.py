@@ -181,13 +181,13 @@ def test_boxes_rule_out_half_of_the_block_pairs(spark):
     packed = blocks.pack(located, layout)
     n = packed.count()
     near = packed.withColumn("reach", F.lit(float(np.sqrt(2 - 2 * 0.95))))
-    pairs = {(r.a, r.b) for r in blocks.meetings(near, packed, layout, both_ways=False).collect()}
+    pairs = {(r.a, r.b) for r in blocks.meetings(near, packed, layout, blocks.ONCE).collect()}
     assert n > 50 and all(a > b for a, b in pairs) and len(pairs) < n * (n - 1) / 2 / 2
     block = {r.id: r.block for r in located.collect()}
     i, j = np.nonzero(np.triu(cosines(rows) >= 0.95, 1))
     wanted = {(max(block[a], block[b]), min(block[a], block[b])) for a, b in zip(i.tolist(), j.tolist()) if a in block and b in block}
     assert {(a, b) for a, b in wanted if a != b} <= pairs
-    both = {(r.a, r.b) for r in blocks.meetings(near, packed, layout, both_ways=True).collect()}
+    both = {(r.a, r.b) for r in blocks.meetings(near, packed, layout, blocks.OTHERS).collect()}
     assert both == pairs | {(b, a) for a, b in pairs}
 
 
@@ -209,4 +209,36 @@ def test_meetings_are_those_of_near_boxes(spark):
         for j, b in enumerate(boxes)
         if i != j and away[i, j] <= a.reach + blocks.SLACK
     }
-    assert {(r.a, r.b) for r in blocks.meetings(packed, packed, layout, both_ways=True).collect()} == expected
+    assert {(r.a, r.b) for r in blocks.meetings(packed, packed, layout, blocks.OTHERS).collect()} == expected
+
+
+@pytest.mark.parametrize("block_rows,direct_blocks", PLANS)
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_many_queries_equal_brute_force(spark, block_rows, direct_blocks, k):
+    """Queries that are rows, or none; a third of them equal, some without direction; ids that are null or repeated."""
+    rows = random_rows(13)
+    rng = np.random.default_rng(14)
+    asked = np.vstack([rows[:30], rng.normal(size=(40, DIM)), np.repeat(rows[:1], 40, axis=0), np.zeros((3, DIM))]).astype(np.float32)
+    ids = [None if i % 20 == 0 else i // 2 for i in range(len(asked))]
+    queries = spark.createDataFrame(
+        [(q, [float(x) for x in v], "x") for q, v in zip(ids, asked)], f"query_id bigint, {VECTOR} array<float>, score string"
+    )
+    found = similarity.search_many(frame(spark, rows), queries, k, block_rows, direct_blocks).collect()
+    scores = cosines(np.vstack([asked, rows]))[: len(asked), len(asked) :]
+    expected = []
+    for q, row in zip(ids, scores):
+        best = np.lexsort((np.arange(len(rows)), -np.round(row, 9)))[:k]
+        expected += [(q, rank + 1, int(i), round(float(row[i]), 7)) for rank, i in enumerate(best)]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = [(r.query_id, r["rank"], r.row_index, round(r.score, 7) + 0.0) for r in found]
+    assert sorted(((q, k, i) for q, k, i, _ in got), key=key) == sorted(((q, k, i) for q, k, i, _ in expected), key=key)
+    assert np.allclose([r[3] for r in sorted(got, key=key)], [r[3] for r in sorted(expected, key=key)], atol=1e-6)
+
+
+def test_many_queries_of_tiny_tables(spark):
+    rows = frame(spark, random_rows(13)[:2])
+    queries = spark.createDataFrame([(1, [1.0] * DIM)], f"query_id bigint, {VECTOR} array<float>")
+    assert similarity.search_many(rows, queries, 0).count() == 0
+    assert similarity.search_many(rows.limit(0), queries, 3).count() == 0
+    assert similarity.search_many(rows, queries.limit(0), 3).count() == 0
+    assert similarity.search_many(rows, queries, 3).count() == 2

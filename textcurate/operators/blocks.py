@@ -225,8 +225,13 @@ def _nodes(boxes: DataFrame, axes: int, mask: int) -> DataFrame:
     return boxes.groupBy(node).agg(low.alias("low"), high.alias("high"), F.max("reach").alias("reach"))
 
 
-def meetings(askers: DataFrame, others: DataFrame, layout: Layout, both_ways: bool) -> DataFrame:
-    """``(a, b)``, stored: different blocks that lie within the reach of ``a``; of two that ask alike, ``a`` is the larger.
+# Which pairs of near blocks meet: each two of one table once (the larger number asks), or all but a block with itself, or
+# all of two tables with numbers of their own.
+ONCE, OTHERS, ALL = "once", "others", "all"
+
+
+def meetings(askers: DataFrame, others: DataFrame, layout: Layout, which: str) -> DataFrame:
+    """``(a, b)``, stored: blocks ``b`` that lie within the reach of ``a``.
 
     ``askers`` and ``others`` are packed blocks, or their boxes. The work is that of the pairs of nodes that are near
     each other: level by level their children meet, joined on the nodes above them, down to the blocks of a leaf.
@@ -249,9 +254,9 @@ def meetings(askers: DataFrame, others: DataFrame, layout: Layout, both_ways: bo
             pairs = pairs.join(level[0], "up_a").join(level[1], "up_b")
         pairs = pairs.filter(_box_distance("a_box", "b_box") <= F.col("a_box.reach") + SLACK)
         if depth is None:
-            pairs = pairs.filter("a <> b" if both_ways else "a > b").select("a", "b")
+            pairs = pairs.filter({ONCE: "a > b", OTHERS: "a <> b", ALL: "true"}[which]).select("a", "b")
         else:
-            pairs = pairs if both_ways else pairs.filter("a >= b")
+            pairs = pairs.filter("a >= b") if which == ONCE else pairs
             pairs = pairs.select(F.col("a").alias("up_a"), F.col("b").alias("up_b"))
         upper = mask
     return materialize(pairs, "meetings")

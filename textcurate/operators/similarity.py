@@ -51,6 +51,44 @@ def search(rows: DataFrame, query: list[float], k: int = 5, only_kept: bool = Fa
     return scored.orderBy(ranked(F.col("score")).desc(), ROW_INDEX).limit(max(k, 0))
 
 
+def search_many(
+    rows: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, direct_blocks: int = DIRECT_BLOCKS
+) -> DataFrame:
+    """For each row ``(query_id, _embedding)`` of a table of queries its ``k`` most similar rows, as :func:`search` gives them:
+    ``(query_id, rank, row_index, score)``.
+
+    Equal queries are answered once. Blocks of queries meet the blocks of rows that may hold an answer; each task returns the
+    best few per query, which are merged by query, and nothing comes to the driver.
+    """
+    spark = rows.sparkSession
+    if k < 1:
+        return spark.createDataFrame([], "query_id bigint, rank int, row_index bigint, score double")
+    asked = queries.select("query_id", F.col(VECTOR).alias("vec")).withColumn("vkey", vector_key(F.col("vec")))
+    asked = materialize(asked, "queries")
+    different = asked.groupBy("vkey").agg(F.first("vec").alias("vec"))
+    different = different.select(
+        F.monotonically_increasing_id().alias("id"), F.lit(1).alias("copy"), "vec", "vkey", _is_zero(F.col("vec")).alias("zero")
+    )
+    different = materialize(different, "different-queries")
+    state = _NeighborSearch(rows, k, k, block_rows, direct_blocks)
+    points = different.filter("NOT zero").select("id", "copy", "vec")
+    lists = state.of_queries(points, points.count()).select("id", "rank", "other", "cosine")
+    # A query without direction is as near to every row: the lowest k row indices.
+    lowest = state._lowest(F.lit(True))
+    if lowest:
+        entries = F.posexplode(F.array(*[F.lit(i).cast("bigint") for i in lowest])).alias("at", "other")
+        none = different.filter("zero").select("id", entries)
+        none = none.select("id", (F.col("at") + 1).alias("rank"), "other", F.lit(0.0).alias("cosine"))
+        lists = lists.unionByName(none)
+    # At most k entries each.
+    lists = lists.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other", "cosine"))).alias("near"))
+    by_vector = materialize(different.select("id", "vkey").join(lists, "id").select("vkey", "near"), "answers")
+    answered = join_on_unique(asked.select("query_id", "vkey"), by_vector, "vkey").select("query_id", F.explode("near").alias("e"))
+    return answered.select(
+        "query_id", F.col("e.rank").alias("rank"), F.col("e.other").alias("row_index"), F.col("e.cosine").alias("score")
+    )
+
+
 # ---- step 1: copies
 
 
@@ -100,6 +138,24 @@ def _direct(
     return pairs.groupBy("bl", "br").applyInArrow(kernel, schema)
 
 
+def _grid(
+    left: DataFrame, right: DataFrame, left_parts: int, right_parts: int, kernel: Callable, schema: str
+) -> DataFrame:
+    """Compare all rows of two sides, each cut into hash parts of its own."""
+
+    def numbers(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+
+    def own(parts: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(parts))
+
+    here = left.select(own(left_parts).alias("bl"), numbers(right_parts).alias("br"), "id", "vec", "side")
+    there = right.select(numbers(left_parts).alias("bl"), own(right_parts).alias("br"), "id", "vec", "side")
+    tasks = left_parts * right_parts
+    pairs = here.unionByName(there).repartition(2 * tasks if tasks > 1 else 1, "bl", "br")
+    return pairs.groupBy("bl", "br").applyInArrow(kernel, schema)
+
+
 def _side(points: DataFrame, side: int) -> DataFrame:
     """Rows as one side of a comparison."""
     return points.select("id", "vec", F.lit(side).alias("side"))
@@ -206,7 +262,7 @@ def near_duplicates(
         threshold = worst
     if threshold > SLACK:
         radius = math.sqrt(max(0.0, 2 - 2 * (threshold - SLACK)))
-    pairs = blocks.meetings(packed.withColumn("reach", F.lit(radius)), packed, layout, both_ways=False)
+    pairs = blocks.meetings(packed.withColumn("reach", F.lit(radius)), packed, layout, blocks.ONCE)
     found = blocks.across(packed, packed, pairs, _block_pair_kernel(threshold, top_k, radius), _PAIRS)
     pairs_at_home = near.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity")
     return _best_pairs(found.unionByName(pairs_at_home), top_k)
@@ -337,17 +393,39 @@ class _NeighborSearch:
         """The exact lists of the vectors that ``home`` has lists for."""
         if self.direct:
             return home
-        last = F.max(F.when(F.col("rank") == self.m, F.col("cosine")))
-        worst = home.groupBy("id").agg(last.alias("worst"))
-        # With fewer than m rows found so far anything may still be a neighbour.
-        radius = F.when(F.col("worst").isNotNull(), _distance(F.col("worst"))).otherwise(F.lit(FAR))
-        moving = self.queries.join(worst.withColumn("radius", radius), "id")
+        moving = self.queries.join(self._radii(home), "id")
         askers = blocks.pack(moving, self.layout)
-        pairs = blocks.meetings(askers, self.packed, self.layout, both_ways=True)
+        pairs = blocks.meetings(askers, self.packed, self.layout, blocks.OTHERS)
         found = blocks.across(askers, self.packed, pairs, _block_neighbor_kernel(self.m), _NEIGHBORS)
         return self._best(found.unionByName(home.select("id", "other", "cosine")))
 
 
+    def of_queries(self, points: DataFrame, count: int) -> DataFrame:
+        """The exact lists of other vectors, nonzero rows ``(id, copy, vec)``, that are no rows of the table."""
+        if self.direct:
+            kernel = _neighbor_kernel(self.m)
+            asking = max(1, math.ceil(count / self.block_rows))
+            found = _grid(_side(self.targets, _LEFT), _side(points, _GUEST), self.parts, asking, kernel, _NEIGHBORS)
+            return self._best(found, points)
+        kernel = _block_neighbor_kernel(self.m)
+        located = blocks.locate(points, self.layout, self.block_rows)
+        # A first look at one block of the leaf that a query falls in bounds its answer.
+        asking = located.select("leaf", F.col("block").alias("a")).distinct()
+        first = asking.join(self.packed.groupBy("leaf").agg(F.min("block").alias("b")), "leaf").select("a", "b")
+        askers = blocks.pack(located.withColumn("radius", F.lit(FAR)), self.layout)
+        near = blocks.across(askers, self.packed, materialize(first, "first-looks"), kernel, _NEIGHBORS)
+        moving = located.join(self._radii(self._best(near)), "id", "left").fillna(FAR, ["radius"])
+        askers = blocks.pack(moving, self.layout)
+        pairs = blocks.meetings(askers, self.packed, self.layout, blocks.ALL)
+        return self._best(blocks.across(askers, self.packed, pairs, kernel, _NEIGHBORS), located)
+
+    def _radii(self, lists: DataFrame) -> DataFrame:
+        """How far each id of the lists still has to look: with fewer than ``m`` rows found so far, everywhere."""
+        worst = lists.groupBy("id").agg(F.max(F.when(F.col("rank") == self.m, F.col("cosine"))).alias("worst"))
+        radius = F.when(F.col("worst").isNotNull(), _distance(F.col("worst"))).otherwise(F.lit(FAR))
+        return worst.select("id", radius.alias("radius"))
+
+
 def _check_neighbors(n: int) -> None:
     if n < 1:
         raise ValueError(f"at least one neighbour is needed, not {n}")
