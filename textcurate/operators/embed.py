@@ -13,11 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import normalize_string
-from textcurate.operators.cache import FEW_KEYS, EmbeddingCache, misses, probe
+from textcurate.operators.cache import FEW_KEYS, EmbeddingCache, by_prefix, mark_known, misses
 from textcurate.plans.scratch import materialize
 from textcurate.schema import KEY
 
@@ -125,33 +125,51 @@ def fill_cache(
     config: EmbedConfig,
     on_progress: Callable[[int, int], None] | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    commit: str | None = None,
+    size: int | None = None,
 ) -> dict:
     """Embed every text of ``rows`` (which carry ``_key``) that the cache lacks, each text once.
 
     Texts are embedded and committed slice by slice, so an interrupted job loses one slice at most and a second run
-    starts from what is in the cache. ``on_progress`` is told after each how many of the rows have a vector.
+    starts from what is in the cache. ``on_progress`` is told after each how many of the rows have a vector. Commits are
+    named after ``commit`` and numbered, if it is given, so that what a failed run left half-written is overwritten. ``size`` is the number of rows, or a bound on it, if that is known.
     """
     spark = rows.sparkSession
-    keys = materialize(probe(rows, cache.keys(config.model)), "keys")
-    count = keys.agg(
+    counted = Observation()
+    if size is None:
+        distinct = materialize(rows.groupBy(KEY).agg(F.count("*").alias("copies")), "distinct-keys")
+        size = distinct.count()
+    else:
+        distinct = rows.groupBy(KEY).agg(F.count("*").alias("copies"))
+    few = distinct.select(KEY) if size <= FEW_KEYS else None
+    marked = mark_known(distinct, cache.keys(config.model, few)).observe(
+        counted,
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("_hit"), F.col("copies"))), F.lit(0)).alias("hits"),
         F.count_if(~F.col("_hit")).alias("fresh_keys"),
-    ).first()
+    )
+    keys = materialize(marked, "keys")
+    count = counted.get
     fresh, done = count["fresh_keys"], count["hits"]
     if on_progress and done:
         on_progress(done, count["rows"])
     if fresh:
         slices = math.ceil(fresh / config.commit_rows)
-        in_slice = F.pmod(F.xxhash64(KEY), F.lit(slices)).alias("slice")
+        in_slice = F.pmod(F.xxhash64(F.lit("slice"), KEY), F.lit(slices)).alias("slice")
         missing = keys.filter(~F.col("_hit"))
         pending = misses(rows, text_column, missing.select(KEY), few=fresh <= FEW_KEYS).select("*", in_slice)
         pending = materialize(pending, "pending", partition_by="slice")
         # A model call costs far more than its few bytes, so tasks are cut by rows and not left to size-based merging.
-        tasks = config.concurrency or max(spark.sparkContext.defaultParallelism, math.ceil(fresh / slices / 4096))
+        busy = min(spark.sparkContext.defaultParallelism, math.ceil(fresh / config.batch_size))
+        tasks = config.concurrency or max(busy, math.ceil(fresh / slices / 4096))
+        names = [None] * slices
+        if commit:
+            done_before = sum(name.startswith(f"{commit}-") for name in cache.commits())
+            names = [f"{commit}-{done_before + number}" for number in range(slices)]
         for number in range(slices):
-            part = pending.filter(F.col("slice") == number).repartition(tasks, KEY)
-            cache.append(embed_texts(part, embedder, config, sleep))
+            # Each task embeds a run of key prefixes, and its file covers that run.
+            part = by_prefix(pending.filter(F.col("slice") == number), KEY, tasks)
+            cache.append(embed_texts(part, embedder, config, sleep), names[number])
             if on_progress:
                 embedded = missing.select(in_slice, "copies").filter(F.col("slice") == number)
                 done += embedded.agg(F.sum("copies")).first()[0] or 0

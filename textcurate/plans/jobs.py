@@ -5,14 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from textcurate.functions.text import coerce_bool
+from textcurate.functions.text import coerce_bool, quoted
 from textcurate.operators.cache import EmbeddingCache, with_key
 from textcurate.operators.embed import EmbedConfig, Embedder, fill_cache
 from textcurate.operators.project import MIN_ROWS
 from textcurate.plans.dataset import Dataset, default_cache_path, load
+from textcurate.plans.scratch import materialize
 from textcurate.schema import SOURCE_POSITION
 from textcurate.sources.readers import read_dataset, read_table
 from textcurate.sources.writers import default_target, write_table
@@ -32,8 +33,11 @@ def pre_embed(
     started = time.monotonic()
     source = read_dataset(spark, path, text_column)
     cache = EmbeddingCache(spark, cache_path or default_cache_path(path))
-    rows = with_key(source.rows, source.text_column, config.model)
-    counts = fill_cache(rows, source.text_column, cache, embedder, config, on_progress, sleep)
+    # Stored once: the source is read for its keys and again for the texts that are missing.
+    counted = Observation()
+    texts = source.rows.select(quoted(source.text_column).alias("text")).observe(counted, F.count(F.lit(1)).alias("rows"))
+    rows = materialize(with_key(texts, "text", config.model), "texts")
+    counts = fill_cache(rows, "text", cache, embedder, config, on_progress, sleep, size=counted.get["rows"])
     return {
         "rows": counts["rows"],
         "text_column": source.text_column,
@@ -67,7 +71,10 @@ def finalize(spark: SparkSession, path: str, curated: str | None = None, target:
     target = target or default_target(path, "kept")
     # The place within a split is counted while reading; file, split and place together are the order of the source.
     place = [c for c in SOURCE_POSITION if c in edited.columns] + ["__place"]
-    ordered = edited.withColumn("__place", F.monotonically_increasing_id())
-    kept = ordered.filter(_is_kept(edited)).repartitionByRange(*place).sortWithinPartitions(*place)
+    # Stored once: sorting looks at the rows twice, and all of them are counted on the way.
+    counted = Observation()
+    ordered = edited.withColumn("__place", F.monotonically_increasing_id()).observe(counted, F.count(F.lit(1)).alias("rows"))
+    ordered = materialize(ordered.filter(_is_kept(edited)), "edited")
+    kept = ordered.repartitionByRange(*place).sortWithinPartitions(*place)
     rows = write_table(kept.drop("keep", *place), target)
-    return {"path": target, "rows": rows, "total": edited.count()}
+    return {"path": target, "rows": rows, "total": counted.get["rows"]}

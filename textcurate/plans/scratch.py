@@ -35,6 +35,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none if it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to an unused name beside it or elsewhere in the same file system, in one step."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    system = paths(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(paths(target).getParent())
+    if system.exists(paths(target)) or not system.rename(paths(source), paths(target)):
+        raise FileExistsError(f"{source} could not become {target}")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the scratch root."""
     app = spark.sparkContext.applicationId

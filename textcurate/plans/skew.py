@@ -12,9 +12,9 @@ HOT_SHARE = 1000
 HOT_MIN_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS, total: int | None = None) -> list:
     """Keys owning more than ``1/HOT_SHARE`` of ``df`` and at least ``min_rows`` rows; at most ``HOT_SHARE`` values."""
-    total = df.count()
+    total = df.count() if total is None else total
     if total < min_rows:
         return []
     hot = (F.col("_n") >= min_rows) & (F.col("_n") * HOT_SHARE > total)
@@ -22,14 +22,20 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list:
 
 
 def join_on_unique(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", min_rows: int = HOT_MIN_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    min_rows: int = HOT_MIN_ROWS,
+    total: int | None = None,
 ) -> DataFrame:
-    """Join ``left`` to ``right``, which has one row per ``key``; ``how`` is ``inner`` or ``left``.
+    """Join ``left`` to ``right``, which has one row per ``key``; ``how`` is ``inner`` or ``left``. ``total`` is the
+    number of rows of ``left``, if that is known.
 
     Rows of hot keys never meet in one shuffle partition: their few right-hand rows are broadcast instead. All
     other rows take an ordinary equi-join. The two halves are disjoint, so their union is the whole join.
     """
-    hot = hot_keys(left, key, min_rows)
+    hot = hot_keys(left, key, min_rows, total)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

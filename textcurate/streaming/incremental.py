@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from textcurate.functions.text import quoted
 from textcurate.operators.cache import EmbeddingCache, with_key
 from textcurate.operators.embed import EmbedConfig, Embedder, fill_cache
+from textcurate.plans.scratch import materialize
 from textcurate.schema import string_columns
 from textcurate.sources.readers import CSV_RULES, drop_na_tokens
 
@@ -31,8 +33,10 @@ def embed_new_files(
 ) -> int:
     """Embed the texts of all files not seen by ``checkpoint`` yet, batch by batch; returns the number of batches.
 
-    A batch that is run again after a failure finds its texts in the cache, so nothing is embedded twice. There is
-    no state besides the checkpoint, and no watermark: what counts is a text's content, not its time.
+    The cache keeps a ledger of the batches of each checkpoint. What a batch writes can be seen once it is complete; a
+    batch that is run again after a failure writes over what was left half-written and embeds only what is still
+    missing, and one that was finished before Spark noted it is passed over. A batch looks only into those files of the
+    cache that may hold one of its texts. There is no watermark: what counts is a text's content, not its time.
     CSV is read under the rules of :func:`textcurate.sources.readers.read_csv`, whole files at a time, as a quoted
     cell may hold line breaks; broken JSON ends the query. ``options`` are those of Spark's reader and come last.
     """
@@ -47,11 +51,18 @@ def embed_new_files(
     )
 
     batches = 0
+    # The same for every run with this checkpoint, as batch numbers are.
+    stream = "stream" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
-    def embed_batch(batch: DataFrame, _: int) -> None:
+    def embed_batch(batch: DataFrame, number: int) -> None:
         nonlocal batches
         batches += 1
-        fill_cache(with_key(batch, "text", config.model), "text", cache, embedder, config, sleep=sleep)
+        name = f"{stream}-{number}"
+        if f"{name}-done" in cache.commits():
+            return
+        texts = materialize(with_key(batch, "text", config.model), "batch")
+        fill_cache(texts, "text", cache, embedder, config, sleep=sleep, commit=name)
+        cache.seal(f"{name}-done")
 
     query = (
         rows.writeStream.foreachBatch(embed_batch)
