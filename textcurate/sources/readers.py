@@ -17,6 +17,7 @@ from textcurate.plans.scratch import path_exists
 from textcurate.schema import BLOCK, FILE, LINE, PART, PLACE, SOURCE_POSITION, string_columns
 from textcurate.sources.documents import read_docx, read_paged
 from textcurate.sources.plaintext import read_plaintext
+from textcurate.sources.spans import CSV, JSON_ARRAY, read_records
 
 # Column names tried, in this order, when the requested text column is absent.
 TEXT_COLUMN_NAMES = (
@@ -54,9 +55,10 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row and doubled quotes.
 
-    Quoted cells may hold line breaks, and Spark cannot split a file that has such cells. Unless ``multiline`` says
-    that all files do or none does, a pass over the lines finds those that do; all others are read in splits.
-    Without a ``schema`` another pass settles the column types.
+    Quoted cells may hold line breaks, and Spark itself cannot split a file that has such cells. Unless ``multiline`` says
+    that all files do or none does, a pass over the lines finds those that do; they are cut into records split by split
+    (see :mod:`textcurate.sources.spans`), all others are read as lines. Only a file with carriage returns
+    within its lines is read as a whole. Without a ``schema`` another pass settles the column types.
     """
     reader = spark.read.options(**CSV_RULES)
     if schema is None:
@@ -69,17 +71,33 @@ def read_csv(
     def scan(whole: bool) -> DataFrame:
         return tag_file_position(reader.option("multiLine", whole).csv(path))
 
-    if multiline is None:
-        lines = tag_file_position(spark.read.option("lineSep", "\n").text(path))
-        broken = lines.filter(~F.col("value").rlike(_WHOLE_RECORD)).select(FILE).distinct()
-        files = [r[0] for r in broken.collect()]  # names of files, which the scan lists on the driver as well
-        if not files:
-            raw = scan(whole=False)
-        else:
-            listed = F.col(FILE).isin(files)
-            raw = scan(whole=True).filter(listed).unionByName(scan(whole=False).filter(~listed))
+    def cut(files: str | list[str]) -> DataFrame:
+        records = read_records(spark, files, CSV)
+        record = F.regexp_replace("text", r"\r?\n$", "")
+        records = records.filter(~F.col("opens")).select(FILE, BLOCK, record.alias("record")).filter("record <> ''")
+        options = {"multiLine": "true", **{k: str(v).lower() for k, v in CSV_RULES.items()}, "header": "false"}
+        # Any name may head a column; inside the parser they are numbers.
+        plain = ", ".join(f"c{k} {field.dataType.simpleString()}" for k, field in enumerate(cell_schema.fields))
+        parsed = records.select(F.from_csv("record", plain, options).alias("cells"), FILE, BLOCK)
+        named = [F.col(f"cells.c{k}").alias(field.name) for k, field in enumerate(cell_schema.fields)]
+        return parsed.select(*named, FILE, BLOCK)
+
+    if multiline is False:
+        raw = scan(whole=False)
     else:
-        raw = scan(whole=multiline)
+        lines = tag_file_position(spark.read.option("lineSep", "\n").text(path))
+        broken = lines.filter(~F.col("value").rlike(_WHOLE_RECORD))
+        found = broken.groupBy(FILE).agg(F.max(F.col("value").rlike(r"\r[\s\S]")).alias("returns"))
+        # Names of files, which the scan lists on the driver as well.
+        files = {r[0]: r["returns"] for r in found.collect()}
+        split = [unquote(file) for file, returns in files.items() if not returns]
+        raw = scan(whole=False)
+        if files:
+            raw = raw.filter(~F.col(FILE).isin(list(files)))
+        if split:
+            raw = raw.unionByName(cut(split))
+        if len(split) < len(files):
+            raw = raw.unionByName(scan(whole=True).filter(F.col(FILE).isin([f for f, r in files.items() if r])))
     cells = drop_na_tokens(raw, names)
     if schema is not None:
         return cells
@@ -119,15 +137,27 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.Struct
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """An array of records, or JSON lines: what this package writes to ``.json`` is the latter, which can be split."""
+    """An array of records, or JSON lines; both are read in splits."""
     arrays, lines = _json_files(spark, path)
     if not arrays:
         return read_json_lines(spark, path, schema)
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    whole = tag_file_position((reader if schema is None else reader.schema(schema)).json(arrays if lines else path))
+    cut = _read_json_arrays(spark, arrays, schema)
     if not lines:
-        return whole
-    return whole.unionByName(read_json_lines(spark, lines, schema), allowMissingColumns=True)
+        return cut
+    return cut.unionByName(read_json_lines(spark, lines, schema), allowMissingColumns=True)
+
+
+def _read_json_arrays(spark: SparkSession, files: list[str], schema: T.StructType | None) -> DataFrame:
+    """The records of arrays, cut at the braces that end them."""
+    record = F.regexp_replace("text", r"^[\s\uFEFF,\[]+", "")
+    records = read_records(spark, files, JSON_ARRAY).select(FILE, BLOCK, record.alias("record"))
+    # Behind the last record there is only the end of the array.
+    records = records.filter(~F.col("record").rlike(r"^[\s\]}]*$"))
+    if schema is None:
+        strings = getattr(records.select("record")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        schema = DataFrame(spark._jsparkSession.read().option("mode", "FAILFAST").json(strings), spark).schema
+    parsed = records.select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("cells"), FILE, BLOCK)
+    return parsed.select("cells.*", FILE, BLOCK)
 
 
 def _json_starts(spark: SparkSession, path: str) -> DataFrame:
