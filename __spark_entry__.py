@@ -494,15 +494,22 @@ def q_project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_coordinate_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two given components of the vectors, which SQL can see as well."""
+    placed = project.project_2d(_vectors(spark, sf_dir))
+    return _rounded(project.coordinate_range(placed), "x_min", "x_max", "y_min", "y_max")
+
+
+def q_component_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of two given components of the vectors."""
     x, y = (F.element_at(VECTOR, i).cast("double") for i in (1, 2))
     return project.coordinate_range(_vectors(spark, sf_dir).withColumns({"x": x, "y": y}))
 
 
 def q_scatter_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point, with its whole vector as a text of whole millionths."""
     frame = _load_documents(spark, sf_dir).scatter_frame()
-    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    return frame.select("row_index", placed.alias("placed"), "color", "snippet", F.size("embedding").alias("dim"))
+    weights = F.transform("embedding", lambda w: F.floor(w.cast("double") * 1_000_000 + 0.5).cast("string"))
+    frame = frame.withColumn("embedding", F.array_join(weights, " "))
+    return _rounded(frame, "x", "y")
 
 
 # ---- edits and outputs
@@ -637,6 +644,59 @@ _UNITS = """
   )
 """
 
+_UNIT_VECTORS = """
+  raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  points AS MATERIALIZED (
+    SELECT vec_id AS id, list_transform(e, lambda x: x / (sqrt(list_inner_product(e, e)) + 1e-12)) AS u FROM raw
+  )
+"""
+
+
+def _axes(table: str) -> str:
+    """``placed (id, u, x, y)``: ``points (id, u)`` along the principal axes of ``table``.
+
+    A symmetric matrix that is squared again and again, and kept at trace 1, becomes that of its first axis; the second
+    axis is the first of what is left without it.
+    """
+    square = "list_transform(m, lambda r: list_transform(m, lambda s: list_inner_product(r, s)))"
+    trace = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i][i]))"
+    scaled = f"list_transform(q, lambda r: list_transform(r, lambda v: v / {trace.format('q')}))"
+
+    def axis(k: int, matrix: str) -> str:
+        # Of a matrix of one axis, the row with the largest diagonal entry is that axis with its largest loading positive.
+        largest = "list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]), list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i])))"
+        return f"""
+          power{k}(step, m) AS (
+            SELECT 0, m FROM {matrix} UNION ALL
+            SELECT step + 1, {scaled} FROM (SELECT step, {square} AS q FROM power{k} WHERE step < 40)
+          ),
+          axis{k} AS MATERIALIZED (
+            SELECT list_transform(r, lambda v: v / sqrt(list_inner_product(r, r))) AS v
+            FROM (SELECT m[{largest}] AS r FROM power{k} WHERE step = 40)
+          )"""
+
+    return f"""
+      entries AS (
+        SELECT i, j, avg(u[i] * u[j]) - avg(u[i]) * avg(u[j]) AS c
+        FROM {table}, unnest(range(1, (SELECT max(len(u)) FROM {table}) + 1)) AS a(i),
+          unnest(range(1, (SELECT max(len(u)) FROM {table}) + 1)) AS b(j) GROUP BY i, j
+      ),
+      rows_of AS (SELECT i, list(c ORDER BY j) AS r FROM entries GROUP BY i),
+      covariance AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM rows_of), {axis(1, "covariance")},
+      deflated AS MATERIALIZED (
+        SELECT list_transform(m, lambda r, i: list_transform(r, lambda c, j: c - v[i] * v[j] * lambda1)) AS m
+        FROM (SELECT m, v, list_inner_product(list_transform(m, lambda r: list_inner_product(r, v)), v) AS lambda1
+              FROM covariance, axis1)
+      ), {axis(2, "deflated")},
+      along AS (
+        SELECT p.id, list_inner_product(u, a.v) AS px, list_inner_product(u, b.v) AS py FROM {table} p, axis1 a, axis2 b
+      ),
+      placed AS MATERIALIZED (
+        SELECT p.id, u, list_inner_product(u, a.v) - (SELECT avg(px) FROM along) AS x,
+          list_inner_product(u, b.v) - (SELECT avg(py) FROM along) AS y FROM points p, axis1 a, axis2 b
+      )"""
+
+
 _MARKED = """
   marked AS (
     SELECT d.*, NOT (coalesce(toxic, 0) = 1 AND coalesce(quality, 1) = 0) AS keep, coalesce(quality, 1) = 0 AS flag,
@@ -839,13 +899,31 @@ def _oracle_sql() -> dict[str, str]:
         "knn_cells": knn,
         "outliers": outliers,
         "outliers_cells": outliers,
-        "coordinate_range": """
+        "component_range": """
             SELECT count(*) AS rows, min(embedding[1])::DOUBLE AS x_min, max(embedding[1])::DOUBLE AS x_max,
               min(embedding[2])::DOUBLE AS y_min, max(embedding[2])::DOUBLE AS y_max FROM embeddings
         """,
+        "project_2d": f"""
+            WITH RECURSIVE {_UNIT_VECTORS}, {_axes("points")}
+            SELECT id AS row_index, round(x, 6) AS x, round(y, 6) AS y FROM placed
+        """,
+        "coordinate_range": f"""
+            WITH RECURSIVE {_UNIT_VECTORS}, {_axes("points")}
+            SELECT count(*) AS rows, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max, round(min(y), 6) AS y_min,
+              round(max(y), 6) AS y_max FROM placed
+        """,
         "scatter_frame": f"""
-            SELECT doc_id AS row_index, true AS placed, source AS color, {DIM} AS dim,
-              CASE WHEN length(text) <= 240 THEN text ELSE substring(text, 1, 239) || '…' END AS snippet FROM documents
+            WITH RECURSIVE {_hashed()}, stored AS MATERIALIZED (
+              SELECT d.doc_id AS id, list(coalesce(u, 0)::FLOAT::DOUBLE ORDER BY b) AS e
+              FROM documents d JOIN range({DIM}) AS r(b) ON true LEFT JOIN unit ON unit.doc_id = d.doc_id AND bucket = b
+              GROUP BY d.doc_id
+            ), points AS MATERIALIZED (
+              SELECT id, list_transform(e, lambda x: x / (sqrt(list_inner_product(e, e)) + 1e-12)) AS u FROM stored
+            ), {_axes("points")}
+            SELECT id AS row_index, round(x, 6) AS x, round(y, 6) AS y, source AS color,
+              CASE WHEN length(text) <= 240 THEN text ELSE substring(text, 1, 239) || '…' END AS snippet,
+              array_to_string(list_transform(e, lambda w: floor(w * 1000000 + 0.5)::BIGINT::VARCHAR), ' ') AS embedding
+            FROM placed JOIN stored USING (id) JOIN documents ON doc_id = id
         """,
         "mark_rows": f"WITH {_MARKED} SELECT doc_id, keep, flag, notes FROM marked",
         "kept_filter": f"WITH {_MARKED} SELECT doc_id FROM marked WHERE keep",

@@ -2,17 +2,19 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textcurate import finalize, load, pre_embed, prepare
 from textcurate import status as session_status
 from textcurate.operators import edits as editing
+from textcurate.operators import project
 from textcurate.operators.embed import EmbedConfig, HashedEmbedder
 from textcurate.operators.rowindex import with_row_index
 from textcurate.plans import dataset as plan
 from textcurate.plans import skew
-from textcurate.schema import ROW_INDEX, SOURCE_POSITION
+from textcurate.schema import ROW_INDEX, SOURCE_POSITION, VECTOR
 from textcurate.sources.readers import read_dataset, read_table
 
 CONFIG = EmbedConfig("hashed")
@@ -210,6 +212,29 @@ def test_saved_files_keep_the_order_of_rows(spark, tmp_path, monkeypatch, few):
     assert [r.id for r in found] == [i for i in range(400) if i not in (3, 300)]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_projection_equals_brute_force(spark, tmp_path, parts):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(60, 7)) * np.arange(1, 8) + 0.5
+    rows[5] = 0
+    data = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], f"{ROW_INDEX} long, {VECTOR} array<float>")
+    units = rows.astype(np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True) + 1e-12
+    centred = units - units.mean(axis=0)
+    _, spread, axes = np.linalg.svd(centred, full_matrices=False)
+    axes = axes[:2] * np.sign(axes[:2][np.arange(2), np.abs(axes[:2]).argmax(axis=1)])[:, None]
+    placed = {r[ROW_INDEX]: (r.x, r.y) for r in project.project_2d(data.repartition(parts)).collect()}
+    found = np.array([placed[i] for i in range(60)])
+    assert np.allclose(found, centred @ axes.T, atol=1e-6)
+    assert np.allclose(found.var(axis=0), spread[:2] ** 2 / 60)
+    # Stored axes place a row as it was placed, and rows they have not seen.
+    project.principal_axes(data).save(spark, str(tmp_path / "axes"))
+    again = project.Axes.load(spark, str(tmp_path / "axes")).place(data.filter(f"{ROW_INDEX} = 9")).first()
+    assert abs(again.x - placed[9][0]) < 1e-9 and abs(again.y - placed[9][1]) < 1e-9
+    with pytest.raises(ValueError):
+        project.project_2d(data.limit(0))
+
+
 def test_projection(spark, dataset):
     placed, ranges = dataset.project_2d()
     assert ranges["rows"] == 18 and ranges["x_range"][0] < 0 < ranges["x_range"][1]
