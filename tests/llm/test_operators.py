@@ -375,6 +375,38 @@ def test_shards(spark, odd):
     assert written(odd.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("copies", ["one row", "null id", "nulls"])
+def test_shards_of_repeated_rows(spark, copies):
+    """A third of the rows equal: they fill many buckets, no row is lost, and the order is that of the rows alone."""
+    same = {"one row": (7, "copy " * 40), "null id": (None, "copy " * 40), "nulls": (None, None)}[copies]
+    rows = [(k, f"text {k} " * 20) for k in range(3000)] + [same] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = 3000
+
+    def written(df):
+        path = scratch_path(spark, "test-shards")
+        sharding.write_shards(df, path, 5, bucket_bytes=limit)
+        return sharding.read_shards(spark, path, df.schema)
+
+    found = written(docs.repartition(4)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in found) == collections.Counter(rows)
+    for shard in range(5):
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(900))
+    places = [r.shard * 900 + r.slot for r in found if (r.doc_id, r.text) == same]
+    # Copies are spread over the whole order.
+    assert np.histogram(places, 10, (0, 4500))[0].min() > 75
+    again = written(docs.repartition(9)).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in found}
+
+
+def test_bucket_counts_have_no_cap():
+    assert sharding._bucket_count(0, 32 << 20) == 1
+    assert sharding._bucket_count(1 << 40, 32 << 20) == 1 << 15
+    assert sharding._bucket_count(100 << 40, 32 << 20) == 100 << 13
+    with pytest.raises(ValueError):
+        sharding._bucket_count(1 << 60, 32 << 20)
+
+
 def _part_distance(item, text):
     row = [0] * (len(text) + 1)
     for k, word in enumerate(item):
@@ -490,3 +522,40 @@ def test_pipeline(spark):
     assert all(r.text == kept[r.doc_id] for r in after if not _spans(kept[r.doc_id]))
     after = steps["SentencePiece encoding"](spark, docs, folder)
     assert after.columns == ["doc_id", "n_pieces", "ids", "score"] and after.count() == len(kept)
+
+
+@pytest.mark.parametrize("period", [1, 2, 7, 60])
+def test_decontamination_is_linear_in_repeated_words(period):
+    """Repeated words make neither hits nor verifications pile up, and the best place is found."""
+    import time
+
+    pick = random.Random(period)
+    words = [f"w{k}" for k in range(period)]
+    item = " ".join((words * 300)[:300])
+    index = decontaminate.Index([(1, item)], 0.8, 0.95)
+    began = time.monotonic()
+    found = index.matches([" ".join((words * 30000)[:30000])])
+    assert [(f["item"], f["distance"], f["end_word"]) for f in found[0]] == [(1, 0, 300)]
+    assert time.monotonic() - began < 20
+    noisy = [w if pick.random() > 0.1 else "other" for w in (words * 30000)[:3000]]
+    place = index.matches([" ".join(noisy)])[0][0]
+    least, _ = _part_distance(item.split(), noisy)
+    assert place["distance"] == least
+
+
+def test_walks_that_cannot_reach_the_recall_are_refused(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 2)
+    with pytest.raises(ValueError):
+        decontaminate.walks_for(20, 12, 5, 0.9999, 0.5, 50)
+
+
+def test_queries_with_repeated_ids_ask_once(spark):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)] + [(0, [9.0, 9.0, 9.0]), (0, [3.0, 1.0, 1.0])] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    answers = [
+        sorted(map(tuple, permutation_index.nearest(table.repartition(n), F.col("vec_id") % 20 == 0).collect())) for n in (1, 3, 7)
+    ]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 30
+    query = np.array([0.0, 0.0, 1.0])  # the least of the three vectors of id 0
+    best = sorted((float(np.linalg.norm(np.array(v) - query)), k) for k, v in rows if k != 0)[:10]
+    assert [(r[3], r[2]) for r in answers[0] if r[0] == 0] == best

@@ -27,6 +27,10 @@ CLASSES = ((20, 12, 5), (10, 8, 4), (5, 4, 3), (4, 4, 4), (3, 3, 3), (2, 2, 2),
 # Samples drawn from each walk.
 SAMPLES = 4
 _FILTER_BITS = 22
+# No target needs so many walks unless it cannot be reached.
+MOST_WALKS = 512
+# Places of a text that one row of the verification covers, and cells of all its rows together.
+_SPAN, _CELLS = 4096, 1 << 20
 # Buckets of words per item, to tell quickly how many words of a text an item has.
 _BUCKETS = 1024
 # Benchmarks are sent to the executors in parts of about this size, one pass over the documents for each.
@@ -82,7 +86,7 @@ def walks_for(least: int, steps: int, sampled: int, recall: float, similarity: f
         around = random.integers(1, 1 << 62, 2 * steps, dtype=np.uint64)
         pairs.append((item, np.concatenate([around, np.array(other, np.uint64), around + np.uint64(1)])))
     met = np.zeros(trials, bool)
-    for n in range(1, 33):
+    for n in range(1, MOST_WALKS + 1):
         walk = Walk.drawn(steps, sampled, n - 1)
         for k, (item, text) in enumerate(pairs):
             if not met[k]:
@@ -91,7 +95,22 @@ def walks_for(least: int, steps: int, sampled: int, recall: float, similarity: f
                 met[k] = any(np.isin(a, b).any() for a, b in zip(own, found))
         if met.mean() >= recall:
             return n
-    return 32
+    raise ValueError(f"{MOST_WALKS} walks do not reach a recall of {recall} at a similarity of {similarity}")
+
+
+def _merged(owner: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, gap: np.ndarray):
+    """Intervals of places, those of one owner and item that lie ``gap`` or less apart made one."""
+    order = np.lexsort((low, item, owner))
+    owner, item, low, high, gap = (x[order] for x in (owner, item, low, high, gap))
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])
+    group = np.cumsum(fresh) << 42
+    # Within a group the farthest end so far; every group lies beyond the one before it.
+    reached = np.maximum.accumulate(group + high)
+    fresh[1:] |= (group + low)[1:] > reached[:-1] + gap[1:]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], item[first], low[first], (reached - group)[last[: len(first)]]
 
 
 class Index:
@@ -125,10 +144,12 @@ class Index:
                 walk = Walk.drawn(steps, sampled, seed)
                 tables = []
                 for keys in walk.keys(words, starts[item] + offset):
-                    order = np.argsort(keys)
+                    # A key that comes up again within the edits that an item allows leads to the same part of a text.
+                    names, which = np.unique(keys, return_inverse=True)
+                    which, own_item, low, high = _merged(which, item, offset, offset, np.maximum(1, self.allowed[item]))
                     maybe = np.zeros(1 << _FILTER_BITS, bool)
                     maybe[keys >> np.uint64(64 - _FILTER_BITS)] = True
-                    tables.append((keys[order], item[order], offset[order], maybe))
+                    tables.append((names[which], own_item, low, high, maybe))
                 self.probes.append((walk, tables))
         self.pad = max(steps for _, steps, _ in CLASSES) + 1
 
@@ -147,28 +168,42 @@ class Index:
         owner = np.repeat(np.arange(len(sizes)), sizes)
         starts = np.arange(len(words)) + (owner + 1) * self.pad
         padded[starts] = words
-        found = [np.empty((3, 0), np.int64)]
+        found = [np.empty((4, 0), np.int64)]
         for walk, tables in self.probes:
-            for keys, (known, item, offset, maybe) in zip(walk.keys(padded, starts), tables):
+            for keys, (known, item, low, high, maybe) in zip(walk.keys(padded, starts), tables):
                 hits = np.flatnonzero(maybe[keys >> np.uint64(64 - _FILTER_BITS)])
-                low = np.searchsorted(known, keys[hits], "left")
-                many = np.searchsorted(known, keys[hits], "right") - low
-                place = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                begin = np.repeat(starts[hits], many) - offset[place]
-                found.append(np.stack([item[place], begin, np.repeat(owner[hits], many)]))
-        candidates = np.concatenate(found, axis=1)
-        # A place and an item name a candidate; places may be a little below zero.
-        _, kept = np.unique((candidates[0] << 40) + candidates[1] + (1 << 32), return_index=True)
-        candidates = candidates[:, kept]
-        candidates = candidates[:, np.argsort(self.sizes[candidates[0]], kind="stable")]
+                first = np.searchsorted(known, keys[hits], "left")
+                many = np.searchsorted(known, keys[hits], "right") - first
+                place = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                begin = np.repeat(starts[hits], many)
+                own = np.repeat(owner[hits], many)
+                # Neighbouring places of a text are verified together, so a repetitive text has few intervals.
+                merged = _merged(own, item[place], begin - high[place], begin - low[place], self.allowed[item[place]] + 1)
+                found.append(np.stack(merged))
+        own, item, low, high = np.concatenate(found, axis=1)
+        own, item, low, high = _merged(own, item, low, high, self.allowed[item] + 1)
+        # Long intervals are cut.
+        cuts = (high - low) // _SPAN + 1
+        part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        own, item, low, high = (np.repeat(x, cuts) for x in (own, item, low, high))
+        low = low + part * _SPAN
+        span = np.minimum(high - low, _SPAN - 1)
+        width = self.sizes[item] + 2 * self.allowed[item] + span
+        order = np.argsort(width, kind="stable")
+        own, item, low, span, width = (x[order] for x in (own, item, low, span, width))
         best: list[dict] = [{} for _ in sizes]
-        for at in range(0, candidates.shape[1], 4096):
-            item, begin, own = candidates[:, at : at + 4096]
-            which, distance, end = self._near(item, begin, padded, firsts[own], sizes[own])
+        at = 0
+        while at < len(item):
+            # Rows are as wide as the last of them.
+            fits = np.arange(1, min(4096, len(item) - at) + 1) * width[at : at + 4096] <= _CELLS
+            stop = at + max(1, int(fits.sum()))
+            here = slice(at, stop)
+            which, distance, end = self._near(item[here], low[here], span[here], padded, firsts[own[here]], sizes[own[here]])
             for k, d, e in zip(which.tolist(), distance.tolist(), end.tolist()):
-                rows, rank = best[own[k]], (d, e)
-                if rank < rows.get(item[k], (1 << 60,)):
-                    rows[item[k]] = rank
+                rows, rank = best[own[at + k]], (d, e)
+                if rank < rows.get(item[at + k], (1 << 60,)):
+                    rows[item[at + k]] = rank
+            at = stop
         return [
             [
                 {"item": int(self.ids[i]), "words": int(self.sizes[i]), "distance": d, "end_word": e}
@@ -177,14 +212,14 @@ class Index:
             for rows in best
         ]
 
-    def _near(self, item, begin, padded, first, length):
-        """Candidates within the allowed edits, their least edit distance to a part of the text around ``begin``, and
-        the number of words up to the end of the first such part."""
+    def _near(self, item, begin, span, padded, first, length):
+        """Candidates within the allowed edits, their least edit distance to a part of the text that begins around ``begin``
+        or up to ``span`` words behind it, and the number of words up to the end of the first such part."""
         size, allowed = self.sizes[item], self.allowed[item]
-        width = int((size + 2 * allowed).max(initial=0))
+        width = int((size + 2 * allowed + span).max(initial=0))
         places = (begin - allowed)[:, None] + np.arange(width)
         inside = (places >= first[:, None]) & (places < (first + length)[:, None])
-        inside &= np.arange(width) < (size + 2 * allowed)[:, None]
+        inside &= np.arange(width) < (size + 2 * allowed + span)[:, None]
         region = np.where(inside, padded[np.clip(places, 0, len(padded) - 1)], np.uint64(0))
         # All but ``allowed`` words of the item stand in a part within so many edits. Most candidates fail that.
         buckets = (region & np.uint64(_BUCKETS - 1)).astype(np.int64) + (item * _BUCKETS)[:, None]
@@ -236,7 +271,8 @@ def found_items(
     """A column for ``docs``: the items in its text, ``array<struct<item, words, distance, end_word>>``.
 
     An item of L words is found where a part of the text is within ``(1 - similarity) * L`` word edits of it. Words are
-    compared in lower case, without punctuation. An exact copy is always found; an edited one of the least similarity
+    compared in lower case, without punctuation. Time is linear in a text's length, also where words repeat: neighbouring
+    candidates become one interval, which is verified once. An exact copy is always found; an edited one of the least similarity
     with probability ``recall`` at least, all its edits being random (real ones are mostly fewer).
     """
     found = F.array().cast(_FOUND)

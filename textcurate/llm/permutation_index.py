@@ -157,8 +157,9 @@ def nearest(
     ``score`` is the Euclidean distance of the original vectors in double precision; nearest first, ties to the smaller
     id. Every different usable vector is indexed; pivots come from a sample of ``4 * pivots`` of them. Of each block the
     ``share`` of smallest footrule distance, ``least`` at least, is reranked. Vectors that are null, zero or hold a null or
-    non-finite component, rows with a null id, and vectors of another than the most frequent length take no part. Ids
-    name one vector each; rows that repeat an id are candidates each, but not of their own id.
+    non-finite component, rows with a null id, and vectors of another than the most frequent length take no part. Rows that
+    repeat an id are candidates each, but not of their own id; of several vectors under an id that asks, the least one
+    asks (compared component by component).
     """
     spark = table.sparkSession
     rows = vectors_of(table, id_column, vector_column)
@@ -175,7 +176,7 @@ def nearest(
     shared = spark.sparkContext.broadcast(chosen)
     index = build(rows, shared, length, blocks, "permutation-index")
     asking = vectors_of(table.filter(queries), id_column, vector_column)
-    asking = asking.filter(F.size("vector") == lengths[0]["d"]).dropDuplicates(["id"])
+    asking = asking.filter(F.size("vector") == lengths[0]["d"]).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = asking.count()
     asking = asking.withColumns({"members": F.array("id"), "counts": F.array(F.lit(1))})
     packed = build(asking, shared, length, max(1, -(-asked // 2048)), "permutation-queries")
