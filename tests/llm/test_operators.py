@@ -462,6 +462,48 @@ def test_shards(spark, odd):
     assert written(odd.limit(0), 3).count() == 0
 
 
+def test_languages_without_spaces_are_learned(spark):
+    """Long runs of letters are learned from, and copies under null or equal ids count once."""
+    pick = random.Random(3)
+    scripts = {"xx": "кгдбвлмн", "yy": "αβγδεζηθ", "zz": "abcdefgh"}
+    rows = []
+    for lang, letters in scripts.items():
+        for k in range(60):
+            rows.append((len(rows), "".join(pick.choice(letters) for _ in range(400)), lang))
+    rows += [(None, rows[0][1], "xx")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, PIECES, max_docs=100)
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs.filter("doc_id IS NOT NULL"), model).collect()}
+    assert all(found[k] == lang for k, _, lang in rows if k is not None)
+    once = language.train(docs.dropDuplicates(["text"]), PIECES, max_docs=10_000).probabilities.value
+    assert np.allclose(language.train(docs, PIECES, max_docs=10_000).probabilities.value, once)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars around a few nodes, chains between them: the same components with hubs split."""
+    from textcurate.plans import skew
+
+    pick = random.Random(8)
+    edges = [(hub, 1000 + hub * 300 + k) for hub in (1, 2, 700) for k in range(300)]
+    edges += [(k, k + 1) for k in range(5000, 5060)] + [(1299, 1700), (9000, 9000)]
+    edges = [e if pick.random() < 0.5 else e[::-1] for e in edges]
+    table = spark.createDataFrame(edges, "u long, v long")
+    leader = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in range(len(edges)):
+        before = dict(leader)
+        for a, b in edges:
+            if a != b:
+                leader[a] = leader[b] = min(leader[a], leader[b])
+        if leader == before:
+            break
+    assert {tuple(r) for r in components.components(table).collect()} == set(leader.items())
+    hot = []
+    inner = skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda df, key, least, total: hot.append(inner(df, key, 100, total)) or hot[-1])
+    assert {tuple(r) for r in components.components(table).collect()} == set(leader.items())
+    assert any(hot)
+
+
 @pytest.mark.parametrize("copies", ["one row", "null id", "nulls"])
 def test_shards_of_repeated_rows(spark, copies):
     """A third of the rows equal: they fill many buckets, no row is lost, and the order is that of the rows alone."""

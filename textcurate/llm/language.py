@@ -139,14 +139,14 @@ def train(
     max_docs: int = 500,
     rounds: int = 2,
     smoothing: float = 0.1,
-    id_column: str = "doc_id",
     text_column: str = "text",
     language_column: str = "lang",
 ) -> LanguageModel:
-    """Learn from about ``max_docs`` whole documents of each language, chosen by a hash of their id.
+    """Learn from about ``max_docs`` different whole texts of each language at most, chosen by a hash of the text.
 
-    Rows without a language or text are left out. Words of more than 48 letters are not learned from. Without any row
-    the model has no language and predicts ``und``.
+    Rows without a language or text are left out; copies of a text count once, whatever their ids. Runs of more than 48
+    letters, as in scripts without spaces, are learned from in pieces of 48. Without any row the model has no language
+    and predicts ``und``.
     """
     spark = labelled.sparkSession
     content = file_bytes(spark, vocabulary_path)
@@ -157,12 +157,16 @@ def train(
     if not languages:
         return LanguageModel([], content, spark.sparkContext.broadcast(np.zeros((lattice.size, 0))))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["language"], min(1.0, max_docs / r["count"]))])
-    chosen = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_column)), F.lit(1_000_003)) / 1_000_003
+    chosen = F.pmod(F.xxhash64(F.lit("language sample"), F.col("text")), F.lit(1_000_003)) / 1_000_003
     number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])
+    texts = rows.select(F.col(language_column).alias("lang"), F.col(text_column).cast("string").alias("text"))
+    texts = texts.filter(chosen < share[F.col("lang")]).distinct()
+    word = F.col("word")
+    pieces = F.regexp_extract_all(word, F.lit(f"(?s).{{1,{_LONG}}}"), F.lit(0))
     words = (
-        rows.filter(chosen < share[F.col(language_column)])
-        .select(number[F.col(language_column)].alias("language"), F.explode(F.split(words_of(text_column), " ")).alias("word"))
-        .filter((F.col("word") != "") & (F.length("word") <= _LONG))
+        texts.select(number[F.col("lang")].alias("language"), F.explode(F.split(words_of("text"), " ")).alias("word"))
+        .filter(word != "")
+        .select("language", F.explode(F.when(F.length(word) > _LONG, pieces).otherwise(F.array(word))).alias("word"))
     )
     words = materialize(words.groupBy("language", "word").count(), "language-words")
     probabilities = np.full((lattice.size, len(languages)), 1.0 / lattice.size)
