@@ -39,7 +39,10 @@ from textcurate.streaming.incremental import embed_new_files  # noqa: E402
 try:
     import corpus_pipeline
     from textcurate.llm import queries as llm_queries
-except ImportError:  # the training-data operators are an optional part
+except ImportError as missing:  # the training-data operators are an optional part
+    there = (ROOT / "corpus_pipeline.py").exists() and (ROOT / "textcurate" / "llm" / "__init__.py").exists()
+    if there and (missing.name or "").startswith(("textcurate", "corpus_pipeline")):
+        raise  # not absent but broken
     corpus_pipeline = llm_queries = None
 
 MODEL = "hashed-256"
