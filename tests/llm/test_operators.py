@@ -113,6 +113,35 @@ def test_token_files(spark, odd):
     assert token_files.read_token_files(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("case", ["texts of one id", "copies", "null ids", "both"])
+def test_token_files_split_hot_ids(spark, case):
+    """An id that owns a third of the rows is spread over shards, whether its texts differ or not, and order stays."""
+    pick = random.Random(2)
+
+    def text():
+        return " ".join(pick.choice(["one", "two", "three", "four", "xq", "zz"]) for _ in range(30))
+
+    same = text()
+    hot = {
+        "texts of one id": [(700, text()) for _ in range(700)],
+        "copies": [(700, same)] * 700,
+        "null ids": [(None, same if k % 2 else text()) for k in range(700)],
+        "both": [(700, same if k % 3 else text()) for k in range(500)] + [(-(1 << 62), same)] * 200,
+    }[case]
+    rows = [(k, text()) for k in range(1400)] + hot
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = scratch_path(spark, "test-token-files")
+    token_files.write_token_files(docs, BPE, path, shard_bytes=500, block_tokens=64)
+    found = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found[:-1])]).tolist()
+    library = Tokenizer.from_file(BPE)
+    encoded = {t: np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes() for _, t in rows}
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in found) == collections.Counter((i, encoded[t]) for i, t in rows)
+    sizes = [r.n_tokens for r in spark.read.parquet(f"{path}/shards").collect()]
+    assert len(sizes) > 30 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
 def test_pieces_are_the_best_and_spell_the_text(spark, odd):
     content = open(PIECES, "rb").read()
     coder = pieces.PieceCoder(content)

@@ -9,11 +9,12 @@ every 256th id of each document, unsigned 64-bit little-endian). ``shards`` (sha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textcurate.llm import pretokens
@@ -70,6 +71,54 @@ def id_counts(ids: DataFrame, size: int, width: int) -> np.ndarray:
     return counts
 
 
+@dataclass(frozen=True)
+class _Ranges:
+    """Which shard a row goes to: ranges of ids, and where one id fills several shards, ranges of its ties.
+
+    Shard k holds the ids above bound k - 1 and up to bound k. An id that is several bounds has as many shards for itself, and
+    ``ties`` holds the bounds between them; a tie that is several bounds is that of copies, which go to any of its shards.
+    """
+
+    bounds: np.ndarray
+    ties: dict[int, np.ndarray]
+
+    def shards_of(self, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        part = np.searchsorted(self.bounds, ids)
+        for hot, cuts in self.ties.items():
+            rows = np.flatnonzero(ids == hot)
+            first, last = (np.searchsorted(cuts, ties[rows] >> _SHIFT, side) for side in ("left", "right"))
+            # Copies take turns.
+            part[rows] += first + np.arange(len(rows)) % np.maximum(1, last - first + (last - first > 0))
+        return part.astype(np.int32)
+
+
+# Spark's percentiles are doubles: ties are cut to what these hold exactly. Ids beyond 2**53 come in order all the same,
+# but a single hot one among them is not split.
+_SHIFT = 12
+# Stands for a null id, which comes first.
+_NULL = -(1 << 63)
+
+
+def _ranges(ids: DataFrame, n_shards: int) -> _Ranges:
+    """Bounds for rows ``(id, tie)``, a few numbers per shard."""
+    number = F.coalesce("id", F.lit(_NULL))
+
+    def cuts(rows: DataFrame, column: Column, parts: int, *by: Column) -> list:
+        shares = [k / parts for k in range(1, parts)]
+        return rows.groupBy(*by).agg(F.percentile_approx(column, shares, max(10_000, 20 * parts)).alias("cuts")).collect()
+
+    if n_shards == 1:
+        return _Ranges(np.zeros(0, np.int64), {})
+    found = cuts(ids, number, n_shards)[0]["cuts"] or []
+    values, times = np.unique(np.array(found, np.int64), return_counts=True)
+    ties: dict[int, np.ndarray] = {}
+    for parts in np.unique(times[times > 1]).tolist():
+        hot = values[times == parts].tolist()
+        for row in cuts(ids.filter(number.isin(hot)), F.shiftright("tie", _SHIFT), parts, number.alias("id")):
+            ties[row["id"]] = np.array(row["cuts"], np.int64)
+    return _Ranges(np.array(found, np.int64), ties)
+
+
 def write_token_files(
     docs: DataFrame,
     tokenizer_path: str,
@@ -84,8 +133,10 @@ def write_token_files(
     """Tokenise every whole text, append ``end_id``, and write the ids in ascending order of the (integer) id column.
 
     Texts are tokenised once, where they are; only coded documents are exchanged. Shards are ranges of ids of about
-    ``shard_bytes`` coded bytes. Null ids come first, null texts are empty ones (the end id alone), rows of one id are
-    ordered by a hash of their text, an empty table gives tables without rows, and other columns are not read.
+    ``shard_bytes`` coded bytes; the rows of an id that has more, null ids among them, are ranges of the hash of
+    their text, and copies of one row are dealt out. Null ids come first, null texts are empty ones (the end id alone),
+    rows of one id are ordered by a hash of their text, an empty table gives tables without rows, and other columns are
+    not read.
     """
     spark = docs.sparkSession
     stored = scratch_path(spark, "token-ids")
@@ -99,19 +150,16 @@ def write_token_files(
     used = int(np.count_nonzero(counts))
     lengths = code_lengths(counts, max(max_bits, used.bit_length()))
     n_shards = max(1, -(-int((counts * lengths).sum()) // (8 * shard_bytes)))
-    cuts = [k / n_shards for k in range(1, n_shards)]
-    found = ids.agg(F.percentile_approx("id", cuts, max(10_000, 20 * n_shards))).first()[0] if cuts else []
-    bounds = spark.sparkContext.broadcast((lengths, np.array(found or [], np.int64)))
+    shared = spark.sparkContext.broadcast((lengths, _ranges(ids, n_shards)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(bounds.value[0])
+        lengths, ranges = shared.value
+        encoder = Encoder(lengths)
         for batch in batches:
             pieces = _arrays(batch.column(2), width)
             coded = encoder.encode(pieces)
-            doc_ids = batch.column(0).to_pandas().to_numpy()
-            missing = pd.isna(doc_ids)
-            filled = np.where(missing, 0, doc_ids).astype(np.int64)
-            part = np.where(missing, 0, np.searchsorted(bounds.value[1], filled)).astype(np.int32)
+            filled = batch.column(0).fill_null(_NULL).to_numpy()
+            part = ranges.shards_of(filled, batch.column(1).to_numpy())
             columns = [
                 pa.array(part),
                 batch.column(0),
