@@ -9,6 +9,7 @@ import json
 import math
 import string
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,14 +234,25 @@ def train(samples: DataFrame, smoothing: float = 0.5, each: int = 2000) -> Rando
     return RandomModel(ratios, (best[0] + best[-1]) / 200)
 
 
-def mean_ratio(value: Column, model: RandomModel) -> Column:
-    """Of a string of two or more characters, the mean log-likelihood ratio against the kind that explains it best."""
-    means = []
-    for kind in sorted(model.ratios):
+def _ratios(model: RandomModel) -> list:
+    """Per kind of ordinary string, words first, its mean log-likelihood ratio as a function of a column."""
+    out = []
+    for kind in sorted(model.ratios, key=lambda k: (k != WORDS_KIND, k)):
         flat = [0.0] * (128 * 128)
         for pair, ratio in model.ratios[kind].items():
             flat[ord(pair[0]) * 128 + ord(pair[1])] = round(ratio, 6)
-        means.append(_mean_ratio(value, F.from_json(F.lit(json.dumps(flat)), "array<double>")))
+        table = F.from_json(F.lit(json.dumps(flat)), "array<double>")
+        out.append(partial(_mean_ratio, table=table))
+    return out
+
+
+def _reaches(ratio, least: float, part: Column) -> Column:
+    return ratio(part["seen"]) >= least
+
+
+def mean_ratio(value: Column, model: RandomModel) -> Column:
+    """Of a string of two or more characters, the mean log-likelihood ratio against the kind that explains it best."""
+    means = [ratio(value) for ratio in _ratios(model)]
     return F.least(*means) if len(means) > 1 else means[0]
 
 
@@ -256,7 +268,8 @@ def _mean_ratio(value: Column, table: Column) -> Column:
         places = F.when(F.length(piece) > 1, F.sequence(F.lit(1), F.length(piece) - 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(places, F.lit(0.0), lambda t, i: t + F.get(table, code(i) * 128 + code(i + 1)))
 
-    pieces = F.regexp_extract_all(value, F.lit(_PIECES), F.lit(1))
+    cut = F.regexp_extract_all(value, F.lit(_PIECES), F.lit(1))
+    pieces = F.when(F.length(value) <= 1024, F.array(value)).otherwise(cut)
     total = F.aggregate(F.transform(pieces, ratios), F.lit(0.0), lambda t, r: t + r)
     return total / (F.length(value) - 1)
 
@@ -319,7 +332,9 @@ def find_secrets(
         return F.when(F.size(found) > 0, uncovered(spans)).otherwise(none)
 
     parts = F.filter(_let(tokens, swept), lambda p: F.length(p["seen"]) > 1)
-    random = F.filter(parts, lambda p: mean_ratio(p["seen"], model) >= model.least_mean)
+    random = parts
+    for ratio in _ratios(model):  # most runs are explained by the first kind, and looked at no further
+        random = F.filter(random, partial(_reaches, ratio, model.least_mean))
     return rows.withColumn("added", F.transform(random, lambda p: p.dropFields("seen")).cast(_SPANS))
 
 
