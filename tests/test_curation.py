@@ -212,6 +212,31 @@ def test_saved_files_keep_the_order_of_rows(spark, tmp_path, monkeypatch, few):
     assert [r.id for r in found] == [i for i in range(400) if i not in (3, 300)]
 
 
+def test_a_warm_load_looks_for_misses_while_it_attaches(spark, tmp_path):
+    """All texts known, one unknown, and none known: the same vectors and counts as filling the cache first gives."""
+    path, cache = str(tmp_path / "a.jsonl"), str(tmp_path / "cache")
+
+    def write(texts):
+        with open(path, "w") as out:
+            out.writelines(json.dumps({"text": t}) + "\n" for t in texts)
+
+    def loaded(embedder):
+        seen = []
+        data = load(spark, path, embedder, CONFIG, cache_path=cache, on_progress=lambda *x: seen.append(x))
+        counts = [data.summary[k] for k in ("rows", "embeddings_cached_hits", "embeddings_freshly_computed")]
+        return {r[ROW_INDEX]: list(r[VECTOR]) for r in data.vectors.collect()}, counts, seen, data.dim
+
+    write(["a", "b", "a", "c d"])
+    cold, counts, seen, dim = loaded(EMBEDDER)
+    assert counts == [4, 0, 4] and seen[-1] == (4, 4) and dim == 1024
+    again, counts, seen, dim = loaded(None)
+    assert again == cold and counts == [4, 4, 0] and seen == [(4, 4)] and dim == 1024
+    write(["a", "b", "a", "c d", "new"])
+    more, counts, seen, _ = loaded(EMBEDDER)
+    assert counts == [5, 4, 1] and seen == [(4, 5), (5, 5)] and {k: more[k] for k in cold} == cold
+    assert more[4] == [float(x) for x in EMBEDDER(["new"])[0]]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_projection_equals_brute_force(spark, tmp_path, parts):
     rng = np.random.default_rng(3)

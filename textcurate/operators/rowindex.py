@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from textcurate.plans.scratch import materialize
@@ -41,9 +41,10 @@ def _find_runs(placed: DataFrame, key: list[str], position: str) -> _Runs:
     table = placed.groupBy(*key).agg(
         F.count("*").alias("_n"), F.min(position).alias("_first"), F.max(position).alias("_last")
     )
-    table = materialize(table, "row-runs")
-    count, gaps = table.agg(F.count("*"), F.count_if(F.col("_last") >= F.col("_n"))).first()
-    return _Runs(table, key, count, gaps > 0)
+    seen = Observation()
+    gaps = F.count_if(F.col("_last") >= F.col("_n")).alias("gaps")
+    table = materialize(table.observe(seen, F.count(F.lit(1)).alias("runs"), gaps), "row-runs")
+    return _Runs(table, key, seen.get["runs"], seen.get["gaps"] > 0)
 
 
 def with_row_index(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
