@@ -717,3 +717,26 @@ def test_queries_with_repeated_ids_ask_once(spark):
     query = np.array([0.0, 0.0, 1.0])  # the least of the three vectors of id 0
     best = sorted((float(np.linalg.norm(np.array(v) - query)), k) for k, v in rows if k != 0)[:10]
     assert [(r[3], r[2]) for r in answers[0] if r[0] == 0] == best
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    """Every stage on a table without rows, and the whole pipeline on nulls, repeated rows and an empty benchmark."""
+    import corpus_pipeline
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    folder = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, real.limit(0), folder).count() == 0, name
+    text = real.filter("length(text) > 500").orderBy("doc_id").first().text
+    odd = [(-1, text, "en", "s", 5), (-1, text, "en", "s", 5), (None, text, None, None, None), (-2, None, None, "s", None)]
+    odd += [(-3, "", "en", None, 0), (None, None, None, None, None), (-4, "12 34", "en", "s", 5)]
+    docs = real.unionByName(spark.createDataFrame(odd, real.schema)).filter("doc_id < 300 OR doc_id IS NULL")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    found = corpus_pipeline.run(spark, folder)
+    assert found.columns == ["doc_id", "n_pieces", "ids", "score"]
+    ids = [r.doc_id for r in found.collect()]
+    # Copies of one text leave one row, and rows without a letter none.
+    same = [r.doc_id for r in docs.filter(F.col("text") == text).collect()]
+    assert sum(i in set(same) for i in ids) == 1 and None not in ids and 200 < len(ids) <= 300
+    assert not {-2, -3, -4} & set(ids)
