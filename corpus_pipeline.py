@@ -20,7 +20,10 @@ LEAST_POSTERIOR = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, a text, or a language that stands out are rejected; the others stay as they are."""
+    """Documents without a letter, a text, or a language that stands out are rejected; the others stay as they are.
+
+    Ids may be null or repeated, each row is judged by its text; of an empty table, or one without languages, none stays.
+    """
     ship(spark)
     model = language.train(docs.filter(~language.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
     row = F.struct(*COLUMNS).alias("row")
@@ -40,7 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exactly or edited, go."""
+    """Documents that hold a benchmark item, exactly or edited, go.
+
+    Null and empty texts hold none and stay, repeated rows go or stay alike, and an empty benchmark leaves all.
+    """
     ship(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = docs.select(*COLUMNS, decontaminate.found_items(docs, benchmark).alias("_found"))
@@ -48,7 +54,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mask; all documents stay. ``n_chars`` follows the text."""
+    """Secrets are replaced by a mask; all documents stay, repeated rows each. ``n_chars`` follows the text.
+
+    Texts without a secret, null ones too, are left as they are; an empty table stays empty.
+    """
     model = secrets.train(secrets.labelled_samples(docs))
     row = F.struct(*COLUMNS).alias("row")
     found = secrets.find_secrets(docs.select(row, "text"), model, id_column="row")
@@ -60,7 +69,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document, each row by itself; null and empty texts have none."""
     ship(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
