@@ -55,10 +55,11 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row and doubled quotes.
 
-    Quoted cells may hold line breaks, and Spark itself cannot split a file that has such cells. Unless ``multiline`` says
-    that all files do or none does, a pass over the lines finds those that do; they are cut into records split by split
-    (see :mod:`textcurate.sources.spans`), all others are read as lines. Only a file with carriage returns
-    within its lines is read as a whole. Without a ``schema`` another pass settles the column types.
+    Quoted cells may hold line breaks, and Spark itself cannot split a file that has such cells. A pass over the
+    lines finds those that do; they are cut into records split by split (see :mod:`textcurate.sources.spans`), all others
+    are read as lines. Only a file with carriage returns within its lines is read as a whole. ``multiline`` True or
+    False leaves that pass out and reads all files as a whole, or all as lines. Without a ``schema`` another pass settles
+    the column types.
     """
     reader = spark.read.options(**CSV_RULES)
     if schema is None:
@@ -82,8 +83,8 @@ def read_csv(
         named = [F.col(f"cells.c{k}").alias(field.name) for k, field in enumerate(cell_schema.fields)]
         return parsed.select(*named, FILE, BLOCK)
 
-    if multiline is False:
-        raw = scan(whole=False)
+    if multiline is not None:
+        raw = scan(whole=multiline)
     else:
         lines = tag_file_position(spark.read.option("lineSep", "\n").text(path))
         broken = lines.filter(~F.col("value").rlike(_WHOLE_RECORD))
