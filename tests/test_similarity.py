@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,45 @@ def test_many_queries_of_tiny_tables(spark):
     assert similarity.search_many(rows.limit(0), queries, 3).count() == 0
     assert similarity.search_many(rows, queries.limit(0), 3).count() == 0
     assert similarity.search_many(rows, queries, 3).count() == 2
+
+
+def test_a_block_is_shipped_to_groups_and_not_to_partners(spark):
+    """100 blocks that all meet: few tasks, each of which gets a block once, whatever the number of its partners."""
+    rng = np.random.default_rng(15)
+    points = similarity._distinct_vectors(frame(spark, rng.normal(size=(700, DIM)).astype(np.float32)), 1)
+    layout = blocks.make_layout(points, 700, 7)
+    packed = blocks.pack(blocks.locate(points, layout, 7).withColumn("radius", F.lit(blocks.FAR)), layout)
+    pairs = blocks.meetings(packed, packed, layout, blocks.OTHERS)
+
+    def seen(block, partners):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        return pa.table([(pa.array([task] * len(partners), pa.int64())), [int(p.ids[0]) for p in partners], [int(block.ids[0])] * len(partners)], ["task", "b", "a"])
+
+    met = blocks.across(packed, packed, pairs, seen, "task bigint, b bigint, a bigint").collect()
+    n = packed.count()
+    assert n > 90 and len({(r.a, r.b) for r in met}) == len(met) == n * (n - 1)
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    assert len({(r.task, r.b) for r in met}) <= n * wanted**0.5 * 1.5
+    assert max(r.task for r in met) < 4 * wanted
+
+
+def test_partners_are_joined_without_loss(monkeypatch):
+    """Small partners are compared in one go; a row far from all their boxes stays out."""
+    rng = np.random.default_rng(16)
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 25)
+    rows = rng.normal(size=(60, DIM))
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    parts = [slice(k, k + 10) for k in range(0, 60, 10)]
+    made = [
+        blocks.Block(np.arange(60)[p], units[p], units[p], np.full(10, 1.0), units[p].min(axis=0)[None], units[p].max(axis=0)[None])
+        for p in parts
+    ]
+    groups = list(blocks.joined(made))
+    assert [len(g.ids) for g in groups] == [20, 20, 20] and np.concatenate([g.ids for g in groups]).tolist() == list(range(60))
+    assert np.allclose(made[5].distances_to(groups[0]), np.minimum(made[5].distances_to(made[0]), made[5].distances_to(made[1])))
+    found = similarity._block_neighbor_kernel(3)(made[5], made[:5]).to_pylist()
+    scores = units[50:] @ units[:50].T
+    expected = {(50 + q, int(o)) for q in range(10) for o in np.argsort(-scores[q])[:3] if scores[q, o] >= 0.5}
+    assert {(r["id"], r["other"]) for r in found} == expected

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textcurate.functions.vectors import matrix, unit_rows
 from textcurate.plans.scratch import materialize
@@ -31,15 +32,16 @@ AXES_SAMPLE, SPLIT_SAMPLE = 4096, 1 << 18
 MAX_LEAVES = 1 << 14
 # Children of a node per step from the root down, as a power of two.
 STEP_BITS = 4
-# Partners that a block meets in one task.
-PARTNERS = 16
+# Packed bytes of one side that a task holds at once, and rows of partners that are compared in one go.
+GROUP_BYTES = 32 << 20
+CHUNK_ROWS, CHUNK_BLOCKS = 4096, 64
 # Distances get this much slack, more than the rounding of scores and arithmetic can amount to.
 SLACK = 1e-6
 FAR = 4.0
 
 _PACKED = (
     "block bigint, leaf bigint, n int, ids binary, vectors binary, coordinates binary, radii binary, "
-    "low array<double>, high array<double>, reach double"
+    "low array<double>, high array<double>, reach double, size bigint"
 )
 
 
@@ -118,7 +120,7 @@ def make_layout(points: DataFrame, rows: int, block_rows: int) -> Layout:
 
 
 def locate(points: DataFrame, layout: Layout, block_rows: int) -> DataFrame:
-    """Rows ``(id, copy, vec, leaf, block)``, stored: a block is a leaf, or one hash part of a leaf that holds more.
+    """Rows ``(id, copy, vec, leaf, block)``: a block is a leaf, or one hash part of a leaf that holds more.
 
     Blocks are numbered from leaf to leaf, without gaps but for empty parts.
     """
@@ -134,10 +136,9 @@ def locate(points: DataFrame, layout: Layout, block_rows: int) -> DataFrame:
     # One row per leaf, so MAX_LEAVES at most, here and in the window.
     parts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
     before = Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("first", F.coalesce(F.sum("parts").over(before), F.lit(0)))
+    parts = materialize(parts.withColumn("first", F.coalesce(F.sum("parts").over(before), F.lit(0))), "leaf-parts")
     block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))
-    numbered = rows.join(F.broadcast(parts), "leaf").select("id", "copy", "vec", "leaf", block.alias("block"))
-    return materialize(numbered, "located")
+    return rows.join(F.broadcast(parts), "leaf").select("id", "copy", "vec", "leaf", block.alias("block"))
 
 
 def pack(rows: DataFrame, layout: Layout) -> DataFrame:
@@ -149,17 +150,20 @@ def pack(rows: DataFrame, layout: Layout) -> DataFrame:
         found = matrix(table.column("vec"))
         at = layout.coordinates(unit_rows(found))
         radii = np.asarray(table.column("radius"), np.float64)
+        ids, vectors = np.asarray(table.column("id"), "<i8").tobytes(), found.astype("<f4").tobytes()
+        at_bytes, radii_bytes = at.astype("<f8").tobytes(), radii.astype("<f8").tobytes()
         fields = [
             [table.column("block")[0].as_py()],
             [table.column("leaf")[0].as_py()],
             [len(found)],
-            [np.asarray(table.column("id"), "<i8").tobytes()],
-            [found.astype("<f4").tobytes()],
-            [at.astype("<f8").tobytes()],
-            [radii.astype("<f8").tobytes()],
+            [ids],
+            [vectors],
+            [at_bytes],
+            [radii_bytes],
             [at.min(axis=0).tolist()],
             [at.max(axis=0).tolist()],
             [float(radii.max())],
+            [len(ids) + len(vectors) + len(at_bytes) + len(radii_bytes)],
         ]
         return pa.table(fields, schema)
 
@@ -171,6 +175,7 @@ def pack(rows: DataFrame, layout: Layout) -> DataFrame:
             *[(name, pa.binary()) for name in ("ids", "vectors", "coordinates", "radii")],
             *[(name, pa.list_(pa.float64())) for name in ("low", "high")],
             ("reach", pa.float64()),
+            ("size", pa.int64()),
         ]
     )
     rows = rows.select("block", "leaf", "id", "vec", radius.cast("double").alias("radius"))
@@ -179,7 +184,7 @@ def pack(rows: DataFrame, layout: Layout) -> DataFrame:
 
 @dataclass(frozen=True)
 class Block:
-    """A packed block in a task: rows by ascending id."""
+    """A packed block in a task, rows by ascending id, or several of them; ``low`` and ``high`` have a row per box."""
 
     ids: np.ndarray
     units: np.ndarray
@@ -197,19 +202,40 @@ class Block:
             unit_rows(vectors),
             np.frombuffer(row["coordinates"], "<f8").reshape(n, -1),
             np.frombuffer(row["radii"], "<f8"),
-            np.asarray(row["low"]),
-            np.asarray(row["high"]),
+            np.asarray([row["low"]]),
+            np.asarray([row["high"]]),
         )
 
     def distances_to(self, other: Block) -> np.ndarray:
-        """How far each row is from the other block's box, at least."""
-        gap = np.maximum(0.0, np.maximum(other.low - self.coordinates, self.coordinates - other.high))
-        return np.sqrt((gap * gap).sum(axis=1))
+        """How far each row is from the nearest of the other block's boxes, at least."""
+        at = self.coordinates[:, None]
+        gap = np.maximum(0.0, np.maximum(other.low - at, at - other.high))
+        return np.sqrt((gap * gap).sum(axis=2).min(axis=1))
 
     def taken(self, rows: np.ndarray) -> Block:
         return Block(self.ids[rows], self.units[rows], self.coordinates[rows], self.radii[rows], self.low, self.high)
 
 
+def joined(partners: Iterable[Block]) -> Iterator[Block]:
+    """Partners put together to about ``CHUNK_ROWS`` rows, so that small blocks cost no more than large ones do."""
+    held, rows = [], 0
+    for block in partners:
+        if held and (rows + len(block.ids) > CHUNK_ROWS or len(held) == CHUNK_BLOCKS):
+            yield _together(held)
+            held, rows = [], 0
+        held.append(block)
+        rows += len(block.ids)
+    if held:
+        yield _together(held)
+
+
+def _together(some: list[Block]) -> Block:
+    if len(some) == 1:
+        return some[0]
+    names = ("ids", "units", "coordinates", "radii", "low", "high")
+    return Block(*(np.concatenate([getattr(b, name) for b in some]) for name in names))
+
+
 def _box_distance(a: str, b: str) -> Column:
     below = F.zip_with(f"{a}.low", f"{b}.high", lambda x, y: x - y)
     above = F.zip_with(f"{b}.low", f"{a}.high", lambda x, y: x - y)
@@ -276,6 +302,24 @@ def within(
     return packed.mapInArrow(run, schema)
 
 
+def _grouped(sizes: DataFrame, total: int, parts: int) -> DataFrame:
+    """``(block, group)``, stored: blocks ``(block, size)`` in ``parts`` runs of neighbouring numbers and about equal size."""
+    bounds = np.zeros(0, np.int64)
+    if parts > 1:
+        # A large block counts several times.
+        times = F.ceil(F.col("size") * (16 * parts) / total).cast("int")
+        weighted = sizes.select("block", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), times))))
+        shares = [k / parts for k in range(1, parts)]
+        found = weighted.agg(F.percentile_approx("block", shares, max(10_000, 20 * parts))).first()[0]
+        bounds = np.unique(np.array(found or [], np.int64))
+
+    @F.arrow_udf(T.IntegerType())
+    def group(numbers: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, np.asarray(numbers)).astype(np.int32))
+
+    return materialize(sizes.select("block", group("block").alias("group")), "groups")
+
+
 def across(
     askers: DataFrame,
     others: DataFrame,
@@ -284,36 +328,45 @@ def across(
     schema: str,
     unpack: Callable = Block.of,
 ) -> DataFrame:
-    """Every block ``a`` against those ``b`` that ``pairs`` gives it, up to ``PARTNERS`` of them in a task.
+    """Every block ``a`` against those ``b`` that ``pairs`` gives it.
 
-    A block is shipped once a partner (as ``b``) or a handful of partners (as ``a``). One that very many want is read by
-    several tasks, each of which ships it to some of them.
+    The blocks of either side are dealt into groups of neighbours of ``GROUP_BYTES`` at most, or smaller ones where
+    there would be too few tasks. A task holds a group of each side and compares all their pairs, so that a block is shipped once
+    for a group that it has a partner in, and not once for a partner.
     """
     spark = pairs.sparkSession
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    sides = [side.select("block", "size") for side in ((askers,) if askers is others else (askers, others))]
+    measured = [side.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first() for side in sides]
+    (n_a, bytes_a), (n_b, bytes_b) = measured[0], measured[-1]
+    # Shipped are the bytes of one side times the groups of the other: least where both sides' groups are of one size.
+    parts_a = max(-(-bytes_a // GROUP_BYTES), round(math.sqrt(wanted * bytes_a / max(1, bytes_b))), 1)
+    parts_a = min(parts_a, max(1, n_a))
+    parts_b = min(max(-(-bytes_b // GROUP_BYTES), -(-wanted // parts_a)), max(1, n_b))
+    if askers is others:
+        parts_a = parts_b = max(parts_a, parts_b)
+    groups = [_grouped(side, total, parts) for side, (_, total), parts in zip(sides, measured, (parts_a, parts_b))]
+    of_a, of_b = (groups[k].select(F.col("block").alias(x), F.col("group").alias(f"g{x}")) for k, x in ((0, "a"), (-1, "b")))
+    met = pairs.join(of_a, "a").join(of_b, "b")
+    met = met.groupBy("ga", "gb", "a").agg(F.sort_array(F.collect_list("b")).alias("partners"))
+    met = materialize(met, "partners")
+    tasks = met.select("ga", "gb").distinct().count()
+    columns = [c for c in askers.columns if c not in ("block", "leaf", "reach", "size")]
+    left = met.select("ga", "gb", F.col("a").alias("block"), "partners").join(askers.select("block", *columns), "block")
+    right = met.select("ga", "gb", F.explode("partners").alias("block")).distinct()
+    right = right.withColumn("partners", F.lit(None).cast("array<bigint>")).join(others.select("block", *columns), "block")
 
-    def shipped(packed: DataFrame, wanted: DataFrame, name: str, side: int) -> DataFrame:
-        # One row per block, and a copy of it for every 64 tasks that want it.
-        copies = wanted.groupBy(name).agg(F.ceil(F.count("*") / 64).alias("copies"))
-        numbered = F.pmod(F.xxhash64("a", "at", "b"), F.col("copies")).alias("copy")
-        wanted = wanted.join(copies, name).select("a", "at", "b", numbered)
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")
-        columns = [c for c in askers.columns if c not in ("block", "leaf", "reach")]
-        sources = packed.withColumnRenamed("block", name).join(copies, name).select(name, every, *columns)
-        joined = wanted.join(sources, [name, "copy"])
-        return joined.select("a", "at", F.lit(side).alias("side"), "b", *columns)
-
-    pairs = pairs.withColumn("at", F.floor(F.col("b") / PARTNERS))
-    left = materialize(pairs.select("a", "at", F.lit(-1).cast("bigint").alias("b")).distinct(), "tasks")
-    tasks = left.count()
-    rows = shipped(askers, left, "a", 0).unionByName(shipped(others, pairs, "b", 1))
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((np.asarray(table.column("b")), np.asarray(table.column("side")))).tolist()
-        # One partner is unpacked at a time.
-        blocks = (unpack(table.slice(k, 1).to_pylist()[0]) for k in order)
-        return kernel(next(blocks), blocks)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        asking = np.asarray(table.column("partners").is_valid())
+        numbers = np.asarray(table.column("block"))
+        there = {int(numbers[k]): unpack(table.slice(k, 1).to_pylist()[0]) for k in np.flatnonzero(~asking).tolist()}
+        for k in sorted(np.flatnonzero(asking).tolist(), key=numbers.__getitem__):
+            row = table.slice(k, 1).to_pylist()[0]
+            yield from kernel(unpack(row), [there[b] for b in row["partners"]]).combine_chunks().to_batches()
 
     # The work of a task is in its arithmetic: partitions grow in number with the tasks, and not in size.
-    at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    partitions = max(1, min(tasks, at_once), tasks // 8)
-    return rows.repartition(int(partitions), "a", "at").groupBy("a", "at").applyInArrow(run, schema)
+    at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+    partitions = max(1, min(2 * tasks, max(at_once, tasks // 8)))
+    rows = left.select(*right.columns).unionByName(right).repartition(int(partitions), "ga", "gb")
+    return rows.groupBy("ga", "gb").applyInArrow(run, schema)

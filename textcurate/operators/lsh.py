@@ -120,12 +120,13 @@ def _packed(postings: DataFrame, block_rows: int) -> DataFrame:
             "ids": np.asarray(table.column("id"), "<i8").tobytes(),
             "vectors": b"".join(table.column("vector").to_pylist()),
             "bands": b"".join(table.column("bands").to_pylist()),
+            "size": table.nbytes,
         }
         return pa.Table.from_pylist([one], schema)
 
     binaries = [(c, pa.binary()) for c in ("band", "key", "ids", "vectors", "bands")]
-    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), *binaries])
-    spark_schema = "bucket bigint, part bigint, n int, band binary, key binary, ids binary, vectors binary, bands binary"
+    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), *binaries, ("size", pa.int64())])
+    spark_schema = "bucket bigint, part bigint, n int, band binary, key binary, ids binary, vectors binary, bands binary, size bigint"
     rows = rows.select("bucket", "part", "band", "key", "id", "vector", "bands")
     packed = materialize(rows.groupBy("bucket", "part").applyInArrow(run, spark_schema), "bucket-blocks")
     return materialize(packed.withColumn("block", F.monotonically_increasing_id()), "numbered-blocks")

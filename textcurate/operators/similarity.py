@@ -216,16 +216,21 @@ def _block_pair_kernel(threshold: float, k: int, radius: float) -> Callable[[Blo
     """The best ``k`` pairs of a block and its partners, or with itself; no pair is farther apart than ``radius``."""
 
     def best_pairs(block: Block, partners: Iterable[Block]) -> pa.Table:
-        found = []
-        for other in partners:
+        none = np.zeros(0, np.int64)
+        best, least = _pair_table(none, none, np.zeros(0), k), threshold
+        for other in blocks.joined(partners):
             here, there = block, other
             if other is not block:
                 here = block.taken(block.distances_to(other) <= radius + SLACK)
                 there = other.taken(other.distances_to(block) <= radius + SLACK)
             guest = np.full(len(there.ids), other is not block)
-            found.append(_pairs_of(here.ids, here.units, there.ids, there.units, guest, threshold, k))
-        every = pa.concat_tables(found)
-        return _pair_table(*(np.asarray(every.column(c)) for c in ("a", "b", "similarity")), k)
+            found = _pairs_of(here.ids, here.units, there.ids, there.units, guest, least, k)
+            if len(found):
+                every = pa.concat_tables([best, found])
+                best = _pair_table(*(np.asarray(every.column(c)) for c in ("a", "b", "similarity")), k)
+            if len(best) == k:
+                least = max(least, float(np.round(best.column("similarity")[-1].as_py(), RANK_DECIMALS)))
+        return best
 
     return best_pairs
 
@@ -276,25 +281,45 @@ def _best_pairs(found: DataFrame, top_k: int) -> DataFrame:
 # ---- neighbours
 
 
-def _neighbors_of(queries, query_units, rows, row_units, m: int, floor: np.ndarray | None = None) -> pa.Table:
-    """The best ``m`` of ``rows``, which ascend, for each query; none with a cosine below the query's ``floor``."""
-    empty = np.zeros(0, dtype=np.int64)
-    ids, others, scores = [empty], [empty], [np.zeros(0)]
-    if len(queries) and len(rows):
-        cosines = query_units @ row_units.T
-        least = np.full(len(queries), -np.inf) if floor is None else floor
-        if len(rows) > m:
+# Queries compared with all rows in one go.
+_SLICE = 256
+
+
+def _fewest(at: np.ndarray, others: np.ndarray, scores: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``m`` entries of each query, which ``at`` names by its place; ties go to the lower index."""
+    order = np.lexsort((others, -np.round(scores, RANK_DECIMALS), at))
+    at = at[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at) < m
+    return at[kept], others[order[kept]], scores[order[kept]]
+
+
+def _nearest(query_units, rows, row_units, m: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(place of the query, row, score)`` of the best ``m`` of ``rows``; none with a cosine below the query's ``floor``."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for first in range(0, len(query_units) if len(rows) else 0, _SLICE):
+        cosines = query_units[first : first + _SLICE] @ row_units.T
+        least = floor[first : first + _SLICE]
+        crowded = np.flatnonzero(np.count_nonzero(cosines >= least[:, None], axis=1) > m)
+        if len(crowded):
+            best = np.partition(cosines[crowded], len(rows) - m, axis=1)[:, len(rows) - m]
+            least = least.copy()
             # Nothing that much below the m-th score can round to it.
-            best = np.partition(cosines, len(rows) - m, axis=1)[:, len(rows) - m]
-            least = np.maximum(least, best - 2 * _STEP)
-        for query, row, enough in zip(queries, cosines, least):
-            near = np.flatnonzero(row >= enough)
-            # Rows are sorted, so a stable sort gives ties to the lower index.
-            near = near[np.argsort(-np.round(row[near], RANK_DECIMALS), kind="stable")[:m]]
-            ids.append(np.full(len(near), query, dtype=np.int64))
-            others.append(rows[near])
-            scores.append(row[near])
-    return pa.table({"id": np.concatenate(ids), "other": np.concatenate(others), "cosine": np.concatenate(scores)})
+            least[crowded] = np.maximum(least[crowded], best - 2 * _STEP)
+        at, row = np.nonzero(cosines >= least[:, None])
+        found.append(_fewest(at + first, rows[row], cosines[at, row], m))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _neighbor_table(queries, at, others, scores) -> pa.Table:
+    return pa.table({"id": queries[at], "other": others, "cosine": scores})
+
+
+def _neighbors_of(queries, query_units, rows, row_units, m: int) -> pa.Table:
+    """The best ``m`` of ``rows`` for each query."""
+    if not len(queries) or not len(rows):
+        none = np.zeros(0, np.int64)
+        return _neighbor_table(none, none, none, np.zeros(0))
+    return _neighbor_table(queries, *_nearest(query_units, rows, row_units, m, np.full(len(queries), -np.inf)))
 
 
 def _neighbor_kernel(m: int) -> Callable[[pa.Table], pa.Table]:
@@ -321,18 +346,25 @@ def _home_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Table
 
 
 def _block_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Table]:
-    """Of each partner the best ``m`` within the radius of each row that is near enough to the partner's box."""
+    """Of all partners the best ``m`` within the radius of each row; only rows near enough to a partner's box meet it."""
 
     def best_neighbors(block: Block, partners: Iterable[Block]) -> pa.Table:
-        found = []
-        for other in partners:
-            asking = block.taken(block.distances_to(other) <= block.radii + SLACK)
-            reach = asking.radii.max(initial=0.0)
+        # The radius was rounded up, so that no row with the least cosine that counts lies below this.
+        floor = 1 - block.radii**2 / 2 - SLACK
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for other in blocks.joined(partners):
+            asking = np.flatnonzero(block.distances_to(other) <= block.radii + SLACK)
+            reach = block.radii[asking].max(initial=0.0)
             rows = other.taken(other.distances_to(block) <= reach + SLACK)
-            # The radius was rounded up, so that no row with the least cosine that counts lies below this.
-            floor = 1 - asking.radii**2 / 2 - SLACK
-            found.append(_neighbors_of(asking.ids, asking.units, rows.ids, rows.units, m, floor))
-        return pa.concat_tables(found)
+            at, others, scores = _nearest(block.units[asking], rows.ids, rows.units, m, floor[asking])
+            if not len(at):
+                continue
+            best = _fewest(*(np.concatenate(x) for x in zip(best, (asking[at], others, scores))), m)
+            # What lies below the m-th score found so far cannot matter any more.
+            last = np.flatnonzero(np.bincount(best[0], minlength=len(floor)) == m)
+            worst = best[2][np.searchsorted(best[0], last, side="right") - 1]
+            floor[last] = np.maximum(floor[last], worst - 2 * _STEP)
+        return _neighbor_table(block.ids, *best)
 
     return best_neighbors
 

@@ -120,7 +120,7 @@ class _ListBlock:
 
 _PACKED = (
     "block bigint, list bigint, angle bigint, dimension bigint, ids binary, weight binary, rest binary, offsets binary, "
-    "places binary, weights binary, low double, high double, longest double"
+    "places binary, weights binary, low double, high double, longest double, size bigint"
 )
 
 
@@ -153,12 +153,13 @@ def _packed(postings: DataFrame, block_rows: int) -> DataFrame:
             "low": float(weight.min()),
             "high": float(weight.max()),
             "longest": float(rest.max()),
+            "size": sum(map(len, places)) + sum(map(len, weights)) + 32 * len(table),
         }
         return pa.Table.from_pylist([one], schema)
 
     numbers = [(c, pa.int64()) for c in ("block", "list", "angle", "dimension")]
     binaries = [(c, pa.binary()) for c in ("ids", "weight", "rest", "offsets", "places", "weights")]
-    schema = pa.schema([*numbers, *binaries, *[(c, pa.float64()) for c in ("low", "high", "longest")]])
+    schema = pa.schema([*numbers, *binaries, *[(c, pa.float64()) for c in ("low", "high", "longest")], ("size", pa.int64())])
     return materialize(cut.groupBy("block").applyInArrow(run, _PACKED), "list-blocks")
 
 
