@@ -60,3 +60,11 @@ def test_few_candidates_and_none_lost(spark):
     every = len(rows) * (len(rows) - 1) // 2
     assert len(set(found)) == len(found) and near <= set(found)
     assert len(found) < every / 10
+
+
+def test_a_vector_is_stored_once_and_not_once_for_a_posting(spark):
+    rows = np.unique(sparse_rows(3), axis=0)
+    rows = rows[(rows != 0).any(axis=1)]
+    packed = sparse._index(frame(spark, rows), 0.5, 1, 16).collect()
+    ids = np.concatenate([np.frombuffer(r.ids, "<i8") for r in packed])
+    assert sorted(ids.tolist()) == list(range(len(rows))) and len(packed) > 1

@@ -4,9 +4,9 @@ Dimensions are ordered by how many vectors use them, rarest first. A vector is p
 as long as what is left of it is no shorter than the threshold: two vectors whose product reaches the threshold meet under
 the first dimension that they share, since all that lies behind it could not reach it for either if it were not posted.
 A posting knows its weight there and the length of the rest behind it, so that the product is at most the product of
-the weights plus that of the rests. Both numbers place a posting in its list; lists are cut into blocks of similar postings,
-hot lists into many, and only blocks of a list that can reach the threshold meet. In a task the rests are bounded run by run
-of dimensions; the few candidates that are left are verified on whole vectors, and the best few pairs are returned.
+the weights plus that of the rests. Vectors travel in blocks, once for a group of blocks that they are compared with, and never
+once for a posting: a task derives the postings of its blocks, finds the pairs that share a list, bounds their products run by
+run of dimensions and by the first list that they share, and verifies the few that are left on whole vectors.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcurate.functions.vectors import RANK_DECIMALS, matrix, ranked, unit_rows
@@ -25,11 +25,10 @@ from textcurate.operators import blocks
 from textcurate.operators.similarity import _best_pairs, _distinct_vectors, _is_zero, _pair_table
 from textcurate.plans.scratch import materialize
 
-# Postings of a list are told apart by the angle between weight and rest, in so many steps from 0 to pi.
-ANGLES = 64
 # Runs of dimensions whose lengths bound a product.
 SEGMENTS = 64
 BLOCK_ROWS = 1024
+_PAIRS_AT_ONCE = 1 << 13
 _SLACK = 1e-9
 _PAIRS = "a bigint, b bigint, similarity double"
 _CANDIDATES = "a bigint, b bigint, dimension int"
@@ -53,185 +52,168 @@ def _order(points: DataFrame) -> np.ndarray:
     return np.array([r.dimension for r in sorted(counts, key=lambda r: (r.n, r.dimension))], np.int64)
 
 
-def _postings(points: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
-    """``(list, id, weight, rest, angle, places, weights)``: a posting per dimension of a vector's first ones.
-
-    ``list`` is the place of the dimension in the order, ``places`` and ``weights`` are the whole unit vector.
-    """
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                units = unit_rows(matrix(part.column("vec")))[:, order]
-                left = np.sqrt(np.cumsum((units * units)[:, ::-1], axis=1)[:, ::-1])
-                row, place = np.nonzero((units != 0) & (left >= threshold - _SLACK))
-                weight = units[row, place]
-                rest = np.sqrt(np.maximum(0.0, left[row, place] ** 2 - weight**2))
-                angle = np.minimum((np.arctan2(rest, weight) * (ANGLES / math.pi)).astype(np.int64), ANGLES - 1)
-                places = [np.flatnonzero(u).astype("<i4") for u in units]
-                weights = [u[p].astype("<f8").tobytes() for u, p in zip(units, places)]
-                places = [p.tobytes() for p in places]
-                columns = [
-                    pa.array(place, pa.int64()),
-                    part.column("id").take(pa.array(row)),
-                    pa.array(weight),
-                    pa.array(rest),
-                    pa.array(angle, pa.int64()),
-                    pa.array([places[r] for r in row.tolist()], pa.binary()),
-                    pa.array([weights[r] for r in row.tolist()], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["list", "id", "weight", "rest", "angle", "places", "weights"])
-
-    schema = "list bigint, id bigint, weight double, rest double, angle bigint, places binary, weights binary"
-    return points.select("id", "vec").mapInArrow(post, schema)
-
-
-@dataclass(frozen=True)
-class _ListBlock:
-    """Some postings of one list, by ascending id; row ``k`` of ``values`` are the weights at ``places``."""
-
-    dimension: int
-    ids: np.ndarray
-    weight: np.ndarray
-    rest: np.ndarray
-    offsets: np.ndarray
-    places: np.ndarray
-    values: np.ndarray
-
-    @classmethod
-    def of(cls, row: dict) -> _ListBlock:
-        return cls(
-            row["dimension"],
-            *(np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("weight", "<f8"), ("rest", "<f8"), ("offsets", "<i8"))),
-            np.frombuffer(row["places"], "<i4"),
-            np.frombuffer(row["weights"], "<f8"),
-        )
-
-    def dense(self, used: np.ndarray) -> np.ndarray:
-        """Whole vectors over the dimensions ``used``, which ascend."""
-        out = np.zeros((len(self.ids), len(used)))
-        row = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
-        at = np.minimum(np.searchsorted(used, self.places), len(used) - 1)
-        kept = used[at] == self.places
-        out[row[kept], at[kept]] = self.values[kept]
-        return out
-
-
-_PACKED = (
-    "block bigint, list bigint, angle bigint, dimension bigint, ids binary, weight binary, rest binary, offsets binary, "
-    "places binary, weights binary, low double, high double, longest double, size bigint"
-)
+_PACKED = "block bigint, dimensions int, ids binary, offsets binary, places binary, weights binary, size bigint"
 
 
-def _packed(postings: DataFrame, block_rows: int) -> DataFrame:
-    """One stored row per block of a list."""
-    postings = materialize(postings, "postings")
-    # At most ANGLES rows per dimension.
-    sizes = postings.groupBy("list", "angle").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    # Neighbouring angles have neighbouring numbers, so that partners of a block share tasks.
-    number = F.col("list") * (1 << 40) + part * ANGLES + F.col("angle")
-    cut = postings.join(sizes, ["list", "angle"]).withColumn("block", number).drop("parts")
+def _packed(points: DataFrame, order: np.ndarray, block_rows: int) -> DataFrame:
+    """One stored row per block of vectors; places are those of the order."""
+    parts = max(1, math.ceil(points.count() / block_rows))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
-        weight, rest = (np.asarray(table.column(c), np.float64) for c in ("weight", "rest"))
-        places, weights = (table.column(c).to_pylist() for c in ("places", "weights"))
-        offsets = np.cumsum([0, *(len(p) // 4 for p in places)])
+        found = matrix(table.column("vec"))[:, order]
+        row, place = np.nonzero(found)
         one = {
             "block": table.column("block")[0].as_py(),
-            "list": table.column("list")[0].as_py(),
-            "angle": table.column("angle")[0].as_py(),
-            "dimension": table.column("list")[0].as_py(),
+            "dimensions": found.shape[1],
             "ids": np.asarray(table.column("id"), "<i8").tobytes(),
-            "weight": weight.tobytes(),
-            "rest": rest.tobytes(),
-            "offsets": offsets.astype("<i8").tobytes(),
-            "places": b"".join(places),
-            "weights": b"".join(weights),
-            "low": float(weight.min()),
-            "high": float(weight.max()),
-            "longest": float(rest.max()),
-            "size": sum(map(len, places)) + sum(map(len, weights)) + 32 * len(table),
+            "offsets": np.searchsorted(row, np.arange(len(found) + 1)).astype("<i8").tobytes(),
+            "places": place.astype("<i4").tobytes(),
+            "weights": found[row, place].astype("<f4").tobytes(),
+            "size": 16 * len(found) + 8 * len(row),
         }
         return pa.Table.from_pylist([one], schema)
 
-    numbers = [(c, pa.int64()) for c in ("block", "list", "angle", "dimension")]
-    binaries = [(c, pa.binary()) for c in ("ids", "weight", "rest", "offsets", "places", "weights")]
-    schema = pa.schema([*numbers, *binaries, *[(c, pa.float64()) for c in ("low", "high", "longest")], ("size", pa.int64())])
-    return materialize(cut.groupBy("block").applyInArrow(run, _PACKED), "list-blocks")
+    binaries = [(c, pa.binary()) for c in ("ids", "offsets", "places", "weights")]
+    schema = pa.schema([("block", pa.int64()), ("dimensions", pa.int32()), *binaries, ("size", pa.int64())])
+    rows = points.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"), "id", "vec")
+    return materialize(rows.groupBy("block").applyInArrow(run, _PACKED), "vector-blocks")
 
 
-def _may_reach(a: str, b: str, threshold: float) -> Column:
-    """Can a posting of one reach the threshold with a posting of the other?"""
-    products = [F.col(f"{a}_{x}") * F.col(f"{b}_{y}") for x in ("low", "high") for y in ("low", "high")]
-    return F.greatest(*products) + F.col(f"{a}_longest") * F.col(f"{b}_longest") >= threshold - _SLACK
+@dataclass(frozen=True)
+class _Vectors:
+    """Some vectors by ascending id, as rows of ``offsets``, and their postings (``row``, ``list``, weight, rest)."""
 
+    ids: np.ndarray
+    row: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+    # Lengths of runs of dimensions.
+    lengths: np.ndarray
+    posted_row: np.ndarray
+    posted_list: np.ndarray
+    weight: np.ndarray
+    rest: np.ndarray
 
-def _meetings(packed: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``, stored: blocks of one list that may reach the threshold, ``a >= b``; by angles first, then by blocks."""
-    bounds = ("low", "high", "longest")
-    boxes = materialize(packed.select("block", "list", "angle", *bounds), "list-boxes")
+    @classmethod
+    def of(cls, packed: dict, threshold: float) -> _Vectors:
+        ids, offsets = (np.frombuffer(packed[c], "<i8") for c in ("ids", "offsets"))
+        places = np.frombuffer(packed["places"], "<i4")
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
+        units = np.zeros((len(ids), packed["dimensions"]))
+        units[row, places] = np.frombuffer(packed["weights"], "<f4")
+        units = unit_rows(units)
+        left = np.sqrt(np.cumsum((units * units)[:, ::-1], axis=1)[:, ::-1])
+        posted, lists = np.nonzero((units != 0) & (left >= threshold - _SLACK))
+        weight = units[posted, lists]
+        rest = np.sqrt(np.maximum(0.0, left[posted, lists] ** 2 - weight**2))
+        posted, lists = posted.astype(np.int32), lists.astype(np.int32)
+        return cls(ids, row, places, units[row, places], _lengths(units), posted, lists, weight, rest)
+
+    def _dense(self, row: np.ndarray, places: np.ndarray, values: np.ndarray, used: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.ids), len(used)), values.dtype)
+        if len(used):
+            at = np.minimum(np.searchsorted(used, places), len(used) - 1)
+            kept = used[at] == places
+            out[row[kept], at[kept]] = values[kept]
+        return out
 
-    def side(df: DataFrame, name: str, *keys: str) -> DataFrame:
-        return df.select("list", *[F.col(c).alias(f"{name}_{c}") for c in (*keys, *bounds)])
+    def dense(self, used: np.ndarray) -> np.ndarray:
+        """Whole vectors over the dimensions ``used``, which ascend."""
+        return self._dense(self.row, self.places, self.values, used)
 
-    angles = boxes.groupBy("list", "angle").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("longest").alias("longest"))
-    near = side(angles, "a", "angle").join(side(angles, "b", "angle"), "list")
-    near = near.filter(_may_reach("a", "b", threshold)).select("list", "a_angle", "b_angle")
-    pairs = near.join(side(boxes, "a", "angle", "block"), ["list", "a_angle"]).join(side(boxes, "b", "angle", "block"), ["list", "b_angle"])
-    pairs = pairs.filter((F.col("a_block") >= F.col("b_block")) & _may_reach("a", "b", threshold))
-    return materialize(pairs.select(F.col("a_block").alias("a"), F.col("b_block").alias("b")), "meetings")
+    def posted(self, lists: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What postings say, over the lists ``lists``."""
+        return self._dense(self.posted_row, self.posted_list, values, lists)
 
 
-def _lengths(suffix: np.ndarray) -> np.ndarray:
+def _lengths(units: np.ndarray) -> np.ndarray:
     """The lengths of runs of dimensions."""
-    if not suffix.shape[1]:
-        return np.zeros((len(suffix), 1))
-    cuts = np.unique(np.linspace(0, suffix.shape[1], min(SEGMENTS, suffix.shape[1]), endpoint=False).astype(int))
-    return np.sqrt(np.add.reduceat(suffix * suffix, cuts, axis=1))
-
-
-def _kernel(threshold: float, k: int, only_candidates: bool = False) -> Callable[[_ListBlock, Iterable[_ListBlock]], pa.Table]:
-    def verify(block: _ListBlock, partners: Iterable[_ListBlock]) -> pa.Table:
+    cuts = np.unique(np.linspace(0, units.shape[1], min(SEGMENTS, units.shape[1]), endpoint=False).astype(int))
+    return np.sqrt(np.add.reduceat(units * units, cuts, axis=1))
+
+
+def _candidates(block: _Vectors, other: _Vectors, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, row, list)``: pairs that share a list and may reach the threshold, each once, with the first list they share."""
+    none = np.zeros(0, np.int64)
+    lists = np.intersect1d(block.posted_list, other.posted_list)
+    if not len(lists):
+        return none, none, none
+    here = block.posted(lists, np.ones(len(block.posted_list), np.float32))
+    there = here if other is block else other.posted(lists, np.ones(len(other.posted_list), np.float32))
+    near = here @ there.T > 0
+    near &= block.ids[:, None] < other.ids[None, :] if other is block else block.ids[:, None] != other.ids[None, :]
+    near &= block.lengths @ other.lengths.T >= threshold - _SLACK
+    i, j = np.nonzero(near)
+    here, there = here > 0, there > 0
+    numbers = [x.posted(lists, values) for x in (block, other) for values in (x.weight, x.rest)]
+    found = [(none, none, none)]
+    for at in range(0, len(i), _PAIRS_AT_ONCE):
+        one, two = i[at : at + _PAIRS_AT_ONCE], j[at : at + _PAIRS_AT_ONCE]
+        # Of two vectors that share a dimension where one is posted, all dimensions shared before it are lists of both.
+        first = (here[one] & there[two]).argmax(axis=1)
+        bound = numbers[0][one, first] * numbers[2][two, first] + numbers[1][one, first] * numbers[3][two, first]
+        kept = bound >= threshold - _SLACK
+        found.append((one[kept], two[kept], lists[first[kept]].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _kernel(threshold: float, k: int) -> Callable[[_Vectors, Iterable[_Vectors]], pa.Table]:
+    def verify(block: _Vectors, partners: Iterable[_Vectors]) -> pa.Table:
         none = np.zeros(0, np.int64)
-        a, b, scores = [none], [none], [np.zeros(0)]
+        best, least = _pair_table(none, none, np.zeros(0), k), threshold
         for other in partners:
-            # Two numbers a posting rule out most of a list, and the lengths of runs of the rest most of what is left.
-            near = np.outer(block.weight, other.weight) + np.outer(block.rest, other.rest) >= threshold - _SLACK
-            near &= block.ids[:, None] < other.ids[None, :] if block is other else block.ids[:, None] != other.ids[None, :]
-            if not near.any():
+            i, j, _ = _candidates(block, other, least)
+            if not len(i):
                 continue
-            used = np.unique(np.concatenate([block.places, other.places]))
+            used = np.intersect1d(block.places, other.places)
             left = block.dense(used)
             right = left if other is block else other.dense(used)
-            earlier = int(np.searchsorted(used, block.dimension))
-            near &= _lengths(left[:, earlier:]) @ _lengths(right[:, earlier:]).T >= threshold - _SLACK
-            # A pair is taken where it meets first: no dimension before this one is used by both.
-            near &= (left[:, :earlier] != 0).astype(np.float32) @ (right[:, :earlier] != 0).astype(np.float32).T == 0
-            i, j = np.nonzero(near)
-            for at in range(0, len(i), 1 << 14):
-                first, second = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                total = (left[first] * right[second]).sum(axis=1)
-                kept = np.full(len(total), True) if only_candidates else np.round(total, RANK_DECIMALS) >= threshold
-                a.append(block.ids[first[kept]])
-                b.append(other.ids[second[kept]])
-                scores.append(total[kept])
-        one, two, total = (np.concatenate(x) for x in (a, b, scores))
-        low, high = np.minimum(one, two), np.maximum(one, two)
-        if only_candidates:
-            return pa.table({"a": low, "b": high, "dimension": np.full(len(low), block.dimension, np.int32)})
-        return _pair_table(low, high, total, k)
+            if 32 * len(i) > len(left) * len(right):
+                scores = (left @ right.T)[i, j]
+            else:
+                cuts = [slice(at, at + _PAIRS_AT_ONCE) for at in range(0, len(i), _PAIRS_AT_ONCE)]
+                scores = np.concatenate([(left[i[c]] * right[j[c]]).sum(axis=1) for c in cuts])
+            kept = np.round(scores, RANK_DECIMALS) >= least
+            one, two, scores = block.ids[i[kept]], other.ids[j[kept]], scores[kept]
+            every = pa.concat_tables([best, _pair_table(np.minimum(one, two), np.maximum(one, two), scores, k)])
+            best = _pair_table(*(np.asarray(every.column(c)) for c in ("a", "b", "similarity")), k)
+            if len(best) == k:
+                least = max(least, float(np.round(best.column("similarity")[-1].as_py(), RANK_DECIMALS)))
+        return best
 
     return verify
 
 
+def _candidate_kernel(threshold: float) -> Callable[[_Vectors, Iterable[_Vectors]], pa.Table]:
+    def candidates(block: _Vectors, partners: Iterable[_Vectors]) -> pa.Table:
+        found = []
+        for other in partners:
+            i, j, lists = _candidates(block, other, threshold)
+            one, two = block.ids[i], other.ids[j]
+            columns = [np.minimum(one, two), np.maximum(one, two), lists.astype(np.int32)]
+            found.append(pa.table(columns, ["a", "b", "dimension"]))
+        return pa.concat_tables(found)
+
+    return candidates
+
+
+def _every_two(packed: DataFrame) -> DataFrame:
+    """``(a, b)``, stored: each two blocks once. Numbers only, a block has ``BLOCK_ROWS`` rows."""
+    numbers = materialize(packed.select("block"), "block-numbers")
+    pairs = numbers.withColumnRenamed("block", "a").join(numbers.withColumnRenamed("block", "b"), F.col("a") > F.col("b"))
+    return materialize(pairs, "meetings")
+
+
 def _index(rows: DataFrame, threshold: float, copies: int, block_rows: int) -> DataFrame:
     if not _SLACK < threshold <= 1:
         raise ValueError(f"vectors that share no dimension never meet, so the threshold must lie above 0 and not above 1: {threshold}")
     points = materialize(_distinct_vectors(rows, copies).filter(~_is_zero(F.col("vec"))), "points")
-    return _packed(_postings(points, _order(points), threshold), block_rows)
+    return _packed(points, _order(points), block_rows)
+
+
+def _unpacked(threshold: float) -> Callable[[dict], _Vectors]:
+    return lambda packed: _Vectors.of(packed, threshold)
 
 
 def near_duplicates_indexed(
@@ -245,13 +227,12 @@ def near_duplicates_indexed(
     if top_k < 1:
         return rows.sparkSession.createDataFrame([], "row_a bigint, row_b bigint, similarity double")
     packed = _index(rows, threshold, top_k + 1, block_rows)
-    near = blocks.within(packed, _kernel(threshold, top_k), _PAIRS, _ListBlock.of)
+    near = blocks.within(packed, _kernel(threshold, top_k), _PAIRS, _unpacked(threshold))
     near = materialize(_best_pairs(near, top_k), "near")
     count, worst = near.agg(F.count("*"), F.min(ranked(F.col("similarity")))).first()
     if count == top_k and worst > threshold:
         threshold = worst
-    pairs = _meetings(packed, threshold).filter("a > b")
-    found = blocks.across(packed, packed, pairs, _kernel(threshold, top_k), _PAIRS, _ListBlock.of)
+    found = blocks.across(packed, packed, _every_two(packed), _kernel(threshold, top_k), _PAIRS, _unpacked(threshold))
     at_home = near.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity")
     return _best_pairs(found.unionByName(at_home), top_k)
 
@@ -259,7 +240,6 @@ def near_duplicates_indexed(
 def candidate_pairs(rows: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(a, b, dimension)``: the pairs that the index would verify, of one row per vector; to see what it rules out."""
     packed = _index(rows, threshold, 1, block_rows)
-    kernel = _kernel(threshold, 0, only_candidates=True)
-    pairs = _meetings(packed, threshold).filter("a > b")
-    here = blocks.within(packed, kernel, _CANDIDATES, _ListBlock.of)
-    return here.unionByName(blocks.across(packed, packed, pairs, kernel, _CANDIDATES, _ListBlock.of))
+    kernel, unpack = _candidate_kernel(threshold), _unpacked(threshold)
+    here = blocks.within(packed, kernel, _CANDIDATES, unpack)
+    return here.unionByName(blocks.across(packed, packed, _every_two(packed), kernel, _CANDIDATES, unpack))
