@@ -1,6 +1,7 @@
 """The approximate form: what it returns is exact, and it finds as many pairs as was asked for."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -75,3 +76,18 @@ def test_recall_on_documents(spark):
     exact = {tuple(p) for p in np.argwhere(np.triu(np.round(cosines(rows), 9) >= 0.95, 1)).tolist()}
     found = {(r.row_a, r.row_b) for r in lsh.near_duplicates_approximate(frame(spark, rows), 0.95, 100_000).collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact)
+
+
+def test_a_block_of_near_copies_takes_little_memory():
+    """Half a million pairs above the threshold in one block: their vectors are not put side by side."""
+    rng = np.random.default_rng(7)
+    rows = 1 + 0.01 * rng.normal(size=(1024, 256))
+    same = np.zeros(1024, np.int64)
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    block = lsh._BucketBlock(same, same, np.arange(1024), units, np.zeros((1024, 15), np.int64))
+    tracemalloc.start()
+    found = lsh._kernel(0.95, 1000)(block, [block])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert list(zip(found["a"].to_pylist(), found["b"].to_pylist())) == expected_pairs(rows, 0.95, 1000)[0]

@@ -128,33 +128,43 @@ def _packed(postings: DataFrame, block_rows: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), *binaries, ("size", pa.int64())])
     spark_schema = "bucket bigint, part bigint, n int, band binary, key binary, ids binary, vectors binary, bands binary, size bigint"
     rows = rows.select("bucket", "part", "band", "key", "id", "vector", "bands")
-    packed = materialize(rows.groupBy("bucket", "part").applyInArrow(run, spark_schema), "bucket-blocks")
-    return materialize(packed.withColumn("block", F.monotonically_increasing_id()), "numbered-blocks")
+    return materialize(rows.groupBy("bucket", "part").applyInArrow(run, spark_schema), "bucket-blocks")
+
+
+# Pairs whose bands are compared in one go.
+_PAIRS_AT_ONCE = 1 << 16
 
 
 def _kernel(threshold: float, k: int) -> Callable[[_BucketBlock, Iterable[_BucketBlock]], pa.Table]:
     def verify(block: _BucketBlock, partners: Iterable[_BucketBlock]) -> pa.Table:
         none = np.zeros(0, np.int64)
-        a, b, scores = [none], [none], [np.zeros(0)]
+        best, least = _pair_table(none, none, np.zeros(0), k), threshold
         for other in partners:
             # Partners of other blocks are parts of the same bucket.
             runs = [(x, x) for x in block.buckets()] if other is block else [(slice(None), slice(None))]
+            held = [best]
             for x, y in runs:
                 left, right = block.ids[x], other.ids[y]
-                near = block.units[x] @ other.units[y].T >= threshold - 10.0**-RANK_DECIMALS
+                cosines = block.units[x] @ other.units[y].T
+                near = cosines >= least - 10.0**-RANK_DECIMALS
                 near &= left[:, None] < right[None, :] if other is block else left[:, None] != right[None, :]
                 i, j = np.nonzero(near)
                 # A pair is taken in the first band that it agrees on.
                 band = int(block.band[x][0])
-                first = ~(block.bands[x][i, :band] == other.bands[y][j, :band]).any(axis=1)
-                i, j = i[first], j[first]
-                total = (block.units[x][i] * other.units[y][j]).sum(axis=1)
-                enough = np.round(total, RANK_DECIMALS) >= threshold
-                a.append(left[i[enough]])
-                b.append(right[j[enough]])
-                scores.append(total[enough])
-        one, two, total = (np.concatenate(v) for v in (a, b, scores))
-        return _pair_table(np.minimum(one, two), np.maximum(one, two), total, k)
+                for at in range(0, len(i), _PAIRS_AT_ONCE):
+                    one, two = i[at : at + _PAIRS_AT_ONCE], j[at : at + _PAIRS_AT_ONCE]
+                    first = np.round(cosines[one, two], RANK_DECIMALS) >= least
+                    for earlier in range(band):
+                        first &= block.bands[x, earlier][one] != other.bands[y, earlier][two]
+                    one, two = one[first], two[first]
+                    if len(one):
+                        a, b = left[one], right[two]
+                        held.append(_pair_table(np.minimum(a, b), np.maximum(a, b), cosines[one, two], k))
+            every = pa.concat_tables(held)
+            best = _pair_table(*(np.asarray(every.column(c)) for c in ("a", "b", "similarity")), k)
+            if len(best) == k:
+                least = max(least, float(np.round(best.column("similarity")[-1].as_py(), RANK_DECIMALS)))
+        return best
 
     return verify
 
@@ -180,8 +190,11 @@ def near_duplicates_approximate(
     packed = _packed(_postings(points, bands, bits), block_rows)
     kernel = _kernel(threshold, top_k)
     found = blocks.within(packed, kernel, _PAIRS, _BucketBlock.of)
-    parts = packed.filter("bucket IS NOT NULL").select("bucket", "block")
+    # Only parts of large buckets have partners.
+    large = packed.filter("bucket IS NOT NULL").withColumn("block", F.monotonically_increasing_id())
+    large = materialize(large.select("block", *packed.columns), "numbered-blocks")
+    parts = large.select("bucket", "block")
     pairs = parts.withColumnRenamed("block", "a").join(parts.withColumnRenamed("block", "b"), "bucket").filter("a > b")
     pairs = materialize(pairs.select("a", "b"), "meetings")
-    sent = packed.drop("bucket", "part")
+    sent = large.drop("bucket", "part")
     return _best_pairs(found.unionByName(blocks.across(sent, sent, pairs, kernel, _PAIRS, _BucketBlock.of)), top_k)
