@@ -4,10 +4,11 @@ import os
 import tracemalloc
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from test_similarity import cosines, expected_pairs, frame, random_rows
 
-from textcurate.operators import lsh
+from textcurate.operators import blocks, lsh
 from textcurate.operators.embed import HashedEmbedder
 
 
@@ -91,3 +92,13 @@ def test_a_block_of_near_copies_takes_little_memory():
     tracemalloc.stop()
     assert peak < 300 << 20
     assert list(zip(found["a"].to_pylist(), found["b"].to_pylist())) == expected_pairs(rows, 0.95, 1000)[0]
+
+
+def test_blocks_are_stored_in_short_row_groups(spark):
+    """A reader holds a whole row group of blocks of a megabyte each."""
+    points = frame(spark, near_rows(8, n=400)).selectExpr("_row_index AS id", "_embedding AS vec")
+    packed = lsh._packed(lsh._postings(points, 4, 12), 2).coalesce(1)
+    assert packed.count() > 100
+    files = blocks.stored(packed, "again", 1024).inputFiles()
+    found = [pq.ParquetFile("/" + f.removeprefix("file:").lstrip("/")).metadata for f in files]
+    assert max(m.row_group(k).num_rows for m in found for k in range(m.num_row_groups)) <= 16

@@ -141,6 +141,11 @@ def locate(points: DataFrame, layout: Layout, block_rows: int) -> DataFrame:
     return rows.join(F.broadcast(parts), "leaf").select("id", "copy", "vec", "leaf", block.alias("block"))
 
 
+def stored(packed: DataFrame, label: str, block_rows: int) -> DataFrame:
+    """Packed blocks, stored in row groups of some tens of MB, since a row is up to a few MB."""
+    return materialize(packed, label, group_rows=max(16, (16 * 1024) // block_rows))
+
+
 def pack(rows: DataFrame, layout: Layout) -> DataFrame:
     """One stored row per block of ``(id, vec, leaf, block)`` and, if there is one, ``radius``, the distance a row looks within."""
     radius = F.col("radius") if "radius" in rows.columns else F.lit(0.0)
@@ -179,7 +184,7 @@ def pack(rows: DataFrame, layout: Layout) -> DataFrame:
         ]
     )
     rows = rows.select("block", "leaf", "id", "vec", radius.cast("double").alias("radius"))
-    return materialize(rows.groupBy("block", "leaf").applyInArrow(run, _PACKED), "packed")
+    return stored(rows.groupBy("block", "leaf").applyInArrow(run, _PACKED), "packed", 1024)
 
 
 @dataclass(frozen=True)

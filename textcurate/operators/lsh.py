@@ -128,7 +128,7 @@ def _packed(postings: DataFrame, block_rows: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), *binaries, ("size", pa.int64())])
     spark_schema = "bucket bigint, part bigint, n int, band binary, key binary, ids binary, vectors binary, bands binary, size bigint"
     rows = rows.select("bucket", "part", "band", "key", "id", "vector", "bands")
-    return materialize(rows.groupBy("bucket", "part").applyInArrow(run, spark_schema), "bucket-blocks")
+    return blocks.stored(rows.groupBy("bucket", "part").applyInArrow(run, spark_schema), "bucket-blocks", block_rows)
 
 
 # Pairs whose bands are compared in one go.
@@ -192,7 +192,7 @@ def near_duplicates_approximate(
     found = blocks.within(packed, kernel, _PAIRS, _BucketBlock.of)
     # Only parts of large buckets have partners.
     large = packed.filter("bucket IS NOT NULL").withColumn("block", F.monotonically_increasing_id())
-    large = materialize(large.select("block", *packed.columns), "numbered-blocks")
+    large = blocks.stored(large.select("block", *packed.columns), "numbered-blocks", block_rows)
     parts = large.select("bucket", "block")
     pairs = parts.withColumnRenamed("block", "a").join(parts.withColumnRenamed("block", "b"), "bucket").filter("a > b")
     pairs = materialize(pairs.select("a", "b"), "meetings")

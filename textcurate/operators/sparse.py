@@ -77,7 +77,7 @@ def _packed(points: DataFrame, order: np.ndarray, block_rows: int) -> DataFrame:
     binaries = [(c, pa.binary()) for c in ("ids", "offsets", "places", "weights")]
     schema = pa.schema([("block", pa.int64()), ("dimensions", pa.int32()), *binaries, ("size", pa.int64())])
     rows = points.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"), "id", "vec")
-    return materialize(rows.groupBy("block").applyInArrow(run, _PACKED), "vector-blocks")
+    return blocks.stored(rows.groupBy("block").applyInArrow(run, _PACKED), "vector-blocks", block_rows)
 
 
 @dataclass(frozen=True)

@@ -57,13 +57,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/textcurate-{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and return a scan of what was written."""
+def materialize(df: DataFrame, label: str, partition_by: str | None = None, group_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of what was written.
+
+    Readers and writers hold a Parquet row group, or 4096 rows of it: for rows of a megabyte ``group_rows`` cuts it short.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
     writer.parquet(path)
     # The schema is known, so reading it back starts no inference job.
     return spark.read.schema(df.schema).parquet(path)
