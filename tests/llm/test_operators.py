@@ -65,6 +65,21 @@ def test_chunk_coder_equals_the_library():
         assert coder.count(text) == len(ids)
 
 
+def test_sure_texts_are_merged_whole():
+    content = open(BPE, "rb").read()
+    library = pretokens.load(content)
+    coder = pretokens.ChunkCoder(content, pretokens.whole_tokens(library))
+    texts = ["It's  rethe\n\n xq1!? ", "  été's\x85\xa0\tend", "a" * 70_000, "\n" * 49_999 + "x"]
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode(text), "<u2").tolist() == ids
+    # No chunk was looked up or remembered.
+    assert not any(coder.packed)
+    # Runs of white space that the merging library cannot read are left to the other one.
+    text = "\n" * 1_000_000 + "x y"
+    assert np.frombuffer(coder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts(odd):
     library = Tokenizer.from_file(BPE)
     found = token_counts.token_counts(odd, BPE).collect()
