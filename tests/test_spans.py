@@ -168,3 +168,9 @@ def test_steps_equal_a_character_automaton(seed):
                 k += 1
             if not piece.endswith("\\}") or not string:
                 assert spans.json_step(piece, inside) == (int(string), depth), (piece, inside)
+
+
+def test_lines_without_quotes_are_not_parsed(monkeypatch):
+    monkeypatch.setattr(spans, "_CSV_CELLS", None)
+    monkeypatch.setattr(spans, "_CSV_CLOSE", None)
+    assert spans.csv_step("a,b,", 0) == (0, 0) and spans.csv_step("a,b,", 1) == (1, 0) and spans.csv_step("", 1) == (1, 0)

@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ _JSON_CLOSE = re.compile(r'(?:[^"\\]+|\\.)*+"', re.DOTALL)
 
 def csv_step(line: str, inside: int) -> tuple[int, int]:
     """Does a line, which begins inside quotes or not, end inside quotes? There is no depth."""
+    if '"' not in line:
+        return inside, 0
     if inside:
         close = _CSV_CLOSE.match(line)
         if not close:
@@ -73,14 +76,13 @@ JSON_ARRAY = Grammar("}", json_step, 1)
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, dict, list[str]]]:
     """Units by split, a batch or less at a time, with the first row of the run."""
     for batch in batches:
-        rows = batch.to_pydict()
-        first = 0
-        for k in range(1, batch.num_rows + 1):
-            ends = k == batch.num_rows
-            if ends or rows[BLOCK][k] != rows[BLOCK][first] or rows[FILE][k] != rows[FILE][first]:
-                head = {name: column[first] for name, column in rows.items() if name != "value"}
-                yield rows[FILE][first], rows[BLOCK][first], head, rows["value"][first:k]
-                first = k
+        columns = dict(zip(batch.schema.names, batch.columns))
+        values = columns.pop("value").to_pylist()
+        files, blocks = np.asarray(columns[FILE].dictionary_encode().indices), np.asarray(columns[BLOCK])
+        firsts = np.flatnonzero((np.diff(files, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0)).tolist()
+        for first, last in zip(firsts, [*firsts[1:], batch.num_rows]):
+            head = {name: column[first].as_py() for name, column in columns.items()}
+            yield head[FILE], head[BLOCK], head, values[first:last]
 
 
 def _reports(units: DataFrame, grammar: Grammar) -> DataFrame:
