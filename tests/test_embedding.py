@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import cache_key
+from textcurate.operators import embed
 from textcurate.operators.cache import EmbeddingCache, attach_vectors, with_key
 from textcurate.operators.embed import (
     EmbedConfig,
@@ -16,6 +17,7 @@ from textcurate.operators.embed import (
     fill_cache,
     request,
 )
+from textcurate.plans.scratch import materialize
 from textcurate.schema import KEY, ROW_INDEX, VECTOR
 from textcurate.streaming.incremental import embed_new_files
 
@@ -276,3 +278,28 @@ def test_compaction_keeps_the_newest_entry_of_every_key(spark, tmp_path):
 
 def test_keys_match_across_the_package(spark):
     assert rows_of(spark, ["a"]).first()[KEY] == spark.range(1).select(cache_key("m", F.lit("a"))).first()[0]
+
+
+def test_remembered_tokens_are_few():
+    embed._buckets.cache_clear()
+    embed.HashedEmbedder(8)([" ".join(f"t{i}" for i in range(embed.MAX_TOKENS + 10)) + " " + "z" * (embed.LONG_TOKEN + 1)])
+    table = embed._buckets(8)
+    assert 0 < len(table) <= embed.MAX_TOKENS and max(map(len, table)) <= embed.LONG_TOKEN
+    embed._buckets.cache_clear()
+
+
+def test_one_slice_is_not_stored_and_a_commit_has_one_index_file(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(embed, "materialize", lambda df, label, **how: stored.append(label) or materialize(df, label, **how))
+    rows = with_key(spark.createDataFrame([(str(i % 50),) for i in range(90)], "text string"), "text", "m").repartition(3)
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"))
+    counts = embed.fill_cache(rows, "text", cache, embed.HashedEmbedder(4), embed.EmbedConfig("m", batch_size=4), size=90)
+    assert counts["fresh_keys"] == 50 and cache.read().count() == 50
+    assert "pending" not in stored
+    folder, = (tmp_path / "cache" / "index").iterdir()
+    assert len(list(folder.glob("*.parquet"))) == 1
+    stored.clear()
+    cache = EmbeddingCache(spark, str(tmp_path / "other"))
+    config = embed.EmbedConfig("m", batch_size=4, commit_rows=20)
+    embed.fill_cache(rows, "text", cache, embed.HashedEmbedder(4), config, size=90)
+    assert "pending" in stored and cache.read().count() == 50

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import cache_key, quoted
-from textcurate.plans.scratch import names_in, rename
+from textcurate.plans.scratch import names_in, no_rows, rename
 from textcurate.plans.skew import join_on_unique
 from textcurate.schema import KEY, VECTOR
 
@@ -111,14 +111,15 @@ class EmbeddingCache:
         columns = ("key", "dim", "vector", "status", "written_at", "model")
         entries.select(*columns).write.mode("overwrite").parquet(f"{self.path}/data/{commit}")
         counted = Observation()
-        described = self._describe(commit).observe(counted, F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        # A small row per file of the commit: in one file, so that an index of many commits is few files to list and open.
+        described = self._describe(commit).repartition(1).observe(counted, F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         described.write.mode("overwrite").parquet(f"{self.path}/pending/{commit}")
         self._publish(commit, counted.get["n"])
 
     def seal(self, commit: str) -> None:
         """Note that something with this name is done."""
         if commit not in self.commits():
-            none = self.spark.createDataFrame([], _INDEX).coalesce(1)
+            none = no_rows(self.spark, _INDEX)
             none.write.mode("overwrite").parquet(f"{self.path}/pending/{commit}")
             self._publish(commit, 0)
 
@@ -166,12 +167,12 @@ class EmbeddingCache:
     # ---- reading
 
     def _index(self) -> DataFrame:
-        paths = [f"{self.path}/index/{name}.{n}" for name, n in self.commits().items()]
-        return self.spark.read.schema(_INDEX).parquet(*paths) if paths else self.spark.createDataFrame([], _INDEX)
+        paths = [f"{self.path}/index/{name}.{n}" for name, n in self.commits().items() if n]
+        return self.spark.read.schema(_INDEX).parquet(*paths) if paths else no_rows(self.spark, _INDEX)
 
     def read(self) -> DataFrame:
         paths = [f"{self.path}/data/{name}" for name, n in self.commits().items() if n]
-        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else no_rows(self.spark, SCHEMA)
 
     def files_for(self, model: str, few: DataFrame) -> list[str] | None:
         """The files that may hold any of the ``_key`` values of a table of at most ``FEW_KEYS`` rows: those whose run of
@@ -203,7 +204,7 @@ class EmbeddingCache:
         elif files:
             entries = self.spark.read.schema(SCHEMA).parquet(*files)
         else:
-            entries = self.spark.createDataFrame([], SCHEMA)
+            entries = no_rows(self.spark, SCHEMA)
         return entries.filter(F.col("model") == model)
 
     def for_model(self, model: str, few: DataFrame | None = None) -> DataFrame:

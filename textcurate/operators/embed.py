@@ -6,7 +6,6 @@ import hashlib
 import math
 import re
 import time
-from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +23,9 @@ from textcurate.schema import KEY
 # An embedder takes normalised texts and returns one reply per text: a vector, or a mapping with ``index`` and
 # ``embedding`` when the service may answer out of order. It is pickled to the executors.
 Embedder = Callable[[list[str]], Sequence]
+# Tokens of up to so many characters, and so many of them, are remembered per Python worker: some 5 MB.
+LONG_TOKEN, MAX_TOKENS = 64, 40_000
+_TOKENS = re.compile(r"[^\W_]+")
 
 
 class NaNEmbeddingError(RuntimeError):
@@ -158,7 +160,9 @@ def fill_cache(
         in_slice = F.pmod(F.xxhash64(F.lit("slice"), KEY), F.lit(slices)).alias("slice")
         missing = keys.filter(~F.col("_hit"))
         pending = misses(rows, text_column, missing.select(KEY), few=fresh <= FEW_KEYS).select("*", in_slice)
-        pending = materialize(pending, "pending", partition_by="slice")
+        # A single slice is read once, so it need not be stored.
+        if slices > 1:
+            pending = materialize(pending, "pending", partition_by="slice")
         # A model call costs far more than its few bytes, so tasks are cut by rows and not left to size-based merging.
         busy = min(spark.sparkContext.defaultParallelism, math.ceil(fresh / config.batch_size))
         tasks = config.concurrency or max(busy, math.ceil(fresh / slices / 4096))
@@ -168,7 +172,8 @@ def fill_cache(
             names = [f"{commit}-{done_before + number}" for number in range(slices)]
         for number in range(slices):
             # Each task embeds a run of key prefixes, and its file covers that run.
-            part = by_prefix(pending.filter(F.col("slice") == number), KEY, tasks)
+            part = pending.filter(F.col("slice") == number) if slices > 1 else pending
+            part = by_prefix(part, KEY, tasks)
             cache.append(embed_texts(part, embedder, config, sleep), names[number])
             if on_progress:
                 embedded = missing.select(in_slice, "copies").filter(F.col("slice") == number)
@@ -182,9 +187,23 @@ def fill_cache(
     }
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
+class _Buckets(dict):
+    """Token to bucket, found once for each token; a full table is emptied, which costs time and no results."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        bucket = int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big") % self.dim
+        if len(token) <= LONG_TOKEN:
+            if len(self) >= MAX_TOKENS:
+                self.clear()
+            self[token] = bucket
+        return bucket
+
+
+# One table per Python worker and length of vectors.
+_buckets = lru_cache(maxsize=4)(_Buckets)
 
 
 @dataclass(frozen=True)
@@ -197,8 +216,7 @@ class HashedEmbedder:
         return [self._vector(text) for text in texts]
 
     def _vector(self, text: str) -> np.ndarray:
-        weights = np.zeros(self.dim)
         # Letters and digits of any script make up a token.
-        for token, times in Counter(t for t in re.split(r"[\W_]+", text.lower()) if t).items():
-            weights[_bucket(token, self.dim)] += times
+        found = list(map(_buckets(self.dim).__getitem__, _TOKENS.findall(text.lower())))
+        weights = np.bincount(found, minlength=self.dim).astype(np.float64) if found else np.zeros(self.dim)
         return (weights / (np.sqrt(np.sum(weights * weights)) + 1e-12)).astype(np.float32)

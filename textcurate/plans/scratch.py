@@ -10,6 +10,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -57,6 +59,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/textcurate-{app}/{label}-{uuid.uuid4().hex}"
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, in one partition; unlike one made of an empty list, it starts no Python worker."""
+    fields = T.StructType.fromDDL(schema).fields
+    return spark.range(0, 0, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of what was written.
 

@@ -6,7 +6,8 @@ import hashlib
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textcurate.functions.text import quoted
@@ -60,8 +61,10 @@ def embed_new_files(
         name = f"{stream}-{number}"
         if f"{name}-done" in cache.commits():
             return
-        texts = materialize(with_key(batch, "text", config.model), "batch")
-        fill_cache(texts, "text", cache, embedder, config, sleep=sleep, commit=name)
+        counted = Observation()
+        keyed = with_key(batch, "text", config.model).observe(counted, F.count(F.lit(1)).alias("rows"))
+        texts = materialize(keyed, "batch")
+        fill_cache(texts, "text", cache, embedder, config, sleep=sleep, commit=name, size=counted.get["rows"])
         cache.seal(f"{name}-done")
 
     query = (
