@@ -28,6 +28,7 @@ from textcurate.llm import (
     sharding,
     token_counts,
     token_files,
+    words,
 )
 from textcurate.plans.scratch import scratch_path
 
@@ -755,3 +756,8 @@ def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
     same = [r.doc_id for r in docs.filter(F.col("text") == text).collect()]
     assert sum(i in set(same) for i in ids) == 1 and None not in ids and 200 < len(ids) <= 300
     assert not {-2, -3, -4} & set(ids)
+
+
+def test_texts_are_hashed_half_a_megabyte_at_a_time():
+    texts = ["word " * 60_000] * 4
+    assert [len(group) for _, group in words.grouped(texts)] == [1, 1, 1, 1]
