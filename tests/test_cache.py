@@ -161,3 +161,15 @@ def test_a_finished_batch_is_passed_over(spark, tmp_path):
         os.remove(f"{checkpoint}/commits/{name}")
     before = cache.commits()
     assert run(checkpoint, None) == 1 and cache.commits() == before
+
+
+def test_vectors_are_exchanged_once_on_their_way_to_the_rows(spark, many_files):
+    """What finds the newest entries of keys is what the join needs."""
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        entries = many_files.for_model("m").select(F.col("key").alias(KEY), "vector")
+        plan = texts(spark, 0, 100).join(entries, KEY, "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert plan.count("Exchange hashpartitioning") == 2

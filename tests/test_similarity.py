@@ -285,3 +285,41 @@ def test_partners_are_joined_without_loss(monkeypatch):
     scores = units[50:] @ units[:50].T
     expected = {(50 + q, int(o)) for q in range(10) for o in np.argsort(-scores[q])[:3] if scores[q, o] >= 0.5}
     assert {(r["id"], r["other"]) for r in found} == expected
+
+
+@pytest.mark.parametrize("radius", [0.02, blocks.FAR])
+def test_only_rows_near_a_partner_are_shipped(spark, radius):
+    """Rows away from all boxes of a block's partners stay where they are, and no row within the radius of another does."""
+    rng = np.random.default_rng(17)
+    rows = rng.normal(size=(600, DIM)).astype(np.float32)
+    points = similarity._bounded_copies(frame(spark, rows), 5)
+    layout = blocks.make_layout(points, 600, 20)
+    packed = blocks.pack(blocks.locate(points, layout, 20), layout)
+    pairs = blocks.meetings(packed.withColumn("reach", F.lit(radius)), packed, layout, blocks.ONCE)
+
+    def seen(block, partners):
+        met = [(int(i), int(j)) for p in partners for i in block.ids for j in p.ids]
+        return pa.table([[i for i, _ in met], [j for _, j in met]], pa.schema([("i", pa.int64()), ("j", pa.int64())]))
+
+    met = {frozenset(r) for r in blocks.across(packed, packed, pairs, seen, "i bigint, j bigint", radius=radius).collect()}
+    home = {r.id: r.block for r in blocks.locate(points, layout, 20).collect()}
+    every = [(i, j) for i in range(600) for j in range(i) if home[i] != home[j]]
+    away = np.sqrt(np.maximum(0, 2 - 2 * cosines(rows)))
+    assert {frozenset(p) for p in every if away[p] <= radius} <= met
+    assert len(met) == len(every) if radius == blocks.FAR else len(met) < len(every) / 20
+
+
+def test_vectors_with_few_copies_are_not_moved(spark):
+    rows = np.repeat(np.random.default_rng(18).normal(size=(40, DIM)), 3, axis=0).astype(np.float32)
+    few = similarity._bounded_copies(frame(spark, rows), 3)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in few.collect()) == list(range(120))
+    rows[60:] = rows[0]
+    cut = similarity._bounded_copies(frame(spark, rows), 4)
+    assert sorted(r.id for r in cut.collect()) == [*range(60), 60]
+
+
+def test_many_crowded_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CROWDED", 2)
+    rows = np.repeat(np.random.default_rng(19).normal(size=(10, DIM)), 6, axis=0).astype(np.float32)
+    assert sorted(r.id for r in similarity._bounded_copies(frame(spark, rows), 2).collect()) == [i for i in range(60) if i % 6 < 2]

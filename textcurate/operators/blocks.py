@@ -325,6 +325,63 @@ def _grouped(sizes: DataFrame, total: int, parts: int) -> DataFrame:
     return materialize(sizes.select("block", group("block").alias("group")), "groups")
 
 
+def _near_rows(
+    met: DataFrame, askers: DataFrame, others: DataFrame, left: DataFrame, right: DataFrame, columns: list[str], radius: float
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their blocks, of which only the rows are left that are near enough to the box of a partner."""
+    pairs = met.select("ga", "gb", "a", F.explode("partners").alias("b"))
+    here = askers.select(F.col("block").alias("a"), "low", "high", F.greatest("reach", F.lit(radius)).alias("reach"))
+    # The rows of an asking block look within distances of their own, the others as far as the asking block does.
+    there = others.select(F.col("block").alias("b"), "low", "high", F.lit(radius).alias("reach"))
+    box = F.collect_list(F.struct("low", "high", "reach")).alias("boxes")
+    of_left = pairs.join(there, "b").groupBy("ga", "gb", F.col("a").alias("block")).agg(box)
+    of_right = pairs.join(here, "a").groupBy("ga", "gb", F.col("b").alias("block")).agg(box)
+    names = ["ga", "gb", "block", "partners", *columns]
+
+    def thinned(rows: DataFrame, boxes: DataFrame, blocks: DataFrame, asking: bool) -> DataFrame:
+        # Stored, so that its size is known to the join with the blocks, which then need not be moved where it is small.
+        rows = materialize(rows.join(boxes, ["ga", "gb", "block"]), "boxes-near")
+        rows = rows.join(blocks.select("block", *columns), "block").select(*names, "boxes")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    one = batch.slice(k, 1)
+                    row = one.to_pylist()[0]
+                    kept = _kept_rows(row, asking)
+                    if not kept.any():
+                        continue
+                    if not kept.all():
+                        cut = {c: _cut(row[c], row["n"], kept) for c in ("ids", "vectors", "coordinates", "radii")}
+                        row = row | cut | {"n": int(kept.sum())}
+                        del row["boxes"]
+                        yield pa.RecordBatch.from_pylist([row], one.select(names).schema)
+                    else:
+                        yield one.select(names)
+
+        return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in names]))
+
+    return thinned(left, of_left, askers, True), thinned(right, of_right, others, False)
+
+
+def _kept_rows(row: dict, asking: bool) -> np.ndarray:
+    """Which rows of a packed block lie near enough to any of the boxes."""
+    at = np.frombuffer(row["coordinates"], "<f8").reshape(row["n"], -1)
+    own = np.frombuffer(row["radii"], "<f8") if asking else np.zeros(row["n"])
+    kept = np.zeros(row["n"], bool)
+    for box in row["boxes"]:
+        rest = np.flatnonzero(~kept)
+        if not len(rest):
+            break
+        gap = np.maximum(0.0, np.maximum(np.asarray(box["low"]) - at[rest], at[rest] - np.asarray(box["high"])))
+        kept[rest] = np.sqrt((gap * gap).sum(axis=1)) <= np.maximum(own[rest], box["reach"]) + SLACK
+    return kept
+
+
+def _cut(packed: bytes, n: int, kept: np.ndarray) -> bytes:
+    return np.frombuffer(packed, np.uint8).reshape(n, -1)[kept].tobytes()
+
+
 def across(
     askers: DataFrame,
     others: DataFrame,
@@ -332,12 +389,14 @@ def across(
     kernel: Callable[[Block, Iterable[Block]], pa.Table],
     schema: str,
     unpack: Callable = Block.of,
+    radius: float | None = None,
 ) -> DataFrame:
     """Every block ``a`` against those ``b`` that ``pairs`` gives it.
 
     The blocks of either side are dealt into groups of neighbours of ``GROUP_BYTES`` at most, or smaller ones where
     there would be too few tasks. A task holds a group of each side and compares all their pairs, so that a block is shipped once
-    for a group that it has a partner in, and not once for a partner.
+    for a group that it has a partner in, and not once for a partner. With a ``radius``, of blocks made by :func:`pack` only
+    the rows are shipped that lie within it of a partner's box, or within the distance that the asking rows look if that is more.
     """
     spark = pairs.sparkSession
     wanted = 4 * spark.sparkContext.defaultParallelism
@@ -357,9 +416,13 @@ def across(
     met = materialize(met, "partners")
     tasks = met.select("ga", "gb").distinct().count()
     columns = [c for c in askers.columns if c not in ("block", "leaf", "reach", "size")]
-    left = met.select("ga", "gb", F.col("a").alias("block"), "partners").join(askers.select("block", *columns), "block")
+    left = met.select("ga", "gb", F.col("a").alias("block"), "partners")
     right = met.select("ga", "gb", F.explode("partners").alias("block")).distinct()
-    right = right.withColumn("partners", F.lit(None).cast("array<bigint>")).join(others.select("block", *columns), "block")
+    right = right.withColumn("partners", F.lit(None).cast("array<bigint>"))
+    if radius is None:
+        left, right = left.join(askers.select("block", *columns), "block"), right.join(others.select("block", *columns), "block")
+    else:
+        left, right = _near_rows(met, askers, others, left, right, columns, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -368,7 +431,9 @@ def across(
         there = {int(numbers[k]): unpack(table.slice(k, 1).to_pylist()[0]) for k in np.flatnonzero(~asking).tolist()}
         for k in sorted(np.flatnonzero(asking).tolist(), key=numbers.__getitem__):
             row = table.slice(k, 1).to_pylist()[0]
-            yield from kernel(unpack(row), [there[b] for b in row["partners"]]).combine_chunks().to_batches()
+            partners = [there[b] for b in row["partners"] if b in there]
+            if partners:
+                yield from kernel(unpack(row), partners).combine_chunks().to_batches()
 
     # The work of a task is in its arithmetic: partitions grow in number with the tasks, and not in size.
     at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)

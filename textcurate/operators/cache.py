@@ -78,10 +78,10 @@ def with_key(df: DataFrame, text_column: str, model: str) -> DataFrame:
     return df.withColumn(KEY, cache_key(model, quoted(text_column)))
 
 
-def _newest(entries: DataFrame) -> DataFrame:
+def _newest(entries: DataFrame, *by: str) -> DataFrame:
     # Entries of the same moment are told apart by their content, so that every reader sees the same one.
     order = [F.col("written_at").desc(), F.col("status").desc(), F.xxhash64("vector")]
-    newest = Window.partitionBy("model", "key").orderBy(*order)
+    newest = Window.partitionBy(*by).orderBy(*order)
     return entries.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
@@ -215,7 +215,8 @@ class EmbeddingCache:
         entries = self._entries(model, few)
         if few is not None:
             entries = entries.join(F.broadcast(few.withColumnRenamed(KEY, "key")), "key", "left_semi")
-        return _newest(entries)
+        # All entries are of one model; named as well, it would keep the join from using this exchange.
+        return _newest(entries, "key")
 
     def keys(self, model: str, few: DataFrame | None = None) -> DataFrame:
         """The model's keys under the name used by datasets; reads no vectors, and with ``few`` only the files that may
@@ -232,7 +233,7 @@ class EmbeddingCache:
             raise FileExistsError(f"there is a cache in {path}")
         small = EmbeddingCache(self.spark, path)
         files = -(-sum(self.commits().values()) // FILE_ENTRIES)
-        small.append(by_prefix(_newest(self.read()), "key", files), "compacted")
+        small.append(by_prefix(_newest(self.read(), "model", "key"), "key", files), "compacted")
         return small
 
     def dim(self, model: str) -> int | None:

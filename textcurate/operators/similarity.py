@@ -3,13 +3,14 @@
 Pairs and neighbours share one plan:
 
 1. Copies first. Among rows with the same vector only the lowest few row indices can appear in a bounded answer, so
-   the rest are dropped before any comparison. The limit is applied map-side, so copies cost nothing to shuffle.
+   the rest are dropped before any comparison. The limit is applied map-side, so copies cost nothing to shuffle; pairs
+   and searches do not move vectors of which there are few copies.
 2. Blocks. Rows are laid out by a tree over a few coordinates of their vectors and packed, a leaf to a block; the boxes of
    two blocks tell how near their rows can be at most. See :mod:`textcurate.operators.blocks`.
 3. A first look. Rows are compared within their own block only. What is found there bounds the answer: pairs below
    the ``top_k``-th found, or rows farther than the neighbours found, cannot matter.
-4. Meetings. Only blocks whose boxes are near enough meet, and of these only the rows that are near enough to the other box;
-   a task multiplies a block with one partner after the other and returns its own best few only.
+4. Meetings. Only blocks whose boxes are near enough meet, and of these only the rows that are near enough to the other box,
+   which are told apart before they are shipped; a task multiplies a block with one partner after the other and returns its own best few only.
 
 Inputs of a few blocks skip steps 2 and 3, which would cost more than they save: every block meets every block once.
 Where vectors are about equally far from each other, the boxes rule out little and the work tends to all pairs of blocks;
@@ -39,6 +40,8 @@ DIRECT_BLOCKS = 16
 # Up to this limit Spark applies a rank limit before the exchange (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 SALTS = 1024
+# Up to this many names of vectors are broadcast.
+CROWDED = 200_000
 # Outlier candidates scored exactly before the others are ruled out.
 FIRST_BATCH = 1024
 
@@ -70,7 +73,7 @@ def search_many(
         F.monotonically_increasing_id().alias("id"), F.lit(1).alias("copy"), "vec", "vkey", _is_zero(F.col("vec")).alias("zero")
     )
     different = materialize(different, "different-queries")
-    state = _NeighborSearch(rows, k, k, block_rows, direct_blocks)
+    state = _NeighborSearch(rows, k, k, block_rows, direct_blocks, numbered=False)
     points = different.filter("NOT zero").select("id", "copy", "vec")
     lists = state.of_queries(points, points.count()).select("id", "rank", "other", "cosine")
     # A query without direction is as near to every row: the lowest k row indices.
@@ -95,7 +98,10 @@ def search_many(
 def _distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
     """Rows ``(id, vec, vkey, copy)``: of each vector the ``copies`` lowest row indices, numbered from 1."""
     keyed = rows.select(F.col(ROW_INDEX).alias("id"), F.col(VECTOR).alias("vec"))
-    keyed = keyed.withColumn("vkey", vector_key(F.col("vec")))
+    return _numbered(keyed.withColumn("vkey", vector_key(F.col("vec"))), copies)
+
+
+def _numbered(keyed: DataFrame, copies: int) -> DataFrame:
     if copies > GROUP_LIMIT:
         # The map-side limit does not work for so many copies, so a common vector is first thinned out by many tasks.
         salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
@@ -106,6 +112,27 @@ def _distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
     return keyed.withColumn("copy", F.row_number().over(lowest)).filter(F.col("copy") <= copies)
 
 
+def _bounded_copies(rows: DataFrame, copies: int) -> DataFrame:
+    """Stored rows ``(id, vec, vkey, zero, copy)``: of each vector that more rows have, the ``copies`` lowest row indices.
+
+    Only vectors with too many rows are exchanged, to be cut; ``copy`` is 1 for the rows of all others.
+    """
+    keyed = rows.select(F.col(ROW_INDEX).alias("id"), F.col(VECTOR).alias("vec"))
+    keyed = keyed.withColumns({"vkey": vector_key(F.col("vec")), "zero": _is_zero(F.col("vec"))})
+    keyed = materialize(keyed, "points")
+    crowded = keyed.groupBy("vkey").agg(F.count("*").alias("n")).filter(F.col("n") > copies).select("vkey")
+    crowded = materialize(crowded, "crowded")
+    count = crowded.count()
+    if count > CROWDED:
+        return materialize(_numbered(keyed, copies), "points")
+    numbered = keyed.withColumn("copy", F.lit(1))
+    if not count:
+        return numbered
+    cut = materialize(_numbered(keyed.join(F.broadcast(crowded), "vkey", "left_semi"), copies), "points-cut")
+    names = ("id", "vec", "vkey", "zero", "copy")
+    return numbered.join(F.broadcast(crowded), "vkey", "left_anti").select(*names).unionByName(cut.select(*names))
+
+
 def _is_zero(vectors: Column) -> Column:
     return ~F.exists(vectors, lambda x: x != 0)
 
@@ -248,16 +275,16 @@ def near_duplicates(
     if top_k < 1:
         return rows.sparkSession.createDataFrame([], "row_a bigint, row_b bigint, similarity double")
     # Of equal vectors, any pair with a member past the first top_k + 1 has top_k better or earlier pairs before it.
-    points = _distinct_vectors(rows, top_k + 1)
+    points = _bounded_copies(rows, top_k + 1)
     if threshold > SLACK:
-        points = points.filter(~_is_zero(F.col("vec")))
+        points = points.filter("NOT zero")
     kernel = _pair_kernel(threshold, top_k)
-    parts = max(1, math.ceil(rows.count() / block_rows))
+    n = points.count()
+    parts = max(1, math.ceil(n / block_rows))
     if parts <= max(1, direct_blocks):
         found = _direct(_side(points, _LEFT), _side(points, _HOME), parts, kernel, _PAIRS, both_ways=False)
         return _best_pairs(found, top_k)
-    points = materialize(points, "points")
-    layout = blocks.make_layout(points, points.count(), block_rows)
+    layout = blocks.make_layout(points, n, block_rows)
     packed = blocks.pack(blocks.locate(points, layout, block_rows), layout)
     near = materialize(_best_pairs(blocks.within(packed, _block_pair_kernel(threshold, top_k, FAR), _PAIRS), top_k), "near")
     count, worst = near.agg(F.count("*"), F.min(ranked(F.col("similarity")))).first()
@@ -268,7 +295,7 @@ def near_duplicates(
     if threshold > SLACK:
         radius = math.sqrt(max(0.0, 2 - 2 * (threshold - SLACK)))
     pairs = blocks.meetings(packed.withColumn("reach", F.lit(radius)), packed, layout, blocks.ONCE)
-    found = blocks.across(packed, packed, pairs, _block_pair_kernel(threshold, top_k, radius), _PAIRS)
+    found = blocks.across(packed, packed, pairs, _block_pair_kernel(threshold, top_k, radius), _PAIRS, radius=radius)
     pairs_at_home = near.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity")
     return _best_pairs(found.unionByName(pairs_at_home), top_k)
 
@@ -372,10 +399,16 @@ def _block_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Tabl
 class _NeighborSearch:
     """The ``m`` best rows for each distinct vector, itself included, in two steps: at home, then where needed."""
 
-    def __init__(self, rows: DataFrame, m: int, copies: int, block_rows: int, direct_blocks: int):
+    def __init__(
+        self, rows: DataFrame, m: int, copies: int, block_rows: int, direct_blocks: int, numbered: bool = True
+    ):
+        """``numbered`` tells apart the copies of a vector, which only the search for rows' own neighbours needs."""
         self.m, self.block_rows = m, block_rows
-        points = _distinct_vectors(rows, max(m, copies)).withColumn("zero", _is_zero(F.col("vec")))
-        self.points = materialize(points, "points")
+        if numbered:
+            points = _distinct_vectors(rows, max(m, copies)).withColumn("zero", _is_zero(F.col("vec")))
+            self.points = materialize(points, "points")
+        else:
+            self.points = _bounded_copies(rows, max(m, copies))
         n, zeros = self.points.agg(F.count("*"), F.count_if("zero")).first()
         # A zero vector is at cosine 0 from every row, so its best are the lowest indices, and of all zero vectors
         # only the lowest m can be anyone's neighbours. Both lists hold m row indices at most.
@@ -428,7 +461,7 @@ class _NeighborSearch:
         moving = self.queries.join(self._radii(home), "id")
         askers = blocks.pack(moving, self.layout)
         pairs = blocks.meetings(askers, self.packed, self.layout, blocks.OTHERS)
-        found = blocks.across(askers, self.packed, pairs, _block_neighbor_kernel(self.m), _NEIGHBORS)
+        found = blocks.across(askers, self.packed, pairs, _block_neighbor_kernel(self.m), _NEIGHBORS, radius=0.0)
         return self._best(found.unionByName(home.select("id", "other", "cosine")))
 
 
@@ -449,7 +482,7 @@ class _NeighborSearch:
         moving = located.join(self._radii(self._best(near)), "id", "left").fillna(FAR, ["radius"])
         askers = blocks.pack(moving, self.layout)
         pairs = blocks.meetings(askers, self.packed, self.layout, blocks.ALL)
-        return self._best(blocks.across(askers, self.packed, pairs, kernel, _NEIGHBORS), located)
+        return self._best(blocks.across(askers, self.packed, pairs, kernel, _NEIGHBORS, radius=0.0), located)
 
     def _radii(self, lists: DataFrame) -> DataFrame:
         """How far each id of the lists still has to look: with fewer than ``m`` rows found so far, everywhere."""
