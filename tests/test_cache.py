@@ -173,3 +173,33 @@ def test_vectors_are_exchanged_once_on_their_way_to_the_rows(spark, many_files):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("remembered", [1, 100_000])
+def test_texts_are_exchanged_once(spark, monkeypatch, remembered):
+    """Copies in one task and in several, more keys than a task remembers: one row a key, in runs of prefixes."""
+    monkeypatch.setattr(caching, "SEEN_KEYS", remembered)
+    rows = texts(spark, 0, 50).union(texts(spark, 25, 100)).union(texts(spark, 0, 100)).repartition(3)
+    once = caching.once_by_prefix(rows, 4)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    # That of the test and that of the prefixes.
+    assert plan.count("Exchange ") == 2
+    found = once.withColumn("part", F.spark_partition_id()).withColumn("prefix", caching.prefix(F.col(KEY))).collect()
+    assert sorted(r.text for r in found) == sorted(f"text {i}" for i in range(100))
+    assert all(r.part == r.prefix * 4 // caching.PREFIXES for r in found)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_each_missing_text_is_embedded_once(spark, tmp_path, monkeypatch, few):
+    """Nothing cached, then a part of the texts; broadcast keys and joined ones; one slice and several."""
+    from textcurate.operators import embed
+
+    monkeypatch.setattr(embed, "FEW_KEYS", few)
+    rows = texts(spark, 0, 60).union(texts(spark, 30, 90))
+    for slices in (1, 3):
+        cache = EmbeddingCache(spark, str(tmp_path / f"c{slices}"))
+        config = EmbedConfig("m", batch_size=50, commit_rows=-(-90 // slices))
+        assert fill_cache(rows, "text", cache, HashedEmbedder(4), config)["fresh_keys"] == 90
+        assert cache.read().count() == cache.read().select("key").distinct().count() == 90
+        again = fill_cache(rows.union(texts(spark, 90, 120)), "text", cache, HashedEmbedder(4), config)
+        assert (again["hits"], again["fresh_keys"]) == (120, 30) and cache.read().count() == 120

@@ -35,6 +35,8 @@ FEW_FILES = 10_000
 PREFIXES = 1024
 # Entries per file that a compaction aims at.
 FILE_ENTRIES = 100_000
+# Keys that a task remembers while it drops copies: some 15 MB.
+SEEN_KEYS = 100_000
 BLOOM_BITS, BLOOM_PROBES = 16, 6
 _INDEX = "file string, model string, low int, high int, n bigint, least_dim int, most_dim int, bloom binary"
 
@@ -50,6 +52,34 @@ def by_prefix(df: DataFrame, key: str, parts: int) -> DataFrame:
     return df.repartitionById(parts, run).sortWithinPartitions(key)
 
 
+def once_by_prefix(texts: DataFrame, parts: int) -> DataFrame:
+    """One row ``(_key, text)`` per key, in partitions as :func:`by_prefix` makes them; texts are exchanged once, by run.
+
+    A task drops the copies that it sees itself, so that a text with many copies is a few rows of its partition.
+    """
+
+    def drop_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            kept = []
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    kept.append(k)
+            if kept:
+                yield batch if len(kept) == batch.num_rows else batch.take(pa.array(kept))
+            # A key that comes again after this costs a copy in the exchange and no results.
+            if len(seen) > SEEN_KEYS:
+                seen.clear()
+
+    parts = max(1, min(parts, PREFIXES))
+    run = F.floor(prefix(F.col(KEY)) * F.lit(parts) / PREFIXES).cast("int")
+    rows = texts.select(KEY, "text").mapInArrow(drop_seen, texts.select(KEY, "text").schema)
+    placed = rows.withColumn("_run", run).repartitionById(parts, F.col("_run"))
+    # Grouped by run as well, the exchange by run is the one that grouping needs.
+    return placed.groupBy("_run", KEY).agg(F.first("text").alias("text")).select(KEY, "text").sortWithinPartitions(KEY)
+
+
 def _hashes(key: str) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("bloom"), F.col(key)).alias("h2")]
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from textcurate.functions.text import normalize_string
-from textcurate.operators.cache import FEW_KEYS, EmbeddingCache, by_prefix, mark_known, misses
+from textcurate.functions.text import normalize_string, quoted
+from textcurate.operators.cache import FEW_KEYS, EmbeddingCache, by_prefix, mark_known, misses, once_by_prefix
 from textcurate.plans.scratch import materialize
 from textcurate.schema import KEY
 
@@ -159,7 +159,13 @@ def fill_cache(
         slices = math.ceil(fresh / config.commit_rows)
         in_slice = F.pmod(F.xxhash64(F.lit("slice"), KEY), F.lit(slices)).alias("slice")
         missing = keys.filter(~F.col("_hit"))
-        pending = misses(rows, text_column, missing.select(KEY), few=fresh <= FEW_KEYS).select("*", in_slice)
+        few, moved = fresh <= FEW_KEYS, False
+        if few or not count["hits"]:
+            # Copies are dropped by the exchange that the model needs anyway.
+            pending = rows.join(F.broadcast(missing.select(KEY)), KEY, "left_semi") if few else rows.filter(F.col(KEY).isNotNull())
+            pending = pending.select(KEY, quoted(text_column).alias("text"), in_slice)
+        else:
+            pending, moved = misses(rows, text_column, missing.select(KEY)).select("*", in_slice), True
         # A single slice is read once, so it need not be stored.
         if slices > 1:
             pending = materialize(pending, "pending", partition_by="slice")
@@ -173,7 +179,7 @@ def fill_cache(
         for number in range(slices):
             # Each task embeds a run of key prefixes, and its file covers that run.
             part = pending.filter(F.col("slice") == number) if slices > 1 else pending
-            part = by_prefix(part, KEY, tasks)
+            part = by_prefix(part, KEY, tasks) if moved else once_by_prefix(part, tasks)
             cache.append(embed_texts(part, embedder, config, sleep), names[number])
             if on_progress:
                 embedded = missing.select(in_slice, "copies").filter(F.col("slice") == number)
