@@ -648,6 +648,25 @@ def test_nearest(spark):
     assert permutation_index.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_queries_for_all_blocks_are_not_broadcast(spark):
+    """They grow with the square of the table; Spark takes a packed query for small however many blocks it is sent to."""
+    pick = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(pick.normal(size=(400, 8)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = permutation_index.nearest(table, F.col("vec_id") % 10 == 0, block_rows=50, least=20)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
+    for k, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = []
+            for at in range(k + 1, len(plan)):
+                if depth[at] <= depth[k]:
+                    break
+                below.append(plan[at])
+            assert not (any("Generate" in x for x in below) and any("vectors" in x for x in below))
+    assert found.groupBy("query_id").count().filter("count = 10").count() == 40
+
+
 def test_nearest_beside_a_hot_vector(spark):
     pick = np.random.default_rng(7)
     vectors = pick.normal(size=(6, 16))[pick.integers(0, 6, 800)] * 2 + pick.normal(size=(800, 16))

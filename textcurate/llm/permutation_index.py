@@ -11,7 +11,7 @@ however many rows a vector has. A found entry stands for the smallest ids of its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -20,9 +20,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textcurate.operators.blocks import across
 from textcurate.plans.scratch import materialize
 
-_PACKED = "block int, members binary, counts binary, sizes binary, vectors binary, owners binary, places binary, ends binary"
+_PACKED = (
+    "block int, members binary, counts binary, sizes binary, vectors binary, owners binary, places binary, ends binary, size bigint"
+)
 
 
 def usable(vector: Column) -> Column:
@@ -84,6 +87,7 @@ def _pack(block: int, group: pd.DataFrame, pivots: np.ndarray, length: int) -> p
         "places": [(by_pivot % length).astype("<i4").tobytes()],
         "ends": [np.cumsum(np.bincount(flat, minlength=len(pivots))).astype("<i4").tobytes()],
     }
+    row["size"] = [sum(len(column[0]) for name, column in row.items() if name != "block")]
     return pd.DataFrame(row)
 
 
@@ -180,21 +184,20 @@ def nearest(
     asked = asking.count()
     asking = asking.withColumns({"members": F.array("id"), "counts": F.array(F.lit(1))})
     packed = build(asking, shared, length, max(1, -(-asked // 2048)), "permutation-queries")
-    # Each packed query block meets each index block: an equi-join of few rows on the block's number.
-    targets = packed.select(
-        F.col("members").alias("q_members"),
-        F.col("vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                asked_for = {"members": row["q_members"], "vectors": row["q_vectors"]}
-                found = _search(row, asked_for, shared.value, length, k, share, least)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
-
-    found = index.join(targets, "block").mapInArrow(search, shape)
+    # Each packed query block meets each index block. Both travel in groups of bounded size: the queries for all blocks of the
+    # index grow with the square of the table, and a join on the block's number takes them for small and broadcasts them.
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = packed.select(F.col("block").alias("a"), numbers.alias("b"))
+
+    def search(asked_for: dict, partners: Iterable[dict]) -> pa.Table:
+        parts = [_search(block, asked_for, shared.value, length, k, share, least) for block in partners]
+        query, ids, distance = (np.concatenate(column) for column in zip(*parts))
+        best = np.lexsort((ids, distance, query))
+        query, ids, distance = query[best], ids[best], distance[best]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return pa.table({"query_id": query[kept], "vec_id": ids[kept], "score": distance[kept]})
+
+    found = across(packed, index, pairs, search, shape, dict)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id").alias(id_column), "score")
