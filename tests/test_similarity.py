@@ -323,3 +323,63 @@ def test_many_crowded_vectors(spark, monkeypatch):
     monkeypatch.setattr(similarity, "CROWDED", 2)
     rows = np.repeat(np.random.default_rng(19).normal(size=(10, DIM)), 6, axis=0).astype(np.float32)
     assert sorted(r.id for r in similarity._bounded_copies(frame(spark, rows), 2).collect()) == [i for i in range(60) if i % 6 < 2]
+
+
+def test_pairs_of_blocks_are_not_listed(spark, monkeypatch):
+    """Their number grows with the square of the blocks; groups meet, and a task finds the pairs among its two."""
+
+    def refused(*_, **__):
+        raise AssertionError("the pairs of blocks are listed")
+
+    monkeypatch.setattr(blocks, "meetings", refused)
+    monkeypatch.setattr(blocks, "ASKING_ROWS", 30)
+    rows = random_rows(31, n=240)
+    queries = frame(spark, rows).withColumnRenamed(ROW_INDEX, "query_id")
+    found = similarity.search_many(frame(spark, rows), queries, 4, block_rows=8, direct_blocks=0).collect()
+    order = np.argsort(-np.round(cosines(rows), 9), axis=1, kind="stable")[:, :4]
+    by = {(r.query_id, r["rank"]): r.row_index for r in found}
+    assert by == {(q, k + 1): int(order[q, k]) for q in range(240) for k in range(4)}
+    check_pairs(spark, rows, 0.97, 500, 8)
+
+
+def test_a_row_that_has_found_enough_looks_no_further():
+    rng = np.random.default_rng(32)
+    units = rng.normal(size=(90, DIM))
+    units[:60] = units[0] + 1e-3 * rng.normal(size=(60, DIM))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+
+    def block(ids):
+        at = units[ids]
+        return blocks.Block(ids, at, at, np.full(len(ids), blocks.FAR), at.min(axis=0)[None], at.max(axis=0)[None])
+
+    def partners():
+        for first in range(20, 60, 20):
+            yield block(np.arange(first, first + 20))
+        raise AssertionError("all rows have near ones by now")
+
+    at_once = blocks.CHUNK_BLOCKS
+    try:
+        blocks.CHUNK_BLOCKS = 1
+        found = similarity._block_neighbor_kernel(4, 0.9)(block(np.arange(20)), partners())
+    finally:
+        blocks.CHUNK_BLOCKS = at_once
+    assert sorted(set(found.column("id").to_pylist())) == list(range(20))
+    assert min(found.column("cosine").to_pylist()) > 0.9
+
+
+@pytest.mark.parametrize("group_bytes", [4 << 10, 32 << 20])
+def test_outliers_that_look_beside_first_equal_brute_force(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(similarity, "FIRST_BATCH", 12)
+    monkeypatch.setattr(blocks, "GROUP_BYTES", group_bytes)
+    looks = []
+    complete = similarity._NeighborSearch.complete
+    monkeypatch.setattr(
+        similarity._NeighborSearch, "complete", lambda self, *a, **b: looks.append(b.get("beside", False)) or complete(self, *a, **b)
+    )
+    rng = np.random.default_rng(33)
+    rows = np.vstack([rng.normal(size=(300, DIM)), random_rows(34, n=160)]).astype(np.float32)
+    found = similarity.find_outliers(frame(spark, rows), 3, 4, 8, 0).collect()
+    scores, near = expected_neighbors(rows, 4)
+    outlier = 1 - np.take_along_axis(scores, near, axis=1).mean(axis=1)
+    assert np.allclose([r.outlier_score for r in found], np.sort(outlier)[::-1][:3], atol=1e-8)
+    assert True in looks

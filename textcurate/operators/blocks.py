@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textcurate.functions.vectors import matrix, unit_rows
 from textcurate.plans.scratch import materialize
@@ -309,20 +310,49 @@ def within(
 
 def _grouped(sizes: DataFrame, total: int, parts: int) -> DataFrame:
     """``(block, group)``, stored: blocks ``(block, size)`` in ``parts`` runs of neighbouring numbers and about equal size."""
-    bounds = np.zeros(0, np.int64)
-    if parts > 1:
-        # A large block counts several times.
-        times = F.ceil(F.col("size") * (16 * parts) / total).cast("int")
-        weighted = sizes.select("block", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), times))))
-        shares = [k / parts for k in range(1, parts)]
-        found = weighted.agg(F.percentile_approx("block", shares, max(10_000, 20 * parts))).first()[0]
-        bounds = np.unique(np.array(found or [], np.int64))
+    group = _group_of(_bounds(sizes, total, parts))
+    return materialize(sizes.select("block", group("block").alias("group")), "groups")
+
+
+def _bounds(sizes: DataFrame, total: int, parts: int) -> np.ndarray:
+    """The last block of each run but the last one."""
+    if parts <= 1:
+        return np.zeros(0, np.int64)
+    # A large block counts several times.
+    times = F.ceil(F.col("size") * (16 * parts) / total).cast("int")
+    weighted = sizes.select("block", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), times))))
+    shares = [k / parts for k in range(1, parts)]
+    found = weighted.agg(F.percentile_approx("block", shares, max(10_000, 20 * parts))).first()[0]
+    return np.unique(np.array(found or [], np.int64))
 
+
+def _group_of(bounds: np.ndarray) -> Callable:
     @F.arrow_udf(T.IntegerType())
     def group(numbers: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(bounds, np.asarray(numbers)).astype(np.int32))
 
-    return materialize(sizes.select("block", group("block").alias("group")), "groups")
+    return group
+
+
+def _measured(askers: DataFrame, others: DataFrame) -> tuple[list[DataFrame], list[tuple], tuple[int, int]]:
+    """``(block, size)`` of each side, how many and how much they are, and into how many groups each is dealt."""
+    wanted = 4 * askers.sparkSession.sparkContext.defaultParallelism
+    sides = [side.select("block", "size") for side in ((askers,) if askers is others else (askers, others))]
+    measured = [side.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first() for side in sides]
+    (n_a, bytes_a), (n_b, bytes_b) = measured[0], measured[-1]
+    # Shipped are the bytes of one side times the groups of the other: least where both sides' groups are of one size.
+    parts_a = max(-(-bytes_a // GROUP_BYTES), round(math.sqrt(wanted * bytes_a / max(1, bytes_b))), 1)
+    parts_a = min(parts_a, max(1, n_a))
+    parts_b = min(max(-(-bytes_b // GROUP_BYTES), -(-wanted // parts_a)), max(1, n_b))
+    if askers is others:
+        parts_a = parts_b = max(parts_a, parts_b)
+    return sides, measured, (parts_a, parts_b)
+
+
+def _partitions(spark: SparkSession, tasks: int) -> int:
+    """The work of a task is in its arithmetic: partitions grow in number with the tasks, and not in size."""
+    at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return int(max(1, min(2 * tasks, max(at_once, tasks // 8))))
 
 
 def _near_rows(
@@ -398,18 +428,8 @@ def across(
     for a group that it has a partner in, and not once for a partner. With a ``radius``, of blocks made by :func:`pack` only
     the rows are shipped that lie within it of a partner's box, or within the distance that the asking rows look if that is more.
     """
-    spark = pairs.sparkSession
-    wanted = 4 * spark.sparkContext.defaultParallelism
-    sides = [side.select("block", "size") for side in ((askers,) if askers is others else (askers, others))]
-    measured = [side.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first() for side in sides]
-    (n_a, bytes_a), (n_b, bytes_b) = measured[0], measured[-1]
-    # Shipped are the bytes of one side times the groups of the other: least where both sides' groups are of one size.
-    parts_a = max(-(-bytes_a // GROUP_BYTES), round(math.sqrt(wanted * bytes_a / max(1, bytes_b))), 1)
-    parts_a = min(parts_a, max(1, n_a))
-    parts_b = min(max(-(-bytes_b // GROUP_BYTES), -(-wanted // parts_a)), max(1, n_b))
-    if askers is others:
-        parts_a = parts_b = max(parts_a, parts_b)
-    groups = [_grouped(side, total, parts) for side, (_, total), parts in zip(sides, measured, (parts_a, parts_b))]
+    sides, measured, dealt = _measured(askers, others)
+    groups = [_grouped(side, total, parts) for side, (_, total), parts in zip(sides, measured, dealt)]
     of_a, of_b = (groups[k].select(F.col("block").alias(x), F.col("group").alias(f"g{x}")) for k, x in ((0, "a"), (-1, "b")))
     met = pairs.join(of_a, "a").join(of_b, "b")
     met = met.groupBy("ga", "gb", "a").agg(F.sort_array(F.collect_list("b")).alias("partners"))
@@ -435,8 +455,186 @@ def across(
             if partners:
                 yield from kernel(unpack(row), partners).combine_chunks().to_batches()
 
-    # The work of a task is in its arithmetic: partitions grow in number with the tasks, and not in size.
-    at_once = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
-    partitions = max(1, min(2 * tasks, max(at_once, tasks // 8)))
-    rows = left.select(*right.columns).unionByName(right).repartition(int(partitions), "ga", "gb")
+    rows = left.select(*right.columns).unionByName(right).repartition(_partitions(pairs.sparkSession, tasks), "ga", "gb")
+    return rows.groupBy("ga", "gb").applyInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class _Boxes:
+    """What is known everywhere of the blocks of one side: the groups they are dealt into, and a box for each leaf in each.
+
+    There are ``MAX_LEAVES`` boxes and one more for a group at most, a few MB, however many blocks there are.
+    """
+
+    bounds: np.ndarray
+    group: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    reach: np.ndarray
+
+    @classmethod
+    def of(cls, side: DataFrame, sizes: DataFrame, total: int, parts: int, layout: Layout, radius: float) -> _Boxes:
+        bounds, axes = _bounds(sizes, total, parts), layout.axes.shape[1] + 1
+        low = F.array(*[F.min(F.col("low")[k]) for k in range(axes)])
+        high = F.array(*[F.max(F.col("high")[k]) for k in range(axes)])
+        found = side.groupBy(_group_of(bounds)("block").alias("group"), "leaf")
+        found = found.agg(low.alias("low"), high.alias("high"), F.max("reach").alias("reach")).toArrow()
+        low, high = (matrix(found.column(c)).reshape(-1, axes) for c in ("low", "high"))
+        return cls(bounds, np.asarray(found.column("group")), low, high, np.maximum(np.asarray(found.column("reach")), radius))
+
+
+def _away(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """How far a box, or a point, is from each of many boxes."""
+    gap = np.maximum(0.0, np.maximum(lows - high, low - highs))
+    return np.sqrt((gap * gap).sum(axis=1))
+
+
+def _overlap(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which groups of two dealings have numbers in common."""
+    ends = [np.concatenate([[-np.inf], bounds, [np.inf]]) for bounds in (one, two)]
+    return (ends[0][:-1, None] < ends[1][None, 1:]) & (ends[1][None, :-1] < ends[0][1:, None])
+
+
+# Boxes that the rows of a block are compared with in one go, and bytes of rows that leave a task together.
+_BOXES_AT_ONCE, _SENT_BYTES = 64, 4 << 20
+# Rows of asking blocks that are compared in one go.
+ASKING_ROWS = 1024
+
+
+def _sent(
+    side: DataFrame, own: np.ndarray, partners: _Boxes, asking: bool, radius: float, which: str, beside: bool
+) -> DataFrame:
+    """Blocks with the groups they are sent to, and of each the rows that are near enough to a box there."""
+    overlap = _overlap(own, partners.bounds)
+    binaries = ("ids", "vectors", "coordinates", "radii")
+
+    def groups_of(row: dict) -> Iterator[dict]:
+        low, high = np.asarray(row["low"]), np.asarray(row["high"])
+        at = np.frombuffer(row["coordinates"], "<f8").reshape(row["n"], -1)
+        looks = np.maximum(np.frombuffer(row["radii"], "<f8"), radius) if asking else np.zeros(row["n"])
+        # The rows of an asking block look within distances of their own, the others as far as the asking block does.
+        reach = np.full(len(partners.group), radius) if asking else partners.reach
+        away = _away(low, high, partners.low, partners.high)
+        group = int(np.searchsorted(own, row["block"]))
+        near = away <= (np.maximum(row["reach"], radius) if asking else reach) + SLACK
+        if which == ONCE:
+            near &= partners.group <= group if asking else partners.group >= group
+        if beside:
+            near &= partners.group == np.searchsorted(partners.bounds, row["block"]) if asking else overlap[group, partners.group]
+        near = np.flatnonzero(near)
+        near = near[np.argsort(away[near], kind="stable")]
+        for partner in np.unique(partners.group[near]).tolist():
+            there = near[partners.group[near] == partner]
+            kept = np.zeros(row["n"], bool)
+            for first in range(0, len(there), _BOXES_AT_ONCE):
+                rest = np.flatnonzero(~kept)
+                if not len(rest):
+                    break
+                some = there[first : first + _BOXES_AT_ONCE]
+                here = at[rest][:, None]
+                gap = np.maximum(0.0, np.maximum(partners.low[some] - here, here - partners.high[some]))
+                limit = np.maximum(looks[rest][:, None], reach[some]) + SLACK
+                kept[rest] = (np.sqrt((gap * gap).sum(axis=2)) <= limit).any(axis=1)
+            if not kept.any():
+                continue
+            cut = {} if kept.all() else {c: _cut(row[c], row["n"], kept) for c in binaries} | {"n": int(kept.sum())}
+            ga, gb = (group, partner) if asking else (partner, group)
+            yield row | cut | {"ga": ga, "gb": gb, "asking": asking}
+
+    schema = T.StructType([side.schema[c] for c in ("block", "n", *binaries, "low", "high", "reach")])
+    schema = schema.add("ga", T.IntegerType()).add("gb", T.IntegerType()).add("asking", T.BooleanType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for row in groups_of(batch.slice(k, 1).to_pylist()[0]):
+                    held.append(row)
+                    size += sum(len(row[c]) for c in binaries)
+                    if size >= _SENT_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, arrow)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, arrow)
+
+    return side.mapInArrow(run, schema)
+
+
+def meet(
+    askers: DataFrame,
+    others: DataFrame,
+    layout: Layout,
+    which: str,
+    kernel: Callable[[Block, Iterable[Block]], pa.Table],
+    schema: str,
+    radius: float = 0.0,
+    unpack: Callable | None = None,
+    beside: bool = False,
+) -> DataFrame:
+    """Every block ``a`` against those ``b`` that lie within its reach, or within ``radius`` if that is more.
+
+    The pairs are those of :func:`meetings`, of blocks made by :func:`pack`, but they are never listed: their number grows with
+    the square of the blocks. Both sides are dealt into groups as by :func:`across`. The boxes of all leaves are known everywhere,
+    so that each block tells by itself which groups it is sent to, and with which rows; a task, which holds two
+    groups, finds the pairs among them. Neighbouring askers are put together to ``ASKING_ROWS`` rows, unless ``unpack``
+    makes something else than a :class:`Block` of a packed one. ``beside`` is for a first look, where both sides have the
+    same numbers: a block meets only the group of ``GROUP_BYTES`` that its number falls in.
+    """
+    sides, measured, dealt = _measured(askers, others)
+    if beside:
+        (n_a, _), (_, bytes_b) = measured[0], measured[-1]
+        wanted = 4 * askers.sparkSession.sparkContext.defaultParallelism
+        dealt = (max(dealt[0], min(wanted, n_a)), max(1, -(-bytes_b // GROUP_BYTES)))
+    found = [
+        _Boxes.of(side, size, total, parts, layout, radius)
+        for side, size, (_, total), parts in zip((askers, others), sides, measured, dealt)
+    ]
+    boxes_a, boxes_b = found[0], found[-1]
+    if askers is not others:
+        boxes_a, boxes_b = found
+    left = _sent(askers, boxes_a.bounds, boxes_b, True, radius, which, beside)
+    right = _sent(others, boxes_b.bounds, boxes_a, False, radius, which, beside)
+    make = unpack or Block.of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        asking, numbers = np.asarray(table.column("asking")), np.asarray(table.column("block"))
+        low, high = (matrix(table.column(c)) for c in ("low", "high"))
+        reach = np.maximum(np.asarray(table.column("reach")), radius)
+        order = np.argsort(numbers, kind="stable")
+        here, there = order[asking[order]], order[~asking[order]]
+        if not len(here) or not len(there):
+            return
+        made = [make(table.slice(k, 1).to_pylist()[0]) for k in there.tolist()]
+        names = numbers[there]
+
+        def answers(block, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if near.any():
+                yield from kernel(block, [made[k] for k in np.flatnonzero(near).tolist()]).combine_chunks().to_batches()
+
+        held, rows = [], 0
+        for place, k in enumerate(here.tolist()):
+            near = _away(low[k], high[k], low[there], high[there]) <= reach[k] + SLACK
+            if which != ALL:
+                near &= names < numbers[k] if which == ONCE else names != numbers[k]
+            held.append((make(table.slice(k, 1).to_pylist()[0]), near, numbers[k]))
+            if unpack:
+                yield from answers(*held.pop()[:2])
+                continue
+            rows += len(held[-1][0].ids)
+            if rows < ASKING_ROWS and len(held) < CHUNK_BLOCKS and place + 1 < len(here):
+                continue
+            # What some of them must not meet, since the rule goes by the number, they meet one by one.
+            among = np.zeros(len(names), bool)
+            if which != ALL and len(held) > 1:
+                among = (names >= held[0][2]) & (names <= held[-1][2])
+                for block, near, _ in held:
+                    yield from answers(block, near & among)
+            yield from answers(_together([b for b, _, _ in held]), np.any([n for _, n, _ in held], axis=0) & ~among)
+            held, rows = [], 0
+
+    groups_a, groups_b = len(boxes_a.bounds) + 1, len(boxes_b.bounds) + 1
+    tasks = groups_a * groups_b if which != ONCE else groups_a * (groups_a + 1) // 2
+    rows = left.unionByName(right).repartition(_partitions(askers.sparkSession, tasks), "ga", "gb")
     return rows.groupBy("ga", "gb").applyInArrow(run, schema)

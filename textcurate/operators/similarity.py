@@ -294,8 +294,8 @@ def near_duplicates(
         threshold = worst
     if threshold > SLACK:
         radius = math.sqrt(max(0.0, 2 - 2 * (threshold - SLACK)))
-    pairs = blocks.meetings(packed.withColumn("reach", F.lit(radius)), packed, layout, blocks.ONCE)
-    found = blocks.across(packed, packed, pairs, _block_pair_kernel(threshold, top_k, radius), _PAIRS, radius=radius)
+    kernel = _block_pair_kernel(threshold, top_k, radius)
+    found = blocks.meet(packed, packed, layout, blocks.ONCE, kernel, _PAIRS, radius)
     pairs_at_home = near.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity")
     return _best_pairs(found.unionByName(pairs_at_home), top_k)
 
@@ -372,15 +372,21 @@ def _home_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Table
     return best_neighbors
 
 
-def _block_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Table]:
-    """Of all partners the best ``m`` within the radius of each row; only rows near enough to a partner's box meet it."""
+def _block_neighbor_kernel(m: int, enough: float | None = None) -> Callable[[Block, Iterable[Block]], pa.Table]:
+    """Of all partners the best ``m`` within the radius of each row; only rows near enough to a partner's box meet it.
+
+    A row looks no further once the mean of its best ``m - 1`` lies above ``enough``, if that is all that is asked of it.
+    """
 
     def best_neighbors(block: Block, partners: Iterable[Block]) -> pa.Table:
         # The radius was rounded up, so that no row with the least cosine that counts lies below this.
         floor = 1 - block.radii**2 / 2 - SLACK
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        live, looking = np.arange(len(floor)), block
         for other in blocks.joined(partners):
-            asking = np.flatnonzero(block.distances_to(other) <= block.radii + SLACK)
+            asking = live[looking.distances_to(other) <= looking.radii + SLACK]
+            if not len(asking):
+                continue
             reach = block.radii[asking].max(initial=0.0)
             rows = other.taken(other.distances_to(block) <= reach + SLACK)
             at, others, scores = _nearest(block.units[asking], rows.ids, rows.units, m, floor[asking])
@@ -388,9 +394,17 @@ def _block_neighbor_kernel(m: int) -> Callable[[Block, Iterable[Block]], pa.Tabl
                 continue
             best = _fewest(*(np.concatenate(x) for x in zip(best, (asking[at], others, scores))), m)
             # What lies below the m-th score found so far cannot matter any more.
-            last = np.flatnonzero(np.bincount(best[0], minlength=len(floor)) == m)
+            counts = np.bincount(best[0], minlength=len(floor))
+            last = np.flatnonzero(counts == m)
             worst = best[2][np.searchsorted(best[0], last, side="right") - 1]
             floor[last] = np.maximum(floor[last], worst - 2 * _STEP)
+            if enough is not None:
+                place = np.arange(len(best[0])) - np.searchsorted(best[0], best[0])
+                sums = np.bincount(best[0], weights=np.where(place < m - 1, best[2], 0.0), minlength=len(floor))
+                live = live[~((counts >= m - 1) & (sums > (m - 1) * enough))[live]]
+                if not len(live):
+                    break
+                looking = block.taken(live) if len(live) < len(floor) else block
         return _neighbor_table(block.ids, *best)
 
     return best_neighbors
@@ -454,17 +468,20 @@ class _NeighborSearch:
         found = blocks.within(self.packed, _home_neighbor_kernel(self.m), _NEIGHBORS)
         return materialize(self._best(found, self.queries), "neighbors-home")
 
-    def complete(self, home: DataFrame) -> DataFrame:
-        """The exact lists of the vectors that ``home`` has lists for."""
+    def complete(self, home: DataFrame, enough: float | None = None, beside: bool = False) -> DataFrame:
+        """The exact lists of the vectors that ``home`` has lists for.
+
+        With ``enough``, a list may be cut short once the mean cosine of its others lies above it; with ``beside`` only rows of
+        neighbouring blocks are looked at.
+        """
         if self.direct:
             return home
         moving = self.queries.join(self._radii(home), "id")
         askers = blocks.pack(moving, self.layout)
-        pairs = blocks.meetings(askers, self.packed, self.layout, blocks.OTHERS)
-        found = blocks.across(askers, self.packed, pairs, _block_neighbor_kernel(self.m), _NEIGHBORS, radius=0.0)
+        kernel = _block_neighbor_kernel(self.m, enough)
+        found = blocks.meet(askers, self.packed, self.layout, blocks.OTHERS, kernel, _NEIGHBORS, beside=beside)
         return self._best(found.unionByName(home.select("id", "other", "cosine")))
 
-
     def of_queries(self, points: DataFrame, count: int) -> DataFrame:
         """The exact lists of other vectors, nonzero rows ``(id, copy, vec)``, that are no rows of the table."""
         if self.direct:
@@ -481,8 +498,7 @@ class _NeighborSearch:
         near = blocks.across(askers, self.packed, materialize(first, "first-looks"), kernel, _NEIGHBORS)
         moving = located.join(self._radii(self._best(near)), "id", "left").fillna(FAR, ["radius"])
         askers = blocks.pack(moving, self.layout)
-        pairs = blocks.meetings(askers, self.packed, self.layout, blocks.ALL)
-        return self._best(blocks.across(askers, self.packed, pairs, kernel, _NEIGHBORS, radius=0.0), located)
+        return self._best(blocks.meet(askers, self.packed, self.layout, blocks.ALL, kernel, _NEIGHBORS), located)
 
     def _radii(self, lists: DataFrame) -> DataFrame:
         """How far each id of the lists still has to look: with fewer than ``m`` rows found so far, everywhere."""
@@ -548,7 +564,8 @@ def find_outliers(
     """The ``top_k`` rows with the highest ``1 - mean cosine`` to their nearest rows: ``(row_index, outlier_score)``.
 
     A row's neighbours within its own cell already bound its score from above. A first batch with the highest bounds
-    is scored exactly; its ``top_k``-th score then rules out every row whose bound is lower, usually almost all.
+    is scored exactly; its ``top_k``-th score then rules out every row whose bound is lower. Many others find near enough rows
+    in the blocks beside their own; the few that are left meet all that may matter to them.
     """
     _check_neighbors(n_neighbors)
     spark = rows.sparkSession
@@ -569,8 +586,14 @@ def find_outliers(
         exact = materialize(_isolation(exact, n).unionByName(zero), "exact-first")
         best = exact.orderBy(F.col("score").desc()).limit(top_k).agg(F.count("*"), F.min("score")).first()
         cutoff = best[1] if best[0] == top_k else -FAR
-        rest = bounds.filter(F.col("score") >= cutoff - SLACK).join(first, "id", "left_anti")
-        rest = state.complete(home.join(rest.select("id"), "id", "left_semi"))
+        # A score is 1 less the mean: whoever has found a higher mean scores below the cutoff.
+        enough = 1 - cutoff + SLACK
+        rest = materialize(bounds.filter(F.col("score") >= cutoff - SLACK).join(first, "id", "left_anti"), "rest")
+        if rest.count() > batch:
+            # Next to all of them find enough among their neighbours, and need not meet the whole table.
+            nearby = state.complete(home.join(rest.select("id"), "id", "left_semi"), enough, beside=True)
+            rest = materialize(_isolation(nearby, n).filter(F.col("score") >= cutoff - SLACK), "rest")
+        rest = state.complete(home.join(rest.select("id"), "id", "left_semi"), enough)
         scores = exact.unionByName(_isolation(rest, n))
     leading = scores.orderBy(ranked(F.col("score")).desc(), "id").limit(top_k)
     # All stored copies of the leading vectors, up to top_k of each, compete for the top_k places.

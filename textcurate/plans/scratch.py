@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Only a local session may fall back to a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,6 +64,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/textcurate-{app}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def no_rows(spark: SparkSession, schema: str) -> DataFrame:
     """A table without rows, in one partition; unlike one made of an empty list, it starts no Python worker."""
     fields = T.StructType.fromDDL(schema).fields
@@ -69,6 +85,7 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None, grou
     """Write ``df`` once and return a scan of what was written.
 
     Readers and writers hold a Parquet row group, or 4096 rows of it: for rows of a megabyte ``group_rows`` cuts it short.
+    What was shuffled for it is dropped as soon as it is written, not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -77,6 +94,7 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None, grou
         writer = writer.partitionBy(partition_by)
     if group_rows:
         writer = writer.option("parquet.block.row.count.limit", group_rows)
-    writer.parquet(path)
+    with shuffles_dropped(spark):
+        writer.parquet(path)
     # The schema is known, so reading it back starts no inference job.
     return spark.read.schema(df.schema).parquet(path)
