@@ -68,3 +68,32 @@ def test_a_vector_is_stored_once_and_not_once_for_a_posting(spark):
     packed = sparse._index(frame(spark, rows), 0.5, 1, 16).collect()
     ids = np.concatenate([np.frombuffer(r.ids, "<i8") for r in packed])
     assert sorted(ids.tolist()) == list(range(len(rows))) and len(packed) > 1
+
+
+def test_blocks_too_far_apart_do_not_meet(spark, monkeypatch, tmp_path):
+    """Beyond a few blocks, vectors are shipped to those alone that they may be near."""
+    rng = np.random.default_rng(9)
+    rows = np.zeros((240, 30))
+    for k in range(6):
+        rows[40 * k : 40 * k + 40, 5 * k : 5 * k + 5] = 1 + 0.2 * rng.random((40, 5))
+    kernel = sparse._kernel
+    path = str(tmp_path)
+
+    def noted(threshold, k):
+        inner = kernel(threshold, k)
+
+        def verify(block, partners):
+            partners = list(partners)
+            for other in partners:
+                if other is not block:
+                    with open(os.path.join(path, f"{block.ids[0]}-{other.ids[0]}"), "w"):
+                        pass
+            return inner(block, partners)
+
+        return verify
+
+    monkeypatch.setattr(sparse, "_kernel", noted)
+    found = sparse.near_duplicates_indexed(frame(spark, rows.astype(np.float32)), 0.97, 3000, 10).collect()
+    assert [(r.row_a, r.row_b) for r in found] == expected_pairs(rows.astype(np.float32), 0.97, 3000)[0]
+    met = [tuple(int(x) for x in name.split("-")) for name in os.listdir(path)]
+    assert met and all(a // 40 == b // 40 for a, b in met)

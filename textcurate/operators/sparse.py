@@ -5,7 +5,8 @@ as long as what is left of it is no shorter than the threshold: two vectors whos
 the first dimension that they share, since all that lies behind it could not reach it for either if it were not posted.
 A posting knows its weight there and the length of the rest behind it, so that the product is at most the product of
 the weights plus that of the rests. Vectors travel in blocks, once for a group of blocks that they are compared with, and never
-once for a posting: a task derives the postings of its blocks, finds the pairs that share a list, bounds their products run by
+once for a posting. Beyond a few blocks they are those of :mod:`textcurate.operators.blocks`: of two blocks that are too far apart for
+the threshold neither travels to the other. A task derives the postings of its blocks, finds the pairs that share a list, bounds their products run by
 run of dimensions and by the first list that they share, and verifies the few that are left on whole vectors.
 """
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from textcurate.functions.vectors import RANK_DECIMALS, matrix, ranked, unit_rows
 from textcurate.operators import blocks
-from textcurate.operators.similarity import _best_pairs, _distinct_vectors, _is_zero, _pair_table
+from textcurate.operators.blocks import SLACK
+from textcurate.operators.similarity import DIRECT_BLOCKS, _best_pairs, _distinct_vectors, _is_zero, _pair_table
 from textcurate.plans.scratch import materialize
 
 # Runs of dimensions whose lengths bound a product.
@@ -102,7 +104,17 @@ class _Vectors:
         row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
         units = np.zeros((len(ids), packed["dimensions"]))
         units[row, places] = np.frombuffer(packed["weights"], "<f4")
-        units = unit_rows(units)
+        return cls._posted(ids, row, places, unit_rows(units), threshold)
+
+    @classmethod
+    def of_block(cls, packed: dict, order: np.ndarray, threshold: float) -> _Vectors:
+        """The same of a block of :func:`textcurate.operators.blocks.pack`."""
+        found = np.frombuffer(packed["vectors"], "<f4").astype(np.float64).reshape(packed["n"], -1)[:, order]
+        row, places = (x.astype(np.int32) for x in np.nonzero(found))
+        return cls._posted(np.frombuffer(packed["ids"], "<i8"), row, places, unit_rows(found), threshold)
+
+    @classmethod
+    def _posted(cls, ids: np.ndarray, row: np.ndarray, places: np.ndarray, units: np.ndarray, threshold: float) -> _Vectors:
         left = np.sqrt(np.cumsum((units * units)[:, ::-1], axis=1)[:, ::-1])
         posted, lists = np.nonzero((units != 0) & (left >= threshold - _SLACK))
         weight = units[posted, lists]
@@ -205,10 +217,14 @@ def _every_two(packed: DataFrame) -> DataFrame:
     return materialize(pairs, "meetings")
 
 
-def _index(rows: DataFrame, threshold: float, copies: int, block_rows: int) -> DataFrame:
+def _points(rows: DataFrame, threshold: float, copies: int) -> DataFrame:
     if not _SLACK < threshold <= 1:
         raise ValueError(f"vectors that share no dimension never meet, so the threshold must lie above 0 and not above 1: {threshold}")
-    points = materialize(_distinct_vectors(rows, copies).filter(~_is_zero(F.col("vec"))), "points")
+    return materialize(_distinct_vectors(rows, copies).filter(~_is_zero(F.col("vec"))), "points")
+
+
+def _index(rows: DataFrame, threshold: float, copies: int, block_rows: int) -> DataFrame:
+    points = _points(rows, threshold, copies)
     return _packed(points, _order(points), block_rows)
 
 
@@ -216,8 +232,12 @@ def _unpacked(threshold: float) -> Callable[[dict], _Vectors]:
     return lambda packed: _Vectors.of(packed, threshold)
 
 
+def _unpacked_blocks(order: np.ndarray) -> Callable[[float], Callable[[dict], _Vectors]]:
+    return lambda threshold: lambda packed: _Vectors.of_block(packed, order, threshold)
+
+
 def near_duplicates_indexed(
-    rows: DataFrame, threshold: float = 0.95, top_k: int = 50, block_rows: int = BLOCK_ROWS
+    rows: DataFrame, threshold: float = 0.95, top_k: int = 50, block_rows: int = BLOCK_ROWS, direct_blocks: int = DIRECT_BLOCKS
 ) -> DataFrame:
     """The ``top_k`` most similar pairs ``(row_a < row_b, similarity)`` with cosine ``>= threshold``, which must be above 0.
 
@@ -226,13 +246,24 @@ def near_duplicates_indexed(
     """
     if top_k < 1:
         return rows.sparkSession.createDataFrame([], "row_a bigint, row_b bigint, similarity double")
-    packed = _index(rows, threshold, top_k + 1, block_rows)
-    near = blocks.within(packed, _kernel(threshold, top_k), _PAIRS, _unpacked(threshold))
+    points = _points(rows, threshold, top_k + 1)
+    order, n = _order(points), points.count()
+    if n <= direct_blocks * block_rows:
+        packed, layout, unpack = _packed(points, order, block_rows), None, _unpacked
+    else:
+        layout = blocks.make_layout(points, n, block_rows)
+        packed, unpack = blocks.pack(blocks.locate(points, layout, block_rows), layout), _unpacked_blocks(order)
+    near = blocks.within(packed, _kernel(threshold, top_k), _PAIRS, unpack(threshold))
     near = materialize(_best_pairs(near, top_k), "near")
     count, worst = near.agg(F.count("*"), F.min(ranked(F.col("similarity")))).first()
     if count == top_k and worst > threshold:
         threshold = worst
-    found = blocks.across(packed, packed, _every_two(packed), _kernel(threshold, top_k), _PAIRS, _unpacked(threshold))
+    kernel = _kernel(threshold, top_k)
+    if layout is None:
+        found = blocks.across(packed, packed, _every_two(packed), kernel, _PAIRS, unpack(threshold))
+    else:
+        radius = math.sqrt(max(0.0, 2 - 2 * (threshold - SLACK)))
+        found = blocks.meet(packed, packed, layout, blocks.ONCE, kernel, _PAIRS, radius, unpack(threshold))
     at_home = near.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity")
     return _best_pairs(found.unionByName(at_home), top_k)
 
