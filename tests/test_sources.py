@@ -298,3 +298,25 @@ def test_json_forms_are_told_per_file(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.LongType())])
     assert read_json(spark, str(folder / "b.json"), schema).count() == 100
     assert read_json(spark, str(folder), schema).count() == 102
+
+
+def test_records_that_span_lines_are_cut_once(spark, tmp_path, monkeypatch):
+    """Not again for every look at them; what is stored keeps its order, however many tasks read a split of it."""
+    records = "".join(f'{i},"{i}\nlines"\n' for i in range(300))
+    path = write(tmp_path / "a.csv", "id,text\n" + records)
+    rows = read_table(spark, path)
+    assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    stored = readers.materialize
+    monkeypatch.setattr(readers, "materialize", lambda df, label: stored(df, label, group_rows=20))
+    small = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in small}
+    try:
+        source = read_dataset(spark, path)
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        assert source.rows.rdd.getNumPartitions() > 3
+        found = [(r[ROW_INDEX], r.text) for r in indexed(source).collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == [(i, f"{i}\nlines") for i in range(300)]

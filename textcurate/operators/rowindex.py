@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textcurate.plans.scratch import materialize
 from textcurate.schema import BLOCK, FILE, PLACE, ROW_INDEX, SOURCE_POSITION
 
-_POS, _RUN = "__pos", "__run"
+_POS, _RUN, _TASK = "__pos", "__run", "__task"
 # One offset row per file split or per range partition. Up to this many are broadcast; more are joined by shuffle.
 MAX_BROADCAST_RUNS = 1_000_000
 
@@ -60,11 +60,14 @@ def with_row_index(df: DataFrame, order_by: list[str] | None = None) -> DataFram
     if PLACE in df.columns and not order_by:
         runs = _find_runs(df, [FILE], PLACE)
     if runs is None or runs.gaps:
-        key, position = [_RUN] if order_by else [FILE, BLOCK], _POS
+        # Rows of a split that were stored meanwhile may be read by several tasks, in their order.
+        key, position = [_RUN] if order_by else [FILE, BLOCK, _TASK], _POS
         if order_by:
             placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
             placed = placed.withColumn(_RUN, F.spark_partition_id())
+        else:
+            placed = placed.withColumn(_TASK, F.spark_partition_id())
         placed = materialize(placed.withColumn(_POS, F.monotonically_increasing_id()), "rows")
         runs = _find_runs(placed, key, _POS)
     indexed = placed.join(runs.shifts(), runs.key).withColumn(ROW_INDEX, F.col(position) + F.col("_shift"))
-    return indexed.drop(_RUN, _POS, "_shift", *SOURCE_POSITION)
+    return indexed.drop(_RUN, _TASK, _POS, "_shift", *SOURCE_POSITION)

@@ -13,7 +13,7 @@ from textcurate.operators.cache import EmbeddingCache, with_key
 from textcurate.operators.embed import EmbedConfig, Embedder, fill_cache
 from textcurate.operators.project import MIN_ROWS
 from textcurate.plans.dataset import Dataset, default_cache_path, load
-from textcurate.plans.scratch import materialize
+from textcurate.plans.scratch import discard, materialize
 from textcurate.schema import SOURCE_POSITION
 from textcurate.sources.readers import read_dataset, read_table
 from textcurate.sources.writers import default_target, write_table
@@ -75,6 +75,8 @@ def finalize(spark: SparkSession, path: str, curated: str | None = None, target:
     counted = Observation()
     ordered = edited.withColumn("__place", F.monotonically_increasing_id()).observe(counted, F.count(F.lit(1)).alias("rows"))
     ordered = materialize(ordered.filter(_is_kept(edited)), "edited")
+    discard(edited, "cells")
     kept = ordered.repartitionByRange(*place).sortWithinPartitions(*place)
     rows = write_table(kept.drop("keep", *place), target)
+    discard(ordered, "edited")
     return {"path": target, "rows": rows, "total": counted.get["rows"]}

@@ -98,3 +98,16 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None, grou
         writer.parquet(path)
     # The schema is known, so reading it back starts no inference job.
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame, *labels: str) -> None:
+    """Delete the stored tables of these labels that ``df`` reads, once what was made of them is stored and nothing reads them again."""
+    spark = df.sparkSession
+    wanted = tuple(f"{label}-" for label in labels)
+    # A table is one folder, and its files lie directly in it.
+    folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+    inside = f"/textcurate-{spark.sparkContext.applicationId}/"
+    for folder in folders:
+        if inside in folder and folder.rpartition("/")[2].startswith(wanted):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from textcurate.functions.text import as_text, quoted
 from textcurate.operators.rowindex import tag_file_position
-from textcurate.plans.scratch import path_exists
+from textcurate.plans.scratch import materialize, path_exists
 from textcurate.schema import BLOCK, FILE, LINE, PART, PLACE, SOURCE_POSITION, string_columns
 from textcurate.sources.documents import read_docx, read_paged
 from textcurate.sources.plaintext import read_plaintext
@@ -83,6 +83,7 @@ def read_csv(
         named = [F.col(f"cells.c{k}").alias(field.name) for k, field in enumerate(cell_schema.fields)]
         return parsed.select(*named, FILE, BLOCK)
 
+    split: list[str] = []
     if multiline is not None:
         raw = scan(whole=multiline)
     else:
@@ -102,6 +103,9 @@ def read_csv(
     cells = drop_na_tokens(raw, names)
     if schema is not None:
         return cells
+    if split:
+        # Cut and parsed once, for the types and for the caller.
+        cells = materialize(cells, "cells")
     types = _fit_types(cells, names)
     return cells.select(*[quoted(n).cast(t).alias(n) for n, t in types], FILE, BLOCK)
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcurate.operators.rowindex import tag_file_position
+from textcurate.plans.scratch import materialize
 from textcurate.schema import BLOCK, FILE
 
 _QUOTED = r'"(?:[^"]+|"")*+"'
@@ -186,7 +187,8 @@ def read_records(spark: SparkSession, paths: str | list[str], grammar: Grammar)
     Splits are those of Spark's text source, and so are their numbers: a record that spans splits stands between them.
     """
     units = tag_file_position(spark.read.option("lineSep", grammar.separator).text(paths)).select(FILE, BLOCK, "value")
-    starts = _beginnings(_reports(units, grammar), grammar.level)
+    # Stored, so that the pass that finds them is not repeated whenever the records are looked at.
+    starts = materialize(_beginnings(_reports(units, grammar), grammar.level), "beginnings")
     # One row per split, as in Spark's own list of them on the driver; the order of the units within a task stays.
     cut = _cut(units.join(F.broadcast(starts), [FILE, BLOCK]), grammar)
     whole = cut.filter("owner IS NULL").select(FILE, BLOCK, "text", "opens")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import plain_number, quoted
+from textcurate.plans.scratch import shuffles_dropped
 from textcurate.sources.readers import suffix_of
 
 JSON_SUFFIXES = (".jsonl", ".ndjson", ".json")
@@ -24,9 +25,14 @@ def default_target(source: str, label: str) -> str:
 
 def write_table(df: DataFrame, target: str, mode: str = "overwrite") -> int:
     """Write by the target's suffix and return the number of rows, counted while writing."""
-    suffix = suffix_of(target)
     seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    with shuffles_dropped(df.sparkSession):
+        _write(df.observe(seen, F.count(F.lit(1)).alias("rows")), target, mode)
+    return int(seen.get["rows"])
+
+
+def _write(counted: DataFrame, target: str, mode: str) -> None:
+    suffix = suffix_of(target)
     if suffix == ".csv":
         # Without these options the writer trims cells and escapes quotes with backslashes.
         (
@@ -38,10 +44,9 @@ def write_table(df: DataFrame, target: str, mode: str = "overwrite") -> int:
             .csv(target)
         )
     elif suffix in JSON_SUFFIXES:
-        cleaned = counted.select(*[plain_number(quoted(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+        cleaned = counted.select(*[plain_number(quoted(f.name), f.dataType).alias(f.name) for f in counted.schema.fields])
         cleaned.write.mode(mode).option("ignoreNullFields", False).json(target)
     elif suffix == ".parquet":
         counted.write.mode(mode).parquet(target)
     else:
         raise ValueError(f"cannot write files of type {suffix!r}")
-    return int(seen.get["rows"])
