@@ -102,3 +102,18 @@ def test_blocks_are_stored_in_short_row_groups(spark):
     files = blocks.stored(packed, "again", 1024).inputFiles()
     found = [pq.ParquetFile("/" + f.removeprefix("file:").lstrip("/")).metadata for f in files]
     assert max(m.row_group(k).num_rows for m in found for k in range(m.num_row_groups)) <= 16
+
+
+@pytest.mark.parametrize("block_rows", [9, 1024])
+def test_bands_are_taken_one_after_the_other_and_leave_nothing(spark, monkeypatch, block_rows):
+    """The same pairs, each once, and no blocks of vectors are left in the shared folder."""
+    rows = near_rows(10)
+    once = lsh.near_duplicates_approximate(frame(spark, rows), 0.93, 300, 0.9, 8, block_rows).collect()
+    monkeypatch.setattr(lsh, "ROUND_BYTES", 1, raising=False)
+    made = []
+    stored = blocks.stored
+    monkeypatch.setattr(blocks, "stored", lambda *a: made.append(stored(*a)) or made[-1])
+    found = lsh.near_duplicates_approximate(frame(spark, rows), 0.93, 300, 0.9, 8, block_rows).collect()
+    assert [(r.row_a, r.row_b) for r in found] == [(r.row_a, r.row_b) for r in once] and len(set(found)) == len(found) > 100
+    assert len(made) == lsh.bands_for(0.93, 0.9, 8)
+    assert not any(os.path.exists(f.removeprefix("file:")) for table in made for f in table.inputFiles())

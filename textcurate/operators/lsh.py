@@ -14,17 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcurate.functions.vectors import RANK_DECIMALS, matrix, unit_rows
+from textcurate.functions.vectors import RANK_DECIMALS, matrix, ranked, unit_rows
 from textcurate.operators import blocks
 from textcurate.operators.similarity import _best_pairs, _distinct_vectors, _is_zero, _pair_table
-from textcurate.plans.scratch import materialize
+from textcurate.plans.scratch import discard, materialize
 
 BITS = 16
 BLOCK_ROWS = 1024
 SEED = 11
+# Bytes of vectors that are posted at a time; at least one band is.
+ROUND_BYTES = 1536 << 20
 _PAIRS = "a bigint, b bigint, similarity double"
 
 
@@ -43,8 +45,9 @@ def signatures(units: np.ndarray, bands: int, bits: int, seed: int = SEED) -> np
     return sides @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
-def _postings(points: DataFrame, bands: int, bits: int) -> DataFrame:
-    """``(band, key, id, vector, bands)``: each row under each of its bands."""
+def _postings(points: DataFrame, bands: int, bits: int, posted: range | None = None) -> DataFrame:
+    """``(band, key, id, vector, bands)``: each row under each of its bands, or those of ``posted``."""
+    posted = posted or range(bands)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,12 +55,12 @@ def _postings(points: DataFrame, bands: int, bits: int) -> DataFrame:
                 part = batch.slice(at, 1024)
                 vectors = matrix(part.column("vec"))
                 keys = signatures(unit_rows(vectors), bands, bits)
-                row = np.repeat(np.arange(len(vectors)), bands)
+                row = np.repeat(np.arange(len(vectors)), len(posted))
                 packed = [v.tobytes() for v in vectors.astype("<f4")]
                 signed = [k.tobytes() for k in keys.astype("<i8")]
                 columns = [
-                    pa.array(np.tile(np.arange(bands), len(vectors)), pa.int32()),
-                    pa.array(keys.ravel(), pa.int64()),
+                    pa.array(np.tile(posted, len(vectors)), pa.int32()),
+                    pa.array(keys[:, posted].ravel(), pa.int64()),
                     part.column("id").take(pa.array(row)),
                     pa.array([packed[r] for r in row.tolist()], pa.binary()),
                     pa.array([signed[r] for r in row.tolist()], pa.binary()),
@@ -128,7 +131,9 @@ def _packed(postings: DataFrame, block_rows: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), *binaries, ("size", pa.int64())])
     spark_schema = "bucket bigint, part bigint, n int, band binary, key binary, ids binary, vectors binary, bands binary, size bigint"
     rows = rows.select("bucket", "part", "band", "key", "id", "vector", "bands")
-    return blocks.stored(rows.groupBy("bucket", "part").applyInArrow(run, spark_schema), "bucket-blocks", block_rows)
+    packed = blocks.stored(rows.groupBy("bucket", "part").applyInArrow(run, spark_schema), "bucket-blocks", block_rows)
+    discard(postings, "band-postings")
+    return packed
 
 
 # Pairs whose bands are compared in one go.
@@ -186,15 +191,38 @@ def near_duplicates_approximate(
     bands = bands_for(threshold, recall, bits)
     if top_k < 1:
         return rows.sparkSession.createDataFrame([], "row_a bigint, row_b bigint, similarity double")
-    points = _distinct_vectors(rows, top_k + 1).filter(~_is_zero(F.col("vec")))
-    packed = _packed(_postings(points, bands, bits), block_rows)
-    kernel = _kernel(threshold, top_k)
+    points = materialize(_distinct_vectors(rows, top_k + 1).filter(~_is_zero(F.col("vec"))).select("id", "vec"), "points")
+    count, dim = points.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    # What is stored and shipped for a band is deleted before the next ones are taken, so that it is not there for all at once.
+    at_once = max(1, ROUND_BYTES // max(1, count * (4 * dim + 8 * bands)))
+    best = None
+    for first in range(0, bands, at_once):
+        posted = range(first, min(bands, first + at_once))
+        packed = _packed(_postings(points, bands, bits, posted), block_rows)
+        found = _pairs_in(packed, _kernel(threshold, top_k), block_rows)
+        if best is not None:
+            found = found.unionByName(best.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity"))
+        last, best = best, materialize(_best_pairs(found, top_k), "best-pairs")
+        discard(packed, "bucket-blocks")
+        if last is not None:
+            discard(last, "best-pairs")
+        seen, worst = best.agg(F.count("*"), F.min(ranked(F.col("similarity")))).first()
+        if seen == top_k and worst > threshold:
+            threshold = worst
+    return best.orderBy(ranked(F.col("similarity")).desc(), "row_a", "row_b")
+
+
+def _pairs_in(packed: DataFrame, kernel: Callable, block_rows: int) -> DataFrame:
+    """The best pairs of each block, and of each two parts of a large bucket."""
     found = blocks.within(packed, kernel, _PAIRS, _BucketBlock.of)
-    # Only parts of large buckets have partners.
-    large = packed.filter("bucket IS NOT NULL").withColumn("block", F.monotonically_increasing_id())
-    large = blocks.stored(large.select("block", *packed.columns), "numbered-blocks", block_rows)
-    parts = large.select("bucket", "block")
+    # Only parts of large buckets have partners. They are numbered bucket by bucket, so that few groups of them meet.
+    large = packed.filter("bucket IS NOT NULL")
+    numbers = large.select("bucket", "part").withColumn("block", F.row_number().over(Window.orderBy("bucket", "part")).cast("bigint"))
+    numbers = materialize(numbers, "block-numbers")
+    if numbers.isEmpty():
+        return found
+    parts = numbers.select("bucket", "block")
     pairs = parts.withColumnRenamed("block", "a").join(parts.withColumnRenamed("block", "b"), "bucket").filter("a > b")
     pairs = materialize(pairs.select("a", "b"), "meetings")
-    sent = large.drop("bucket", "part")
-    return _best_pairs(found.unionByName(blocks.across(sent, sent, pairs, kernel, _PAIRS, _BucketBlock.of)), top_k)
+    sent = large.join(F.broadcast(numbers), ["bucket", "part"]).drop("bucket", "part")
+    return found.unionByName(blocks.across(sent, sent, pairs, kernel, _PAIRS, _BucketBlock.of))
