@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textcurate.functions.text import cache_key, quoted
-from textcurate.plans.scratch import names_in, no_rows, rename
+from textcurate.plans.scratch import names_in, no_rows, rename, shuffles_dropped
 from textcurate.plans.skew import join_on_unique
 from textcurate.schema import KEY, VECTOR
 
@@ -139,7 +139,8 @@ class EmbeddingCache:
         elif commit in self.commits():
             return
         columns = ("key", "dim", "vector", "status", "written_at", "model")
-        entries.select(*columns).write.mode("overwrite").parquet(f"{self.path}/data/{commit}")
+        with shuffles_dropped(entries.sparkSession):
+            entries.select(*columns).write.mode("overwrite").parquet(f"{self.path}/data/{commit}")
         counted = Observation()
         # A small row per file of the commit: in one file, so that an index of many commits is few files to list and open.
         described = self._describe(commit).repartition(1).observe(counted, F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
